@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import sharding
+from cohortlake.llm import minhash, sharding
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op4_sharding": sharding.op4_sharding,
 }
 
