@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import minhash, sharding
+from cohortlake.llm import minhash, packing, sharding
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_packed_matrices": packing.op5_packed_matrices,
 }
 
 #: Where SQL is too slow on whole tables, or cannot say it, there is none; tests hold the query against brute force.
