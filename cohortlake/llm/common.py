@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,37 @@ def numbered(df: DataFrame, group: str, order: list, name: str, out: str) -> Dat
     before = counts.alias("a").join(counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.col("__n").alias("__m")).alias("b"), F.expr(f"a.{group} <=> b.__g AND b.__p < a.__part"), "left")
     offsets = before.groupBy(group, "__part").agg(F.first("__first").alias("__first"), F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
     return placed.join(offsets.withColumnsRenamed({group: "__g"}), F.expr(f"{group} <=> __g") & (placed["__part"] == offsets["__part"])).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__first", "__before", "__part", "__g")
+
+
+class KeyFilter:
+    """A Bloom filter of 64-bit keys in a fixed number of bits: it may let other keys pass, it never holds back its own.
+
+    Its size does not follow the data. Where it fills up, more rows pass and the joins behind it do more work; results
+    stay the same.
+    """
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.view(np.uint64)
+        mask = np.uint64(FILTER_BITS - 1)
+        found = np.ones(len(keys), bool)
+        for shift in FILTER_SHIFTS:
+            at = (keys >> np.uint64(shift)) & mask
+            found &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+#: Bits of a KeyFilter (2 MB), and where a key's three places are read from.
+FILTER_BITS = 1 << 24
+FILTER_SHIFTS = (0, 20, 40)
+
+
+def key_filter(df: DataFrame, key) -> KeyFilter:
+    """The filter of the values of a long column. What comes to the driver is the filter itself: FILTER_BITS / 64 numbers at most."""
+    at = F.explode(F.array(*(F.shiftrightunsigned(key, s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in FILTER_SHIFTS)))
+    words = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return KeyFilter(out)

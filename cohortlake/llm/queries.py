@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import minhash, packing, sharding
+from cohortlake.llm import minhash, packing, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_packed_matrices": packing.op5_packed_matrices,
