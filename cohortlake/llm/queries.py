@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import minhash, packing, sharding, toxicity
+from cohortlake.llm import bpe, minhash, packing, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_packed_matrices": packing.op5_packed_matrices,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 #: Where SQL is too slow on whole tables, or cannot say it, there is none; tests hold the query against brute force.
