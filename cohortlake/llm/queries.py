@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import bpe, minhash, packing, sharding, toxicity
+from cohortlake.llm import bpe, fingerprints, media, minhash, packing, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_sharding": sharding.op4_sharding,
     "op5_packed_matrices": packing.op5_packed_matrices,
+    "op6_media_sniffing": media.op6_media_sniffing,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
