@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import bpe, fingerprints, lines, media, minhash, packing, sharding, toxicity
+from cohortlake.llm import bpe, fingerprints, lines, media, minhash, mixing, packing, sharding, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_packed_matrices": packing.op5_packed_matrices,
     "op6_media_sniffing": media.op6_media_sniffing,
+    "op7_context_mixing": mixing.op7_context_mixing,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
