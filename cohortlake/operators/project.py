@@ -1,0 +1,71 @@
+"""Cutting resources down to what was asked for, and masking the rest."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Fixed value: the extension that stands for a value that may not be shown.
+ABSENT_URL = "http://hl7.org/fhir/StructureDefinition/data-absent-reason"
+MASKED = "masked"
+
+
+def copy_tree(paths: Sequence[str]) -> dict:
+    """A tree of the selected paths; a path below another selected one adds nothing, as that copies its whole subtree."""
+    tree: dict = {}
+    for path in sorted(set(paths), key=lambda p: p.count(".")):
+        node, steps = tree, path.split(".")
+        for i, step in enumerate(steps):
+            if step in node and not node[step]:
+                break
+            node = node.setdefault(step, {})
+            if i == len(steps) - 1:
+                node.clear()
+    return tree
+
+
+def copied(value: Column, kind: T.DataType, tree: dict) -> Column:
+    """Value with the selected elements only: lists keep their grouping, empty parts are left out."""
+    if not tree:
+        return value
+    if isinstance(kind, T.ArrayType):
+        out = F.filter(F.transform(value, lambda x: copied(x, kind.elementType, tree)), lambda x: x.isNotNull())
+        return F.when(F.size(out) > 0, out)
+    fields = [f for f in kind.fields if f.name in tree]
+    parts = [copied(value[f.name], f.dataType, tree[f.name]) for f in fields]
+    some = F.coalesce(*(p.isNotNull() for p in parts), F.lit(False)) if len(parts) == 1 else F.greatest(*(p.isNotNull() for p in parts))
+    return F.when(some, F.struct(*(p.alias(f.name) for p, f in zip(parts, fields, strict=True))))
+
+
+def copy_attributes(df: DataFrame, column: str, paths: Sequence[str]) -> DataFrame:
+    """df with a struct column cut down to the attribute paths (relative to it)."""
+    return df.withColumn(column, copied(F.col(column), df.schema[column].dataType, copy_tree(paths)))
+
+
+def masked_reference(ref: Column, allowed: Column) -> Column:
+    """The reference if it is among those allowed, else the mask; NULL stays."""
+    return F.when(ref.isNull(), None).when(F.array_contains(allowed, ref), ref).otherwise(F.lit(MASKED))
+
+
+def required(value: Column, minimum: Column) -> Column:
+    """Text of a value; the mask where it is missing though at least one is required."""
+    return F.when(value.isNull() & (minimum > 0), F.lit(MASKED)).otherwise(value.cast("string"))
+
+
+def kept_extensions(extensions: Column, sliced: Sequence[str]) -> Column:
+    """Extensions that a profile slices, and those that say why data are absent."""
+    return F.filter(extensions, lambda e: e["url"].isin([*sliced, ABSENT_URL]))
+
+
+def sliced_only(values: Column, matches) -> Column:
+    """Elements of a list that match one of its slices."""
+    return F.filter(values, matches)
+
+
+def claimed_profiles(df: DataFrame, wanted: Column) -> DataFrame:
+    """profiles cut down to the wanted ones, and `complete`: whether all of them are claimed."""
+    own = F.transform("profiles", lambda p: F.substring_index(p, "|", 1))
+    return df.withColumns({"complete": F.size(F.array_except(wanted, own)) == 0, "profiles": F.array_intersect(own, wanted)})

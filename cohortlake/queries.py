@@ -1,6 +1,384 @@
-"""Registered queries of the extraction operators and their SQL counterparts."""
+"""Registered queries of the extraction operators and their SQL counterparts.
+
+The given tables stand in for clinical records: customer for Patient, orders for Encounter (a period of 31 days from the
+order date), lineitem for what links an encounter to part (Medication) and supplier (Organization), region and nation for a
+code tree, events for consent provisions. Every query covers whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import datetime
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortlake.functions.references import parse_reference
+from cohortlake.operators import cascade, codes, consent, intervals, load, project, report, resolve, spec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- stand-ins -------------------------------------------------------------------------------------------------------
+
+
+def encounters(spark: SparkSession, d: str) -> DataFrame:
+    start = F.col("o_orderdate").cast("date")
+    return table(spark, d, "orders").select(
+        F.lit("Encounter").alias("resource_type"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("patient_id"), F.array(F.concat(F.lit("p/"), "o_orderstatus", F.lit("|1.0"))).alias("profiles"),
+        F.array(F.struct(F.lit("prio").alias("system"), F.col("o_orderpriority").alias("code"))).alias("codes"), start.alias("period_start"), F.date_add(start, 30).alias("period_end"), "o_totalprice",
+    )
+
+
+def provisions(spark: SparkSession, d: str) -> DataFrame:
+    start = F.date_add(F.lit(datetime.date(1995, 1, 1)), ((F.col("event_id") * 37) % 2400).cast("int"))
+    code = F.element_at(F.array(*(F.lit(c) for c in ("A", "B", "GATE", "RETRO"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select(
+        "event_id", F.col("user_id").alias("patient_id"), (F.col("user_id") * 10 + F.col("event_id") % 3).alias("consent_id"), code.alias("code"), start.alias("start"), F.date_add(start, F.floor("value").cast("int")).alias("end"), (F.col("event_type") != "error").alias("permit")
+    )
+
+
+_ENC = "enc AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_totalprice, CAST(o_orderdate AS DATE) s, CAST(o_orderdate AS DATE) + 30 e FROM orders)"
+_PROV = """prov AS (SELECT event_id, user_id patient_id, user_id * 10 + event_id % 3 consent_id, ['A','B','GATE','RETRO'][event_id % 4 + 1] code,
+  DATE '1995-01-01' + CAST((event_id * 37) % 2400 AS INT) s, DATE '1995-01-01' + CAST((event_id * 37) % 2400 + floor(value) AS INT) e, event_type <> 'error' permit FROM events)"""
+
+
+def _days(source: str, keys: str, where: str) -> str:
+    return f"SELECT DISTINCT {keys}, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) d FROM {source} WHERE {where}"
+
+
+def _islands(source: str, keys: str) -> str:
+    return f"SELECT {keys}, min(d) AS period_start, max(d) AS period_end FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY {keys} ORDER BY d) AS INT) g FROM {source}) GROUP BY {keys}, g"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"start": "period_start", "end": "period_end"})
+
+
+# --- filters and survival --------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, p_type, p_brand FROM part WHERE p_type = 'PROMO' OR p_brand IN ('Brand#1', 'Brand#2')")
+def token_filter(spark: SparkSession, d: str) -> DataFrame:
+    coding = F.array(F.struct(F.lit("type").alias("system"), F.col("p_type").alias("code")), F.struct(F.lit("brand").alias("system"), F.col("p_brand").alias("code")))
+    return table(spark, d, "part").where(load.token_filter(coding, [("type", "PROMO"), ("brand", "Brand#1"), ("brand", "Brand#2")])).select("p_partkey", "p_type", "p_brand")
+
+
+@query(f"WITH {_ENC} SELECT o_orderkey, s AS period_start, e AS period_end FROM enc WHERE e >= DATE '1996-01-15' AND s <= DATE '1996-03-15'")
+def date_filter(spark: SparkSession, d: str) -> DataFrame:
+    found = load.group_filter(encounters(spark, d), "Encounter", low=datetime.date(1996, 1, 15), high=datetime.date(1996, 3, 15))
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "period_start", "period_end")
+
+
+@query(f"WITH {_ENC} SELECT o_orderkey, o_custkey AS patient_id FROM enc WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND e >= DATE '1997-01-01'")
+def token_or_date_and(spark: SparkSession, d: str) -> DataFrame:
+    found = load.group_filter(encounters(spark, d), "Encounter", "p/F", [("prio", "1-URGENT"), ("prio", "2-HIGH")], low=datetime.date(1997, 1, 1))
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "patient_id")
+
+
+@query("SELECT o_orderkey, o_custkey AS patient_id FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
+def cohort_semi(spark: SparkSession, d: str) -> DataFrame:
+    cohort = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("patient_id"))
+    return load.in_cohort(encounters(spark, d), cohort).select(F.col("id").cast("long").alias("o_orderkey"), "patient_id")
+
+
+@query("""SELECT c_custkey AS patient_id FROM customer c WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)
+AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority IN ('2-HIGH', '3-MEDIUM'))
+AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '5-LOW' AND o_totalprice >= 450000)""")
+def cohort_criteria(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.lit("prio").alias("system"), F.col("o_orderpriority").alias("code"), F.col("o_totalprice").alias("value"))
+    c = codes.Criterion
+    include = [[c([("prio", "1-URGENT")], "gt", 300000.0)], [c([("prio", "2-HIGH")]), c([("prio", "3-MEDIUM")])]]
+    return codes.select_cohort(table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id")), records, include, [[c([("prio", "5-LOW")], "ge", 450000.0)]])
+
+
+@query(f"""WITH {_ENC}, ok AS (SELECT o_custkey FROM enc WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' AND s <= DATE '1999-12-31' AND o_totalprice > 100000)
+SELECT c_custkey AS patient_id, c_acctbal, (SELECT count(*) FROM enc WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' AND s <= DATE '1999-12-31') AS encounters
+FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM ok)""")
+def must_have_survivors(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("patient_id"), "c_acctbal")
+    wanted = [("prio", p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")]
+    found = load.in_cohort(load.group_filter(encounters(spark, d), "Encounter", "p/F", wanted, high=datetime.date(1999, 12, 31)), people)
+    state, _ = load.must_have(load.claims_profile(F.col("profiles"), F.lit("p/F")), [("price", F.col("o_totalprice") > 100000)])
+    evaluated = found.select("patient_id", F.lit("encounter").alias("group_id"), (state == "fulfilled").alias("fulfilled")).union(people.select("patient_id", F.lit("patient"), F.col("c_acctbal") > 0))
+    left = load.survivors(people, evaluated, ["patient", "encounter"])
+    return left.join(found.groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters")), "patient_id").select("patient_id", "c_acctbal", "encounters")
+
+
+@query("""SELECT p_partkey AS resource_id, attribute_ref FROM (SELECT p_partkey, attribute_ref, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) n FROM (
+SELECT p_partkey, 1 ord, 'size' attribute_ref, p_size >= 10 present FROM part UNION ALL SELECT p_partkey, 2, 'price', p_retailprice >= 950 FROM part UNION ALL SELECT p_partkey, 3, 'type', p_type <> 'PROMO' FROM part)
+WHERE NOT present) WHERE n = 1""")
+def first_violation(spark: SparkSession, d: str) -> DataFrame:
+    checks = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("attribute_ref"), c.alias("present")) for i, (n, c) in enumerate((("size", F.col("p_size") >= 10), ("price", F.col("p_retailprice") >= 950), ("type", F.col("p_type") != "PROMO")))))
+    return load.first_violations(table(spark, d, "part").select(F.col("p_partkey").alias("resource_id"), F.inline(checks)))
+
+
+# --- references ------------------------------------------------------------------------------------------------------
+
+_REF = """CASE s_suppkey % 6 WHEN 0 THEN 'http://x/Organization/' || s_suppkey WHEN 1 THEN 'urn:uuid:' || s_suppkey WHEN 2 THEN '/Organization/' || s_suppkey WHEN 3 THEN 'Organization/ ' ELSE 'Organization/' || s_suppkey END"""
+
+
+@query(f"""WITH r AS (SELECT s_suppkey, {_REF} ref FROM supplier), p AS (SELECT *, regexp_extract(ref, '^([^/]+)/([^/]+)$', 1) t, regexp_extract(ref, '^([^/]+)/([^/]+)$', 2) i FROM r),
+ok AS (SELECT *, NOT contains(ref, '://') AND NOT starts_with(ref, 'urn:') AND trim(t) <> '' AND trim(i) <> '' good FROM p)
+SELECT s_suppkey, CASE WHEN good THEN t END AS ref_type, CASE WHEN good THEN i END AS ref_id FROM ok""")
+def ref_parse(spark: SparkSession, d: str) -> DataFrame:
+    parsed = table(spark, d, "supplier").withColumn("r", parse_reference(F.expr(_REF)))
+    return parsed.select("s_suppkey", F.col("r.type").alias("ref_type"), F.col("r.id").alias("ref_id"))
+
+
+@query("""SELECT DISTINCT l_orderkey AS src_id, l_partkey AS dst_id, l_suppkey % 2 AS grp FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND ((l_suppkey % 2 = 0 AND p_type = 'PROMO') OR (l_suppkey % 2 = 1 AND p_size > 25)))""")
+def ref_not_found(spark: SparkSession, d: str) -> DataFrame:
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src_id"), F.lit("Medication").alias("dst_type"), F.col("l_partkey").alias("dst_id"), F.array((F.col("l_suppkey") % 2)).alias("linked_groups")).distinct()
+    groups = spark.createDataFrame([(0, "Medication"), (1, "Medication")], "group_id long, type string")
+    part = table(spark, d, "part").select(F.lit("Medication").alias("type"), F.col("p_partkey").alias("id"), "p_type", "p_size")
+    targets = part.where("p_type = 'PROMO'").select("type", "id", F.lit(0).cast("long").alias("group_id")).union(part.where("p_size > 25").select("type", "id", F.lit(1).cast("long")))
+    return resolve.not_found(resolve.link_groups(refs, groups), targets).select("src_id", "dst_id", F.col("linked_group").alias("grp"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT o_custkey AS patient_id, 'Encounter' AS type, o_orderkey AS id, 'enc' AS group_id FROM orders WHERE o_orderstatus = 'F'
+UNION SELECT * FROM (
+ SELECT NULL, 'Medication', p_partkey, 'med' FROM r JOIN lineitem ON r.type = 'Encounter' AND l_orderkey = r.id JOIN part ON p_partkey = l_partkey WHERE p_type <> 'STANDARD'
+ UNION ALL SELECT NULL, 'Organization', s_suppkey, 'org' FROM r JOIN lineitem ON r.type = 'Medication' AND l_partkey = r.id JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0))
+SELECT * FROM r""")
+def resolve_closure(spark: SparkSession, d: str) -> DataFrame:
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    seeds = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("patient_id"), F.lit("Encounter").alias("type"), F.col("o_orderkey").alias("id"), F.lit("enc").alias("group_id"))
+    drugs = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").selectExpr("o_custkey AS patient_id", "'Encounter' AS src_type", "l_orderkey AS src_id", "'enc' AS group_id", "'med' AS linked_group", "'Medication' AS dst_type", "l_partkey AS dst_id")
+    makers = lines.selectExpr("CAST(NULL AS BIGINT) AS patient_id", "'Medication' AS src_type", "l_partkey AS src_id", "'med' AS group_id", "'org' AS linked_group", "'Organization' AS dst_type", "l_suppkey AS dst_id").distinct()
+    core = "CAST(NULL AS BIGINT) AS patient_id"
+    targets = table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id", core, "'med' AS group_id", "p_type <> 'STANDARD' AS valid").union(table(spark, d, "supplier").selectExpr("'Organization'", "s_suppkey", core, "'org'", "s_acctbal > 0"))
+    return resolve.closure(seeds, drugs.distinct().union(makers), targets)
+
+
+# --- intervals and consent -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PROV}, a AS (SELECT *, max(e) OVER (PARTITION BY patient_id, code ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM prov),
+b AS (SELECT *, sum(CASE WHEN m IS NULL OR s > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY patient_id, code ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM a)
+SELECT patient_id, code, min(s) AS period_start, max(e) AS period_end FROM b GROUP BY patient_id, code, g""")
+def interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _named(intervals.merge(provisions(spark, d), ["patient_id", "code"]))
+
+
+@query(f"WITH {_PROV}, a AS ({_days('prov', 'patient_id, code', 'permit')}), b AS ({_days('prov', 'patient_id, code', 'NOT permit')}), x AS (SELECT * FROM a EXCEPT SELECT * FROM b) {_islands('x', 'patient_id, code')}")
+def interval_subtract(spark: SparkSession, d: str) -> DataFrame:
+    keys, p = ["patient_id", "code"], provisions(spark, d)
+    return _named(intervals.subtract(intervals.merge(p.where("permit"), keys), p.where("NOT permit"), keys))
+
+
+_AB = "code IN ('A', 'B') AND permit"
+
+
+@query(f"WITH {_PROV}, a AS ({_days('prov', 'patient_id, code', _AB)}), x AS (SELECT patient_id, d FROM a GROUP BY ALL HAVING count(*) = 2) {_islands('x', 'patient_id')}")
+def interval_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return _named(intervals.intersect_all(provisions(spark, d).where("permit AND code IN ('A', 'B')"), ["patient_id"], "code", 2))
+
+
+@query(f"""WITH {_PROV}, {_ENC}, a AS (SELECT event_id, min(enc.s) t FROM prov JOIN enc ON o_custkey = patient_id AND enc.s < prov.s AND prov.s <= enc.e WHERE code <> 'GATE' GROUP BY 1)
+SELECT event_id, code, coalesce(t, s) AS period_start, e AS period_end FROM prov LEFT JOIN a USING (event_id)""")
+def encounter_shift(spark: SparkSession, d: str) -> DataFrame:
+    visits = encounters(spark, d).select("patient_id", F.col("period_start").alias("start"), F.col("period_end").alias("end"))
+    return _named(consent.shift_to_encounters(provisions(spark, d), visits, ["GATE"]).select("event_id", "code", "start", "end"))
+
+
+@query(f"""WITH {_PROV} SELECT event_id, consent_id, code FROM prov WHERE permit AND code IN ('A', 'B') AND consent_id IN (SELECT consent_id FROM prov WHERE permit AND code IN ('A', 'B') GROUP BY 1 HAVING count(DISTINCT code) = 2)""")
+def consent_package(spark: SparkSession, d: str) -> DataFrame:
+    return consent.complete_packages(provisions(spark, d), ["A", "B"]).select("event_id", "consent_id", "code")
+
+
+@query(f"""WITH {_PROV}, hit AS (SELECT DISTINCT a.event_id FROM prov a JOIN prov b ON a.consent_id = b.consent_id AND b.code = 'RETRO' AND b.permit AND a.s <= b.e AND b.s <= a.e WHERE a.permit AND a.code = 'A'),
+moved AS (SELECT event_id, consent_id, patient_id, least(s, DATE '1994-06-01') s, e FROM prov WHERE event_id IN (SELECT event_id FROM hit)),
+days AS ({_days('moved', 'event_id, consent_id, patient_id', 'true')}), gone AS ({_days('prov', 'consent_id', "code = 'RETRO' AND NOT permit")}),
+x AS (SELECT * FROM days WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.consent_id = days.consent_id AND gone.d = days.d)), y AS ({_islands('x', 'event_id, consent_id, patient_id')})
+SELECT patient_id, consent_id, period_start, period_end, true AS extended FROM y
+UNION ALL SELECT patient_id, consent_id, s, e, false FROM prov WHERE permit AND code = 'A' AND event_id NOT IN (SELECT event_id FROM hit)""")
+def retro_extension(spark: SparkSession, d: str) -> DataFrame:
+    out = consent.retro_extended(provisions(spark, d), {"A": "RETRO"}, datetime.date(1994, 6, 1))
+    return _named(out.select("patient_id", "consent_id", "start", "end", "extended"))
+
+
+@query(f"""WITH {_PROV}, now AS (SELECT * FROM prov WHERE code = 'GATE' AND s <= DATE '1997-06-15' AND e >= DATE '1997-06-15')
+SELECT DISTINCT patient_id FROM now WHERE permit AND patient_id NOT IN (SELECT patient_id FROM now WHERE NOT permit)""")
+def consent_gate(spark: SparkSession, d: str) -> DataFrame:
+    return consent.gate_open(provisions(spark, d), ["GATE"], datetime.date(1997, 6, 15))
+
+
+_WINDOWS = f"""{_PROV}, pack AS (SELECT * FROM prov WHERE permit AND code IN ('A', 'B') AND consent_id IN (SELECT consent_id FROM prov WHERE permit AND code IN ('A', 'B') GROUP BY 1 HAVING count(DISTINCT code) = 2)),
+pd AS ({_days('pack', 'patient_id, code', 'true')}), nd AS ({_days('prov', 'patient_id, code', "NOT permit AND code IN ('A', 'B')")}), ld AS (SELECT * FROM pd EXCEPT SELECT * FROM nd),
+wd AS (SELECT patient_id, d FROM ld GROUP BY ALL HAVING count(*) = 2), win AS ({_islands('wd', 'patient_id')})"""
+
+
+@query(f"WITH {_WINDOWS} SELECT * FROM win")
+def consent_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _named(consent.windows(provisions(spark, d), ["A", "B"]))
+
+
+@query(f"WITH {_WINDOWS}, {_ENC} SELECT o_orderkey, o_custkey AS patient_id FROM enc WHERE EXISTS (SELECT 1 FROM win WHERE patient_id = o_custkey AND period_start <= s AND e <= period_end)")
+def within_window(spark: SparkSession, d: str) -> DataFrame:
+    found = consent.consented(encounters(spark, d), consent.windows(provisions(spark, d), ["A", "B"]))
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "patient_id")
+
+
+# --- graphs ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH s1 AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+ WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING bool_and(p_size <= 20)),
+s2 AS (SELECT l_partkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 20 GROUP BY 1 HAVING bool_and(l_orderkey IN (SELECT o_orderkey FROM s1)))
+SELECT 'O' || o_orderkey AS node FROM s1 JOIN orders USING (o_orderkey) WHERE o_orderstatus <> 'P' UNION ALL SELECT 'P' || l_partkey FROM s2""")
+def cascade_down_up(spark: SparkSession, d: str) -> DataFrame:
+    orders, parts = table(spark, d, "orders"), table(spark, d, "part")
+    nodes = orders.selectExpr("concat('O', o_orderkey) AS node", "false AS reference_only", "o_orderstatus <> 'P' AS valid").union(parts.selectExpr("concat('P', p_partkey)", "true", "p_size > 20"))
+    links = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct().join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey")
+    edges = links.selectExpr("concat('O', l_orderkey) AS parent", "concat('O', l_orderkey, '.medication') AS attribute", "concat('P', l_partkey) AS child", "o_orderpriority = '1-URGENT' AS must_have")
+    return cascade.cascade(nodes, edges)
+
+
+@query("""WITH RECURSIVE n AS (SELECT count(*) c FROM part), r AS (SELECT p_partkey AS node FROM part WHERE p_size >= 48 UNION SELECT (r.node * 7 + 3) % n.c FROM r, n)
+SELECT p_partkey AS node FROM part WHERE p_size < 48 AND p_partkey NOT IN (SELECT node FROM r)""")
+def unfounded_sweep(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    n = parts.count()
+    nodes = parts.selectExpr("p_partkey AS node", "p_size < 48 AS reference_only", "true AS valid")
+    edges = parts.selectExpr("p_partkey AS parent", "concat('P', p_partkey) AS attribute", f"(p_partkey * 7 + 3) % {n} AS child", "false AS must_have")
+    return cascade.unfounded(nodes, edges)
+
+
+_TREE = """tree AS (SELECT 'R' || n_regionkey p, 'N' || n_nationkey c FROM nation UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier)"""
+
+
+@query(f"""WITH RECURSIVE {_TREE}, w AS (SELECT 'R' || r_regionkey k FROM region UNION ALL SELECT 'N' || n_nationkey FROM nation UNION ALL SELECT 'X' || s_suppkey FROM supplier),
+r AS (SELECT k AS root, k AS code FROM w UNION SELECT root, c FROM r JOIN tree ON p = code) SELECT 'geo' AS system, root, code FROM r""")
+def code_expand(spark: SparkSession, d: str) -> DataFrame:
+    region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    edges = nation.selectExpr("'geo' AS system", "concat('R', n_regionkey) AS parent", "concat('N', n_nationkey) AS child").union(supplier.selectExpr("'geo'", "concat('N', s_nationkey)", "concat('S', s_suppkey)"))
+    wanted = region.selectExpr("'geo' AS system", "concat('R', r_regionkey) AS code").union(nation.selectExpr("'geo'", "concat('N', n_nationkey)")).union(supplier.selectExpr("'geo'", "concat('X', s_suppkey)"))
+    return codes.expand(wanted, edges)
+
+
+@query("""SELECT c_custkey AS patient_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 50000 AND o_orderstatus IN ('F', 'O') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 2)""")
+def group_survival(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderstatus").alias("group_id"), (F.col("o_totalprice") > 50000).alias("valid"))
+    return cascade.group_survivors(table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id")), groups, ["F", "O"])
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT l_partkey id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) groups FROM lineitem WHERE l_discount > 0.02 GROUP BY 1),
+r AS (SELECT l_partkey id, string_agg(DISTINCT 'S' || l_suppkey, ',' ORDER BY 'S' || l_suppkey) refs FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
+SELECT 'Medication' AS type, id, groups, refs FROM g LEFT JOIN r USING (id)""")
+def extraction_info(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem")
+    groups = lines.select(F.lit("Medication").alias("type"), F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("group_id"), (F.col("l_discount") > 0.02).alias("valid"))
+    attributes = lines.select(F.lit("Medication").alias("type"), F.col("l_partkey").alias("id"), F.lit("manufacturer").alias("attribute_ref"), F.concat(F.lit("S"), "l_suppkey").alias("child"), (F.col("l_linestatus") == "F").alias("valid"))
+    out = report.extraction_info(groups, attributes)
+    return out.select("type", "id", F.array_join("groups", ",").alias("groups"), F.array_join(F.try_element_at("refs", F.lit("manufacturer")), ",").alias("refs"))
+
+
+@query("""SELECT o_custkey AS patient_id, o_orderstatus AS group_id, string_agg(DISTINCT 'Encounter/' || o_orderkey, ',' ORDER BY 'Encounter/' || o_orderkey) AS targets, sha256(o_custkey || '|' || o_orderstatus) AS provenance_id FROM orders GROUP BY 1, 2""")
+def provenance_targets(spark: SparkSession, d: str) -> DataFrame:
+    out = report.provenance(encounters(spark, d).select("patient_id", F.substring(F.col("profiles")[0], 3, 1).alias("group_id"), F.col("resource_type").alias("type"), "id"))
+    return out.withColumn("targets", F.array_join("targets", ",")).select("patient_id", "group_id", "targets", "provenance_id")
+
+
+@query("SELECT o_orderstatus AS group_id, count(DISTINCT o_orderkey) AS resources, count(DISTINCT o_custkey) AS patients FROM orders GROUP BY 1")
+def inclusion_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.inclusion_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("group_id"), F.lit("Encounter").alias("type"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id")))
+
+
+_REASONS = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"SELECT user_id AS group_id, {', '.join(f"count(*) FILTER (event_type = '{r}') AS {r}" for r in _REASONS)} FROM events GROUP BY 1")
+def exclusion_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.exclusion_summary(table(spark, d, "events").select(F.col("user_id").alias("group_id"), F.col("event_type").alias("reason")), _REASONS)
+
+
+@query("""SELECT s AS stage, count(DISTINCT user_id) AS patients FROM (VALUES ('click'), ('error'), ('none')) v(s) LEFT JOIN events ON event_type = s GROUP BY 1""")
+def patient_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    return report.patient_exclusions(table(spark, d, "events").select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("stage")), ["click", "error", "none"])
+
+
+@query("""WITH f AS (SELECT count(*) n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)), c AS (SELECT count(*) n FROM customer)
+SELECT c.n AS cohort, f.n AS final, c.n - f.n AS excluded, true AS balanced FROM f, c""")
+def count_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"))
+    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id")).distinct()
+    return report.reconcile(people, people.join(seen, "patient_id", "left_semi"), people.join(seen, "patient_id", "left_anti"))
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS stage, list_sort(list(CAST(floor(o_totalprice * 1000) AS BIGINT))) x, count(*) n, CAST(sum(CAST(floor(o_totalprice * 1000) AS BIGINT)) AS BIGINT) s FROM orders GROUP BY 1)
+SELECT stage, x[n // 2 + 1] AS median, s // n AS mean, n FROM v""")
+def stage_median(spark: SparkSession, d: str) -> DataFrame:
+    return report.duration_stats(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "stage"), "stage", F.floor(F.col("o_totalprice") * 1000).cast("long"))
+
+
+# --- projection and specs --------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, '{"id":' || o_orderkey || ',"subject":{"reference":"Patient/' || o_custkey || '"},"tags":[{"code":"' || o_orderpriority || '"},{"code":"' || o_orderstatus || '"}]}' AS body FROM orders""")
+def copy_project(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.array(F.struct(F.col("o_orderpriority").alias("code"), F.lit("prio").alias("system")), F.struct(F.col("o_orderstatus").alias("code"), F.lit("status").alias("system")))
+    subject = F.struct(F.concat(F.lit("Patient/"), "o_custkey").alias("reference"), F.lit("shown").alias("display"))
+    whole = table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), subject.alias("subject"), tags.alias("tags")).alias("body"))
+    return project.copy_attributes(whole, "body", ["id", "subject.reference", "tags.code"]).select("o_orderkey", F.to_json("body").alias("body"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN 'Patient/' || o_custkey ELSE 'masked' END AS ref FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
+def mask_refs(spark: SparkSession, d: str) -> DataFrame:
+    allowed = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.array(F.concat(F.lit("Patient/"), "c_custkey")).alias("allowed"))
+    rows = table(spark, d, "orders").join(allowed, "o_custkey", "left")
+    return rows.select("o_orderkey", project.masked_reference(F.concat(F.lit("Patient/"), "o_custkey"), F.coalesce("allowed", F.array().cast("array<string>"))).alias("ref"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size >= 10 THEN CAST(p_size AS VARCHAR) WHEN p_type = 'PROMO' THEN 'masked' END AS size FROM part""")
+def required_mask(spark: SparkSession, d: str) -> DataFrame:
+    value, least = F.when(F.col("p_size") >= 10, F.col("p_size")), F.when(F.col("p_type") == "PROMO", 1).otherwise(0)
+    return table(spark, d, "part").select("p_partkey", project.required(value, least).alias("size"))
+
+
+_SPEC = """g AS (SELECT o_custkey spec_id, CAST(o_orderkey AS VARCHAR) group_id, 'p/' || o_orderstatus profile_url, CASE o_orderpriority WHEN '1-URGENT' THEN 'Patient' WHEN '2-HIGH' THEN 'Parameters' ELSE 'Observation' END type FROM orders),
+a AS (SELECT o_custkey spec_id, CAST(l_orderkey AS VARCHAR) group_id, CASE l_linenumber WHEN 7 THEN 'Observation.id' ELSE 'Observation.a' || l_linenumber END attribute_ref, l_discount > 0.05 must_have, l_partkey, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+l AS (SELECT *, CASE l_returnflag WHEN 'A' THEN NULL WHEN 'N' THEN group_id ELSE 'none' END linked FROM a),
+el AS (SELECT p profile_url, 'Observation.' || e element_id, e = 'a3' is_ref FROM (VALUES ('p/F'), ('p/O')) x(p), (VALUES ('a1'), ('a2'), ('a3'), ('id')) y(e)),
+f AS (SELECT o_custkey spec_id, CAST(l_orderkey AS VARCHAR) group_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'F')"""
+
+
+@query(f"""WITH {_SPEC}, al AS (SELECT l.*, g.profile_url FROM l JOIN g USING (spec_id, group_id))
+SELECT spec_id, group_id, NULL AS attribute_ref, 'unknown_profile' AS rule FROM g WHERE profile_url = 'p/P'
+UNION ALL SELECT spec_id, NULL, NULL, 'one_patient_group' FROM g GROUP BY 1 HAVING count(*) FILTER (type = 'Patient') <> 1
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'duplicate_attribute' FROM a GROUP BY 1, 2, 3 HAVING count(*) > 1
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'standard_must_have' FROM a WHERE must_have AND attribute_ref = 'Observation.id'
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'unknown_attribute' FROM al WHERE profile_url <> 'p/P' AND attribute_ref NOT IN (SELECT element_id FROM el)
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'reference_without_link' FROM al WHERE profile_url <> 'p/P' AND attribute_ref = 'Observation.a3' AND linked IS NULL
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'undefined_link' FROM l WHERE linked = 'none'
+UNION ALL SELECT spec_id, group_id, NULL, 'two_date_filters' FROM f GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT spec_id, group_id, NULL, 'not_a_domain_resource' FROM g WHERE type = 'Parameters'""")
+def spec_violations(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("spec_id")), "l_orderkey").withColumn("group_id", F.col("l_orderkey").cast("string"))
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Patient").when(F.col("o_orderpriority") == "2-HIGH", "Parameters").otherwise("Observation")
+    groups = orders.select(F.col("o_custkey").alias("spec_id"), F.col("o_orderkey").cast("string").alias("group_id"), F.concat(F.lit("p/"), "o_orderstatus").alias("profile_url"), kind.alias("type"))
+    name = F.when(F.col("l_linenumber") == 7, "Observation.id").otherwise(F.concat(F.lit("Observation.a"), "l_linenumber"))
+    linked = F.when(F.col("l_returnflag") == "A", F.array().cast("array<string>")).when(F.col("l_returnflag") == "N", F.array("group_id")).otherwise(F.array(F.lit("none")))
+    attributes = lines.select("spec_id", "group_id", name.alias("attribute_ref"), (F.col("l_discount") > 0.05).alias("must_have"), linked.alias("linked_groups"))
+    filters = lines.where("l_linestatus = 'F'").select("spec_id", "group_id", F.lit("date").alias("kind"))
+    elements = spark.createDataFrame([(p, f"Observation.{e}", ["Reference"] if e == "a3" else ["string"]) for p in ("p/F", "p/O") for e in ("a1", "a2", "a3", "id")], "profile_url string, element_id string, types array<string>")
+    return spec.violations(groups, attributes, filters, elements, ["Patient", "Observation"])
