@@ -16,8 +16,8 @@ def merge(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairwise overlaps of two frames by key."""
-    other = right.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e"))
+    """Pairwise overlaps of two frames by key; other columns of both are kept."""
+    other = right.withColumnsRenamed({"start": "__s", "end": "__e"})
     both = left.join(other, keys).where((F.col("start") <= F.col("__e")) & (F.col("__s") <= F.col("end")))
     return both.withColumns({"start": F.greatest("start", "__s"), "end": F.least("end", "__e")}).drop("__s", "__e")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.references import parse_reference
@@ -382,3 +382,126 @@ def spec_violations(spark: SparkSession, d: str) -> DataFrame:
     filters = lines.where("l_linestatus = 'F'").select("spec_id", "group_id", F.lit("date").alias("kind"))
     elements = spark.createDataFrame([(p, f"Observation.{e}", ["Reference"] if e == "a3" else ["string"]) for p in ("p/F", "p/O") for e in ("a1", "a2", "a3", "id")], "profile_url string, element_id string, types array<string>")
     return spec.violations(groups, attributes, filters, elements, ["Patient", "Observation"])
+
+
+# --- more of the same families ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_PROV} SELECT a.event_id AS left_id, b.event_id AS right_id, greatest(a.s, b.s) AS period_start, least(a.e, b.e) AS period_end
+FROM prov a JOIN prov b ON a.patient_id = b.patient_id AND a.code = 'A' AND b.code = 'B' AND a.s <= b.e AND b.s <= a.e""")
+def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    p = provisions(spark, d)
+    both = intervals.intersect(p.where("code = 'A'").select("patient_id", F.col("event_id").alias("left_id"), "start", "end"), p.where("code = 'B'").select("patient_id", "start", "end", F.col("event_id").alias("right_id")), ["patient_id"])
+    return _named(both.select("left_id", "right_id", "start", "end"))
+
+
+@query(f"WITH {_PROV} SELECT event_id, code, coalesce(permit, false) AS permit FROM prov WHERE code IN ('A', 'RETRO') AND s <= e")
+def provision_codes(spark: SparkSession, d: str) -> DataFrame:
+    return consent.requested(provisions(spark, d), ["A", "RETRO"]).select("event_id", "code", "permit")
+
+
+@query("SELECT o_orderkey AS consent_id, o_custkey AS patient_id FROM orders WHERE o_orderstatus = 'F' AND o_orderdate IS NOT NULL AND o_custkey IS NOT NULL")
+def consent_active(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "active").otherwise("inactive")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("consent_id"), F.col("o_custkey").alias("patient_id"), status.alias("status"), F.col("o_orderdate").cast("date").alias("consent_date"))
+    return consent.active_consents(rows).select("consent_id", "patient_id")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity, l_extendedprice) n FROM lineitem) WHERE n = 1""")
+def first_copy_wins(spark: SparkSession, d: str) -> DataFrame:
+    return load.first_copy(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey"], [F.col("l_quantity"), F.col("l_extendedprice")]).select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+
+
+@query("""SELECT DISTINCT o_orderkey AS src_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'
+AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 20)""")
+def ref_must_have(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("src_id"), F.col("o_custkey").alias("patient_id"))
+    refs = table(spark, d, "lineitem").selectExpr("l_orderkey AS src_id", "'Encounter' AS src_type", "'enc' AS group_id", "'Encounter.medication' AS attribute_ref", "true AS must_have", "'med' AS linked_group", "'Medication' AS dst_type", "l_partkey AS dst_id").join(orders, "src_id")
+    targets = table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id", "CAST(NULL AS BIGINT) AS patient_id", "'med' AS group_id", "p_size > 20 AS valid")
+    return resolve.required_references(refs, resolve.usable(refs, targets)).select("src_id")
+
+
+@query("""SELECT l_orderkey AS src_id, o_orderkey AS dst_id FROM lineitem JOIN orders ON o_orderkey = l_suppkey * 7 WHERE o_custkey = l_partkey % 1500""")
+def ref_same_patient(spark: SparkSession, d: str) -> DataFrame:
+    refs = table(spark, d, "lineitem").selectExpr("l_orderkey AS src_id", "l_partkey % 1500 AS patient_id", "'Encounter' AS dst_type", "l_suppkey * 7 AS dst_id", "'enc' AS linked_group")
+    targets = table(spark, d, "orders").selectExpr("'Encounter' AS type", "o_orderkey AS id", "o_custkey AS patient_id", "'enc' AS group_id", "true AS valid")
+    return resolve.usable(refs, targets).select("src_id", "dst_id")
+
+
+@query("""SELECT DISTINCT 'Medication' AS type, l_partkey AS id FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)""")
+def core_completion(spark: SparkSession, d: str) -> DataFrame:
+    """Core resources that any person refers to, each fetched once."""
+    wanted = table(spark, d, "lineitem").selectExpr("'Medication' AS type", "l_partkey AS id").distinct()
+    return table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id").join(wanted, ["type", "id"], "left_semi")
+
+
+@query("""SELECT event_type AS group_id, k AS attribute_ref, count(*) AS n FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS VARCHAR) k FROM events WHERE value > 100) GROUP BY 1, 2""")
+def exclusions_by_attribute(spark: SparkSession, d: str) -> DataFrame:
+    reason = F.when(F.col("value") > 100, "must_have").otherwise("filter")
+    return report.exclusions_by_attribute(table(spark, d, "events").select(F.col("event_type").alias("group_id"), F.get_json_object("props", "$.k").alias("attribute_ref"), reason.alias("reason")))
+
+
+_NOTE = """CASE o_orderstatus WHEN 'F' THEN '2020-01-05' WHEN 'O' THEN '2020-01' ELSE '2020-02-30T10:00:00Z' END"""
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN DATE '2020-01-05' END AS note_day FROM orders""")
+def temporal_days(spark: SparkSession, d: str) -> DataFrame:
+    from cohortlake.functions.temporal import day
+
+    return table(spark, d, "orders").select("o_orderkey", day(F.expr(_NOTE)).alias("note_day"))
+
+
+@query("""SELECT o_orderkey, 'Patient/' || o_custkey || ',Encounter/' || o_orderkey AS refs, CASE WHEN o_orderstatus = 'F' THEN o_orderkey ELSE o_custkey END AS patient FROM orders""")
+def body_references(spark: SparkSession, d: str) -> DataFrame:
+    from cohortlake.functions.references import nested_references, patient_of
+
+    body = F.to_json(F.struct(F.struct(F.concat(F.lit("Patient/"), "o_custkey").alias("reference")).alias("subject"), F.array(F.struct(F.struct(F.concat(F.lit("Encounter/"), "o_orderkey").alias("reference")).alias("part"))).alias("partOf")))
+    kind = F.when(F.col("o_orderstatus") == "F", "Patient").otherwise("Observation")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", body.alias("body"), kind.alias("kind"))
+    return rows.select("o_orderkey", F.array_join(nested_references(F.col("body")), ",").alias("refs"), patient_of(F.col("kind"), F.col("o_orderkey").cast("string"), F.col("body")).cast("long").alias("patient"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'u/kept' ELSE '' END || CASE WHEN p_type = 'PROMO' THEN CASE WHEN p_size > 25 THEN ',' ELSE '' END || 'absent' ELSE '' END AS urls FROM part""")
+def extension_policy(spark: SparkSession, d: str) -> DataFrame:
+    url = lambda u: F.struct(F.lit(u).alias("url"))
+    some = F.array_compact(F.array(F.when(F.col("p_size") > 25, url("u/kept")), url("u/dropped"), F.when(F.col("p_type") == "PROMO", url(project.ABSENT_URL))))
+    urls = F.transform(project.kept_extensions(some, ["u/kept"]), lambda e: F.when(e["url"] == project.ABSENT_URL, "absent").otherwise(e["url"]))
+    return table(spark, d, "part").select("p_partkey", F.array_join(urls, ",").alias("urls"))
+
+
+@query("""SELECT p_partkey, p_size > 10 AND p_type <> 'PROMO' AS complete, CASE WHEN p_size > 10 THEN 'u/size' ELSE '' END || CASE WHEN p_type <> 'PROMO' THEN CASE WHEN p_size > 10 THEN ',' ELSE '' END || 'u/type' ELSE '' END AS profiles FROM part""")
+def profile_claims(spark: SparkSession, d: str) -> DataFrame:
+    own = F.array_compact(F.array(F.when(F.col("p_size") > 10, F.lit("u/size|1.0")), F.lit("u/other"), F.when(F.col("p_type") != "PROMO", F.lit("u/type"))))
+    out = project.claimed_profiles(table(spark, d, "part").select("p_partkey", own.alias("profiles")), F.array(F.lit("u/size"), F.lit("u/type")))
+    return out.select("p_partkey", "complete", F.array_join("profiles", ",").alias("profiles"))
+
+
+@query("""SELECT o_custkey AS patient_id, '{"resourceType":"Bundle","type":"transaction","entry":[' || string_agg('{"fullUrl":"Encounter/' || o_orderkey || '","resource":{"id":"' || o_orderkey || '"},"request":{"method":"PUT","url":"Encounter/' || o_orderkey || '"}}', ',' ORDER BY CAST(o_orderkey AS VARCHAR)) || ']}' AS value FROM orders GROUP BY 1""")
+def transaction_bundles(spark: SparkSession, d: str) -> DataFrame:
+    from cohortlake.sources.sinks import transaction_bundles as bundles
+
+    return bundles(encounters(spark, d).withColumn("body", F.concat(F.lit('{"id":"'), "id", F.lit('"}'))))
+
+
+@query("""WITH req AS (SELECT DISTINCT event_id // 4 spec_id, event_type code FROM events), rule AS (SELECT 'click' code, unnest(['view', 'signup']) missing UNION ALL SELECT 'purchase', 'click')
+SELECT spec_id, code, missing FROM req JOIN rule USING (code) WHERE NOT EXISTS (SELECT 1 FROM req o WHERE o.spec_id = req.spec_id AND o.code = rule.missing)""")
+def consent_code_rules(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "events").select(F.expr("event_id div 4").alias("spec_id"), F.col("event_type").alias("code")).distinct()
+    return spec.consent_codes_together(asked, spark.createDataFrame([("click", ["view", "signup"]), ("purchase", ["click"])], "code string, required array<string>"))
+
+
+@query("""WITH g AS (SELECT o_custkey s, CAST(o_orderkey AS VARCHAR) g, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'Patient' WHEN o_orderstatus = 'F' THEN 'Consent' ELSE 'Observation' END t, min(o_orderkey) OVER (PARTITION BY o_custkey) p FROM orders)
+SELECT s AS spec_id, g AS group_id, t || '.id' AS attribute_ref, '' AS linked FROM g UNION ALL SELECT s, g, t || '.meta.profile', '' FROM g
+UNION ALL SELECT s, g, t || CASE t WHEN 'Consent' THEN '.patient' ELSE '.subject' END, CAST(p AS VARCHAR) FROM g WHERE t <> 'Patient'""")
+def standard_attributes(spark: SparkSession, d: str) -> DataFrame:
+    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
+    kind = F.when(F.col("o_orderkey") == first, "Patient").when(F.col("o_orderstatus") == "F", "Consent").otherwise("Observation")
+    groups = table(spark, d, "orders").select(F.col("o_custkey").alias("spec_id"), F.col("o_orderkey").cast("string").alias("group_id"), kind.alias("type"))
+    none = spark.createDataFrame([], "spec_id long, group_id string, attribute_ref string, must_have boolean, linked_groups array<string>")
+    return spec.with_standard_attributes(none, groups).select("spec_id", "group_id", "attribute_ref", F.array_join("linked_groups", ",").alias("linked"))
+
+
+@query("""SELECT p_partkey AS group_id, CASE WHEN p_size > 40 THEN 'reference_only' WHEN p_type IN ('PROMO', 'LARGE') THEN 'direct_patient' ELSE 'direct_core' END AS role FROM part""")
+def group_roles(spark: SparkSession, d: str) -> DataFrame:
+    groups = table(spark, d, "part").select(F.col("p_partkey").alias("group_id"), F.col("p_type").alias("type"), (F.col("p_size") > 40).alias("reference_only"))
+    return spec.split_groups(groups, spark.createDataFrame([("PROMO",), ("LARGE",)], "type string")).select("group_id", "role")
