@@ -53,8 +53,8 @@ def empty_to_text(column: str = "text"):
 
 
 def held(column: str = "doc_id"):
-    """crc32 of the id as text, modulo 5: the fold of a row."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
+    """crc32 of the id as text, modulo 5: the fold of a row; -1 without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5)), F.lit(-1))
 
 
 def numbered(df: DataFrame, group: str, order: list, name: str, out: str) -> DataFrame:

@@ -12,8 +12,8 @@ A line is dropped if an equal or near line comes before it, in order of doc_id a
 
 Defined results: lines end at U+000A; blank lines are never dropped; lines under MIN_CHARS characters are near to equal ones
 only; null and empty texts have no lines and stay as they are; rows that share a doc_id count as one document of which none
-is earlier, and only what is dropped for its own content is dropped; extra columns are kept; an empty table gives an empty
-result.
+is earlier, and only what is dropped for its own content is dropped; rows without doc_id come first and take part in the
+comparison for equality; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ none of the held-out fold. Everything else covers whole texts of all documents.
 
 Defined results: null and empty texts have no windows and get the score of a text without any toxic saving; if labels of
 either class are missing, every score is 0; labels that are null or neither 0 nor 1 are ignored; a doc_id with several
-labels counts as toxic if one of them is; extra columns are ignored; an empty table gives an empty result.
+labels counts as toxic if one of them is; rows without doc_id are not held out; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
