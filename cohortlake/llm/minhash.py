@@ -1,12 +1,13 @@
 """MinHash near-duplicates with tensored banding.
 
-Two small collections of minhash pairs are computed for each document, A_1..A_m and B_1..B_m; the key of table (i, j) is
-the combination of A_i and B_j. So 4m minhashes serve m*m tables of four minhashes each, about a square root of what
+Two small collections of minhash triples are computed for each document, A_1..A_m and B_1..B_m; the key of table (i, j) is
+the combination of A_i and B_j. So 6m minhashes serve m*m tables of six minhashes each, about a square root of what
 separate tables would need. Documents that share a key are candidates; each candidate link is confirmed on the full sets.
 
 What may be hot is thinned before it is dealt: equal sets are one class from the start; a document enters the tables only
-where both its A_i and its B_j occur with another class; a table bucket is compared with its least member first, and
-only what that leaves in several components is compared further, so a bucket of near copies costs its size, not its square.
+where both its A_i and its B_j occur with another class; a table bucket is compared with its most central member first, so
+most of its members are one component. Only what still meets in a bucket from several components is compared further, in packs
+of sets, once whatever the number of buckets shared.
 
 Defined results: words are runs other than white space (U+0020, U+0009 to U+000D) with A-Z lower-cased; a set holds the
 distinct shingles of five words, or the whole sequence if there are fewer; a text that is null, empty or without words has
@@ -16,7 +17,7 @@ table gives an empty result. Shingles are held as 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,11 @@ from cohortlake.llm.components import connected_components
 SHINGLE_WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Size of each collection: a pair with similarity s is missed with probability below 2 * (1 - s * s) ** COLLECTION.
-COLLECTION = 12
-#: Buckets of at most so many classes are compared at once, where their least member left several components.
-SMALL_BUCKET = 32
-#: Leaders that a larger bucket is compared with in each further round.
-LEADERS = 64
+#: Minhashes joined in each value of a collection, and values in it: a pair with similarity s is missed with probability
+#: below 2 * (1 - s ** JOINED) ** COLLECTION, at 0.75 about 0.003 and at 0.8 about 0.0004.
+JOINED, COLLECTION = 3, 12
+#: Sets that are compared in one go with as many others.
+PACK = 64
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -82,18 +82,21 @@ def shingle_sets(texts: list[str | None], width: int = SHINGLE_WORDS) -> list[np
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
-    """Seeds and odd factors of the 4 * COLLECTION hash functions."""
-    x = _mixed(np.arange(1, 8 * COLLECTION + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return x[: 4 * COLLECTION], x[4 * COLLECTION :] | np.uint64(1)
+    """Seeds and odd factors of the hash functions."""
+    n = 2 * JOINED * COLLECTION
+    x = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return x[:n], x[n:] | np.uint64(1)
 
 
 def tensored(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Collections A and B, one row a set (none of them empty): each value joins two minhashes."""
+    """Collections A and B, one row a set (none of them empty): each value joins JOINED minhashes."""
     flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
     seeds, factors = _functions()
     least = np.stack([np.minimum.reduceat((flat ^ s) * f, starts) for s, f in zip(seeds, factors, strict=True)], axis=1)
-    pairs = _mixed(_mixed(least[:, 0::2]) + least[:, 1::2])
-    return pairs[:, :COLLECTION], pairs[:, COLLECTION:]
+    joined = np.zeros((len(sets), 2 * COLLECTION), np.uint64)
+    for j in range(JOINED):
+        joined = _mixed(joined + least[:, j::JOINED])
+    return joined[:, :COLLECTION], joined[:, COLLECTION:]
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +112,17 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.chunks(batches):
-        sets = shingle_sets(batch.column("text").to_pylist())
-        yield pa.record_batch([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+def _sets(wanted: common.KeyFilter) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sets of the rows whose key passes."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            passed = whole.filter(pa.array(wanted(whole.column("key").to_numpy(zero_copy_only=False))))
+            for batch in common.chunks([passed]):
+                sets = shingle_sets(batch.column("text").to_pylist())
+                yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+
+    return find
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +138,27 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all pairs between two packs of sets, those that are linked."""
+    for batch in batches:
+        a, b = [], []
+        for xs, ys in zip(batch.column("xs"), batch.column("ys"), strict=True):
+            left, right = ([(r["rep"].as_py(), np.frombuffer(r["shingles"].as_buffer(), np.uint64)) for r in side] for side in (xs, ys))
+            every = np.concatenate([s for _, s in right])
+            owner = np.repeat(np.arange(len(right)), [len(s) for _, s in right])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            sizes = np.array([len(s) for _, s in right])
+            for rep, own in left:
+                at = np.searchsorted(own, every)
+                hit = own[np.minimum(at, len(own) - 1)] == every
+                shared = np.bincount(owner[hit], minlength=len(right))
+                for k in np.flatnonzero(100 * shared >= PERCENT * (sizes + len(own) - shared)).tolist():
+                    a.append(rep)
+                    b.append(right[k][0])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _fits(n: str, m: str):
     """Sets of such sizes can be linked at all."""
     return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
@@ -156,41 +187,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "set-classes",
     )
     rows = common.written(_tables(reps), "table-keys")
-    buckets = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("size")).where("leader.rep < most")
-    members = common.written(rows.join(buckets, "key").select("key", "rep", "n", "leader", "size"), "table-members")
-
-    first = members.where("rep <> leader.rep").where(_fits("n", "leader.n")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = common.written(first, "near-candidates")
-    wanted = members.select("rep").distinct()
-    class_rows = reps.join(wanted, "rep", "left_semi").select("rep", "digest").dropDuplicates(["rep"])
-    texts = docs.select("doc_id", "text").join(class_rows.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
-    sets = common.written(texts.mapInArrow(_sets, "rep long, shingles binary"), "shingle-sets")
+    sizes = rows.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most")
+    shared = common.written(rows.join(sizes.select("key", "size"), "key"), "shared-keys")
+    # who shares most keys with most others: near copies share more with what they were made from than with each other
+    central = shared.groupBy("rep").agg(F.sum("size").alias("central"))
+    members = common.written(shared.join(central, "rep").select("key", "rep", "n", "size", "central"), "table-members")
+    centres = members.groupBy("key").agg(F.max(F.struct("central", F.negative("rep").alias("minus"), "n")).alias("c")).select("key", F.negative("c.minus").alias("centre"), F.col("c.n").alias("m"))
+    first = members.join(centres, "key").where("rep <> centre").where(_fits("n", "m"))
+    tested = common.written(first.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "near-candidates")
+    key = F.xxhash64("doc_id")
+    wanted = common.key_filter(central.select(F.col("rep").alias("doc_id")), key)
+    sets = common.written(docs.select("doc_id", "text", key.alias("key")).mapInArrow(_sets(wanted), "rep long, shingles binary"), "shingle-sets")
     links = _confirmed(tested, sets)
-
-    # What the least member left in several components.
-    served = None
-    while True:
-        labels = connected_components(links)
-        placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if served is not None:
-            placed = placed.where(F.col("size") > SMALL_BUCKET)
-        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        left = common.written(placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "size", "component", F.pmod(F.xxhash64("rep"), F.lit(LEADERS)).alias("salt")), "mixed-buckets")
-        unserved = left if served is None else left.join(served, ["key", "salt"], "left").where("upto IS NULL OR rep > upto").drop("upto")
-        large = unserved.where(F.col("size") > SMALL_BUCKET)
-        leaders = common.written(large.groupBy("key", "salt").agg(F.min(F.struct("rep", "n", "component")).alias("l")), "leaders")
-        one = left.where(F.col("size") > SMALL_BUCKET).join(leaders.select("key", "l"), "key").where("component <> l.component").where(_fits("n", "l.n")).select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-        if served is None:
-            small = left.where(F.col("size") <= SMALL_BUCKET)
-            other = small.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            one = one.union(small.join(other, "key").where("rep < rep2 AND component <> component2").where(_fits("n", "n2")).select(F.col("rep").alias("a"), F.col("rep2").alias("b")))
-        elif leaders.isEmpty():
-            break
-        fresh = common.written(one.distinct().join(tested, ["a", "b"], "left_anti"), "near-candidates")
-        links = common.written(links.union(_confirmed(fresh, sets)), "near-links")
-        tested = common.written(tested.union(fresh), "near-tested")
-        upto = leaders.select("key", "salt", F.col("l.rep").alias("upto"))
-        served = common.written(upto if served is None else served.union(upto).groupBy("key", "salt").agg(F.max("upto").alias("upto")), "served")
+    labels = connected_components(links)
+
+    # What the centres left in several components. Of a bucket's components the largest is its home; members of the others
+    # are strays. Strays are compared with their home, and with those they share a bucket with, in packs of sets: how
+    # often two packs share a bucket does not matter, so the number of buckets and their squares stay out of it.
+    of = common.written(members.select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "component-of")
+    counts = of.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    placed = members.select("key", "rep").join(of.join(counts, "component"), "rep")
+    homes = placed.groupBy("key").agg(F.max(F.struct("c", "component")).alias("h"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key", F.col("h.component").alias("home"))
+    strays = common.written(placed.join(homes, "key").where("component <> home").select("key", "home", "rep"), "strays")
+    each = strays.select("home", "rep").distinct()
+    pack = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / PACK).cast("long"))
+    sizes = each.groupBy("home").agg(F.count(F.lit(1)).alias("s"))
+    together = lambda df, *keys: df.join(sets, "rep").groupBy(*keys).agg(F.collect_list(F.struct("rep", "shingles")).alias("xs"))
+    packs = common.written(together(each.join(sizes, "home").withColumn("p", pack("s")), "home", "p"), "stray-packs")
+    own = together(of.withColumnRenamed("component", "home").join(sizes, "home", "left_semi").join(counts.withColumnRenamed("component", "home"), "home").withColumn("q", pack("c")), "home", "q")
+    at_home = packs.select("home", "xs").join(own.select("home", F.col("xs").alias("ys")), "home").select("xs", "ys")
+    seen = strays.join(sizes, "home").select("key", "home", pack("s").alias("p")).distinct()
+    meet = seen.join(seen.withColumnRenamed("p", "q"), ["key", "home"]).where("p <= q").select("home", "p", "q").distinct()
+    abroad = meet.join(packs, ["home", "p"]).select("home", "q", "xs").join(packs.select("home", F.col("p").alias("q"), F.col("xs").alias("ys")), ["home", "q"]).select("xs", "ys")
+    found = common.written(at_home.union(abroad).mapInArrow(_compare, "a long, b long").where("a <> b"), "near-links")
+    if not found.isEmpty():
+        labels = connected_components(links.union(found))
 
     of_class = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
