@@ -11,7 +11,8 @@ of sets, once whatever the number of buckets shared.
 
 Defined results: words are runs other than white space (U+0020, U+0009 to U+000D) with A-Z lower-cased; a set holds the
 distinct shingles of five words, or the whole sequence if there are fewer; a text that is null, empty or without words has
-the empty set and is linked with nothing; rows that share a doc_id count as linked; extra columns are ignored; an empty
+the empty set and is linked with nothing; rows that share a doc_id count as linked, rows
+without one are linked with nothing and kept; extra columns are ignored; an empty
 table gives an empty result. Shingles are held as 64-bit hashes.
 """
 
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of_class = reps.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

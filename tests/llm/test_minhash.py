@@ -54,3 +54,9 @@ def test_one_of_each_stays(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_rows_without_id(spark):
+    text = prose(9, 30)
+    got = minhash.near_duplicates(table(spark, [text, text, text, ""], [None, 5, 7, None])).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True), (-1, -1, True), (5, 5, True), (7, 5, False)]
