@@ -7,6 +7,7 @@ chunk's ids those of its pre-tokens. Both are remembered; the library itself enc
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -20,9 +21,10 @@ END_ID = 1
 #: The pre-token pattern of word_bpe_49k.json.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts with these are left to the library whole: str.split() cuts at them, the tokenizer does not.
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Up to here letters, lower case and composition need no care; chunks beyond go to the library whole.
 _PLAIN = "ɏ"
+_BEYOND = re.compile(f"[^\0-{_PLAIN}]")
 
 
 class WordIds:
@@ -58,14 +60,23 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if any(c in text for c in _ODD):
             return self.direct(text) + self.end
+        if text.isascii() or not _BEYOND.search(text):
+            text = text.lower()  # fewer different chunks
         return b"".join(map(self.chunks.__getitem__, text.split())) + self.end
 
 
 _encoders: dict[str, WordIds] = {}
 
 
+def forget() -> None:
+    """Drops what the encoders remember."""
+    for e in _encoders.values():
+        e.words.clear()
+        e.chunks.clear()
+
+
 def word_ids(path: str | None = None) -> WordIds:
     """The worker's encoder for a vocabulary file; one for each file."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
