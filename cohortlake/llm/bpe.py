@@ -186,6 +186,7 @@ def coder(path: str) -> ByteBpe:
 def _encoded(path: str, digests: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
+        common.remember("bpe", own._forget)
         for batch in common.chunks(batches):
             ids = own.encode([t or "" for t in batch.column("text").to_pylist()])
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """Tells that an operator keeps a memory in this Python worker; those of other operators are forgotten first.
+
+    Workers are used again from stage to stage, and each memory has its bound, but their sum should not add up.
+    """
+    for other in [x for x in _memories if x != owner]:
+        _memories.pop(other)()
+    _memories[owner] = forget
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -99,6 +99,7 @@ def _hash(line: str) -> tuple[int, int]:
 
 
 def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.remember("lines", lambda: None)
     names = ["doc_id", "line_no", "h1", "h2", "n", "keys"]
     for batch in common.chunks(batches, limit=CHUNK_BYTES):
         at, texts = [], []

@@ -101,6 +101,7 @@ def tensored(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.remember("minhash", _words.clear)
     for batch in common.chunks(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         full = [s for s in sets if len(s)]
@@ -117,6 +118,7 @@ def _sets(wanted: common.KeyFilter) -> Callable[[Iterable[pa.RecordBatch]], Iter
     """The sets of the rows whose key passes."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remember("minhash", _words.clear)
         for whole in batches:
             passed = whole.filter(pa.array(wanted(whole.column("key").to_numpy(zero_copy_only=False))))
             for batch in common.chunks([passed]):
@@ -141,6 +143,7 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of all pairs between two packs of sets, those that are linked."""
+    common.remember("packs of sets", lambda: None)
     for batch in batches:
         a, b = [], []
         for xs, ys in zip(batch.column("xs"), batch.column("ys"), strict=True):

@@ -167,6 +167,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> Pla
 
 def _pieces(capacity: int, path: str | None, with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remember("packing", tokens.forget)
         encoder, part, seen = tokens.word_ids(path), TaskContext.get().partitionId(), {}
         for batch in common.chunks(batches):
             rows: list[tuple] = []

@@ -58,11 +58,16 @@ def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
 
 def _contexts(texts: list[str]) -> Counter:
     """In how many different surroundings (the words on either side) each word stands, so that copies count once."""
-    found = set()
+    found: set[int] = set()
+    counts: Counter = Counter()
     for t in texts:
         words = [b"", *t.encode("utf-8", "surrogatepass").lower().split(), b""]
-        found.update(zip(words, words[1:], words[2:], strict=False))
-    return Counter(w for _, w, _ in found)
+        for around in zip(words, words[1:], words[2:], strict=False):
+            key = hash(around)
+            if key not in found:
+                found.add(key)
+                counts[around[1]] += 1
+    return counts
 
 
 def _passages(samples: list[bytes]) -> bytes:
@@ -177,6 +182,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns = docs.columns
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remember("toxicity", lambda: None)
         for batch in common.chunks(batches):
             yield batch.filter(pa.array([model is None or model.score(t) < 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
 
