@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 
 #: Attributes that every group gets by itself.
 STANDARD = ("id", "meta.profile", "subject", "patient")
+#: Fixed value: the patient-side types of the FHIR R4 patient compartment; sources.readers.compartment reads others.
+PATIENT_TYPES = tuple(
+    """
+    Account AdverseEvent AllergyIntolerance Appointment AppointmentResponse AuditEvent Basic BodyStructure CarePlan
+    CareTeam ChargeItem Claim ClaimResponse ClinicalImpression Communication CommunicationRequest Composition Condition
+    Consent Coverage CoverageEligibilityRequest CoverageEligibilityResponse DetectedIssue DeviceRequest DeviceUseStatement
+    DiagnosticReport DocumentManifest DocumentReference Encounter EnrollmentRequest EpisodeOfCare ExplanationOfBenefit
+    FamilyMemberHistory Flag Goal Group ImagingStudy Immunization ImmunizationEvaluation ImmunizationRecommendation
+    Invoice List MeasureReport Media MedicationAdministration MedicationDispense MedicationRequest MedicationStatement
+    MolecularSequence NutritionOrder Observation Patient Person Procedure Provenance QuestionnaireResponse RelatedPerson
+    RequestGroup ResearchSubject RiskAssessment Schedule ServiceRequest Specimen SupplyDelivery SupplyRequest
+    VisionPrescription
+    """.split()
+)
 
 
 def _rows(df: DataFrame, rule: str, group: str | None = "group_id", attribute: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.operators import cascade, consent, load, report, resolve
+from cohortlake.operators import cascade, consent, load, report, resolve, spec
 from cohortlake.plans.lineage import cut
 
 
@@ -52,8 +52,21 @@ def _loaded(resources: DataFrame, group: Group) -> DataFrame:
     return found.select("patient_id", F.col("resource_type").alias("type"), "id", F.lit(group.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"))
 
 
-def extract(cohort: DataFrame, resources: DataFrame, references: DataFrame, groups: Sequence[Group], windows: DataFrame | None = None) -> Extraction:
-    """Runs all steps; references is as in operators.resolve, windows as from operators.consent."""
+def _required(cohort: DataFrame, groups: Sequence[Group], patient_types: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The direct groups with required attributes: those on the patients' side, and core ones; by type, whatever was loaded."""
+    spark = cohort.sparkSession
+    table = spark.createDataFrame([(g.group_id, g.resource_type, g.reference_only) for g in groups if g.must_have], "group_id string, type string, reference_only boolean")
+    roles = {r["group_id"]: r["role"] for r in spec.split_groups(table, spark.createDataFrame([(t,) for t in patient_types], "type string")).collect()}  # a row a group
+    patient, core = ([g.group_id for g in groups if roles.get(g.group_id) == role] for role in ("direct_patient", "direct_core"))
+    return patient, core
+
+
+def extract(cohort: DataFrame, resources: DataFrame, references: DataFrame, groups: Sequence[Group], windows: DataFrame | None = None, patient_types: Sequence[str] = spec.PATIENT_TYPES) -> Extraction:
+    """Runs all steps; references is as in operators.resolve, windows as from operators.consent.
+
+    Everyone needs a fulfilled resource in each required group of a patient-side type. A required core group that no core
+    resource fulfils, at load or after the cascade, fails the extraction (ValueError).
+    """
     people = cohort.select("patient_id").distinct()
     lost = people.limit(0).select("patient_id", F.lit("").alias("stage"))
     if windows is not None:
@@ -63,13 +76,14 @@ def extract(cohort: DataFrame, resources: DataFrame, references: DataFrame, grou
         kept = people.join(windows.select("patient_id").distinct(), "patient_id", "left_semi")
         lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CONSENT_FETCH")))
         people = kept
-    direct = [g for g in groups if not g.reference_only]
     loaded = None
     for g in groups:
         rows = _loaded(resources, g).withColumn("reference_only", F.lit(g.reference_only))
         loaded = rows if loaded is None else loaded.unionByName(rows)
     loaded = cut(loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL")), "loaded")
-    required = [g.group_id for g in direct if g.must_have and not loaded.where((F.col("group_id") == g.group_id) & F.col("patient_id").isNotNull()).isEmpty()]
+    required, required_core = _required(cohort, groups, patient_types)
+    if required_core:
+        load.require_core(loaded.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = load.survivors(people, loaded.withColumn("fulfilled", F.col("valid")), required)
     lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("MUST_HAVE")))
     people = cut(kept, "survivors")
@@ -93,6 +107,8 @@ def extract(cohort: DataFrame, resources: DataFrame, references: DataFrame, grou
     afloat = cascade.unfounded(nodes, edges)
     valid = members.where("valid").join(gone.union(afloat), "node", "left_anti").drop("node")
 
+    if required_core:
+        load.require_core(valid.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = cascade.group_survivors(people, valid, required)
     lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CASCADING_DELETE")))
     final = cut(valid.join(kept, "patient_id", "left_semi").unionByName(valid.where("patient_id IS NULL")).select(*KEYS), "extracted")

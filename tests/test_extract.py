@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.plans import extract as plan
@@ -26,3 +27,26 @@ def test_extract(spark):
     assert {(r["patient_id"], r["stage"]) for r in out.patient_exclusions.collect()} == {(2, "CASCADING_DELETE"), (3, "MUST_HAVE")}
     assert {r["id"] for r in out.resources.collect()} == {"1", "c1", "m1"}
     assert plan.summary(out, cohort).first()["balanced"]
+
+
+def small(spark):
+    row = lambda t, i, p: (t, i, p, ["u"], [("s", "k")], DAY, DAY, f"{t}/{i}")
+    resources = spark.createDataFrame([row("Patient", "1", 1), row("Patient", "2", 2), row("Condition", "c1", 1), row("Medication", "m1", None)], SCHEMA)
+    refs = spark.createDataFrame([], "patient_id int, src_type string, src_id string, group_id string, attribute_ref string, must_have boolean, linked_group string, dst_type string, dst_id string")
+    return resources.where("resource_type = 'Patient'").select("patient_id"), resources, refs
+
+
+def test_required_group_without_rows_keeps_nobody(spark):
+    groups = [plan.Group("pat", "Patient"), plan.Group("obs", "Observation", must_have=[("Observation.code", F.size("codes") > 0)])]
+    cohort, resources, refs = small(spark)
+    out = plan.extract(cohort, resources, refs, groups)
+    assert out.people.count() == 0
+    assert {(r["patient_id"], r["stage"]) for r in out.patient_exclusions.collect()} == {(1, "MUST_HAVE"), (2, "MUST_HAVE")}
+
+
+def test_required_core_group_must_be_fulfilled(spark):
+    cohort, resources, refs = small(spark)
+    core = lambda present: [plan.Group("pat", "Patient"), plan.Group("med", "Medication", must_have=[("Medication.code", present)])]
+    assert {r["patient_id"] for r in plan.extract(cohort, resources, refs, core(F.size("codes") > 0)).people.collect()} == {1, 2}
+    with pytest.raises(ValueError, match="med"):
+        plan.extract(cohort, resources, refs, core(F.size("codes") > 5))
