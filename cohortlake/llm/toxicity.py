@@ -1,9 +1,11 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries shortens a window more.
+"""Toxicity by compression distance: which zstandard dictionary shortens a window more.
 
-One dictionary is trained on ordinary text. The other holds the same content and before it what a dictionary trained on
-the telling passages of toxic text holds, so ordinary words cost the same under both and only toxic matter tells them
-apart. A document is cut in windows of eight words; from the bytes that each window saves under the toxic dictionary come
-a few features, and a logistic curve calibrated on documents that the dictionary was not trained on gives the score.
+One dictionary is trained on windows of ordinary text, one on windows of toxic text. The toxic one is put before the ordinary
+one, so ordinary words cost the same under both and only toxic matter tells them apart. Beside it a third holds single telling
+words (those far more frequent in toxic text), joined rather than trained, as the trainer passes over words that are rare in
+the toxic text as a whole. A document is cut in windows of eight words; from the bytes that each window saves under either
+toxic dictionary come a few features, and a logistic curve calibrated on documents that the dictionaries were not trained on
+gives the score.
 
 The dictionaries are trained on a bounded sample: SAMPLE labelled documents of each class, chosen by a hash of doc_id,
 none of the held-out fold. Everything else covers whole texts of all documents.
@@ -70,8 +72,8 @@ def _contexts(texts: list[str]) -> Counter:
     return counts
 
 
-def _passages(samples: list[bytes]) -> bytes:
-    """A dictionary of telling passages: all of them where they fit, else what the trainer picks."""
+def _telling(samples: list[bytes]) -> bytes:
+    """A dictionary of telling words: all of them where they fit, else what the trainer picks."""
     whole = b"".join(sorted(set(samples)))
     if len(whole) <= DICTIONARY_BYTES:
         return whole
@@ -79,7 +81,7 @@ def _passages(samples: list[bytes]) -> bytes:
 
 
 class Dictionaries:
-    """The two dictionaries; savings() compares window lengths under them."""
+    """The ordinary, the toxic and the telling dictionary; savings() compares window lengths under them."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
         rng = random.Random(7)
@@ -87,37 +89,46 @@ class Dictionaries:
         least = max(2, math.ceil(TELLING_SHARE * len(toxic)))
         telling = [w for w, n in seen[0].items() if n >= least and n / len(toxic) >= TELLING_RATIO * (seen[1][w] + 0.5) / len(ordinary)]
         telling.sort(key=lambda w: (seen[0][w], w))
-        usual = [w for t in ordinary for w in windows(t)]
-        rng.shuffle(usual)
-        self.ordinary = _trained(usual[:60_000], DICTIONARY_BYTES, 64)
-        passages = [b" " + w + b" " for w in telling for _ in range(min(seen[0][w], 50))]
-        rng.shuffle(passages)
-        self.toxic = _passages(passages)
+        trained = []
+        for texts in (ordinary, toxic):
+            cut = [w for t in texts for w in windows(t)]
+            rng.shuffle(cut)
+            trained.append(_trained(cut[:60_000], DICTIONARY_BYTES, 64))
+        self.ordinary, self.toxic = trained
+        words = [b" " + w + b" " for w in telling for _ in range(min(seen[0][w], 50))]
+        rng.shuffle(words)
+        self.telling = _telling(words)
         self._open()
 
     def _open(self) -> None:
         parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=False, write_dict_id=False)
         make = lambda content: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
-        self.plain, self.marked = make(self.ordinary), make(self.toxic + self.ordinary)
+        self.plain, self.marked = make(self.ordinary), [make(first + self.ordinary) for first in (self.telling, self.toxic)]
 
     def __getstate__(self) -> dict:
-        return {"ordinary": self.ordinary, "toxic": self.toxic}
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "telling": self.telling}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._open()
 
     def savings(self, text: str | None) -> np.ndarray:
-        a, b = self.plain.compress, self.marked.compress
-        return np.array([len(a(w)) - len(b(w)) for w in windows(text)], np.int64)
+        """Bytes that each window saves under the telling words (first row) and under toxic text (second row)."""
+        plain, (words, toxic) = self.plain.compress, (m.compress for m in self.marked)
+        cut = windows(text)
+        lengths = [len(plain(w)) for w in cut]
+        return np.array([[n - len(c(w)) for n, w in zip(lengths, cut, strict=True)] for c in (words, toxic)], np.int64)
 
 
 def features(savings: np.ndarray) -> list[float]:
-    """Largest saving, and by word count the mean saving and the shares of windows that save 3 and 5 bytes."""
-    if not len(savings):
-        return [0.0] * 5
-    top = np.sort(savings)[-3:]
-    return [float(top[-1]), float(top.sum()) / 3, 10 * float(savings.clip(0).mean()), 100 * float((savings >= 3).mean()), 100 * float((savings >= 5).mean())]
+    """For each toxic dictionary: largest saving, and by word count the mean saving and the shares of windows that save 3 and 5 bytes."""
+    if not savings.size:
+        return [0.0] * 10
+    out = []
+    for own in savings:
+        top = np.sort(own)[-3:]
+        out += [float(top[-1]), float(top.sum()) / 3, 10 * float(own.clip(0).mean()), 100 * float((own >= 3).mean()), 100 * float((own >= 5).mean())]
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -36,6 +36,27 @@ def test_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
 
 
+def phrases(start, n):
+    """Every fourth text holds one of two phrases of words that are as frequent in the others."""
+    rng, out = random.Random(start), []
+    said = [f"w{k} w{k + 7} w{k + 3} w{k + 9} w{k + 1} w{k + 5} w{k + 8} w{k + 2} w{k + 6} w{k + 4}" for k in (100, 200)]
+    for i in range(start, start + n):
+        words = prose(i, 60, 400).split()
+        own = rng.choice(said).split()
+        if i % 4:
+            rng.shuffle(own)
+        at = rng.randrange(len(words))
+        out.append(" ".join([*words[:at], *own, *words[at:]]))
+    return out
+
+
+def test_toxic_phrases_of_ordinary_words():
+    train, held = phrases(0, 600), phrases(600, 200)
+    model = toxicity.ToxicityModel(train[::4], [t for i, t in enumerate(train) if i % 4])
+    found = [model.score(t) >= 0.5 for t in held]
+    assert sum(f == (i % 4 == 0) for i, f in enumerate(found)) / len(found) >= 0.9
+
+
 def test_missing_labels_and_rows(spark):
     docs = table(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, toxic int")
