@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from cohortlake.llm import common, tokens
 
 CAPACITY = 4096
+#: Rows of (length, task, number before) that are sent to all tasks at most: 24 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 class CapacityTree:
@@ -165,37 +167,69 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> Pla
     return plan
 
 
+#: What a task hands on of each piece.
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long, part long"
+#: Ids that a task holds before it hands pieces on, in bytes.
+_HELD_BYTES = 8 << 20
+
+
+def _encoded(encoder: tokens.WordIds, texts: list[str | None]) -> Iterator[tuple[int, bytes, bool]]:
+    """(row, ids, last): the ids of each text, END_ID at its end; those of long texts in several parts."""
+    end, held, size = np.array([tokens.END_ID], "<u4").tobytes(), [], 0
+
+    def out() -> Iterator[tuple[int, bytes, bool]]:
+        for (row, _, last), ids in zip(held, encoder.encode([t for _, t, _ in held]), strict=True):
+            yield row, ids + end if last else ids, last
+
+    for row, text in enumerate(texts):
+        part = None
+        for following in tokens.parts(text or ""):
+            if part is not None:
+                held.append((row, part, False))
+            part = following
+            size += len(part)
+            if size >= common.CHUNK_BYTES and held:
+                yield from out()
+                held, size = [], len(part)
+        held.append((row, part, True))
+    yield from out()
+
+
 def _pieces(capacity: int, path: str | None, with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ordinal", pa.int64()), ("part", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.remember("packing", tokens.forget)
-        encoder, part, seen = tokens.word_ids(path), TaskContext.get().partitionId(), {}
+        encoder, task, seen, rows, size = tokens.word_ids(path), TaskContext.get().partitionId(), {}, [], 0
         for batch in common.chunks(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = memoryview(encoder.encode(text or ""))
-                n = len(ids) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    length = min(capacity, n - start)
-                    own = ids[4 * start : 4 * (start + length)]
+            docs = batch.column("doc_id").to_pylist()
+            piece, rest = 0, b""
+            for row, ids, last in _encoded(encoder, batch.column("text").to_pylist()):
+                ids = memoryview(rest + ids if rest else ids)
+                at, n = 0, len(ids)
+                while n - at > 4 * capacity or last and at < n:
+                    own = ids[at : at + 4 * capacity]
+                    length = len(own) // 4
                     ordinal = seen.get(length, 0)
                     seen[length] = ordinal + 1
-                    rows.append((doc_id, piece, start, length, zlib.crc32(own), ordinal, bytes(own) if with_ids else None))
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)] + [pa.array([part] * len(rows), pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ordinal", "part"]
-                if with_ids:
-                    out, names = [*out, pa.array(cols[6], pa.binary())], [*names, "ids"]
-                yield pa.record_batch(out, names=names)
+                    rows.append((docs[row], piece, piece * capacity, length, zlib.crc32(own), ordinal, task, *([bytes(own)] if with_ids else [])))
+                    size += 64 + len(own) * with_ids
+                    at, piece = at + len(own), piece + 1
+                    if size >= _HELD_BYTES:
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        rows, size = [], 0
+                rest = bytes(ids[at:])
+                if last:
+                    piece, rest = 0, b""
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return cut
 
 
 def pieces(docs: DataFrame, capacity: int, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row a piece, with the number `ordinal` that it has among the pieces of its length in its task `part`."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long, part long" + ", ids binary" * with_ids
-    return common.written(docs.select("doc_id", "text").mapInArrow(_pieces(capacity, path, with_ids), schema), "pieces")
+    return common.written(docs.select("doc_id", "text").mapInArrow(_pieces(capacity, path, with_ids), _PIECE + ", ids binary" * with_ids), "pieces")
 
 
 def _places(starts: np.ndarray, table: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -219,7 +253,10 @@ def packed(cut: DataFrame, planner: Callable[[dict[int, int], int], Plan], capac
     # a number for each length: `capacity` rows at most
     plan = planner({r["length"]: r["n"] for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     table = np.array(sorted(plan.allotments), np.int64).reshape(-1, 6)
-    ranked = cut.join(offsets.select("length", "part", "before"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("ordinal")).drop("before", "ordinal", "part")
+    # a row a task and length: sent along only up to a bound, joined by shuffle beyond it
+    before_all = offsets.select("length", "part", "before")
+    few = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ranked = cut.join(F.broadcast(before_all) if few else before_all.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("ordinal")).drop("before", "ordinal", "part")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
     return ranked.mapInArrow(_places((table[:, 0] << 44) + table[:, 1], table), schema)
 
@@ -229,45 +266,48 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None
     return packed(pieces(docs, capacity, path), large_item_matching, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def _matrices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrices(capacity: int, unit: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sequences from pieces that come in order of sequence and offset."""
     names = ["sequence_id", "n_tokens", "doc_ids", "pieces", "cu_seqlens", "input_ids", "position_ids"]
     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    held: list[tuple] = []
-    done: list[tuple] = []
 
-    def close() -> None:
+    def row(held: list[tuple]) -> tuple:
         lengths = [len(x[3]) // 4 for x in held]
-        positions = np.concatenate([np.arange(n, dtype="<u2") for n in lengths])
-        ids = np.frombuffer(b"".join(x[3] for x in held), "<u4").astype("<u2")
-        done.append((held[0][0], sum(lengths), [x[1] for x in held], [x[2] for x in held], [0, *np.cumsum(lengths).tolist()], ids.tobytes(), positions.tobytes()))
-        held.clear()
-
-    def out() -> pa.RecordBatch:
-        found = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
-        done.clear()
-        return found
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "doc_id", "piece", "ids")), strict=True):
-            if held and held[0][0] != row[0]:
-                close()
-            held.append(row)
-            if len(done) >= 256:
-                yield out()
-    if held:
-        close()
-    if done:
-        yield out()
+        used = sum(lengths)
+        ids, positions = np.zeros((2, capacity), unit)
+        ids[:used] = np.frombuffer(b"".join(x[3] for x in held), "<u4")
+        positions[:used] = np.concatenate([np.arange(n) for n in lengths])
+        return (held[0][0], used, [x[1] for x in held], [x[2] for x in held], [0, *np.cumsum(lengths).tolist()], ids.tobytes(), positions.tobytes())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        done: list[tuple] = []
+        for batch in batches:
+            for piece in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "doc_id", "piece", "ids")), strict=True):
+                if held and held[0][0] != piece[0]:
+                    done.append(row(held))
+                    held = []
+                held.append(piece)
+                if len(done) >= 256:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+                    done = []
+        if held:
+            done.append(row(held))
+        if done:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
+
+    return run
 
 
 def packed_matrices(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """A row a sequence: ids as little-endian unsigned 16-bit numbers, the cumulative lengths of its segments (0 first), and
-    positions that start anew with each segment. Write it with DataFrame.write; rows are the matrix, short ones end early.
+    """A row a sequence: `input_ids` as `capacity` little-endian unsigned numbers (0 behind the last token), the cumulative
+    lengths of its segments (0 first), and `position_ids`, which start anew with each segment. Numbers have 16 bits, or 32
+    where the vocabulary or the capacity needs them. Write it with DataFrame.write: the binary columns are the matrices' rows.
     """
+    unit = "<u2" if max(capacity, tokens.word_ids(path).tokenizer.get_vocab_size()) <= 1 << 16 else "<u4"
     placed = packed(pieces(docs, capacity, path, with_ids=True), best_fit_decreasing, capacity)
     ordered = placed.select("sequence_id", "offset", "doc_id", "piece", "ids").repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
-    return ordered.mapInArrow(_matrices, "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary")
+    return ordered.mapInArrow(_matrices(capacity, unit), "sequence_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Packing: every token once, gapless, and as few sequences as an exhaustive check allows."""
+"""Packing: every token once, gapless, and close to the fewest sequences that an exhaustive search finds."""
 
 import zlib
 
@@ -30,16 +30,36 @@ TEXTS = [*odd_texts(), "It's WE'LL 'S", "a\x85b\xa0c d", "Σίσυφος ΟΔ
 def test_ids_are_the_tokenizers(tokenizer):
     own = tokens.word_ids()
     for t in TEXTS:
-        assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == ids_of(tokenizer, t)
+        assert np.frombuffer(own.encode([t or ""])[0], "<u4").tolist() == ids_of(tokenizer, t)[:-1]
+
+
+def test_ids_of_every_plain_character(tokenizer):
+    own = tokens.word_ids()
+    for c in map(chr, range(1, 0x250)):
+        for t in (c, f"a{c}b", f"{c}{c}1", f" {c}"):
+            assert own.encode([t])[0] == own.direct(t), t
+
+
+def test_long_texts_are_encoded_in_parts(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "PART_CHARS", 100)
+    monkeypatch.setattr(packing.common, "CHUNK_BYTES", 250)
+    texts = [prose(1, 300), None, "x" * 500 + " " + prose(2, 50), "", "a b", "y" * 450, " " * 300]
+    found = {}
+    for row, ids, last in packing._encoded(tokens.word_ids(), texts):
+        assert row not in found or not found[row][1]
+        found[row] = (found.get(row, ([], False))[0] + np.frombuffer(ids, "<u4").tolist(), last)
+    assert {k: v[0] for k, v in found.items()} == {i: ids_of(tokenizer, t) for i, t in enumerate(texts)}
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_ids_of_any_text(tokenizer, text):
-    assert np.frombuffer(tokens.word_ids().encode(text), "<u4").tolist() == ids_of(tokenizer, text)
+    assert np.frombuffer(tokens.word_ids().encode([text])[0], "<u4").tolist() == ids_of(tokenizer, text)[:-1]
 
 
-def test_best_fit_packing(spark, tokenizer):
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_best_fit_packing(spark, tokenizer, monkeypatch, bound):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", bound)  # offsets sent along, and joined by shuffle
     rows = packing.best_fit_packing(table(spark, TEXTS)).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -67,7 +87,7 @@ def test_packed_matrices(spark, tokenizer):
     for r in rows:
         ids, positions = np.frombuffer(r["input_ids"], "<u2").tolist(), np.frombuffer(r["position_ids"], "<u2").tolist()
         cu = r["cu_seqlens"]
-        assert cu[0] == 0 and cu[-1] == len(ids) == r["n_tokens"] <= 512
+        assert cu[0] == 0 and cu[-1] == r["n_tokens"] <= 512 == len(ids) == len(positions) and not any(ids[cu[-1] :])
         for k, (a, b) in enumerate(zip(cu, cu[1:])):
             assert positions[a:b] == list(range(b - a))
             found[r["doc_ids"][k], r["pieces"][k]] = ids[a:b]
@@ -127,3 +147,32 @@ def test_plans_on_counts_are_plans_on_pieces(counts):
     # no two sequences with one large piece each could be one
     alone = sorted(x[0][1] for x in ([p for p in own if 3 * p[1] > 60] for own in bins.values()) if len(x) == 1)
     assert len(alone) < 2 or alone[0] + alone[1] > 60 or all(60 - sum(n for _, n in x) < alone[0] for x in bins.values())
+
+
+def fewest(pieces, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    best = [len(pieces)]
+
+    def place(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(room)
+            return
+        for k in {r: k for k, r in enumerate(room) if r >= pieces[i]}.values():
+            place(i + 1, [*room[:k], room[k] - pieces[i], *room[k + 1 :]])
+        place(i + 1, [*room, capacity - pieces[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_against_the_fewest_sequences(lengths):
+    counts = {n: lengths.count(n) for n in lengths}
+    least = fewest(sorted(lengths, reverse=True), 20)
+    for planner in (packing.large_item_matching, packing.best_fit_decreasing):
+        assert planner(counts, 20).sequences <= 11 * least / 9 + 1
+    large = {n: c for n, c in counts.items() if 3 * n > 20}
+    assert packing.large_item_matching(large, 20).sequences == fewest(sorted((n for n in lengths if 3 * n > 20), reverse=True), 20)
