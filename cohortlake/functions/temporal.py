@@ -22,6 +22,15 @@ def period(start: Column, end: Column | None = None) -> Column:
     return F.when(start <= end, F.struct(start.alias("start"), end.alias("end")))
 
 
+def element_period(body: Column, path: str, zone: str = "UTC") -> Column:
+    """STRUCT<start, end> of the date, dateTime, instant or Period at a JSON path, or of a choice of them (`x` stands for
+    `xDateTime`, `xPeriod`, `xInstant` as well).
+    """
+    at = lambda suffix: F.get_json_object(body, path + suffix)
+    one = F.coalesce(day(at("DateTime")), instant_day(at("Instant"), zone), day(at("")))
+    return F.coalesce(period(one), period(day(at(".start")), day(at(".end"))), period(day(at("Period.start")), day(at("Period.end"))))
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start <= b_end) & (b_start <= a_end)
 

@@ -14,22 +14,25 @@ from cohortlake.plans.lineage import cut
 MAX_ROUNDS = 1000
 
 
-def _live(edges: DataFrame, dead: DataFrame) -> DataFrame:
-    """Edges whose attribute still has a valid parent, and whose child is valid."""
+def _step(nodes: DataFrame, edges: DataFrame, dead: DataFrame, fresh: DataFrame, down: bool) -> DataFrame:
+    """Nodes that follow the freshly dead: reference-only children without a live attribute, parents of must-have attributes
+    without a live child. Only attributes that touch a fresh node are looked at again.
+    """
+    ends = [edges.join(fresh, edges[end] == fresh["node"], "left_semi").select("attribute") for end in ("parent", "child")]
+    touched = cut(edges.join(ends[0].union(ends[1]).distinct(), "attribute", "left_semi"), "touched")
     gone = dead.select("node")
-    attributes = edges.join(gone, edges["parent"] == gone["node"], "left_anti").select("attribute").distinct()
-    return edges.join(attributes, "attribute", "left_semi").join(gone, edges["child"] == gone["node"], "left_anti")
-
-
-def _step(nodes: DataFrame, edges: DataFrame, dead: DataFrame, down: bool) -> DataFrame:
-    """Nodes that follow the dead: reference-only children without a live attribute, parents of must-have attributes without a live child."""
-    live = _live(edges, dead)
-    required = edges.where("must_have").join(live.select("attribute").distinct(), "attribute", "left_anti").select(F.col("parent").alias("node"))
+    held = touched.join(gone, touched["child"] == gone["node"], "left_anti").select("attribute").distinct()
+    required = touched.where("must_have").join(held, "attribute", "left_anti").select(F.col("parent").alias("node"))
     if not down:
         return required.distinct().join(dead, "node", "left_anti")
-    held = live.select(F.col("child").alias("node")).distinct()
-    only = edges.select(F.col("child").alias("node")).distinct().join(nodes.where("reference_only"), "node", "left_semi")
-    return only.join(held, "node", "left_anti").select("node").union(required).distinct().join(dead, "node", "left_anti")
+    over = touched.select("attribute").distinct().join(touched.join(gone, touched["parent"] == gone["node"], "left_anti").select("attribute").distinct(), "attribute", "left_anti")
+    below = touched.join(over, "attribute", "left_semi").select(F.col("child").alias("node")).distinct()
+    hanging = below.join(nodes.where("reference_only").select("node"), "node", "left_semi").join(dead, "node", "left_anti")
+    # whatever else holds them: all their attributes, and whether these have a valid parent
+    reach = edges.join(hanging, edges["child"] == hanging["node"], "left_semi").select("attribute", F.col("child").alias("node")).distinct()
+    around = edges.join(reach.select("attribute").distinct(), "attribute", "left_semi")
+    alive = around.join(gone, around["parent"] == gone["node"], "left_anti").select("attribute").distinct()
+    return hanging.join(reach.join(alive, "attribute", "left_semi").select("node"), "node", "left_anti").union(required).distinct().join(dead, "node", "left_anti")
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
@@ -39,12 +42,12 @@ def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
     invalid. Up: a must-have attribute without any child left makes all its parents invalid.
     """
     first = cut(nodes.where("NOT valid").select("node").distinct(), "invalid")
-    dead = first
+    dead = fresh = first
     for _ in range(MAX_ROUNDS):
-        following = cut(_step(nodes, edges, dead, down), "invalid")
-        if following.isEmpty():
+        fresh = cut(_step(nodes, edges, dead, fresh, down), "invalid")
+        if fresh.isEmpty():
             return dead.join(first, "node", "left_anti")
-        dead = dead.union(following)
+        dead = dead.union(fresh)
     raise RuntimeError(f"cascade did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.temporal import compare
@@ -29,31 +29,48 @@ def expand(wanted: DataFrame, edges: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Criterion:
-    """Records with one of the codes, and if given with a value that compares so."""
+    """Records with one of the codes, and if given with a value that compares so, or with one of the concepts as value."""
 
     codes: Sequence[tuple[str, str]] = field(default_factory=tuple)
     comparator: str | None = None
     value: float | None = None
+    concepts: Sequence[tuple[str, str]] = field(default_factory=tuple)
 
 
-def _meeting(records: DataFrame, c: Criterion) -> DataFrame:
-    out = records.where(F.struct("system", "code").isin([F.struct(F.lit(s).alias("system"), F.lit(k).alias("code")) for s, k in c.codes]))
+def with_descendants(codes: Sequence[tuple[str, str]], edges: DataFrame) -> list[tuple[str, str]]:
+    """The codes and all below them in their systems' trees; what is wanted is part of a request, and so is what comes back."""
+    if not codes:
+        return []
+    rows = expand(edges.sparkSession.createDataFrame([*codes], "system string, code string"), edges).select("system", "code").distinct()
+    return sorted((r["system"], r["code"]) for r in rows.collect())
+
+
+def _isin(system: Column, code: Column, wanted: Sequence[tuple[str, str]]) -> Column:
+    return F.struct(system.alias("system"), code.alias("code")).isin([F.struct(F.lit(s).alias("system"), F.lit(k).alias("code")) for s, k in wanted])
+
+
+def _meeting(records: DataFrame, c: Criterion, edges: DataFrame | None) -> DataFrame:
+    wide = (lambda codes: with_descendants(codes, edges)) if edges is not None else list
+    out = records.where(_isin(F.col("system"), F.col("code"), wide(c.codes)))
     if c.comparator:
         out = out.where(compare(c.comparator, F.col("value"), F.lit(c.value)))
+    if c.concepts:
+        out = out.where(_isin(F.col("value_system"), F.col("value_code"), c.concepts))
     return out.select("patient_id")
 
 
-def select_cohort(people: DataFrame, records: DataFrame, include: Sequence[Sequence[Criterion]], exclude: Sequence[Sequence[Criterion]] = ()) -> DataFrame:
+def select_cohort(people: DataFrame, records: DataFrame, include: Sequence[Sequence[Criterion]], exclude: Sequence[Sequence[Criterion]] = (), edges: DataFrame | None = None) -> DataFrame:
     """patient_id of those who meet one criterion of every inner list of include, and not so of exclude.
 
-    records has patient_id, system, code, value.
+    records has patient_id, system, code, value, and for concept filters value_system and value_code. With edges (system,
+    parent, child) a criterion's codes stand for all below them, too.
     """
 
     def meet(chosen: DataFrame, lists: Sequence[Sequence[Criterion]]) -> DataFrame:
         for any_of in lists:
             found = None
             for c in any_of:
-                rows = _meeting(records, c)
+                rows = _meeting(records, c, edges)
                 found = rows if found is None else found.union(rows)
             chosen = chosen.join(found, "patient_id", "left_semi")
         return chosen

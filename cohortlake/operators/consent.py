@@ -30,12 +30,10 @@ def shift_to_encounters(provisions: DataFrame, encounters: DataFrame, gate_codes
     Gate codes stay. Encounters without both ends are ignored. Denies move as well unless permits_only is set.
     """
     closed = encounters.where("start IS NOT NULL AND end IS NOT NULL").select("patient_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    rows = provisions.withColumn("__row", F.monotonically_increasing_id())
-    moving = rows.where(~F.col("code").isin(gate_codes))
-    if permits_only:
-        moving = moving.where("permit")
-    found = moving.join(closed, "patient_id").where("__s < start AND start <= __e").groupBy("__row").agg(F.min("__s").alias("__to"))
-    return rows.join(found, "__row", "left").withColumn("start", F.coalesce("__to", "start")).drop("__row", "__to")
+    moves = ~F.col("code").isin(gate_codes) & (F.col("permit") if permits_only else F.lit(True))
+    starts = provisions.where(moves).select("patient_id", "start").distinct()
+    found = starts.join(closed, "patient_id").where("__s < start AND start <= __e").groupBy("patient_id", "start").agg(F.min("__s").alias("__to"))
+    return provisions.join(found, ["patient_id", "start"], "left").withColumn("start", F.when(moves, F.coalesce("__to", "start")).otherwise(F.col("start"))).select(*provisions.columns)
 
 
 def complete_packages(provisions: DataFrame, codes: list[str]) -> DataFrame:
@@ -51,14 +49,15 @@ def retro_extended(provisions: DataFrame, retro: dict[str, str], lookback: datet
     retro maps a code to its retro code. Denies of the retro code in the same document are cut out. Adds `extended`.
     """
     rules = F.create_map(*(F.lit(x) for kv in retro.items() for x in kv))
-    named = provisions.withColumn("retro_code", rules[F.col("code")]).withColumn("__row", F.monotonically_increasing_id())
+    named = provisions.withColumn("retro_code", rules[F.col("code")])
     marks = provisions.where(F.col("code").isin(list(retro.values()))).select("consent_id", F.col("code").alias("retro_code"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("permit").alias("__p"))
     permits = named.where(F.col("permit") & F.col("code").isin(list(retro)))
-    hit = permits.join(marks.where("__p"), ["consent_id", "retro_code"]).where("start <= __e AND __s <= end").select("__row").distinct()
-    moved = permits.join(hit, "__row", "left_semi").withColumn("start", F.least("start", F.lit(lookback)))
     keys = ["consent_id", "retro_code"]
-    cut = intervals.subtract(moved.drop("__row"), marks.where("NOT __p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
-    kept = permits.join(hit, "__row", "left_anti").drop("__row")
+    same = [*keys, "start", "end"]
+    hit = permits.join(marks.where("__p"), keys).where("start <= __e AND __s <= end").select(*same).distinct()
+    moved = permits.join(hit, same, "left_semi").withColumn("start", F.least("start", F.lit(lookback)))
+    cut = intervals.subtract(moved, marks.where("NOT __p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
+    kept = permits.join(hit, same, "left_anti")
     columns = ["patient_id", "consent_id", "code", "start", "end", "permit"]
     return cut.select(*columns, F.lit(True).alias("extended")).unionByName(kept.select(*columns, F.lit(False).alias("extended")))
 
@@ -90,3 +89,76 @@ def consented(resources: DataFrame, windows_: DataFrame) -> DataFrame:
     """Resources (patient_id, period_start, period_end) whose whole period lies in a window of their patient."""
     spans = windows_.select(F.col("patient_id").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     return resources.join(spans, F.expr("patient_id = __p AND __s <= period_start AND period_end <= __e"), "left_semi")
+
+
+#: The date element that decides about a record's consent, by type; none means that consent is given with the
+#: patient's. Types that are not listed are never consented.
+DATE_FIELDS = {
+    "Condition": "recordedDate", "Consent": "dateTime", "Device": "", "DiagnosticReport": "effective", "DocumentReference": "date",
+    "Encounter": "period", "FamilyMemberHistory": "date", "List": "date", "Medication": "", "MedicationAdministration": "effective",
+    "MedicationRequest": "authoredOn", "MedicationStatement": "effective", "Observation": "effective", "Organization": "",
+    "Patient": "", "Procedure": "performed", "Provenance": "recorded", "Questionnaire": "", "QuestionnaireResponse": "",
+    "ResearchStudy": "", "RiskAssessment": "occurrence", "ServiceRequest": "authoredOn", "Specimen": "collection.collected",
+    "Substance": "", "Task": "authoredOn",
+}
+
+
+def consented_by_type(resources: DataFrame, windows_: DataFrame, fields: dict[str, str] = DATE_FIELDS) -> DataFrame:
+    """Patient-side resources with consent: of types with a date element those with a period in a window of their patient,
+    of types without one all of patients that have a window, of unlisted types none.
+
+    resources has period_start and period_end, or periods (array of start, end): then any of several is enough. A record
+    whose period is missing, open or coarser than a day has no consent.
+    """
+    dated, free = ([t for t, f in fields.items() if bool(f) == has] for has in (True, False))
+    listed = resources.where(F.col("resource_type").isin(dated))
+    spans = windows_.select(F.col("patient_id").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    if "periods" in resources.columns:
+        inside = F.expr("patient_id = __p AND exists(periods, x -> __s <= x.start AND x.end <= __e)")
+    else:
+        inside = F.expr("patient_id = __p AND __s <= period_start AND period_end <= __e")
+    open_ = resources.where(F.col("resource_type").isin(free)).join(windows_.select("patient_id").distinct(), "patient_id", "left_semi").select(*resources.columns)
+    return listed.join(spans, inside, "left_semi").unionByName(open_)
+
+
+def code_sets(rules: DataFrame, requested: DataFrame) -> DataFrame:
+    """code, role of the requested codes (code): gate and prospective codes, and retro ones of requested prospective codes.
+
+    rules (as sources.readers.consent_rules): code, gate, retro_codes, lookback. Requested codes without a rule are left out.
+    """
+    own = rules.join(requested.select("code").distinct(), "code", "left_semi")
+    roles = own.select("code", F.when(F.col("gate"), "gate").otherwise("non_gate").alias("role"))
+    retro = own.select(F.explode("retro_codes").alias("code")).distinct().join(requested.select("code").distinct(), "code", "left_semi")
+    return roles.union(retro.select("code", F.lit("retro").alias("role")))
+
+
+def job_windows(provisions: DataFrame, rules: DataFrame, asked: DataFrame, as_of: datetime.date, encounters: DataFrame | None = None) -> DataFrame:
+    """patient_id, start, end of a request: gates are tested on the day, all other requested codes give the windows.
+
+    Nobody is left if no requested code other than gates has a rule. Starts move to encounters first, where these are given.
+    """
+    sets: dict[str, list[str]] = {"gate": [], "non_gate": [], "retro": []}
+    for r in code_sets(rules, asked).collect():  # a row a requested code
+        sets[r["role"]].append(r["code"])
+    empty = provisions.limit(0).select("patient_id", "start", "end")
+    if not sets["non_gate"]:
+        return empty
+    if encounters is not None:
+        provisions = shift_to_encounters(provisions, encounters, sets["gate"])
+    named = {r["code"]: r for r in rules.collect()}  # a row a rule
+    retro = {c: own[0] for c in sets["non_gate"] if (own := [k for k in named[c]["retro_codes"] or [] if k in sets["retro"]])}
+    back = [named[c]["lookback"] for c in retro if named[c]["lookback"]]
+    out = windows(requested(provisions, [*sets["gate"], *sets["non_gate"], *sets["retro"]]), sets["non_gate"], retro or None, min(back) if back else datetime.date(1900, 1, 1))
+    return out.join(gate_open(provisions, sets["gate"], as_of), "patient_id", "left_semi") if sets["gate"] else out
+
+
+def minimised(resources: DataFrame) -> DataFrame:
+    """Consents and encounters for an audit: patient_id, resource_type, id, body with identifying and consent fields only."""
+    text = lambda p: F.get_json_object("body", p)
+    part = lambda p, kind: F.from_json(text(p), kind)
+    variant = lambda p: F.try_parse_json(text(p))
+    common = [F.col("resource_type").alias("resourceType"), F.col("id"), F.struct(part("$.meta.profile", "array<string>").alias("profile")).alias("meta")]
+    consent = F.struct(*common, text("$.status").alias("status"), variant("$.patient").alias("patient"), text("$.dateTime").alias("dateTime"), variant("$.provision").alias("provision"))
+    visit = F.struct(*common, variant("$.subject").alias("subject"), variant("$.period").alias("period"))
+    body = F.when(F.col("resource_type") == "Consent", F.to_json(consent)).otherwise(F.to_json(visit))
+    return resources.where("resource_type IN ('Consent', 'Encounter')").select("patient_id", "resource_type", "id", body.alias("body"))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.plans.lineage import cut
+
+#: Why a resource was left out, and at which stage a person was.
+RESOURCE_REASONS = ("MUST_HAVE", "CONSENT", "REFERENCE_NOT_FOUND", "RESOURCE_OUTSIDE_BATCH", "CASCADING_DELETE")
+PATIENT_STAGES = ("CONSENT_FETCH", "DIRECT_LOAD", "CASCADING_DELETE")
+
 
 def extraction_info(groups: DataFrame, attributes: DataFrame) -> DataFrame:
     """For each resource (type, id) its valid groups, and a map from attribute to the ids of its valid children."""
@@ -32,7 +38,7 @@ def exclusion_summary(events: DataFrame, reasons: Sequence[str]) -> DataFrame:
 
 
 def exclusions_by_attribute(events: DataFrame) -> DataFrame:
-    return events.where("reason = 'must_have'").groupBy("group_id", "attribute_ref").agg(F.count(F.lit(1)).alias("n"))
+    return events.where("lower(reason) = 'must_have'").groupBy("group_id", "attribute_ref").agg(F.count(F.lit(1)).alias("n"))
 
 
 def patient_exclusions(events: DataFrame, stages: Sequence[str]) -> DataFrame:
@@ -49,7 +55,50 @@ def reconcile(cohort: DataFrame, final: DataFrame, excluded: DataFrame) -> DataF
 
 
 def duration_stats(df: DataFrame, group: str, value: Column) -> DataFrame:
-    """Upper median (the element at n div 2 of the sorted values) and integer mean, over run metrics of a group."""
-    sorted_ = F.array_sort(F.collect_list(value))
-    out = df.groupBy(group).agg(sorted_.alias("__v"), F.sum(value).alias("__s"), F.count(value).alias("n"))
-    return out.select(group, F.element_at("__v", F.expr("cast(n div 2 as int) + 1")).alias("median"), F.expr("__s div n").alias("mean"), "n")
+    """Upper median (the element at n div 2 of the sorted values) and integer mean, over run metrics of a group.
+
+    Values are counted, and the counts sorted by range: sums of each task's rows tell in which of them the median lies, and
+    only that one is looked through. No task needs a whole group.
+    """
+    counts = df.select(group, value.alias("__v")).where("__v IS NOT NULL").groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    placed = cut(counts.repartitionByRange(group, "__v").withColumn("__part", F.spark_partition_id()), "sorted-values")
+    parts = placed.groupBy(group, "__part").agg(F.sum("__n").alias("__m"), F.sum(F.col("__n") * F.col("__v")).alias("__s"))
+    before = F.coalesce(F.sum("__m").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy(group)  # a row a task
+    seen = parts.select(group, "__part", "__m", before.alias("__b"), F.sum("__m").over(whole).alias("n"), F.sum("__s").over(whole).alias("__s"))
+    here = seen.where("__b <= n div 2 AND n div 2 < __b + __m")
+    running = F.col("__b") + F.sum("__n").over(Window.partitionBy(group, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    found = placed.join(F.broadcast(here), [group, "__part"]).withColumn("__r", running).where("__r > n div 2")
+    return found.groupBy(group).agg(F.min("__v").alias("median"), F.first(F.expr("__s div n")).alias("mean"), F.first("n").alias("n"))
+
+
+def united_info(infos: DataFrame) -> DataFrame:
+    """One row a resource (type, id) from several extraction infos of it: groups and, for each attribute, children united."""
+    groups = infos.select("type", "id", F.explode("groups").alias("g")).groupBy("type", "id").agg(F.array_sort(F.collect_set("g")).alias("groups"))
+    pairs = infos.select("type", "id", F.explode("refs").alias("attribute_ref", "c")).select("type", "id", "attribute_ref", F.explode("c").alias("child"))
+    refs = pairs.groupBy("type", "id", "attribute_ref").agg(F.array_sort(F.collect_set("child")).alias("children"))
+    return groups.join(refs.groupBy("type", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute_ref", "children")))).alias("refs")), ["type", "id"], "left")
+
+
+def batch_labels(people: DataFrame, size: int) -> DataFrame:
+    """people with `batch`: numbers from 0, `size` people each but for the last, in order of patient_id.
+
+    Numbers come from counts for each range of ids, so people are never gathered in one task.
+    """
+    placed = cut(people.select("patient_id").distinct().repartitionByRange("patient_id").withColumn("__part", F.spark_partition_id()), "people")
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("patient_id")) - 1
+    return placed.withColumn("__at", at).join(F.broadcast(counts.select("__part", before.alias("__b"))), "__part").select("patient_id", F.expr(f"CAST((__b + __at) div {size} AS INT)").alias("batch"))
+
+
+def job_summary(cohort: DataFrame, final: DataFrame, patient_events: DataFrame, resource_events: DataFrame, inclusions: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """One row (and one JSON object when written): sizes, people excluded by stage, resources excluded and included by group."""
+    as_map = lambda df, key, value: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)), lambda a, b: F.when(a[key] < b[key], -1).otherwise(1))).alias("m"))
+    sizes = reconcile(cohort, final, patient_events).select(F.col("cohort").alias("Num-Cohort-Patients"), F.col("final").alias("Num-Final-Patients"))
+    people = as_map(patient_exclusions(patient_events, stages), "stage", "patients").withColumnRenamed("m", "Patient-Exclusions")
+    must = resource_events.where("reason = 'MUST_HAVE'").groupBy("group_id", "attribute_ref").agg(F.count(F.lit(1)).alias("n")).groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute_ref", "n")))).alias("mustHave"))
+    other = resource_events.groupBy("group_id").agg(*(F.count_if(F.col("reason") == r).alias(r) for r in RESOURCE_REASONS[1:]))
+    groups = as_map(other.join(must, "group_id", "left").select("group_id", F.struct("mustHave", *RESOURCE_REASONS[1:]).alias("s")), "group_id", "s").withColumnRenamed("m", "Resource-Exclusions")
+    taken = as_map(inclusions.select("group_id", "resources"), "group_id", "resources").withColumnRenamed("m", "Resource-Inclusions")
+    return sizes.crossJoin(people).crossJoin(groups).crossJoin(taken)  # a row each; keys are groups and stages

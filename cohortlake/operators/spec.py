@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Attributes that every group gets by itself.
-STANDARD = ("id", "meta.profile", "subject", "patient")
 #: Fixed value: the patient-side types of the FHIR R4 patient compartment; sources.readers.compartment reads others.
 PATIENT_TYPES = tuple(
     """
@@ -30,7 +28,7 @@ def _rows(df: DataFrame, rule: str, group: str | None = "group_id", attribute: s
     return df.select("spec_id", text(group).alias("group_id"), text(attribute).alias("attribute_ref"), F.lit(rule).alias("rule"))
 
 
-def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, elements: DataFrame, domain_types: Sequence[str]) -> DataFrame:
+def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, elements: DataFrame, domain_types: Sequence[str], patient_types: Sequence[str] = PATIENT_TYPES) -> DataFrame:
     """spec_id, group_id, attribute_ref, rule.
 
     groups: spec_id, group_id, profile_url, type. attributes: spec_id, group_id, attribute_ref, must_have, linked_groups.
@@ -40,12 +38,12 @@ def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, ele
     with_profile = attributes.join(groups.select("spec_id", "group_id", "profile_url"), ["spec_id", "group_id"])
     typed = elements.where(F.size("types") > 0).select("profile_url", F.col("element_id").alias("attribute_ref"), "types")
     linked = attributes.select("spec_id", "group_id", "attribute_ref", F.explode("linked_groups").alias("linked"))
-    short = F.regexp_replace("attribute_ref", r"^[^.]+\.", "")
+    standard = standard_attributes(groups, elements, patient_types).select("spec_id", "group_id", "attribute_ref").distinct()
     found = [
         _rows(groups.join(known, "profile_url", "left_anti"), "unknown_profile"),
         _rows(groups.groupBy("spec_id").agg(F.count_if(F.col("type") == "Patient").alias("n")).where("n <> 1"), "one_patient_group", None),
         _rows(attributes.groupBy("spec_id", "group_id", "attribute_ref").count().where("count > 1"), "duplicate_attribute", attribute="attribute_ref"),
-        _rows(attributes.where(F.col("must_have") & short.isin(list(STANDARD))), "standard_must_have", attribute="attribute_ref"),
+        _rows(attributes.where("must_have").join(standard, ["spec_id", "group_id", "attribute_ref"], "left_semi"), "standard_must_have", attribute="attribute_ref"),
         _rows(with_profile.join(known, "profile_url", "left_semi").join(typed, ["profile_url", "attribute_ref"], "left_anti"), "unknown_attribute", attribute="attribute_ref"),
         _rows(with_profile.join(typed, ["profile_url", "attribute_ref"]).where((F.size("types") == 1) & F.array_contains("types", "Reference") & (F.coalesce(F.size("linked_groups"), F.lit(0)) <= 0)), "reference_without_link", attribute="attribute_ref"),
         _rows(linked.join(groups.select("spec_id", F.col("group_id").alias("linked")), ["spec_id", "linked"], "left_anti"), "undefined_link", attribute="attribute_ref"),
@@ -58,17 +56,65 @@ def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, ele
     return out
 
 
-def with_standard_attributes(attributes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds id, meta.profile and, for patient-side types, the link to the spec's patient group."""
+def standard_attributes(groups: DataFrame, elements: DataFrame, patient_types: Sequence[str] = PATIENT_TYPES) -> DataFrame:
+    """spec_id, group_id, attribute_ref, linked of what every group gets by itself: id, meta.profile, and for patient-side types
+    those of `patient` and `subject` that the group's profile has, linked to the spec's patient group.
+    """
     patient = groups.where("type = 'Patient'").select("spec_id", F.col("group_id").alias("patient_group"))
-    base = groups.join(patient, "spec_id", "left")
-    names = F.array(F.lit("id"), F.lit("meta.profile"), F.when(F.col("type") == "Consent", F.lit("patient")).when(F.col("type") != "Patient", F.lit("subject")))
-    rows = base.select("spec_id", "group_id", "type", "patient_group", F.explode(F.array_compact(names)).alias("name"))
-    links = F.when(F.col("name").isin("subject", "patient"), F.array("patient_group")).otherwise(F.array().cast("array<string>"))
-    added = rows.select("spec_id", "group_id", F.concat_ws(".", "type", "name").alias("attribute_ref"), F.lit(False).alias("must_have"), links.alias("linked_groups"))
+    base = groups.join(patient, "spec_id", "left").select("spec_id", "group_id", "profile_url", "type", "patient_group")
+    always = base.select("spec_id", "group_id", F.explode(F.array(F.concat("type", F.lit(".id")), F.concat("type", F.lit(".meta.profile")))).alias("attribute_ref"), F.lit(None).cast("string").alias("linked"))
+    fields = base.where(F.col("type").isin(list(patient_types))).select("spec_id", "group_id", "profile_url", F.col("patient_group").alias("linked"), F.explode(F.array(F.concat("type", F.lit(".patient")), F.concat("type", F.lit(".subject")))).alias("attribute_ref"))
+    known = elements.select("profile_url", F.col("element_id").alias("attribute_ref")).distinct()
+    return always.unionByName(fields.join(known, ["profile_url", "attribute_ref"], "left_semi").select("spec_id", "group_id", "attribute_ref", "linked"))
+
+
+def with_standard_attributes(attributes: DataFrame, groups: DataFrame, elements: DataFrame, patient_types: Sequence[str] = PATIENT_TYPES) -> DataFrame:
+    """attributes with the standard ones that are not among them; groups has spec_id, group_id, profile_url, type."""
+    added = standard_attributes(groups, elements, patient_types)
+    links = F.when(F.col("linked").isNotNull(), F.array("linked")).otherwise(F.array().cast("array<string>"))
+    added = added.select("spec_id", "group_id", "attribute_ref", F.lit(False).alias("must_have"), links.alias("linked_groups"))
     return attributes.unionByName(added.join(attributes, ["spec_id", "group_id", "attribute_ref"], "left_anti"))
 
 
+def slice_ids(attribute_ref: Column) -> Column:
+    """The ids of the slices that an attribute lies below: `A.b:s.c:t.d` gives `A.b:s` and `A.b:s.c:t`."""
+    steps = F.split(attribute_ref, r"\.")
+    upto = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda n: F.struct(F.array_join(F.slice(steps, 1, n), ".").alias("id"), F.element_at(steps, n).alias("step")))
+    return F.transform(F.filter(upto, lambda x: x["step"].contains(":") & (x["id"] != attribute_ref)), lambda x: x["id"])
+
+
+def discriminator_attributes(attributes: DataFrame, groups: DataFrame, elements: DataFrame) -> DataFrame:
+    """spec_id, group_id, attribute_ref of the discriminator fields of slices that attributes lie below, without those that
+    are there: else a copy would leave out what tells which slice a value belongs to.
+
+    elements has profile_url, element_id, discriminators and pattern (JSON text). A discriminator `$this` stands for
+    the fields of the slice's own pattern.
+    """
+    base = attributes.join(groups.select("spec_id", "group_id", "profile_url"), ["spec_id", "group_id"]).select("spec_id", "group_id", "profile_url", F.explode(slice_ids(F.col("attribute_ref"))).alias("slice_id")).distinct()
+    parents = elements.where("discriminators IS NOT NULL").select("profile_url", F.col("element_id").alias("parent_id"), F.explode("discriminators.path").alias("path"))
+    parent_id = F.expr("substring_index(slice_id, ':', size(split(slice_id, ':')) - 1)")
+    under = base.withColumn("parent_id", parent_id).join(F.broadcast(parents), ["profile_url", "parent_id"])
+    own = elements.where("pattern IS NOT NULL").select("profile_url", F.col("element_id").alias("slice_id"), F.json_object_keys("pattern").alias("fields"))
+    wide = under.join(F.broadcast(own), ["profile_url", "slice_id"], "left")
+    names = F.when(F.col("path") == "$this", F.coalesce("fields", F.array().cast("array<string>"))).otherwise(F.array("path"))
+    found = wide.withColumn("name", F.explode(names)).select("spec_id", "group_id", F.concat_ws(".", "slice_id", "name").alias("attribute_ref")).distinct()
+    return found.join(attributes, ["spec_id", "group_id", "attribute_ref"], "left_anti")
+
+
+def requested_consent_codes(criteria: DataFrame, context: str) -> DataFrame:
+    """spec_id, system, code of the term codes of all inclusion criteria in the consent context, whatever their nesting.
+
+    criteria: spec_id, kind (inclusion, exclusion), context_code, term_codes (array of system, code).
+    """
+    rows = criteria.where((F.col("kind") == "inclusion") & (F.col("context_code") == context)).select("spec_id", F.explode("term_codes").alias("t"))
+    return rows.select("spec_id", "t.system", "t.code").where("system IS NOT NULL AND code IS NOT NULL").distinct()
+
+
+def consent_in_exclusion(criteria: DataFrame, context: str) -> DataFrame:
+    """Specs whose exclusion criteria name the consent context, as violations."""
+    return _rows(criteria.where((F.col("kind") == "exclusion") & (F.col("context_code") == context)).select("spec_id").distinct(), "consent_in_exclusion", None)
+
+
 def consent_codes_together(requested: DataFrame, rules: DataFrame) -> DataFrame:
     """spec_id, code, missing: codes that a requested code needs beside it; rules has code and required (array)."""
     need = requested.join(rules, "code").select("spec_id", "code", F.explode("required").alias("missing"))

@@ -1,25 +1,32 @@
 """A whole extraction as one plan: consent, load, references, cascade, survival, bundles and reports.
 
 The people of a cohort are one set, not batches: every step is keyed by patient_id, core resources have none and are
-fetched once whoever refers to them. Bodies are joined last; until then only keys move.
+fetched once whoever refers to them. Bodies are joined last; until then only keys move. What leaves is cut down to the
+attributes of a record's groups and redacted by their profiles.
 """
 
 from __future__ import annotations
 
 import datetime
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlake.operators import cascade, consent, load, report, resolve, spec
+from cohortlake.operators import cascade, consent, load, redact, report, resolve, spec
 from cohortlake.plans.lineage import cut
 
 
 @dataclass(frozen=True)
 class Group:
-    """What is asked of one kind of resource."""
+    """What is asked of one kind of resource.
+
+    must_have pairs attributes with the condition that they have a value. required_refs are attributes that need at least one
+    reference of their own; whether its target is there is for `references` (must_have) to say. attributes are the element
+    ids to copy; id, meta.profile and the link to the patient are copied anyway.
+    """
 
     group_id: str
     resource_type: str
@@ -29,27 +36,40 @@ class Group:
     high: datetime.date | None = None
     must_have: Sequence[tuple[str, Column]] = field(default_factory=tuple)
     reference_only: bool = False
+    required_refs: Sequence[str] = ()
+    attributes: Sequence[str] = ()
 
 
 @dataclass(frozen=True)
 class Extraction:
-    """The frames that come out of an extraction."""
+    """The frames that come out of an extraction.
+
+    groups has KEYS; links the surviving references (KEYS of the source, attribute_ref, child); resources the records with
+    redacted bodies, or keys only where no shapes were given; rejected those that do not claim the profiles of their groups.
+    """
 
     people: DataFrame
     groups: DataFrame
     resources: DataFrame
     resource_exclusions: DataFrame
     patient_exclusions: DataFrame
+    links: DataFrame
+    rejected: DataFrame
 
 
 KEYS = ["patient_id", "type", "id", "group_id"]
+EVENT = ["reason", "group_id", "attribute_ref", "resource_id", "patient_id"]
 
 
 def _loaded(resources: DataFrame, group: Group) -> DataFrame:
-    """KEYS, valid and the first violated attribute of all resources of a group."""
+    """KEYS, valid, the first violated attribute, consented and reference_only of all resources of a group."""
     found = load.group_filter(resources, group.resource_type, group.profile, group.codes, group.low, group.high)
     state, first = load.must_have(F.lit(True), group.must_have)
-    return found.select("patient_id", F.col("resource_type").alias("type"), "id", F.lit(group.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"))
+    return found.select("patient_id", F.col("resource_type").alias("type"), "id", F.lit(group.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"), F.lit(group.reference_only).alias("reference_only"))
+
+
+def _events(rows: DataFrame, reason: str, resource_id: Column) -> DataFrame:
+    return rows.select(F.lit(reason).alias("reason"), "group_id", F.col("attribute_ref").cast("string").alias("attribute_ref"), resource_id.alias("resource_id"), "patient_id")
 
 
 def _required(cohort: DataFrame, groups: Sequence[Group], patient_types: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -61,62 +81,159 @@ def _required(cohort: DataFrame, groups: Sequence[Group], patient_types: Sequenc
     return patient, core
 
 
-def extract(cohort: DataFrame, resources: DataFrame, references: DataFrame, groups: Sequence[Group], windows: DataFrame | None = None, patient_types: Sequence[str] = spec.PATIENT_TYPES) -> Extraction:
+def extract(
+    cohort: DataFrame, resources: DataFrame, references: DataFrame, groups: Sequence[Group], windows: DataFrame | None = None, patient_types: Sequence[str] = spec.PATIENT_TYPES,
+    shapes: Mapping[str, T.StructType] | None = None, profiles: Mapping[str, redact.Profile] | None = None, date_fields: Mapping[str, str] = consent.DATE_FIELDS,
+) -> Extraction:
     """Runs all steps; references is as in operators.resolve, windows as from operators.consent.
 
-    Everyone needs a fulfilled resource in each required group of a patient-side type. A required core group that no core
-    resource fulfils, at load or after the cascade, fails the extraction (ValueError).
+    With windows, records need consent by their type (consent.consented_by_type). Everyone needs a fulfilled resource in each
+    required group of a patient-side type. A required core group that no core resource fulfils, at load or after the
+    cascade, fails the extraction (ValueError). shapes are the struct types of bodies by resource type; with them bodies are
+    copied and redacted, and every group needs its profile among `profiles` (by url).
+
+    Reasons of exclusion: MUST_HAVE (an attribute has no value, or no usable target), CONSENT, REFERENCE_NOT_FOUND (no target
+    under the linked group's filters), RESOURCE_OUTSIDE_BATCH (it is another patient's, or a core record refers to a
+    patient's) and CASCADING_DELETE.
     """
     people = cohort.select("patient_id").distinct()
     lost = people.limit(0).select("patient_id", F.lit("").alias("stage"))
     if windows is not None:
-        core = resources.where("patient_id IS NULL")
-        undated = resources.where("patient_id IS NOT NULL AND resource_type = 'Patient'")
-        resources = consent.consented(resources.where("patient_id IS NOT NULL AND resource_type <> 'Patient'"), windows).unionByName(undated).unionByName(core)
         kept = people.join(windows.select("patient_id").distinct(), "patient_id", "left_semi")
         lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CONSENT_FETCH")))
         people = kept
     loaded = None
     for g in groups:
-        rows = _loaded(resources, g).withColumn("reference_only", F.lit(g.reference_only))
+        rows = _loaded(resources, g)
         loaded = rows if loaded is None else loaded.unionByName(rows)
-    loaded = cut(loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL")), "loaded")
+    loaded = loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL"))
+    identity = F.concat_ws("/", "type", "id")
+    excluded = []
+    if windows is not None:
+        side = resources.where("patient_id IS NOT NULL")
+        allowed = consent.consented_by_type(side, windows, dict(date_fields)).select("patient_id", F.col("resource_type").alias("type"), "id").distinct().withColumn("__ok", F.lit(True))
+        marked = cut(loaded.join(allowed, ["patient_id", "type", "id"], "left"), "consented")
+        excluded.append(_events(marked.where("patient_id IS NOT NULL AND __ok IS NULL AND NOT reference_only").withColumn("attribute_ref", F.lit(None)), "CONSENT", identity))
+        loaded = marked.where("patient_id IS NULL OR __ok").drop("__ok")
+        unconsented = marked.where("patient_id IS NOT NULL AND __ok IS NULL")
+    else:
+        unconsented = None
+    loaded = cut(loaded, "loaded")
     required, required_core = _required(cohort, groups, patient_types)
     if required_core:
         load.require_core(loaded.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = load.survivors(people, loaded.withColumn("fulfilled", F.col("valid")), required)
-    lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("MUST_HAVE")))
+    lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("DIRECT_LOAD")))
     people = cut(kept, "survivors")
+    excluded.append(_events(loaded.where("NOT valid AND NOT reference_only"), "MUST_HAVE", identity))
 
     own = loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL"))
     seeds = own.where("valid AND NOT reference_only")
     reached = resolve.closure(seeds, references, own.select("type", "id", "patient_id", "group_id", "valid"))
     node = F.concat_ws("|", F.coalesce(F.col("patient_id").cast("string"), F.lit("")), "type", "id", "group_id")
     same = [reached[c].eqNullSafe(own[c]) for c in KEYS]
-    members = own.join(reached, same, "left_semi").withColumn("node", node)
+    members = cut(own.join(reached, same, "left_semi").withColumn("node", node), "members")
     ends = references.select("patient_id", "src_type", "src_id", "group_id", "attribute_ref", "must_have", "linked_group", "dst_type", "dst_id")
     parents = members.select("node", F.col("patient_id").alias("__p"), F.col("type").alias("src_type"), F.col("id").alias("src_id"), "group_id")
-    children = members.select(F.col("node").alias("child"), F.col("patient_id").alias("__c"), F.col("type").alias("dst_type"), F.col("id").alias("dst_id"), F.col("group_id").alias("linked_group"))
-    linked = parents.join(ends, ["src_type", "src_id", "group_id"]).where("__p <=> patient_id").join(children, ["dst_type", "dst_id", "linked_group"], "left").where("__c IS NULL OR __c <=> patient_id")
+    asked = cut(parents.join(ends, ["src_type", "src_id", "group_id"]).where("__p <=> patient_id").drop("__p"), "asked")
+    children = members.select(F.col("node").alias("child"), F.col("patient_id").alias("__c"), F.col("type").alias("__t"), F.col("id").alias("__i"), F.col("group_id").alias("__g"))
+    # the owner belongs to the join: a reference that only reaches another patient's record stays, without a child
+    linked = asked.join(children, F.expr("dst_type = __t AND dst_id = __i AND linked_group = __g AND (__c IS NULL OR __c <=> patient_id)"), "left")
     attribute = F.concat_ws("|", F.coalesce(F.col("patient_id").cast("string"), F.lit("")), "src_type", "src_id", "attribute_ref")
-    edges = cut(linked.select(F.col("node").alias("parent"), attribute.alias("attribute"), F.coalesce("child", F.lit("")).alias("child"), "must_have"), "graph-edges")
+    edges = cut(linked.select(F.col("node").alias("parent"), attribute.alias("attribute"), F.coalesce("child", F.lit("")).alias("child"), "must_have", "attribute_ref", "dst_type", "dst_id"), "graph-edges")
+
+    # what is missing at the end of a reference, and why
+    target = F.concat_ws("/", "dst_type", "dst_id")
+    under = own.select(F.col("type").alias("__t"), F.col("id").alias("__i"), F.col("group_id").alias("__g"), F.col("patient_id").alias("__o"), F.col("valid").alias("__v"), F.col("attribute_ref").alias("__a"))
+    at_target = F.expr("dst_type = __t AND dst_id = __i AND linked_group = __g")
+    met = asked.join(under, at_target, "left").select("patient_id", F.col("linked_group").alias("group_id"), "attribute_ref", "dst_type", "dst_id", "__t", "__o", "__v", "__a")
+    foreign = F.expr("__o IS NOT NULL AND NOT (__o <=> patient_id)")
+    met = cut(met.distinct(), "targets")
+    gap = met.where("__t IS NULL").select("patient_id", "group_id", "attribute_ref", "dst_type", "dst_id")
+    if unconsented is not None:
+        held = unconsented.select(F.col("patient_id").alias("__o"), F.col("type").alias("__t"), F.col("id").alias("__i"), F.col("group_id").alias("__g"))
+        without = gap.join(held, F.expr("dst_type = __t AND dst_id = __i AND group_id = __g"), "left_semi")
+        excluded.append(_events(without, "CONSENT", target))
+        gap = gap.join(held, F.expr("dst_type = __t AND dst_id = __i AND group_id = __g"), "left_anti")
+    excluded.append(_events(gap, "REFERENCE_NOT_FOUND", target))
+    excluded.append(_events(met.where(foreign), "RESOURCE_OUTSIDE_BATCH", target))
+    excluded.append(_events(met.where(~F.coalesce(foreign, F.lit(False)) & ~F.col("__v")).withColumn("attribute_ref", F.col("__a")), "MUST_HAVE", target).distinct())
+
+    # attributes that need a reference and have none, or none with a usable target
+    needs = [(g.group_id, a) for g in groups for a in g.required_refs]
+    wanted = people.sparkSession.createDataFrame(needs, "group_id string, attribute_ref string")
+    some = asked.select("node", "attribute_ref").distinct()
+    bare = members.drop("attribute_ref").join(F.broadcast(wanted), "group_id").join(some, ["node", "attribute_ref"], "left_anti").select("node", "attribute_ref")
+    live = edges.where("child <> ''").select("attribute").distinct()
+    unmet = edges.where("must_have").join(live, "attribute", "left_anti").select(F.col("parent").alias("node"), "attribute_ref")
+    broken = cut(bare.union(unmet).distinct(), "unmet")
+    violated = broken.groupBy("node").agg(F.min("attribute_ref").alias("attribute_ref"))
+    excluded.append(_events(members.drop("attribute_ref").join(violated, "node"), "MUST_HAVE", identity))
     nothing = members.sparkSession.createDataFrame([("", True, False)], "node string, reference_only boolean, valid boolean")  # stands for targets that are not there
-    nodes = cut(members.select("node", "reference_only", "valid").unionByName(nothing), "graph-nodes")
-    gone = cut(cascade.cascade(nodes, edges), "cascaded")
+    start = members.join(violated.select("node", F.lit(True).alias("__v")), "node", "left").select("node", "reference_only", (F.col("valid") & F.col("__v").isNull()).alias("valid"))
+    nodes = cut(start.unionByName(nothing), "graph-nodes")
+    graph = edges.select("parent", "attribute", "child", "must_have")
+    gone = cut(cascade.cascade(nodes, graph), "cascaded")
     nodes = nodes.join(gone.withColumn("__gone", F.lit(True)), "node", "left").select("node", "reference_only", (F.col("valid") & F.col("__gone").isNull()).alias("valid"))
-    afloat = cascade.unfounded(nodes, edges)
-    valid = members.where("valid").join(gone.union(afloat), "node", "left_anti").drop("node")
+    # nothing founded refers to what is afloat, so removing that violates nobody
+    afloat = cascade.unfounded(nodes, graph)
+    fallen = gone.union(afloat)
+    excluded.append(_events(members.join(fallen, "node", "left_semi").withColumn("attribute_ref", F.lit(None)), "CASCADING_DELETE", identity))
+    valid = members.where("valid").join(violated.select("node").union(fallen), "node", "left_anti")
 
     if required_core:
         load.require_core(valid.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = cascade.group_survivors(people, valid, required)
     lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CASCADING_DELETE")))
-    final = cut(valid.join(kept, "patient_id", "left_semi").unionByName(valid.where("patient_id IS NULL")).select(*KEYS), "extracted")
-    bodies = resources.join(final.select(F.col("type").alias("resource_type"), "id").distinct(), ["resource_type", "id"], "left_semi")
-    excluded = loaded.where("NOT valid").select("group_id", F.lit("must_have").alias("reason"), "attribute_ref", F.concat_ws("/", "type", "id").alias("resource_id"), "patient_id")
-    return Extraction(kept, final, bodies, excluded, lost)
+    final = cut(valid.join(kept, "patient_id", "left_semi").unionByName(valid.where("patient_id IS NULL")).select(*KEYS, "node"), "extracted")
+    ok = final.select(F.col("node").alias("child"))
+    links = final.withColumnRenamed("node", "parent").join(edges, "parent").join(ok, "child", "left_semi").select(*KEYS, "attribute_ref", target.alias("child")).distinct()
+    events = excluded[0]
+    for e in excluded[1:]:
+        events = events.unionByName(e)
+    out, rejected = _bodies(resources, final, links, groups, shapes, profiles or {}, patient_types)
+    return Extraction(kept, final.select(*KEYS), out, events, lost, links, rejected)
+
+
+def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Sequence[Group], shapes: Mapping[str, T.StructType] | None, profiles: Mapping[str, redact.Profile], patient_types: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Records cut down and redacted, and those rejected; keys only where no shapes are given."""
+    keys = final.groupBy("patient_id", "type", "id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
+    bare = keys.select("patient_id", F.col("type").alias("resource_type"), "id")
+    if shapes is None:
+        return bare, bare.limit(0)
+    children = links.groupBy("patient_id", "type", "id", "attribute_ref").agg(F.array_sort(F.collect_set("child")).alias("c"))
+    refs = children.groupBy("patient_id", "type", "id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_ref", "c"))).alias("refs"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("patient_id", "type", "id")]
+    keyed = keys.alias("k").join(refs.alias("r"), same, "left").select("k.*", "r.refs")
+    out = None
+    for kind in dict.fromkeys(g.resource_type for g in groups):
+        own = [g for g in groups if g.resource_type == kind]
+        unknown = sorted({str(g.profile) for g in own if g.profile not in profiles})
+        if kind not in shapes or unknown:
+            raise ValueError(f"{kind} needs a shape and known profiles ({', '.join(unknown)})")
+        side = [f"{kind}.{n}" for n in ("patient", "subject")] if kind in patient_types and kind != "Patient" else []
+        always = [f"{kind}.id", f"{kind}.meta.profile", f"{kind}.resourceType"]
+        taken = [redact.Selection(g.group_id, profiles[g.profile], tuple(dict.fromkeys([*always, *(a for a in side if a in profiles[g.profile].by_id), *g.attributes]))) for g in own]
+        mine = keyed.where(F.col("type") == kind)
+        self_ref = F.array(F.concat(F.lit("Patient/"), F.col("patient_id").cast("string")))
+        if side:
+            extra = F.create_map(*(x for a in side for x in (F.lit(a), self_ref)))
+            have = F.coalesce("refs", F.create_map().cast("map<string,array<string>>"))
+            mine = mine.withColumn("refs", F.map_concat(F.map_filter(have, lambda k, _: ~k.isin(side)), extra))
+        body = resources.where(F.col("resource_type") == kind).select(F.col("patient_id").alias("__p"), "id", F.from_json("body", shapes[kind]).alias("body"))
+        records = mine.join(body, "id").where("__p <=> patient_id").drop("__p")
+        done = redact.copy_and_redact(records, kind, shapes[kind], taken).select("patient_id", F.col("type").alias("resource_type"), "id", "body", "complete")
+        out = done if out is None else out.unionByName(done)
+    out = cut(out, "redacted")
+    return out.where("complete").drop("complete"), out.where("NOT complete").select("patient_id", "resource_type", "id")
 
 
 def summary(out: Extraction, cohort: DataFrame) -> DataFrame:
     """Sizes of an extraction, and whether cohort = final + excluded."""
     return report.reconcile(cohort, out.people, out.patient_exclusions)
+
+
+def job_summary(out: Extraction, cohort: DataFrame) -> DataFrame:
+    """The one-row report of an extraction."""
+    taken = report.inclusion_counts(out.groups)
+    return report.job_summary(cohort, out.people, out.patient_exclusions, out.resource_exclusions, taken, report.PATIENT_STAGES)

@@ -5,16 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below the one that driver and executors share (spark.checkpoint.dir).
+
+    Where the session names none, a local session gets a temporary folder; on a cluster that would be one that nobody else
+    reads, so there it is an error.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = spark.conf.get("cohortlake.shared.dir", None) or tempfile.mkdtemp(prefix="cohortlake-")
+        spark.conf.set("cohortlake.shared.dir", found)
+    return f"{found.rstrip('/')}/cohortlake-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back, so a round's plan does not hold all rounds before it."""
+    """Writes df to the shared folder and reads it back, so a round's plan does not hold all rounds before it."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cohortlake.shared.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("cohortlake.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; frames that read it end with that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

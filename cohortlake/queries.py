@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.references import parse_reference
-from cohortlake.operators import cascade, codes, consent, intervals, load, project, report, resolve, spec
+from cohortlake.operators import cascade, codes, consent, intervals, load, project, redact, report, resolve, spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -365,7 +365,7 @@ f AS (SELECT o_custkey spec_id, CAST(l_orderkey AS VARCHAR) group_id FROM lineit
 SELECT spec_id, group_id, NULL AS attribute_ref, 'unknown_profile' AS rule FROM g WHERE profile_url = 'p/P'
 UNION ALL SELECT spec_id, NULL, NULL, 'one_patient_group' FROM g GROUP BY 1 HAVING count(*) FILTER (type = 'Patient') <> 1
 UNION ALL SELECT spec_id, group_id, attribute_ref, 'duplicate_attribute' FROM a GROUP BY 1, 2, 3 HAVING count(*) > 1
-UNION ALL SELECT spec_id, group_id, attribute_ref, 'standard_must_have' FROM a WHERE must_have AND attribute_ref = 'Observation.id'
+UNION ALL SELECT spec_id, group_id, attribute_ref, 'standard_must_have' FROM a JOIN g USING (spec_id, group_id) WHERE must_have AND attribute_ref = type || '.id'
 UNION ALL SELECT spec_id, group_id, attribute_ref, 'unknown_attribute' FROM al WHERE profile_url <> 'p/P' AND attribute_ref NOT IN (SELECT element_id FROM el)
 UNION ALL SELECT spec_id, group_id, attribute_ref, 'reference_without_link' FROM al WHERE profile_url <> 'p/P' AND attribute_ref = 'Observation.a3' AND linked IS NULL
 UNION ALL SELECT spec_id, group_id, attribute_ref, 'undefined_link' FROM l WHERE linked = 'none'
@@ -490,18 +490,297 @@ def consent_code_rules(spark: SparkSession, d: str) -> DataFrame:
     return spec.consent_codes_together(asked, spark.createDataFrame([("click", ["view", "signup"]), ("purchase", ["click"])], "code string, required array<string>"))
 
 
-@query("""WITH g AS (SELECT o_custkey s, CAST(o_orderkey AS VARCHAR) g, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'Patient' WHEN o_orderstatus = 'F' THEN 'Consent' ELSE 'Observation' END t, min(o_orderkey) OVER (PARTITION BY o_custkey) p FROM orders)
+@query("""WITH g AS (SELECT o_custkey s, CAST(o_orderkey AS VARCHAR) g, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) THEN 'Patient' WHEN o_orderstatus = 'F' THEN 'Consent' WHEN o_orderstatus = 'P' THEN 'Medication' WHEN o_orderpriority = '5-LOW' THEN 'Procedure' ELSE 'Observation' END t, min(o_orderkey) OVER (PARTITION BY o_custkey) p FROM orders)
 SELECT s AS spec_id, g AS group_id, t || '.id' AS attribute_ref, '' AS linked FROM g UNION ALL SELECT s, g, t || '.meta.profile', '' FROM g
-UNION ALL SELECT s, g, t || CASE t WHEN 'Consent' THEN '.patient' ELSE '.subject' END, CAST(p AS VARCHAR) FROM g WHERE t <> 'Patient'""")
+UNION ALL SELECT s, g, t || CASE t WHEN 'Consent' THEN '.patient' ELSE '.subject' END, CAST(p AS VARCHAR) FROM g WHERE t IN ('Consent', 'Observation')""")
 def standard_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Medication has a subject in its profile but is no patient-side type; Procedure is one, but its profile has no subject."""
     first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
-    kind = F.when(F.col("o_orderkey") == first, "Patient").when(F.col("o_orderstatus") == "F", "Consent").otherwise("Observation")
-    groups = table(spark, d, "orders").select(F.col("o_custkey").alias("spec_id"), F.col("o_orderkey").cast("string").alias("group_id"), kind.alias("type"))
+    kind = F.when(F.col("o_orderkey") == first, "Patient").when(F.col("o_orderstatus") == "F", "Consent").when(F.col("o_orderstatus") == "P", "Medication").when(F.col("o_orderpriority") == "5-LOW", "Procedure").otherwise("Observation")
+    groups = table(spark, d, "orders").select(F.col("o_custkey").alias("spec_id"), F.col("o_orderkey").cast("string").alias("group_id"), F.concat(F.lit("p/"), "o_orderstatus").alias("profile_url"), kind.alias("type"))
+    elements = spark.createDataFrame([("p/F", "Consent.patient"), ("p/O", "Observation.subject"), ("p/P", "Medication.subject")], "profile_url string, element_id string")
     none = spark.createDataFrame([], "spec_id long, group_id string, attribute_ref string, must_have boolean, linked_groups array<string>")
-    return spec.with_standard_attributes(none, groups).select("spec_id", "group_id", "attribute_ref", F.array_join("linked_groups", ",").alias("linked"))
+    return spec.with_standard_attributes(none, groups, elements).select("spec_id", "group_id", "attribute_ref", F.array_join("linked_groups", ",").alias("linked"))
 
 
 @query("""SELECT p_partkey AS group_id, CASE WHEN p_size > 40 THEN 'reference_only' WHEN p_type IN ('PROMO', 'LARGE') THEN 'direct_patient' ELSE 'direct_core' END AS role FROM part""")
 def group_roles(spark: SparkSession, d: str) -> DataFrame:
     groups = table(spark, d, "part").select(F.col("p_partkey").alias("group_id"), F.col("p_type").alias("type"), (F.col("p_size") > 40).alias("reference_only"))
     return spec.split_groups(groups, spark.createDataFrame([("PROMO",), ("LARGE",)], "type string")).select("group_id", "role")
+
+
+# --- specs to groups ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey spec_id, CAST(l_orderkey AS VARCHAR) group_id, l_linenumber n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+r AS (SELECT spec_id, group_id, 'Observation.code.coding:loinc.' || f attribute_ref FROM a, (VALUES ('system'), ('version')) v(f) WHERE n = 1 UNION SELECT spec_id, group_id, 'Observation.component:sys.code' FROM a WHERE n = 2),
+have AS (SELECT spec_id, group_id, CASE n WHEN 1 THEN 'Observation.code.coding:loinc.code' WHEN 2 THEN 'Observation.component:sys.value[x]' WHEN 3 THEN 'Observation.component:sys.code' WHEN 4 THEN 'Observation.code.coding:loinc' ELSE 'Observation.status' END attribute_ref FROM a)
+SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.spec_id = r.spec_id AND h.group_id = r.group_id AND h.attribute_ref = r.attribute_ref)""")
+def discriminator_fields(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("spec_id"))
+    names = {1: "Observation.code.coding:loinc.code", 2: "Observation.component:sys.value[x]", 3: "Observation.component:sys.code", 4: "Observation.code.coding:loinc"}
+    ref = F.lit("Observation.status")
+    for n, name in names.items():
+        ref = F.when(F.col("l_linenumber") == n, name).otherwise(ref)
+    attributes = table(spark, d, "lineitem").join(orders, "l_orderkey").select("spec_id", F.col("l_orderkey").cast("string").alias("group_id"), ref.alias("attribute_ref")).distinct()
+    groups = attributes.select("spec_id", "group_id", F.lit("p/o").alias("profile_url")).distinct()
+    rows = [("p/o", "Observation.code.coding", [("pattern", "$this")], None), ("p/o", "Observation.code.coding:loinc", None, '{"system":"l","version":"2"}'), ("p/o", "Observation.component", [("pattern", "code")], None), ("p/o", "Observation.component:sys", None, None)]
+    elements = spark.createDataFrame(rows, "profile_url string, element_id string, discriminators array<struct<type: string, path: string>>, pattern string")
+    return spec.discriminator_attributes(attributes, groups, elements)
+
+
+_CRITERIA = """c AS (SELECT user_id spec_id, CASE WHEN event_id % 5 = 0 THEN 'exclusion' ELSE 'inclusion' END kind, CASE WHEN event_type = 'error' THEN 'Consent' ELSE 'Other' END context_code, event_id % 7 k FROM events)"""
+
+
+def _criteria(spark: SparkSession, d: str) -> DataFrame:
+    code = F.struct(F.lit("s").alias("system"), (F.col("event_id") % 7).cast("string").alias("code"))
+    kind = F.when(F.col("event_id") % 5 == 0, "exclusion").otherwise("inclusion")
+    context = F.when(F.col("event_type") == "error", "Consent").otherwise("Other")
+    return table(spark, d, "events").select(F.col("user_id").alias("spec_id"), kind.alias("kind"), context.alias("context_code"), F.array(code).alias("term_codes"))
+
+
+@query(f"WITH {_CRITERIA} SELECT DISTINCT spec_id, 's' AS system, CAST(k AS VARCHAR) AS code FROM c WHERE kind = 'inclusion' AND context_code = 'Consent'")
+def consent_codes_requested(spark: SparkSession, d: str) -> DataFrame:
+    return spec.requested_consent_codes(_criteria(spark, d), "Consent")
+
+
+@query(f"WITH {_CRITERIA} SELECT DISTINCT spec_id, CAST(NULL AS VARCHAR) AS group_id, CAST(NULL AS VARCHAR) AS attribute_ref, 'consent_in_exclusion' AS rule FROM c WHERE kind = 'exclusion' AND context_code = 'Consent'")
+def consent_in_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    return spec.consent_in_exclusion(_criteria(spark, d), "Consent")
+
+
+@query("""WITH q AS (SELECT DISTINCT p_brand code FROM part WHERE p_size > 45), r AS (SELECT DISTINCT p_brand code, p_brand IN ('Brand#1', 'Brand#2') gate, 'Brand#' || (CAST(substr(p_brand, 7) AS INT) + 1) retro FROM part)
+SELECT code, CASE WHEN gate THEN 'gate' ELSE 'non_gate' END AS role FROM r WHERE code IN (SELECT code FROM q)
+UNION ALL SELECT DISTINCT retro, 'retro' FROM r WHERE code IN (SELECT code FROM q) AND retro IN (SELECT code FROM q)""")
+def consent_code_sets(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    after = F.concat(F.lit("Brand#"), (F.substring("p_brand", 7, 9).cast("int") + 1).cast("string"))
+    rules = part.select(F.col("p_brand").alias("code"), F.col("p_brand").isin("Brand#1", "Brand#2").alias("gate"), F.array(after).alias("retro_codes")).distinct()
+    return consent.code_sets(rules, part.where("p_size > 45").select(F.col("p_brand").alias("code")))
+
+
+@query(f"""WITH RECURSIVE {_TREE}, r AS (SELECT 'R1' AS code UNION SELECT c FROM r JOIN tree ON p = code),
+rec AS (SELECT o_custkey patient_id, 'N' || c_nationkey code, o_orderpriority v FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT c_custkey AS patient_id FROM customer WHERE c_custkey IN (SELECT patient_id FROM rec WHERE code IN (SELECT code FROM r) AND v IN ('1-URGENT', '5-LOW'))""")
+def cohort_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """A criterion with a concept filter, whose code stands for all below it in the tree."""
+    region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    edges = nation.selectExpr("'geo' AS system", "concat('R', n_regionkey) AS parent", "concat('N', n_nationkey) AS child").union(supplier.selectExpr("'geo'", "concat('N', s_nationkey)", "concat('S', s_suppkey)"))
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"), "c_nationkey")
+    records = table(spark, d, "orders").withColumnRenamed("o_custkey", "patient_id").join(people, "patient_id").select("patient_id", F.lit("geo").alias("system"), F.concat(F.lit("N"), "c_nationkey").alias("code"), F.lit(None).cast("double").alias("value"), F.lit("prio").alias("value_system"), F.col("o_orderpriority").alias("value_code"))
+    wanted = codes.Criterion([("geo", "R1")], concepts=[("prio", "1-URGENT"), ("prio", "5-LOW")])
+    return codes.select_cohort(people.select("patient_id"), records, [[wanted]], edges=edges)
+
+
+# --- consent by type, periods, audit -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_WINDOWS}, {_ENC}, k AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'QuestionnaireResponse' WHEN '2-HIGH' THEN 'Appointment' ELSE 'Encounter' END t FROM enc)
+SELECT o_orderkey, t AS resource_type FROM k WHERE (t = 'QuestionnaireResponse' AND o_custkey IN (SELECT patient_id FROM win))
+OR (t = 'Encounter' AND EXISTS (SELECT 1 FROM win WHERE patient_id = o_custkey AND period_start <= s AND e <= period_end))""")
+def consent_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Types without a date element need no window around them, unlisted types are never consented."""
+    kind = F.when(F.col("codes")[0]["code"] == "1-URGENT", "QuestionnaireResponse").when(F.col("codes")[0]["code"] == "2-HIGH", "Appointment").otherwise("Encounter")
+    found = consent.consented_by_type(encounters(spark, d).withColumn("resource_type", kind), consent.windows(provisions(spark, d), ["A", "B"]))
+    return found.select(F.col("id").cast("long").alias("o_orderkey"), "resource_type")
+
+
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 7 m, CAST(o_orderdate AS DATE) s FROM orders)
+SELECT o_orderkey, CASE WHEN m IN (0, 1, 3) THEN s WHEN m = 2 THEN s END AS period_start, CASE WHEN m IN (0, 1, 3) THEN s WHEN m = 2 THEN s + 3 END AS period_end FROM k""")
+def period_of_type(spark: SparkSession, d: str) -> DataFrame:
+    """Periods of bodies of several types: dates, dateTimes, instants, periods, and those that are open, reversed or too coarse."""
+    from cohortlake.sources.readers import keyed
+
+    body = """CASE o_orderkey % 7 WHEN 0 THEN concat('{"resourceType":"Condition","id":"', o_orderkey, '","recordedDate":"', date_format(s, 'yyyy-MM-dd'), '"}')
+      WHEN 1 THEN concat('{"resourceType":"Observation","id":"', o_orderkey, '","effectiveDateTime":"', date_format(s, 'yyyy-MM-dd'), 'T10:00:00+02:00"}')
+      WHEN 2 THEN concat('{"resourceType":"Encounter","id":"', o_orderkey, '","period":{"start":"', date_format(s, 'yyyy-MM-dd'), '","end":"', date_format(date_add(s, 3), 'yyyy-MM-dd'), '"}}')
+      WHEN 3 THEN concat('{"resourceType":"Provenance","id":"', o_orderkey, '","recorded":"', date_format(s, 'yyyy-MM-dd'), 'T10:00:00Z"}')
+      WHEN 4 THEN concat('{"resourceType":"Procedure","id":"', o_orderkey, '","performedPeriod":{"start":"', date_format(s, 'yyyy-MM-dd'), '"}}')
+      WHEN 5 THEN concat('{"resourceType":"MedicationRequest","id":"', o_orderkey, '","authoredOn":"', date_format(s, 'yyyy-MM'), '"}')
+      ELSE concat('{"resourceType":"Encounter","id":"', o_orderkey, '","period":{"end":"', date_format(s, 'yyyy-MM-dd'), '","start":"', date_format(date_add(s, 3), 'yyyy-MM-dd'), '"}}') END"""
+    rows = table(spark, d, "orders").withColumn("s", F.col("o_orderdate").cast("date")).select(F.expr(body).alias("body"))
+    return keyed(rows).select(F.col("id").cast("long").alias("o_orderkey"), "period_start", "period_end")
+
+
+@query("""SELECT o_custkey AS patient_id, 'Encounter' AS resource_type, CAST(o_orderkey AS VARCHAR) AS id, '{"resourceType":"Encounter","id":"' || o_orderkey || '","meta":{"profile":["p"]},"subject":{"reference":"Patient/' || o_custkey || '"},"period":{"start":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '"}}' AS body FROM orders""")
+def audit_minimised(spark: SparkSession, d: str) -> DataFrame:
+    body = """concat('{"resourceType":"Encounter","id":"', o_orderkey, '","meta":{"profile":["p"],"source":"x"},"status":"finished","subject":{"reference":"Patient/', o_custkey, '"},"period":{"start":"', date_format(o_orderdate, 'yyyy-MM-dd'), '"},"reason":"', o_orderpriority, '"}')"""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.lit("Encounter").alias("resource_type"), F.col("o_orderkey").cast("string").alias("id"), F.expr(body).alias("body"))
+    return consent.minimised(rows)
+
+
+@query("""WITH a AS (SELECT o_custkey pid, '{"fullUrl":"Encounter/' || o_orderkey || '","resource":{"resourceType":"Encounter","id":"' || o_orderkey || '","meta":{"profile":["p"]}}}' e, CAST(o_orderkey AS VARCHAR) i FROM orders)
+SELECT pid AS patient_id, '{"resourceType":"Bundle","type":"collection","entry":[' || string_agg(e, ',' ORDER BY i) || ']}' AS value FROM a GROUP BY 1""")
+def consent_audit(spark: SparkSession, d: str) -> DataFrame:
+    from cohortlake.sources.sinks import audit_bundles
+
+    body = """concat('{"resourceType":"Encounter","id":"', o_orderkey, '","meta":{"profile":["p"]},"status":"', o_orderstatus, '"}')"""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.lit("Encounter").alias("resource_type"), F.col("o_orderkey").cast("string").alias("id"), F.expr(body).alias("body"))
+    return audit_bundles(rows)
+
+
+# --- reports -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'Medication' AS type, l_partkey AS id, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS groups, string_agg(DISTINCT 'S' || l_suppkey, ',' ORDER BY 'S' || l_suppkey) AS refs FROM lineitem GROUP BY 2""")
+def info_union(spark: SparkSession, d: str) -> DataFrame:
+    """Infos made apart, one for each line number, and united."""
+    lines = table(spark, d, "lineitem")
+    infos = lines.groupBy("l_linenumber", "l_partkey").agg(F.collect_set("l_returnflag").alias("groups"), F.collect_set(F.concat(F.lit("S"), "l_suppkey")).alias("c"))
+    out = report.united_info(infos.select(F.lit("Medication").alias("type"), F.col("l_partkey").alias("id"), "groups", F.create_map(F.lit("manufacturer"), "c").alias("refs")))
+    return out.select("type", "id", F.array_join("groups", ",").alias("groups"), F.array_join(F.try_element_at("refs", F.lit("manufacturer")), ",").alias("refs"))
+
+
+@query("SELECT c_custkey AS patient_id, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 500 AS INT) AS batch FROM customer")
+def batch_labels(spark: SparkSession, d: str) -> DataFrame:
+    return report.batch_labels(table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id")), 500)
+
+
+_SUMMARY = """WITH e AS (SELECT event_type g, CASE event_id % 3 WHEN 0 THEN 'MUST_HAVE' WHEN 1 THEN 'CONSENT' ELSE 'CASCADING_DELETE' END r, CAST(event_id % 4 AS VARCHAR) a FROM events),
+m AS (SELECT g, string_agg(a || '=' || n, ',' ORDER BY a) t FROM (SELECT g, a, count(*) n FROM e WHERE r = 'MUST_HAVE' GROUP BY 1, 2) GROUP BY 1),
+x AS (SELECT g, count(*) FILTER (r = 'CONSENT') c, count(*) FILTER (r = 'CASCADING_DELETE') d FROM e GROUP BY 1),
+l AS (SELECT count(DISTINCT o_custkey) n FROM orders)"""
+
+
+@query(f"""{_SUMMARY} SELECT (SELECT count(*) FROM customer) AS cohort, (SELECT n FROM l) AS final, (SELECT count(*) FROM customer) - (SELECT n FROM l) AS lost,
+(SELECT string_agg(g || ':' || t || ';' || c || ';' || d, ' ' ORDER BY g) FROM x JOIN m USING (g)) AS excluded, (SELECT string_agg(s || '=' || n, ',' ORDER BY s) FROM (SELECT o_orderstatus s, count(*) n FROM orders GROUP BY 1)) AS included""")
+def job_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The one-row report, its maps as text."""
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"))
+    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id")).distinct()
+    reason = F.when(F.col("event_id") % 3 == 0, "MUST_HAVE").when(F.col("event_id") % 3 == 1, "CONSENT").otherwise("CASCADING_DELETE")
+    events = table(spark, d, "events").select(F.col("event_type").alias("group_id"), reason.alias("reason"), (F.col("event_id") % 4).cast("string").alias("attribute_ref"))
+    lost = people.join(seen, "patient_id", "left_anti").select("patient_id", F.lit("DIRECT_LOAD").alias("stage"))
+    taken = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("group_id")).agg(F.count(F.lit(1)).alias("resources"))
+    out = report.job_summary(people, people.join(seen, "patient_id", "left_semi"), lost, events, taken, report.PATIENT_STAGES)
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    groups = F.transform(F.map_entries("Resource-Exclusions"), lambda e: F.concat(e["key"], F.lit(":"), text(e["value"]["mustHave"]), F.lit(";"), e["value"]["CONSENT"].cast("string"), F.lit(";"), e["value"]["CASCADING_DELETE"].cast("string")))
+    return out.select(F.col("Num-Cohort-Patients").alias("cohort"), F.col("Num-Final-Patients").alias("final"), F.try_element_at("Patient-Exclusions", F.lit("DIRECT_LOAD")).alias("lost"), F.array_join(groups, " ").alias("excluded"), text(F.col("Resource-Inclusions")).alias("included"))
+
+
+# --- slices and redaction ----------------------------------------------------------------------------------------------
+
+_BODY = "struct<id: string, meta: struct<profile: array<string>>, code: struct<coding: array<struct<system: string, code: string>>>, subject: struct<reference: string>, status: string, component: array<struct<name: string, note: string>>>"
+
+
+def _slices(second: str = "u") -> tuple[redact.Profile, redact.Profile]:
+    e = redact.Element
+    one = redact.Profile("p/F", [
+        e("Observation", "Observation"), e("Observation.code", "Observation.code", min=1, types=("CodeableConcept",)),
+        e("Observation.code.coding", "Observation.code.coding", min=1, types=("Coding",), discriminators=(("PATTERN", "$this"),)),
+        e("Observation.code.coding:prio", "Observation.code.coding", "prio", types=("Coding",), pattern='{"system":"prio"}'),
+        e("Observation.subject", "Observation.subject", types=("Reference",)),
+    ])
+    two = redact.Profile(second, [
+        e("Observation", "Observation"), e("Observation.status", "Observation.status", min=1, types=("code",)),
+        e("Observation.component", "Observation.component", min=1, types=("BackboneElement",)), e("Observation.component.name", "Observation.component.name", min=1, types=("string",)),
+    ])
+    return one, two
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    """Records of orders: one or two codings, a status on some, and the profiles p/F (all) and u (some)."""
+    coding = lambda s, c: F.struct(F.lit(s).alias("system"), c.alias("code"))
+    codings = F.array_compact(F.array(F.when(F.col("o_orderstatus") != "P", coding("prio", F.col("o_orderpriority"))), coding("clerk", F.col("o_orderstatus"))))
+    profiles = F.array_compact(F.array(F.lit("p/F|1"), F.when(F.col("o_totalprice") > 100000, F.lit("u"))))
+    body = F.struct(
+        F.col("o_orderkey").cast("string").alias("id"), F.struct(profiles.alias("profile")).alias("meta"), F.struct(codings.alias("coding")).alias("code"), F.struct(F.concat(F.lit("Patient/"), "o_custkey").alias("reference")).alias("subject"),
+        F.when(F.col("o_orderstatus") == "F", "final").alias("status"), F.array().cast("array<struct<name: string, note: string>>").alias("component"),
+    )
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", body.cast(_BODY).alias("body"))
+
+
+def _redacted(rows: DataFrame, groups: list[redact.Selection]) -> DataFrame:
+    return redact.copy_and_redact(rows, "Observation", rows.schema["body"].dataType, groups)
+
+
+@query("""SELECT o_orderkey, '{"id":"' || o_orderkey || '","meta":{"profile":["p/F"]},"code":{"coding":[' || CASE WHEN o_orderstatus <> 'P' THEN '{"system":"prio","code":"' || o_orderpriority || '"}' ELSE '' END || ']}}' AS body FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, '{"id":"' || o_orderkey || '","meta":{"profile":["p/F"]},"code":{"extension":[{"url":"http://hl7.org/fhir/StructureDefinition/data-absent-reason","valueCode":"masked"}]}}' FROM orders WHERE o_orderstatus = 'P'""")
+def slice_match(spark: SparkSession, d: str) -> DataFrame:
+    """Only codings of the slice are asked for; where none matches, the required code is marked."""
+    one, _ = _slices()
+    rows = _observations(spark, d).withColumns({"groups": F.array(F.lit("g")), "refs": F.lit(None).cast("map<string,array<string>>")})
+    return _redacted(rows, [redact.Selection("g", one, ("Observation.id", "Observation.meta", "Observation.code.coding:prio"))]).select("o_orderkey", "body")
+
+
+_MARK_SQL = '{"extension":[{"url":"http://hl7.org/fhir/StructureDefinition/data-absent-reason","valueCode":"masked"}]}'
+
+
+@query(f"""SELECT o_orderkey, '{{"id":"' || o_orderkey || '","meta":{{"profile":["p/F"]}},"code":{{"coding":[' || CASE WHEN o_orderstatus <> 'P' THEN '{{"system":"prio","code":"' || o_orderpriority || '"}},' ELSE '' END || '{_MARK_SQL}]}},"subject":' || CASE WHEN o_custkey % 2 = 0 THEN '{{"reference":"Patient/' || o_custkey || '"}}' ELSE '{{"_reference":{_MARK_SQL}}}' END || '}}' AS body FROM orders""")
+def half_open_slicing(spark: SparkSession, d: str) -> DataFrame:
+    """All codings are asked for; those that match no slice are emptied and marked, and references that are not allowed, too."""
+    one, _ = _slices()
+    refs = F.when(F.col("o_custkey") % 2 == 0, F.create_map(F.lit("Observation.subject"), F.array(F.concat(F.lit("Patient/"), "o_custkey"))))
+    rows = _observations(spark, d).withColumns({"groups": F.array(F.lit("g")), "refs": refs})
+    return _redacted(rows, [redact.Selection("g", one, ("Observation.id", "Observation.meta", "Observation.code", "Observation.subject"))]).select("o_orderkey", "body")
+
+
+_BACKBONE = f'"component":[{{"_name":{_MARK_SQL},"extension":[{{"url":"http://hl7.org/fhir/StructureDefinition/data-absent-reason","valueCode":"masked"}}]}}]'
+
+
+@query(f"""SELECT o_orderkey, '{{"id":"' || o_orderkey || '","meta":{{"profile":[' || CASE WHEN o_totalprice > 100000 THEN '"u"' ELSE '' END || ']}},' || CASE WHEN o_orderstatus = 'F' THEN '"status":"final"' ELSE '"_status":{_MARK_SQL}' END || ',{_BACKBONE}}}' AS body, o_totalprice > 100000 AS complete FROM orders""")
+def required_backbone(spark: SparkSession, d: str) -> DataFrame:
+    """A required list of parts that is not there becomes a marked part whose required field is marked."""
+    _, two = _slices()
+    rows = _observations(spark, d).withColumns({"groups": F.array(F.lit("h")), "refs": F.lit(None).cast("map<string,array<string>>")})
+    return _redacted(rows, [redact.Selection("h", two, ("Observation.id", "Observation.meta", "Observation.status", "Observation.component"))]).select("o_orderkey", "body", "complete")
+
+
+@query(f"""SELECT o_orderkey, '{{"id":"' || o_orderkey || '","meta":{{"profile":[' || CASE WHEN o_custkey % 2 = 0 THEN '"p/F"' || CASE WHEN o_totalprice > 100000 THEN ',"u"' ELSE '' END ELSE '"p/F"' END || ']}},' || CASE WHEN o_orderstatus = 'P' THEN '"code":{{"extension":[{{"url":"http://hl7.org/fhir/StructureDefinition/data-absent-reason","valueCode":"masked"}}]}}' ELSE '"code":{{"coding":[{{"system":"prio","code":"' || o_orderpriority || '"}}]}}' END
+|| CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN ',"status":"final"' ELSE ',"_status":{_MARK_SQL}' END || ',{_BACKBONE}' ELSE '' END || '}}' AS body, o_custkey % 2 <> 0 OR o_totalprice > 100000 AS complete FROM orders""")
+def multi_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the records belong to two groups: what either group asks for is copied, what either profile requires is marked."""
+    one, two = _slices()
+    groups = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit("g"), F.lit("h"))).otherwise(F.array(F.lit("g")))
+    rows = _observations(spark, d).withColumns({"groups": groups, "refs": F.lit(None).cast("map<string,array<string>>")})
+    return _redacted(rows, [redact.Selection("g", one, ("Observation.id", "Observation.meta", "Observation.code.coding:prio")), redact.Selection("h", two, ("Observation.status", "Observation.component"))]).select("o_orderkey", "body", "complete")
+
+
+# --- whole extractions -------------------------------------------------------------------------------------------------
+
+_PLAN = """enc AS (SELECT o_orderkey, o_custkey, o_orderpriority = '1-URGENT' must, o_totalprice > 100000 ok FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'),
+kept AS (SELECT DISTINCT o_custkey FROM enc WHERE ok), ref AS (SELECT DISTINCT e.o_orderkey, e.o_custkey, e.must, l_partkey, p_type <> 'STANDARD' AND p_type <> 'PROMO' hit FROM enc e JOIN lineitem ON l_orderkey = e.o_orderkey JOIN part ON p_partkey = l_partkey WHERE e.ok),
+unmet AS (SELECT o_orderkey FROM ref WHERE must GROUP BY 1 HAVING NOT bool_or(hit)), fin AS (SELECT * FROM enc WHERE ok AND o_orderkey NOT IN (SELECT o_orderkey FROM unmet))"""
+
+
+def _extraction(spark: SparkSession, d: str):
+    """Customers of a segment with their finished orders of some price; what these contain, without two kinds of part."""
+    from cohortlake.plans import extract
+
+    none = F.lit(None)
+    columns = ["resource_type", "id", "patient_id", "profiles", "codes", "period_start", "period_end", "price"]
+    visits = encounters(spark, d).withColumnRenamed("o_totalprice", "price").select(*columns)
+    coding = F.array(F.struct(F.lit("type").alias("system"), F.col("p_type").alias("code")))
+    drugs = table(spark, d, "part").select(F.lit("Medication").alias("resource_type"), F.col("p_partkey").cast("string").alias("id"), none.cast("long").alias("patient_id"), F.array(F.lit("m")).alias("profiles"), coding.alias("codes"), none.cast("date").alias("period_start"), none.cast("date").alias("period_end"), none.cast("double").alias("price"))
+    customers = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    people = customers.select(F.lit("Patient").alias("resource_type"), F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").alias("patient_id"), F.array(F.lit("q")).alias("profiles"), F.array().cast("array<struct<system: string, code: string>>").alias("codes"), none.cast("date").alias("period_start"), none.cast("date").alias("period_end"), none.cast("double").alias("price"))
+    links = table(spark, d, "lineitem").join(table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").selectExpr(
+        "o_custkey AS patient_id", "'Encounter' AS src_type", "CAST(l_orderkey AS STRING) AS src_id", "'enc' AS group_id", "'Encounter.medication' AS attribute_ref", "o_orderpriority = '1-URGENT' AS must_have", "'med' AS linked_group", "'Medication' AS dst_type", "CAST(l_partkey AS STRING) AS dst_id"
+    )
+    kinds = [r[0] for r in table(spark, d, "part").where("p_type NOT IN ('STANDARD', 'PROMO')").select("p_type").distinct().collect()]  # a few kinds
+    groups = [
+        extract.Group("pat", "Patient"), extract.Group("enc", "Encounter", "p/F", must_have=[("Encounter.price", F.col("price") > 100000)]),
+        extract.Group("med", "Medication", "m", [("type", k) for k in sorted(kinds)], reference_only=True),
+    ]
+    return extract.extract(customers.select(F.col("c_custkey").alias("patient_id")), visits.unionByName(drugs).unionByName(people), links, groups)
+
+
+@query(f"WITH {_PLAN} SELECT o_custkey AS patient_id, count(DISTINCT o_orderkey) AS encounters, (SELECT count(*) FROM ref r WHERE r.o_custkey = fin.o_custkey AND hit AND r.o_orderkey IN (SELECT o_orderkey FROM fin)) AS links FROM fin GROUP BY 1")
+def extract_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Who is left of an extraction, with how many encounters, and how many references out of them."""
+    out = _extraction(spark, d)
+    visits = out.groups.where("group_id = 'enc'").groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters"))
+    links = out.links.where("group_id = 'enc'").groupBy("patient_id").agg(F.count(F.lit(1)).alias("links"))
+    return out.people.join(visits, "patient_id").join(links, "patient_id", "left").select("patient_id", "encounters", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(f"""WITH {_PLAN} SELECT 'MUST_HAVE' AS reason, (SELECT count(*) FROM enc WHERE NOT ok) + (SELECT count(*) FROM unmet) AS n
+UNION ALL SELECT 'REFERENCE_NOT_FOUND', count(*) FROM (SELECT DISTINCT o_custkey, l_partkey FROM ref WHERE NOT hit)
+UNION ALL SELECT 'patients at DIRECT_LOAD', (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') - (SELECT count(*) FROM kept)
+UNION ALL SELECT 'patients at CASCADING_DELETE', (SELECT count(*) FROM kept) - (SELECT count(DISTINCT o_custkey) FROM fin)""")
+def extract_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    """Why resources and people were left out of an extraction."""
+    out = _extraction(spark, d)
+    resources = out.resource_exclusions.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    people = report.patient_exclusions(out.patient_exclusions, report.PATIENT_STAGES[1:]).select(F.concat(F.lit("patients at "), "stage").alias("reason"), F.col("patients").alias("n"))
+    return resources.unionByName(people)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.references import patient_of
-from cohortlake.functions.temporal import day
+from cohortlake.functions.temporal import day, element_period
+from cohortlake.operators.consent import DATE_FIELDS
 
 
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
@@ -26,22 +27,49 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def keyed(bodies: DataFrame) -> DataFrame:
-    """Key columns beside each body."""
+    """Key columns beside each body. The period is that of the element that decides about the type's consent (of a choice, the
+    date, dateTime or instant as one day, or the period); it is NULL where that is missing, open, reversed or coarser than a day.
+    """
     at = lambda p: F.get_json_object("body", p)
-    first = F.coalesce(*(day(at(p)) for p in ("$.effectiveDateTime", "$.recordedDate", "$.performedDateTime", "$.dateTime", "$.date", "$.effectivePeriod.start", "$.performedPeriod.start", "$.period.start")))
-    last = F.coalesce(*(day(at(p)) for p in ("$.effectiveDateTime", "$.recordedDate", "$.performedDateTime", "$.dateTime", "$.date", "$.effectivePeriod.end", "$.performedPeriod.end", "$.period.end")))
     out = bodies.withColumns({"resource_type": at("$.resourceType"), "id": at("$.id")})
+    both = F.lit(None).cast("struct<start: date, end: date>")
+    for kind, name in DATE_FIELDS.items():
+        if name:
+            both = F.when(F.col("resource_type") == kind, element_period(F.col("body"), f"$.{name}")).otherwise(both)
     return out.select(
         "resource_type", "id", patient_of(F.col("resource_type"), F.col("id"), F.col("body")).alias("patient_id"), F.from_json(at("$.meta.profile"), "array<string>").alias("profiles"),
-        F.from_json(at("$.code.coding"), "array<struct<system: string, code: string>>").alias("codes"), first.alias("period_start"), last.alias("period_end"), "body",
-    )
+        F.from_json(at("$.code.coding"), "array<struct<system: string, code: string>>").alias("codes"), both.alias("__period"), "body",
+    ).select("resource_type", "id", "patient_id", "profiles", "codes", F.col("__period.start").alias("period_start"), F.col("__period.end").alias("period_end"), "body")
+
+
+#: Elements of a profile's slicing, fixed values and patterns, which are named after their types.
+_FIXED = """Boolean Canonical Code CodeableConcept Coding Date DateTime Decimal Id Identifier Instant Integer Markdown Oid Period
+Quantity Reference String Uri Url""".split()
 
 
 def profile_elements(spark: SparkSession, path: str) -> DataFrame:
-    """profile_url, resource_type, element_id, path, slice_name, min, types of every element of a folder of profiles."""
-    schema = "url string, type string, snapshot struct<element: array<struct<id: string, path: string, sliceName: string, min: int, type: array<struct<code: string>>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.col("url").alias("profile_url"), F.col("type").alias("resource_type"), F.explode("snapshot.element").alias("e"))
-    return rows.select("profile_url", "resource_type", F.col("e.id").alias("element_id"), F.col("e.path").alias("path"), F.col("e.sliceName").alias("slice_name"), F.col("e.min").alias("min"), F.col("e.type.code").alias("types"))
+    """profile_url (without version), resource_type, element_id, path, slice_name, min, max, types, type_profiles,
+    discriminators (array of type, path; NULL where nothing is sliced), pattern (fixed value or pattern as JSON text) and bound (to
+    a value set) of every element of a folder of profiles.
+    """
+    variants = ", ".join(f"fixed{t}: variant, pattern{t}: variant" for t in _FIXED)
+    kind = "array<struct<code: string, profile: array<string>, targetProfile: array<string>>>"
+    schema = f"url string, type string, snapshot struct<element: array<struct<id: string, path: string, sliceName: string, min: int, max: string, type: {kind}, slicing: struct<discriminator: array<struct<type: string, path: string>>>, binding: variant, {variants}>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.substring_index("url", "|", 1).alias("profile_url"), F.col("type").alias("resource_type"), F.explode("snapshot.element").alias("e"))
+    pattern = F.coalesce(*(F.to_json(F.col(f"e.{how}{t}")) for how in ("fixed", "pattern") for t in _FIXED))
+    return rows.select(
+        "profile_url", "resource_type", F.col("e.id").alias("element_id"), F.col("e.path").alias("path"), F.col("e.sliceName").alias("slice_name"), F.col("e.min").alias("min"), F.col("e.max").alias("max"),
+        F.col("e.type.code").alias("types"), F.flatten(F.transform("e.type", lambda t: F.coalesce(t["profile"], F.array().cast("array<string>")))).alias("type_profiles"),
+        F.when(F.col("e.slicing").isNotNull(), F.coalesce("e.slicing.discriminator", F.array().cast("array<struct<type: string, path: string>>"))).alias("discriminators"),
+        pattern.alias("pattern"), F.col("e.binding").isNotNull().alias("bound"),
+    )
+
+
+def consent_rules(spark: SparkSession, path: str) -> DataFrame:
+    """system, code, gate, required, retro_codes, lookback of a list of consent rules."""
+    schema = "system string, code string, validityGate boolean, required array<string>, lookbackDate string, retroModifiers array<struct<system: string, code: string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.select("system", "code", F.coalesce("validityGate", F.lit(False)).alias("gate"), F.coalesce("required", F.array().cast("array<string>")).alias("required"), F.col("retroModifiers.code").alias("retro_codes"), day(F.col("lookbackDate")).alias("lookback"))
 
 
 def compartment(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.operators import consent
+
 
 def transaction_bundles(resources: DataFrame) -> DataFrame:
     """(patient_id, value): one transaction bundle for each patient that has resources; entries in order of type and id."""
@@ -17,15 +19,46 @@ def write_patient_bundles(resources: DataFrame, path: str) -> None:
     transaction_bundles(resources).select("value").write.text(path)
 
 
-def write_core(resources: DataFrame, path: str) -> None:
-    """Core resources, one a line, in parallel; nothing is written where there is none."""
-    core = resources.where("patient_id IS NULL")
-    if not core.isEmpty():
-        core.select(F.col("body").alias("value")).write.text(path)
+def audit_bundles(resources: DataFrame) -> DataFrame:
+    """(patient_id, value): one collection bundle for each patient of the consents and encounters that decided about consent, minimised."""
+    own = consent.minimised(resources)
+    entry = F.struct("resource_type", "id", F.concat(F.lit('{"fullUrl":"'), F.concat_ws("/", "resource_type", "id"), F.lit('","resource":'), F.col("body"), F.lit("}")).alias("json"))
+    out = own.where("patient_id IS NOT NULL").groupBy("patient_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return out.select("patient_id", F.concat(F.lit('{"resourceType":"Bundle","type":"collection","entry":['), F.array_join(F.transform("e", lambda x: x["json"]), ","), F.lit("]}")).alias("value"))
+
+
+def write_consent_audit(resources: DataFrame, path: str) -> None:
+    audit_bundles(resources).select("value").write.text(path)
+
+
+def core_entries(resources: DataFrame) -> DataFrame:
+    """(value): core resources as transaction entries, one a row."""
+    name = F.concat_ws("/", "resource_type", "id")
+    return resources.where("patient_id IS NULL").select(F.concat(F.lit('{"fullUrl":"'), name, F.lit('","resource":'), F.col("body"), F.lit(',"request":{"method":"PUT","url":"'), name, F.lit('"}}')).alias("value"))
+
+
+def write_core(resources: DataFrame, path: str, single_bundle: bool = False) -> None:
+    """Core resources, one entry a line, in parallel; or as one bundle on one line, which one task then writes. Nothing is
+    written where there is none.
+    """
+    core = core_entries(resources)
+    if core.isEmpty():
+        return
+    if single_bundle:
+        core = core.agg(F.concat(F.lit('{"resourceType":"Bundle","type":"transaction","entry":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
+    core.write.text(path)
+
 
+def write_exclusions(patients: DataFrame, resources: DataFrame, path: str, batch: str = "0") -> None:
+    """The two exclusion tables as quoted CSV with headers, in the folders `patients` and `resources` of path.
 
-def write_exclusions(events: DataFrame, path: str) -> None:
-    events.write.option("header", True).option("quoteAll", True).csv(path)
+    A column `batch` names the batch of a row where there is one.
+    """
+    label = lambda df: (F.col("batch").cast("string") if "batch" in df.columns else F.lit(batch)).alias("Batch-ID")
+    people = patients.select(label(patients), F.col("stage").alias("Stage"), F.col("patient_id").cast("string").alias("Patient-ID"))
+    events = resources.select(label(resources), F.col("reason").alias("Reason"), F.col("group_id").alias("Group"), F.col("attribute_ref").alias("Attribute"), F.col("resource_id").alias("Resource-ID"), F.col("patient_id").cast("string").alias("Patient-ID"))
+    for df, name in ((people, "patients"), (events, "resources")):
+        df.write.option("header", True).option("quoteAll", True).csv(f"{path}/{name}")
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
