@@ -5,16 +5,22 @@ the structure (chunk and block lengths, check sums, end markers); only what hold
 What starts at offset 0 corrects the declared type; what lies further in is carved out. Text that merely contains magic
 bytes has no such structure and yields nothing.
 
+No validator copies the rest of a blob or searches it again at each hit: places of end markers are found once, and what is
+known of a place is kept, so a blob full of magic bytes takes time in proportion to its length.
+
 Defined results: a null blob stays null and has no type, an empty one has no type; a blob without a valid signature keeps
-its declared type; equal blobs give equal results; extra columns are kept; an empty table gives an empty result.
+its declared type; equal blobs give equal results; extra columns are kept, and where they have the names of the new columns
+these get underscores in front until they are free; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -25,15 +31,43 @@ from cohortlake.llm import common
 
 #: Payloads are padded with spaces to a positive multiple of this.
 BLOCK = 192
+#: What the stored payloads are declared as.
+DECLARED = "application/octet-stream"
 #: Samples a second of the sound that a payload is stored as.
 RATE = 8000
 
 
-def _png(b: memoryview, at: int) -> int | None:
+class Blob:
+    """Bytes, and what has been found out about them."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.view, self.known = data, memoryview(data), {}
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, at):
+        return self.view[at]
+
+    def all(self, mark: bytes) -> list[int]:
+        """All places of a mark, looked for once."""
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.known[mark]
+
+    def places(self, pattern: re.Pattern, start: int) -> Iterator[int]:
+        return (m.start() for m in pattern.finditer(self.data, start))
+
+
+#: What ends entropy-coded data of a picture: a marker that is neither stuffing nor a restart.
+_MARKERS = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+
+
+def _png(b: Blob, at: int) -> int | None:
     p = at + 8
     while p + 12 <= len(b):
-        n, kind = struct.unpack_from(">I4s", b, p)
-        if p + 12 + n > len(b) or struct.unpack_from(">I", b, p + 8 + n)[0] != zlib.crc32(b[p + 4 : p + 8 + n]):
+        n, kind = struct.unpack_from(">I4s", b.view, p)
+        if p + 12 + n > len(b) or struct.unpack_from(">I", b.view, p + 8 + n)[0] != zlib.crc32(b.view[p + 4 : p + 8 + n]):
             return None
         if p == at + 8 and kind != b"IHDR":
             return None
@@ -43,7 +77,7 @@ def _png(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> int | None:
+def _jpeg(b: Blob, at: int) -> int | None:
     p, scans = at + 2, 0
     while p + 4 <= len(b):
         if b[p] != 0xFF:
@@ -53,17 +87,16 @@ def _jpeg(b: memoryview, at: int) -> int | None:
             return p + 2 - at if scans else None
         if mark in (0x00, 0x01, 0xFF) or 0xD0 <= mark <= 0xD8:
             return None
-        p += 2 + struct.unpack_from(">H", b, p + 2)[0]
+        p += 2 + struct.unpack_from(">H", b.view, p + 2)[0]
         if mark == 0xDA:  # entropy-coded data runs to the next marker that is neither stuffing nor a restart
             scans += 1
-            while p + 1 < len(b) and not (b[p] == 0xFF and b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7):
-                p += 1
-            if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] == 0xD9:
+            p = next((x for x in b.places(_MARKERS, p)), len(b))
+            if p + 2 <= len(b) and b[p + 1] == 0xD9:
                 return p + 2 - at
     return None
 
 
-def _gif(b: memoryview, at: int) -> int | None:
+def _gif(b: Blob, at: int) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -90,11 +123,11 @@ def _gif(b: memoryview, at: int) -> int | None:
     return None
 
 
-def _bmp(b: memoryview, at: int) -> int | None:
+def _bmp(b: Blob, at: int) -> int | None:
     if at + 54 > len(b):
         return None
-    size, zero, start, header = struct.unpack_from("<IIII", b, at + 2)
-    width, height, planes, depth = struct.unpack_from("<iiHH", b, at + 18)
+    size, zero, start, header = struct.unpack_from("<IIII", b.view, at + 2)
+    width, height, planes, depth = struct.unpack_from("<iiHH", b.view, at + 18)
     if zero or header not in (40, 52, 56, 108, 124) or planes != 1 or depth not in (1, 4, 8, 16, 24, 32) or width <= 0 or not height:
         return None
     data = (width * depth + 31) // 32 * 4 * abs(height)
@@ -102,58 +135,104 @@ def _bmp(b: memoryview, at: int) -> int | None:
 
 
 def _riff(kind: bytes, first: tuple[bytes, ...]):
-    def check(b: memoryview, at: int) -> int | None:
+    def check(b: Blob, at: int) -> int | None:
         if at + 20 > len(b) or bytes(b[at + 8 : at + 12]) != kind or bytes(b[at + 12 : at + 16]) not in first:
             return None
-        end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
+        end = at + 8 + struct.unpack_from("<I", b.view, at + 4)[0]
         p = at + 12
         while p + 8 <= end <= len(b):
-            p += 8 + (struct.unpack_from("<I", b, p + 4)[0] + 1) // 2 * 2
+            p += 8 + (struct.unpack_from("<I", b.view, p + 4)[0] + 1) // 2 * 2
         return end - at if p == end else None
 
     return check
 
 
-def _ogg(b: memoryview, at: int) -> int | None:
-    p, pages = at, 0
-    while p + 27 <= len(b) and bytes(b[p : p + 5]) == b"OggS\0":
-        segments = b[p + 26]
-        end = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
-        if end > len(b):
-            break
-        pages, last, p = pages + 1, b[p + 5] & 4, end
-        if last:
-            return p - at
-    return None
+def _reversed_bits(x: int, n: int) -> int:
+    return int(f"{x:0{n}b}"[::-1], 2)
+
 
+_REVERSED = bytes(_reversed_bits(x, 8) for x in range(256))
 
-def _pdf(b: memoryview, at: int) -> int | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"%%EOF")
-    return end + 5 if end > 0 and 0 < whole.find(b" obj") < whole.find(b"startxref") < end else None
 
+def _ogg_crc(page: bytes) -> int:
+    """CRC-32 from the most significant bit down, from 0 and not inverted: the common one of reversed bytes, reversed."""
+    return _reversed_bits(zlib.crc32(page.translate(_REVERSED), 0xFFFFFFFF) ^ 0xFFFFFFFF, 32)
 
-def _gzip(b: memoryview, at: int) -> int | None:
-    if at + 18 > len(b) or b[at + 3] & 0xE0:
+
+def _ogg_page(b: Blob, p: int) -> int | None:
+    """Where the page at p ends, if its lengths and check sum hold."""
+    if p + 27 > len(b) or bytes(b[p : p + 5]) != b"OggS\0" or b[p + 5] > 7:
+        return None
+    segments = b[p + 26]
+    end = p + 27 + segments + sum(b[p + 27 : p + 27 + segments])
+    if end > len(b) or p + 27 + segments > len(b):
         return None
-    reader = zlib.decompressobj(31)
+    page = bytes(b[p : p + 22]) + bytes(4) + bytes(b[p + 26 : end])
+    return end if _ogg_crc(page) == struct.unpack_from("<I", b.view, p + 22)[0] else None
+
+
+def _ogg(b: Blob, at: int) -> int | None:
+    """Pages up to the last one; what is known of later pages is kept."""
+    ends, p, walked = b.known.setdefault("ogg", {}), at, []
+    while p not in ends:
+        walked.append(p)
+        end = _ogg_page(b, p)
+        ends[p] = None
+        if end is None:
+            break
+        if b[p + 5] & 4:
+            ends[p] = end
+            break
+        p = end
+    for q in walked:
+        ends[q] = ends[p]
+    return ends[at] - at if ends[at] else None
+
+
+def _pdf(b: Blob, at: int) -> int | None:
+    """Up to the last end marker before the next header, behind an object and a cross reference."""
+    heads, ends = b.all(b"%PDF-"), b.all(b"%%EOF")
+    following = bisect.bisect_right(heads, at)
+    k = bisect.bisect_left(ends, heads[following] if following < len(heads) else len(b)) - 1
+    if k < 0 or ends[k] < at:
+        return None
+    first = lambda marks: marks[i] if (i := bisect.bisect_left(marks, at)) < len(marks) else len(b)
+    return ends[k] + 5 - at if first(b.all(b" obj")) < first(b.all(b"startxref")) < ends[k] else None
+
+
+def _gzip(b: Blob, at: int) -> int | None:
+    """A member whose check sum holds; read in pieces, and not again inside one that held."""
+    if at + 18 > len(b) or b[at + 3] & 0xE0 or at < b.known.get("gzip", 0):
+        return None
+    reader, p = zlib.decompressobj(31), at
     try:
-        piece = bytes(b[at:])
-        while piece and not reader.eof:
+        while p < len(b) and not reader.eof:
+            piece = reader.unconsumed_tail or bytes(b[p : p + (1 << 14)])
+            p += 0 if reader.unconsumed_tail else len(piece)
             reader.decompress(piece, 1 << 16)
-            piece = reader.unconsumed_tail
+        while reader.unconsumed_tail and not reader.eof:
+            reader.decompress(reader.unconsumed_tail, 1 << 16)
     except zlib.error:
         return None
-    return len(b) - at - len(reader.unused_data) if reader.eof else None
+    if not reader.eof:
+        return None
+    b.known["gzip"] = end = p - len(reader.unused_data)
+    return end - at
 
 
-def _zip(b: memoryview, at: int) -> int | None:
-    whole = bytes(b[at:])
-    end = whole.find(b"PK\5\6")
-    if end < 0 or end + 22 > len(whole):
-        return None
-    entries, size, start, note = struct.unpack_from("<HIIH", whole, end + 10)
-    return end + 22 + note if entries and start + size == end and whole[start : start + 4] == b"PK\1\2" and end + 22 + note <= len(whole) else None
+def _zip(b: Blob, at: int) -> int | None:
+    """Archives by the end records that say where they begin."""
+    if "zip" not in b.known:
+        b.known["zip"] = {}
+        for end in b.all(b"PK\5\6"):
+            if end + 22 > len(b):
+                continue
+            entries, size, start, note = struct.unpack_from("<HIIH", b.view, end + 10)
+            directory = end - size
+            if entries and directory >= start and end + 22 + note <= len(b) and bytes(b[directory : directory + 4]) == b"PK\1\2":
+                b.known["zip"].setdefault(directory - start, end + 22 + note)
+    end = b.known["zip"].get(at)
+    return end - at if end else None
 
 
 #: Magic bytes and media types. A validator gives the length of what starts there, or None.
@@ -188,7 +267,7 @@ _magic = _automaton()
 
 def carve(blob: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all media with valid structure that lie in no other one, in order, and of those inside."""
-    view, out = memoryview(blob), []
+    view, out = Blob(blob), []
     for end, (n, which) in _magic.iter(blob.decode("latin-1")):
         at = end - n + 1
         for i in which:
@@ -216,31 +295,38 @@ def wav_samples(blob: bytes, at: int, length: int) -> bytes:
     return b""
 
 
-def _sniffed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sniffed(names: tuple[str, str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     parts = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("media_type", pa.string())]))
-    for batch in common.chunks(batches, "media"):
-        types, inside = [], []
-        for blob, declared in zip(batch.column("media").to_pylist(), batch.column("declared_type").to_pylist(), strict=True):
-            found = carve(blob) if blob else []
-            types.append(None if not blob else next((t for at, _, t in found if at == 0), declared))
-            inside.append([{"start": at, "length": n, "media_type": t} for at, n, t in found if at])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types, pa.string()), pa.array(inside, parts)], names=[*batch.schema.names, "media_type", "embedded"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "media"):
+            types, inside = [], []
+            for blob, declared in zip(batch.column("media").to_pylist(), batch.column("declared_type").to_pylist(), strict=True):
+                found = carve(blob) if blob else []
+                types.append(None if not blob else next((t for at, _, t in found if at == 0), declared))
+                inside.append([{"start": at, "length": n, "media_type": t} for at, n, t in found if at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types, pa.string()), pa.array(inside, parts)], names=[*batch.schema.names, *names])
+
+    return run
 
 
 def sniff(df: DataFrame) -> DataFrame:
     """Adds media_type and embedded (start, length, media_type) to a frame with columns media and declared_type."""
-    kept = df.drop("media_type", "embedded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(_sniffed, f"{schema}, media_type string, embedded array<struct<start: long, length: long, media_type: string>>")
+    names = []
+    for name in ("media_type", "embedded"):
+        while name in df.columns:
+            name = f"_{name}"
+        names.append(name)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(_sniffed((names[0], names[1])), f"{schema}, {names[0]} string, {names[1]} array<struct<start: long, length: long, media_type: string>>")
 
 
 def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as sound files, declared as something else by turns."""
-    wrong = ("image/png", "application/pdf", "audio/wav", None)
+    """Texts as sound files, declared as mere bytes."""
     for batch in common.chunks(batches):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         media = [wav(t.ljust(max(BLOCK, -(-len(t) // BLOCK) * BLOCK))) for t in texts]
-        yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array([wrong[len(t) % 4] for t in texts], pa.string())], names=["doc_id", "n_bytes", "media", "declared_type"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary()), pa.array([DECLARED] * len(texts))], names=["doc_id", "n_bytes", "media", "declared_type"])
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +337,14 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             blob = r["media"]
             payload = wav_samples(blob, 0, len(blob)) if r["media_type"] == "audio/wav" else b""
-            feature = f"{r['media_type']};declared={r['declared_type']};" + ",".join(f"{x['media_type']}@{x['start']}+{x['length']}" for x in r["embedded"])
+            feature = f"{r['media_type']};" + ",".join(f"{x['media_type']}@{x['start']}+{x['length']}" for x in r["embedded"])
             rows.append((r["doc_id"], r["n_bytes"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def op6_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as 8-bit sound, wrongly declared at times, sniffed, and read back."""
+    """All documents stored as 8-bit sound, declared as mere bytes, sniffed, and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = docs.mapInArrow(_stored, "doc_id long, n_bytes long, media binary, declared_type string")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
