@@ -1,5 +1,7 @@
 """Byte-level BPE against the tiktoken library."""
 
+import hashlib
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -7,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cohortlake.llm import bpe
+from tests.llm.helpers import odd_texts, prose, table
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -45,3 +48,18 @@ def test_perfect_hash_is_minimal_and_exact():
     h = bpe.PerfectHash(keys)
     assert sorted(h.slot_key) == list(range(3000))
     assert (h.candidates(keys) == range(3000)).all()
+
+
+def test_query_on_frames(spark, both):
+    _, reference = both
+    texts = [*odd_texts(), *CASES, prose(7, 20_000)]
+    rows = {r["doc_id"]: r for r in bpe.encode_decode(table(spark, texts), PATH, digests=True).collect()}
+    plain = {r["doc_id"]: r for r in bpe.encode_decode(table(spark, texts), PATH).collect()}
+    assert len(rows) == len(plain) == len(texts)
+    for i, t in enumerate(texts):
+        found = reference.encode_ordinary(t or "")
+        raw = b"".join(x.to_bytes(4, "little") for x in found)
+        assert (rows[i]["n_tokens"], rows[i]["ids_sha256"], rows[i]["decoded_sha256"]) == (len(found), hashlib.sha256(raw).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (bytes(plain[i]["ids"]), bytes(plain[i]["decoded"])) == (raw, (t or "").encode())
+    assert bpe.encode_decode(table(spark, []), PATH).count() == 0
+    assert [r["doc_id"] for r in bpe.encode_decode(table(spark, ["a", "a"], [None, None]), PATH).collect()] == [None, None]
