@@ -7,8 +7,10 @@ the toxic text as a whole. A document is cut in windows of eight words; from the
 toxic dictionary come a few features, and a logistic curve calibrated on documents that the dictionaries were not trained on
 gives the score.
 
-The dictionaries are trained on a bounded sample: SAMPLE labelled documents of each class, chosen by a hash of doc_id,
-none of the held-out fold. Everything else covers whole texts of all documents.
+The dictionaries are trained on a bounded sample: SAMPLE labelled documents of each class, chosen by a hash of doc_id, none
+of the held-out fold, and of their windows WINDOWS of each class and half, chosen by a hash of the window. The sampled documents are
+taken whole whatever their length; their texts stay in the tasks, which send windows, telling words and features only.
+Everything else covers whole texts of all documents.
 
 Defined results: null and empty texts have no windows and get the score of a text without any toxic saving; if labels of
 either class are missing, every score is 0; labels that are null or neither 0 nor 1 are ignored; a doc_id with several
@@ -19,20 +21,20 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import common
 
-#: Labelled documents of each class to learn from, and the longest one taken, in characters.
+#: Labelled documents of each class to learn from, and windows of each class and half of them.
 SAMPLE = 4000
-SAMPLE_CHARS = 50_000
+WINDOWS = 30_000
 #: Words a window.
 WINDOW = 8
 #: Bytes of either trained dictionary.
@@ -50,54 +52,26 @@ def windows(text: str | None) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
 
 
-def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+def _trained(samples: list[bytes]) -> bytes:
     """Content of a dictionary trained on samples; where they are too few for training, the samples themselves."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6, level=3).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=64, d=6, level=3).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
-
-
-def _contexts(texts: list[str]) -> Counter:
-    """In how many different surroundings (the words on either side) each word stands, so that copies count once."""
-    found: set[int] = set()
-    counts: Counter = Counter()
-    for t in texts:
-        words = [b"", *t.encode("utf-8", "surrogatepass").lower().split(), b""]
-        for around in zip(words, words[1:], words[2:], strict=False):
-            key = hash(around)
-            if key not in found:
-                found.add(key)
-                counts[around[1]] += 1
-    return counts
-
-
-def _telling(samples: list[bytes]) -> bytes:
-    """A dictionary of telling words: all of them where they fit, else what the trainer picks."""
-    whole = b"".join(sorted(set(samples)))
-    if len(whole) <= DICTIONARY_BYTES:
-        return whole
-    return _trained([b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)], DICTIONARY_BYTES, 16)
+        return b"".join(dict.fromkeys(samples))
 
 
 class Dictionaries:
     """The ordinary, the toxic and the telling dictionary; savings() compares window lengths under them."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
-        rng = random.Random(7)
-        seen = [_contexts(texts) for texts in (toxic, ordinary)]
-        least = max(2, math.ceil(TELLING_SHARE * len(toxic)))
-        telling = [w for w, n in seen[0].items() if n >= least and n / len(toxic) >= TELLING_RATIO * (seen[1][w] + 0.5) / len(ordinary)]
-        telling.sort(key=lambda w: (seen[0][w], w))
+    def __init__(self, toxic: list[bytes], ordinary: list[bytes], telling: list[bytes]) -> None:
+        """From windows of either class, and telling words, the most telling last."""
         trained = []
-        for texts in (ordinary, toxic):
-            cut = [w for t in texts for w in windows(t)]
-            rng.shuffle(cut)
-            trained.append(_trained(cut[:60_000], DICTIONARY_BYTES, 64))
+        for windows_ in (ordinary, toxic):
+            shuffled = sorted(windows_)
+            random.Random(7).shuffle(shuffled)
+            trained.append(_trained(shuffled))
         self.ordinary, self.toxic = trained
-        words = [b" " + w + b" " for w in telling for _ in range(min(seen[0][w], 50))]
-        rng.shuffle(words)
-        self.telling = _telling(words)
+        self.telling = b"".join(b" " + w + b" " for w in telling)
         self._open()
 
     def _open(self) -> None:
@@ -148,28 +122,82 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     """Dictionaries and a calibrated curve."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
-        rows, marks = [], []
-        for fold in (0, 1):  # each half is measured under the dictionaries of the other
-            held = Dictionaries(toxic[fold::2], ordinary[fold::2])
-            for mark, texts in ((1, toxic[1 - fold :: 2]), (0, ordinary[1 - fold :: 2])):
-                rows += [features(held.savings(t)) for t in texts]
-                marks += [mark] * len(texts)
-        self.beta = _logistic(np.array(rows), np.array(marks))
-        self.dictionaries = Dictionaries(toxic, ordinary)
+    def __init__(self, dictionaries: Dictionaries, beta: np.ndarray) -> None:
+        self.dictionaries, self.beta = dictionaries, beta
 
     def score(self, text: str | None) -> float:
         z = self.beta[0] + float(np.dot(self.beta[1:], features(self.dictionaries.savings(text))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, half, h, w): all windows with a hash."""
+    for batch in common.chunks(batches):
+        rows = [(t, f, xxhash.xxh64_intdigest(w) >> 1, w) for t, f, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True) for w in windows(text)]
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["toxic", "half", "h", "w"])
+
+
+def _surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, half, w, h): words, and hashes of the words on either side with them, each once for a text."""
+    for batch in common.chunks(batches):
+        rows = []
+        for t, f, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True):
+            words = [b"", *text.encode("utf-8", "surrogatepass").lower().split(), b""]
+            rows += [(t, f, x[1], xxhash.xxh64_intdigest(b" ".join(x)) >> 1) for x in set(zip(words, words[1:], words[2:], strict=False))]
+        if rows:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["toxic", "half", "w", "h"])
+
+
+def _measured(halves: list[Dictionaries]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(toxic, x): features of each text under the dictionaries of the other half."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches):
+            found = [features(halves[1 - f].savings(t)) for f, t in zip(batch.column("half").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return run
+
+
+def _telling(rows: DataFrame, sizes: dict[tuple[int, int], int]) -> list[list[bytes]]:
+    """The telling words of either half and of both (part 2). Surroundings are counted once, so that copies count once.
+
+    A word comes here only where it stands in TELLING_SHARE surroundings for each toxic document and is TELLING_RATIO
+    times rarer in ordinary ones.
+    """
+    each = rows.mapInArrow(_surroundings, "toxic int, half int, w binary, h long").select("toxic", "w", "h", F.explode(F.array("half", F.lit(2))).alias("part")).distinct()
+    counts = each.groupBy("part", "w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
+    test = F.lit(False)
+    for part in (0, 1, 2):
+        toxic, ordinary = (sum(n for (k, half), n in sizes.items() if k == c and part in (half, 2)) for c in (1, 0))
+        test |= (F.col("part") == part) & (F.col("t") >= max(2, math.ceil(TELLING_SHARE * toxic))) & (F.col("t") * ordinary >= TELLING_RATIO * toxic * (F.col("o") + 0.5))
+    found: list[list[tuple]] = [[], [], []]
+    for r in counts.where(test).collect():
+        found[r["part"]].append((r["t"], bytes(r["w"])))
+    return [[w for _, w in sorted(own)] for own in found]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
-    """Fits on SAMPLE documents of each class at most; None if a class is missing."""
-    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(common.held() != 0)
-    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(SAMPLE))
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").toPandas().sort_values(["doc_id", "text"])
-    toxic, ordinary = (rows.loc[rows["toxic"] == k, "text"].tolist() for k in (1, 0))
-    return ToxicityModel(toxic, ordinary) if len(toxic) > 1 and len(ordinary) > 1 else None
+    """Fits on SAMPLE documents of each class at most; None if either half of a class is missing."""
+    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(common.held() != 0)
+    order = F.xxhash64("doc_id")
+    chosen = known.where("toxic = 1").orderBy(order).limit(SAMPLE).union(known.where("toxic = 0").orderBy(order).limit(SAMPLE))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    rows = common.written(docs.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("toxic", half, "text").repartition(32), "labelled")
+    sizes = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 4:
+        return None
+    cut = common.written(rows.mapInArrow(_cut, "toxic int, half int, h long, w binary"), "windows")
+    sampled = {}
+    for toxic, own in sizes:
+        sampled[toxic, own] = [bytes(r["w"]) for r in cut.where((F.col("toxic") == toxic) & (F.col("half") == own)).orderBy("h", "w").limit(WINDOWS).select("w").collect()]
+    telling = _telling(rows, sizes)
+    halves = [Dictionaries(sampled[1, h], sampled[0, h], telling[h]) for h in (0, 1)]
+    measured = rows.mapInArrow(_measured(halves), "toxic int, x array<double>").toPandas()  # a row a sampled document
+    measured = measured.assign(key=[tuple(x) for x in measured["x"]]).sort_values(["toxic", "key"])
+    beta = _logistic(np.array(measured["x"].tolist()), measured["toxic"].to_numpy())
+    return ToxicityModel(Dictionaries(sampled[1, 0] + sampled[1, 1], sampled[0, 0] + sampled[0, 1], telling[2]), beta)
 
 
 def _scores(model: ToxicityModel | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

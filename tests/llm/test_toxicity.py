@@ -1,8 +1,11 @@
 """Held-out accuracy of the toxicity scores."""
 
+import pickle
 import random
 import zlib
 
+import zstandard
+
 from cohortlake.llm import toxicity
 from tests.llm.helpers import odd_texts, prose, table
 
@@ -50,11 +53,33 @@ def phrases(start, n):
     return out
 
 
-def test_toxic_phrases_of_ordinary_words():
+def test_toxic_phrases_of_ordinary_words(spark):
     train, held = phrases(0, 600), phrases(600, 200)
-    model = toxicity.ToxicityModel(train[::4], [t for i, t in enumerate(train) if i % 4])
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.learn(table(spark, train), marks)
     found = [model.score(t) >= 0.5 for t in held]
-    assert sum(f == (i % 4 == 0) for i, f in enumerate(found)) / len(found) >= 0.9
+    assert sum(f == (i % 4 == 0) for i, f in enumerate(found)) / len(found) >= 0.85
+
+
+def test_savings_are_differences_of_compressed_lengths():
+    own = toxicity.Dictionaries([b" some toxic words of a text "] * 9, [b" ordinary words of another one "] * 9, [b"toxic"])
+    text = "ordinary words and some toxic words of a text that goes on for more than one window"
+    plain, telling, toxic = (
+        zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, min_match=toxicity.MIN_MATCH, write_content_size=False, write_dict_id=False))
+        for d in (own.ordinary, own.telling + own.ordinary, own.toxic + own.ordinary)
+    )
+    words = text.encode().split()
+    cut = [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
+    expected = [[len(plain.compress(w)) - len(c.compress(w)) for w in cut] for c in (telling, toxic)]
+    assert own.savings(text).tolist() == expected and max(expected[1]) > 3
+    assert pickle.loads(pickle.dumps(own)).savings(text).tolist() == expected
+
+
+def test_long_labelled_texts_teach(spark):
+    texts, labels = corpus(400)
+    texts = [t + " " + prose(10**6 + i, 9000, 2000) if labels[i][1] else t for i, t in enumerate(texts)]  # toxic ones are over 50,000 characters
+    model = toxicity.learn(table(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(w.encode() in model.dictionaries.telling for w in BAD)
 
 
 def test_missing_labels_and_rows(spark):
