@@ -10,10 +10,11 @@ share one again with S = 16, and only those that share one of these emit all the
 
 A line is dropped if an equal or near line comes before it, in order of doc_id and line number.
 
-Defined results: lines end at U+000A; blank lines are never dropped; lines under MIN_CHARS characters are near to equal ones
-only; null and empty texts have no lines and stay as they are; rows that share a doc_id count as one document of which none
-is earlier, and only what is dropped for its own content is dropped; rows without doc_id come first and take part in the
-comparison for equality; extra columns are kept; an empty table gives an empty result.
+Defined results: lines end at U+000A; blank lines are never dropped; with min_chars, lines of fewer characters are copies of
+equal ones only (a changed character in a short line makes another item of a list, not a copy); null and empty texts have
+no lines and stay as they are; rows that share a doc_id count as one document of which none is earlier, and only what is
+dropped for its own content is dropped; rows without doc_id come first; extra columns are kept (but for names that begin with
+two underscores, which are this module's); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import common
 
-#: Shorter lines are compared for equality only.
-MIN_CHARS = 20
 #: Text that a task holds as numbers at a time; about forty times as many bytes.
 CHUNK_BYTES = 1 << 20
+#: In the pipeline, shorter lines are copies of equal ones only.
+PIPELINE_MIN_CHARS = 20
 #: Segments of the first and of the second sieve.
 SIEVES = (2, 16)
 
@@ -98,24 +99,34 @@ def _hash(line: str) -> tuple[int, int]:
     return int.from_bytes(found[:8], "big", signed=True), int.from_bytes(found[8:], "big", signed=True)
 
 
-def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    common.remember("lines", lambda: None)
-    names = ["doc_id", "line_no", "h1", "h2", "n", "keys"]
-    for batch in common.chunks(batches, limit=CHUNK_BYTES):
-        at, texts = [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for i, line in enumerate(text.split("\n") if text else ()):
-                if line and not line.isspace():
-                    at.append((doc_id, i, *_hash(line), len(line)))
-                    texts.append(line)
-        if not at:
-            continue
-        fuzzy = [len(x) >= MIN_CHARS for x in texts]
+def _lines(min_chars: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, doc_id, line_no, h1, h2, keys) of all lines that are not blank."""
+    names, kinds = ["row", "doc_id", "line_no", "h1", "h2"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def out(at: list[tuple], texts: list[str]) -> pa.RecordBatch:
+        fuzzy = [len(x) >= min_chars for x in texts]
         keys = Rolled([x for x, f in zip(texts, fuzzy, strict=True) if f]).segment_keys(SIEVES[0]).view(np.int64)
         ends = np.cumsum(np.r_[0, np.where(fuzzy, keys.shape[1], 0)]).astype(np.int32)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         columns = [pa.array(c, k) for c, k in zip(zip(*at, strict=True), kinds, strict=True)]
-        yield pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=names)
+        return pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=[*names, "keys"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.remember("lines", lambda: None)
+        for batch in common.chunks(batches, limit=CHUNK_BYTES):
+            at, texts, size = [], [], 0
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                for i, line in enumerate(text.split("\n") if text else ()):
+                    if line and not line.isspace():
+                        at.append((row, doc_id, i, *_hash(line)))
+                        texts.append(line)
+                        size += len(line)
+                        if size >= CHUNK_BYTES:  # a long text is not held as numbers at once
+                            yield out(at, texts)
+                            at, texts, size = [], [], 0
+            if at:
+                yield out(at, texts)
+
+    return run
 
 
 def _candidates(wanted: common.KeyFilter) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,10 +136,10 @@ def _candidates(wanted: common.KeyFilter) -> Callable[[Iterable[pa.RecordBatch]]
         for batch in common.chunks(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = {x for x in text.split("\n") if len(x) >= MIN_CHARS and not x.isspace()} if text and doc_id is not None else ()
+                own = {x for x in text.split("\n") if x and not x.isspace()} if text else ()
                 rows += [(doc_id, *_hash(x), x) for x in own]
             if rows:
-                keep = wanted(np.array([r[1] for r in rows], np.int64) ^ np.array([r[0] for r in rows], np.int64))
+                keep = wanted(np.array([r[1] for r in rows], np.int64) ^ np.array([r[0] or 0 for r in rows], np.int64))
                 rows = [r for r, k in zip(rows, keep.tolist(), strict=True) if k]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -154,7 +165,8 @@ def _variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.r_[shorter, whole].view(np.int64)), pa.array(place.astype(np.int32)), batch.column("at").take(pa.array(line))], names=["key", "place", "at"])
 
 
-_AT = "at struct<doc_id: long, line_no: int>"
+#: A distinct line: its first place, and its hash, as rows that share a doc_id may have different lines in one place.
+_AT = "at struct<doc_id: long, line_no: int, h1: long, h2: long>"
 
 
 def _sharing(keyed: DataFrame) -> DataFrame:
@@ -165,11 +177,12 @@ def _sharing(keyed: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(later, earlier): of the distinct lines (h1, h2, at, keys), all verified pairs that make the later one a near copy."""
-    first = common.written(_sharing(distinct.where(F.size("keys") > 0)).join(distinct.select("at", "h1", "h2"), "at"), "sifted-lines")
-    wanted = common.key_filter(first.where("at.doc_id IS NOT NULL"), F.col("h1").bitwiseXOR(F.col("at.doc_id")))
+    """(later, earlier): of the distinct lines (at, keys), all verified pairs that make the later one a near copy."""
+    first = common.written(_sharing(distinct.where(F.size("keys") > 0)), "sifted-lines")
+    wanted = common.key_filter(first, F.col("at.h1").bitwiseXOR(F.coalesce("at.doc_id", F.lit(0))))
     texts = docs.select("doc_id", "text").mapInArrow(_candidates(wanted), "doc_id long, h1 long, h2 long, line string")
-    found = common.written(first.select("at", "h1", "h2", F.col("at.doc_id").alias("doc_id")).join(texts, ["doc_id", "h1", "h2"]).select("at", "line").dropDuplicates(["at"]), "sifted-texts")
+    named = first.select("at", F.col("at.h1").alias("h1"), F.col("at.h2").alias("h2"), F.coalesce("at.doc_id", F.lit(0)).alias("doc_id"))
+    found = common.written(named.join(texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), ["doc_id", "h1", "h2"]).select("at", "line").dropDuplicates(["at"]), "sifted-texts")
     second = _sharing(found.mapInArrow(_segment_keys, f"{_AT}, keys array<long>"))
     rows = common.written(found.join(second, "at", "left_semi").mapInArrow(_variants, f"key long, place int, {_AT}"), "line-variants")
     less = rows.where("place >= 0")
@@ -181,31 +194,35 @@ def near_pairs(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return sides.where(F.levenshtein("x", "y", 1) >= 0).select("later", "earlier")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_exact, n_near, drops (array of line_no and hash) for each document that loses lines."""
-    lines = common.written(docs.select("doc_id", "text").mapInArrow(_lines, "doc_id long, line_no int, h1 long, h2 long, n long, keys array<long>"), "lines")
-    distinct = common.written(
-        lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "distinct-lines"
-    )
-    near = near_pairs(docs, distinct).select(F.col("later").alias("at")).distinct().withColumn("near", F.lit(True))
+def dropped_lines(docs: DataFrame, min_chars: int = 0) -> DataFrame:
+    """__row, __exact, __near, __drops (array of line_no and hash) for each row that loses lines; __row is _row()."""
+    lines = common.written(docs.select(_row().alias("row"), "doc_id", "text").mapInArrow(_lines(min_chars), "row long, doc_id long, line_no int, h1 long, h2 long, keys array<long>"), "lines")
+    place = F.struct("doc_id", "line_no", "h1", "h2")
+    distinct = common.written(lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "distinct-lines")
+    near = near_pairs(docs, distinct.select("at", "keys")).select(F.col("later").alias("at")).distinct().withColumn("near", F.lit(True))
     flagged = common.written(distinct.select("h1", "h2", "at", "copies").join(near, "at", "left").where("near OR copies > 1").select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")), "flagged-lines")
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(flagged, ["h1", "h2"]).withColumn("copy", ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).where("near OR copy")
-    return common.written(
-        gone.groupBy("doc_id").agg(F.sum(F.col("copy").cast("long")).alias("n_exact"), F.sum((~F.col("copy")).cast("long")).alias("n_near"), F.collect_list(F.struct("line_no", "h1")).alias("drops")), "dropped-lines"
-    )
+    gone = lines.select("row", "doc_id", "line_no", "h1", "h2").join(flagged, ["h1", "h2"]).withColumn("copy", ~place.eqNullSafe(F.col("at"))).where("near OR copy")
+    # equal rows have equal drops, so each place counts once for them
+    each = gone.groupBy("row", "line_no", "h1").agg(F.max("copy").alias("copy"))
+    return common.written(each.groupBy("row").agg(F.sum(F.col("copy").cast("long")).alias("__exact"), F.sum((~F.col("copy")).cast("long")).alias("__near"), F.collect_list(F.struct("line_no", "h1")).alias("__drops")).withColumnRenamed("row", "__row"), "dropped-lines")
+
+
+def _row() -> Column:
+    """What tells rows apart: rows without doc_id, or that share one, by their texts."""
+    return F.xxhash64("doc_id", "text")
 
 
 def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches):
         out = []
-        for text, drops in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True):
+        for text, drops in zip(batch.column("text").to_pylist(), batch.column("__drops").to_pylist(), strict=True):
             if text and drops:
                 gone: dict[int, set[int]] = {}
                 for d in drops:
                     gone.setdefault(d["line_no"], set()).add(d["h1"])
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone or _hash(x)[0] not in gone[i])
             out.append(text)
-        names = [c for c in batch.schema.names if c != "drops"]
+        names = [c for c in batch.schema.names if c != "__drops"]
         yield pa.record_batch([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
 
@@ -220,24 +237,25 @@ def _split(chosen: common.KeyFilter, inside: bool) -> Callable[[Iterable[pa.Reco
     return run
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 0) -> DataFrame:
     """All rows and columns of docs with the repeated lines gone from text, and __n_exact, __n_near: the lines dropped.
 
     Only documents that lose lines are joined with their drops; the others pass by.
     """
-    drops = dropped_lines(docs)
-    chosen = common.key_filter(drops.select("doc_id"), F.xxhash64("doc_id"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id"))
+    drops = dropped_lines(docs, min_chars)
+    chosen = common.key_filter(drops.select("__row"), F.col("__row"))
+    keyed = docs.withColumn("__key", _row())
     untouched = keyed.mapInArrow(_split(chosen, False), docs.schema).withColumns({"__n_exact": F.lit(0).cast("long"), "__n_near": F.lit(0).cast("long")})
-    changed = keyed.mapInArrow(_split(chosen, True), docs.schema)
-    joined = changed.join(drops.withColumnRenamed("doc_id", "__id"), F.expr("doc_id <=> __id"), "left").select(*(changed[c] for c in docs.columns), F.coalesce("n_exact", F.lit(0)).alias("__n_exact"), F.coalesce("n_near", F.lit(0)).alias("__n_near"), "drops")
+    changed = keyed.mapInArrow(_split(chosen, True), docs.schema).withColumn("__row", _row())
+    counts = [F.coalesce(c, F.lit(0)).alias(f"__n{c[1:]}") for c in ("__exact", "__near")]
+    joined = changed.join(drops, "__row", "left").select(*docs.columns, *counts, "__drops")
     return untouched.unionByName(joined.mapInArrow(_without, untouched.schema))
 
 
-def keep_first_lines(docs: DataFrame) -> DataFrame:
+def keep_first_lines(docs: DataFrame, min_chars: int = PIPELINE_MIN_CHARS) -> DataFrame:
     """Documents without repeated lines and with n_chars to match; those of which nothing is left go."""
     blank = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")) == ""
-    found = line_dedup(docs).where(~(blank("text") & (F.col("__n_exact") + F.col("__n_near") > 0)))
+    found = line_dedup(docs, min_chars).where(~(blank("text") & (F.col("__n_exact") + F.col("__n_near") > 0)))
     return found.withColumn("n_chars", F.when(F.col("__n_exact") + F.col("__n_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
