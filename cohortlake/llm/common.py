@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.plans.lineage import shared_dir
+
 #: Bytes of text that a Python task works on at a time, so that its memory does not follow the batch size.
 CHUNK_BYTES = 4 << 20
 
@@ -29,15 +30,6 @@ def remember(owner: str, forget: Callable[[], None]) -> None:
     _memories[owner] = forget
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("cohortlake.shared.dir", None) or tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("cohortlake.shared.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -79,17 +71,18 @@ def numbered(df: DataFrame, group: str, order: list, name: str, out: str) -> Dat
     key = [F.col(group), *order]
     placed = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__at", F.monotonically_increasing_id())
     placed = written(placed.withColumn("__part", F.shiftright("__at", 33)), name)
+    # a row a task and group: sums within a group go over its tasks in order
     counts = placed.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    before = counts.alias("a").join(counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.col("__n").alias("__m")).alias("b"), F.expr(f"a.{group} <=> b.__g AND b.__p < a.__part"), "left")
-    offsets = before.groupBy(group, "__part").agg(F.first("__first").alias("__first"), F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
-    return placed.join(offsets.withColumnsRenamed({group: "__g"}), F.expr(f"{group} <=> __g") & (placed["__part"] == offsets["__part"])).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__first", "__before", "__part", "__g")
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(offsets, F.expr(f"{group} <=> __g AND __part = __p")).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__first", "__before", "__part", "__g", "__p")
 
 
 class KeyFilter:
-    """A Bloom filter of 64-bit keys in a fixed number of bits: it may let other keys pass, it never holds back its own.
+    """A Bloom filter of 64-bit keys: it may let other keys pass, it never holds back its own.
 
-    Its size does not follow the data. Where it fills up, more rows pass and the joins behind it do more work; results
-    stay the same.
+    It has FILTER_BITS_A_KEY bits for each key, up to a bound. Beyond that more rows pass and the joins behind it do more work;
+    results stay the same.
     """
 
     def __init__(self, words: np.ndarray) -> None:
@@ -97,7 +90,7 @@ class KeyFilter:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         keys = keys.view(np.uint64)
-        mask = np.uint64(FILTER_BITS - 1)
+        mask = np.uint64(64 * len(self.words) - 1)
         found = np.ones(len(keys), bool)
         for shift in FILTER_SHIFTS:
             at = (keys >> np.uint64(shift)) & mask
@@ -105,15 +98,19 @@ class KeyFilter:
         return found
 
 
-#: Bits of a KeyFilter (2 MB), and where a key's three places are read from.
-FILTER_BITS = 1 << 24
-FILTER_SHIFTS = (0, 20, 40)
+#: Bits of a KeyFilter for each key; bits at least, and at most (16 MB); and where a key's three places are read from.
+FILTER_BITS_A_KEY, FILTER_LEAST, FILTER_MOST = 12, 1 << 16, 1 << 27
+FILTER_SHIFTS = (0, 18, 36)
 
 
-def key_filter(df: DataFrame, key) -> KeyFilter:
-    """The filter of the values of a long column. What comes to the driver is the filter itself: FILTER_BITS / 64 numbers at most."""
-    at = F.explode(F.array(*(F.shiftrightunsigned(key, s).bitwiseAND(F.lit(FILTER_BITS - 1)) for s in FILTER_SHIFTS)))
+def key_filter(df: DataFrame, key: Column) -> KeyFilter:
+    """The filter of the values of a long column. What comes to the driver is the filter itself: FILTER_MOST / 64 numbers at most."""
+    bits = FILTER_LEAST
+    wanted = FILTER_BITS_A_KEY * df.count()
+    while bits < min(wanted, FILTER_MOST):
+        bits *= 2
+    at = F.explode(F.array(*(F.shiftrightunsigned(key, s).bitwiseAND(F.lit(bits - 1)) for s in FILTER_SHIFTS)))
     words = df.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out = np.zeros(bits // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return KeyFilter(out)

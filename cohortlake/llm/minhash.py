@@ -35,8 +35,8 @@ PERCENT = 75
 #: Minhashes joined in each value of a collection, and values in it: a pair with similarity s is missed with probability
 #: below 2 * (1 - s ** JOINED) ** COLLECTION, at 0.75 about 0.003 and at 0.8 about 0.0004.
 JOINED, COLLECTION = 3, 12
-#: Sets that are compared in one go with as many others.
-PACK = 64
+#: Sets that are compared in one go with as many others, and shingles of a pack (both on average).
+PACK, PACK_SHINGLES = 64, 1 << 16
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -206,24 +206,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
 
     # What the centres left in several components. Of a bucket's components the largest is its home; members of the others
-    # are strays. Strays are compared with their home, and with those they share a bucket with, in packs of sets: how
-    # often two packs share a bucket does not matter, so the number of buckets and their squares stay out of it.
+    # are strays. Strays are compared with the other members of their buckets in packs of sets, once whatever the number of
+    # buckets that two packs share.
     of = common.written(members.select("rep").distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "component-of")
     counts = of.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
-    placed = members.select("key", "rep").join(of.join(counts, "component"), "rep")
+    placed = members.select("key", "rep", "n").join(of.join(counts, "component"), "rep")
     homes = placed.groupBy("key").agg(F.max(F.struct("c", "component")).alias("h"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key", F.col("h.component").alias("home"))
-    strays = common.written(placed.join(homes, "key").where("component <> home").select("key", "home", "rep"), "strays")
-    each = strays.select("home", "rep").distinct()
-    pack = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / PACK).cast("long"))
-    sizes = each.groupBy("home").agg(F.count(F.lit(1)).alias("s"))
-    together = lambda df, *keys: df.join(sets, "rep").groupBy(*keys).agg(F.collect_list(F.struct("rep", "shingles")).alias("xs"))
-    packs = common.written(together(each.join(sizes, "home").withColumn("p", pack("s")), "home", "p"), "stray-packs")
-    own = together(of.withColumnRenamed("component", "home").join(sizes, "home", "left_semi").join(counts.withColumnRenamed("component", "home"), "home").withColumn("q", pack("c")), "home", "q")
-    at_home = packs.select("home", "xs").join(own.select("home", F.col("xs").alias("ys")), "home").select("xs", "ys")
-    seen = strays.join(sizes, "home").select("key", "home", pack("s").alias("p")).distinct()
-    meet = seen.join(seen.withColumnRenamed("p", "q"), ["key", "home"]).where("p <= q").select("home", "p", "q").distinct()
-    abroad = meet.join(packs, ["home", "p"]).select("home", "q", "xs").join(packs.select("home", F.col("p").alias("q"), F.col("xs").alias("ys")), ["home", "q"]).select("xs", "ys")
-    found = common.written(at_home.union(abroad).mapInArrow(_compare, "a long, b long").where("a <> b"), "near-links")
+    here = common.written(placed.join(homes, "key").select("key", "home", "rep", "n", (F.col("component") != F.col("home")).alias("stray")), "strays")
+    each = here.select("home", "stray", "rep", "n").distinct()
+    sizes = each.groupBy("home", "stray").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PACK), F.ceil(F.sum("n") / PACK_SHINGLES)).cast("long").alias("s"))
+    # slim rows say which packs share a bucket; sets move once for each pack and are joined by pack, never by home alone
+    numbered = common.written(each.join(sizes, ["home", "stray"]).select("home", "stray", "rep", F.pmod(F.xxhash64("rep"), "s").alias("p")), "pack-numbers")
+    packs = common.written(numbered.join(sets, "rep").groupBy("home", "stray", "p").agg(F.collect_list(F.struct("rep", "shingles")).alias("xs")), "packs")
+    seen = common.written(here.select("key", "home", "stray", "rep").join(numbered, ["home", "stray", "rep"]).select("key", "home", "stray", "p").distinct(), "packs-of-buckets")
+    mine = seen.where("stray").select("key", "home", "p")
+    other = seen.select("key", "home", F.col("stray").alias("both"), F.col("p").alias("q"))
+    meet = common.written(mine.join(other, ["key", "home"]).where("NOT both OR p <= q").select("home", "p", "both", "q").distinct(), "packs-that-meet")
+    left = packs.where("stray").select("home", "p", "xs")
+    right = packs.select("home", F.col("stray").alias("both"), F.col("p").alias("q"), F.col("xs").alias("ys"))
+    compared = meet.join(left, ["home", "p"]).join(right, ["home", "both", "q"]).select("xs", "ys")
+    found = common.written(compared.mapInArrow(_compare, "a long, b long").where("a <> b"), "near-links")
     if not found.isEmpty():
         labels = connected_components(links.union(found))
 
