@@ -197,6 +197,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     measured = rows.mapInArrow(_measured(halves), "toxic int, x array<double>").toPandas()  # a row a sampled document
     measured = measured.assign(key=[tuple(x) for x in measured["x"]]).sort_values(["toxic", "key"])
     beta = _logistic(np.array(measured["x"].tolist()), measured["toxic"].to_numpy())
+    # the sample has more toxic documents than the labels: the curve is moved to the share that the labels have
+    share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = [sizes[c, 0] + sizes[c, 1] for c in (0, 1)]
+    beta[0] += math.log(share[1] / share[0]) - math.log(taken[1] / taken[0])
     return ToxicityModel(Dictionaries(sampled[1, 0] + sampled[1, 1], sampled[0, 0] + sampled[0, 1], telling[2]), beta)
 
 
