@@ -106,6 +106,7 @@ class ByteBpe:
         self.used = [i for i, e in enumerate(entries) if e]
         self.hash = PerfectHash([entries[i] for i in self.used])
         self.ranks = {entries[i]: i for i in self.used}
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.pattern = pre_token_pattern(pattern)
         self.joint = regex.compile(f"[{_SPACE}][ ]|[ ][{_SPACE}]")
         self._forget()
@@ -115,26 +116,32 @@ class ByteBpe:
         self.chunks: dict[str, bytes] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        """Merges the adjacent pair of lowest rank, leftmost first, until none is an entry."""
-        n = len(word)
+        """Merges the adjacent pair of lowest rank, leftmost first, until none is an entry.
+
+        A heap entry is one number: rank, place and end of the merged part, so that it costs no tuple.
+        """
+        n, rank_of = len(word), self.ranks.get
+        bits = n.bit_length()
+        mask, top = (1 << bits) - 1, 2 * bits
         ends = list(range(1, n + 1))  # part i holds word[i:ends[i]] while it lives
         before = list(range(-1, n - 1))
-        live = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.ranks.get(word[i : i + 2])) is not None]
+        ids = [self.single[b] for b in word]  # -1 for a part that another one took in
+        heap = [r << top | i << bits | i + 2 for i in range(n - 1) if (r := rank_of(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
+            x = heapq.heappop(heap)
+            i, end = x >> bits & mask, x & mask
             j = ends[i]
-            if not live[i] or j >= n or not live[j] or ends[j] != end:
+            if ids[i] < 0 or j >= n or ids[j] < 0 or ends[j] != end:
                 continue
-            ends[i], live[j] = end, False
+            ends[i], ids[i], ids[j] = end, x >> top, -1
             if end < n:
                 before[end] = i
-                if (r := self.ranks.get(word[i : ends[end]])) is not None:
-                    heapq.heappush(heap, (r, i, ends[end]))
-            if (k := before[i]) >= 0 and (r := self.ranks.get(word[k:end])) is not None:
-                heapq.heappush(heap, (r, k, end))
-        return [self.ranks[word[i : ends[i]]] for i in range(n) if live[i]]
+                if (r := rank_of(word[i : ends[end]])) is not None:
+                    heapq.heappush(heap, r << top | i << bits | ends[end])
+            if (k := before[i]) >= 0 and (r := rank_of(word[k:end])) is not None:
+                heapq.heappush(heap, r << top | k << bits | end)
+        return [r for r in ids if r >= 0]
 
     def _learn(self, words: set[str]) -> None:
         """Looks new pre-tokens up, all at once, and merges those that are no entries."""
@@ -144,7 +151,7 @@ class ByteBpe:
             return
         for w, key, at in zip(new, keys, self.hash.candidates(keys).tolist(), strict=True):
             rank = self.used[at]
-            self.words[w] = np.array([rank] if self.entries[rank] == key else self.merge(key), "<u4").tobytes()
+            self.words[w] = rank.to_bytes(4, "little") if self.entries[rank] == key else np.array(self.merge(key), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers.
