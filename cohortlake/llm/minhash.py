@@ -38,7 +38,9 @@ JOINED, COLLECTION = 3, 12
 #: Sets that are compared in one go with as many others.
 PACK = 64
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Text that a task takes apart at a time.
+CHUNK_BYTES = 1 << 20
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _SHIFT = np.uint64(32)
@@ -102,7 +104,7 @@ def tensored(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.remember("minhash", _words.clear)
-    for batch in common.chunks(batches):
+    for batch in common.chunks(batches, limit=CHUNK_BYTES):
         sets = shingle_sets(batch.column("text").to_pylist())
         full = [s for s in sets if len(s)]
         a, b = tensored(full) if full else (np.empty((0, COLLECTION), np.uint64),) * 2
@@ -121,7 +123,7 @@ def _sets(wanted: common.KeyFilter) -> Callable[[Iterable[pa.RecordBatch]], Iter
         common.remember("minhash", _words.clear)
         for whole in batches:
             passed = whole.filter(pa.array(wanted(whole.column("key").to_numpy(zero_copy_only=False))))
-            for batch in common.chunks([passed]):
+            for batch in common.chunks([passed], limit=CHUNK_BYTES):
                 sets = shingle_sets(batch.column("text").to_pylist())
                 yield pa.record_batch([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
 

@@ -35,6 +35,8 @@ from cohortlake.llm import common
 #: Labelled documents of each class to learn from, and windows of each class and half of them.
 SAMPLE = 4000
 WINDOWS = 30_000
+#: Text that a task takes apart at a time when learning; words as objects take some fifty times as much.
+LEARN_BYTES = 1 << 18
 #: Words a window.
 WINDOW = 8
 #: Bytes of either trained dictionary.
@@ -132,7 +134,7 @@ class ToxicityModel:
 
 def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, half, h, w): all windows with a hash."""
-    for batch in common.chunks(batches):
+    for batch in common.chunks(batches, limit=LEARN_BYTES):
         rows = [(t, f, xxhash.xxh64_intdigest(w) >> 1, w) for t, f, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True) for w in windows(text)]
         if rows:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["toxic", "half", "h", "w"])
@@ -140,7 +142,7 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, half, w, h): words, and hashes of the words on either side with them, each once for a text."""
-    for batch in common.chunks(batches):
+    for batch in common.chunks(batches, limit=LEARN_BYTES):
         rows = []
         for t, f, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "half", "text")), strict=True):
             words = [b"", *text.encode("utf-8", "surrogatepass").lower().split(), b""]
