@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlake.llm import bpe, fingerprints, lines, media, minhash, mixing, packing, sharding, toxicity
+from cohortlake.llm import bpe, fingerprints, lines, media, minhash, mixing, mixture, packing, periods, sharding, toxicity, trie
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_mixture_packing": mixture.op12_mixture_packing,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
 #: Where SQL is too slow on whole tables, or cannot say it, there is none; tests hold the query against brute force.
