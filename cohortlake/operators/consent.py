@@ -7,12 +7,16 @@ the day of a gate is an argument.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators import intervals
 
+#: How far back a retro code reaches that does not say.
+EVER = datetime.date(1900, 1, 1)
+
 
 def active_consents(consents: DataFrame) -> DataFrame:
     """Consents (status, consent_date, patient_id) that are active, dated and belong to someone."""
@@ -29,10 +33,8 @@ def shift_to_encounters(provisions: DataFrame, encounters: DataFrame, gate_codes
 
     Gate codes stay. Encounters without both ends are ignored. Denies move as well unless permits_only is set.
     """
-    closed = encounters.where("start IS NOT NULL AND end IS NOT NULL").select("patient_id", F.col("start").alias("__s"), F.col("end").alias("__e"))
     moves = ~F.col("code").isin(gate_codes) & (F.col("permit") if permits_only else F.lit(True))
-    starts = provisions.where(moves).select("patient_id", "start").distinct()
-    found = starts.join(closed, "patient_id").where("__s < start AND start <= __e").groupBy("patient_id", "start").agg(F.min("__s").alias("__to"))
+    found = intervals.earliest_around(provisions.where(moves).select("patient_id", "start"), encounters, ["patient_id"])
     return provisions.join(found, ["patient_id", "start"], "left").withColumn("start", F.when(moves, F.coalesce("__to", "start")).otherwise(F.col("start"))).select(*provisions.columns)
 
 
@@ -43,21 +45,29 @@ def complete_packages(provisions: DataFrame, codes: list[str]) -> DataFrame:
     return permits.join(whole, "consent_id", "left_semi")
 
 
-def retro_extended(provisions: DataFrame, retro: dict[str, str], lookback: datetime.date) -> DataFrame:
-    """Permits whose document also permits, at an overlapping time, the retro code of their code: they start at lookback.
+def retro_rules(spark: SparkSession, retro: Mapping[str, str | Sequence[str]], lookback: datetime.date = EVER) -> DataFrame:
+    """code, retro_code, lookback rows of a map from codes to their retro codes."""
+    rows = [(c, r, lookback) for c, own in retro.items() for r in ([own] if isinstance(own, str) else own)]
+    return spark.createDataFrame(rows, "code string, retro_code string, lookback date")
+
+
+def retro_extended(provisions: DataFrame, rules: DataFrame) -> DataFrame:
+    """Permits whose document also permits, at an overlapping time, a retro code of their code: they start at the code's lookback.
 
-    retro maps a code to its retro code. Denies of the retro code in the same document are cut out. Adds `extended`.
+    rules: code, retro_code, lookback; a code may have several retro codes, and any of them extends; one without lookback
+    extends to EVER. Denies of all of them in the same document are cut out. Permits of codes without a rule are left out. Adds `extended`.
     """
-    rules = F.create_map(*(F.lit(x) for kv in retro.items() for x in kv))
-    named = provisions.withColumn("retro_code", rules[F.col("code")])
-    marks = provisions.where(F.col("code").isin(list(retro.values()))).select("consent_id", F.col("code").alias("retro_code"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("permit").alias("__p"))
-    permits = named.where(F.col("permit") & F.col("code").isin(list(retro)))
-    keys = ["consent_id", "retro_code"]
+    back = rules.groupBy("code").agg(F.coalesce(F.min("lookback"), F.lit(EVER)).alias("lookback"))
+    named = provisions.where("permit").join(F.broadcast(back), "code")  # a row a rule
+    pairs = F.broadcast(rules.select(F.col("code").alias("__code"), "retro_code").distinct())
+    marks = provisions.join(pairs, provisions["code"] == pairs["retro_code"]).select("consent_id", F.col("__code").alias("code"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("permit").alias("__p"))
+    keys = ["consent_id", "code"]
     same = [*keys, "start", "end"]
-    hit = permits.join(marks.where("__p"), keys).where("start <= __e AND __s <= end").select(*same).distinct()
-    moved = permits.join(hit, same, "left_semi").withColumn("start", F.least("start", F.lit(lookback)))
+    wanted = named.select(*same).distinct()
+    hit = intervals.overlapping(wanted, marks.where("__p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
+    moved = named.join(hit, same, "left_semi").withColumn("start", F.least("start", "lookback"))
     cut = intervals.subtract(moved, marks.where("NOT __p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
-    kept = permits.join(hit, same, "left_anti")
+    kept = named.join(hit, same, "left_anti")
     columns = ["patient_id", "consent_id", "code", "start", "end", "permit"]
     return cut.select(*columns, F.lit(True).alias("extended")).unionByName(kept.select(*columns, F.lit(False).alias("extended")))
 
@@ -70,25 +80,30 @@ def gate_open(provisions: DataFrame, gate_codes: list[str], as_of: datetime.date
     return today.groupBy("patient_id").agg(F.count_distinct("code").alias("n")).where(F.col("n") == len(gate_codes)).select("patient_id")
 
 
-def windows(provisions: DataFrame, codes: list[str], retro: dict[str, str] | None = None, lookback: datetime.date = datetime.date(1900, 1, 1)) -> DataFrame:
+def windows(provisions: DataFrame, codes: list[str], retro: DataFrame | Mapping[str, str | Sequence[str]] | None = None, lookback: datetime.date = EVER) -> DataFrame:
     """patient_id, start, end: when all codes are consented.
 
     Permits count from complete documents only. Denies of any document cut regular permits, never retro-extended ones.
-    People without every code are left out.
+    People without every code are left out. retro is as in retro_extended, or a map from codes to retro codes with one lookback.
     """
-    own = provisions.where(F.col("code").isin([*codes, *(retro or {}).values()]))
-    permits = retro_extended(own, retro, lookback) if retro else own.where("permit").withColumn("extended", F.lit(False))
-    permits = complete_packages(permits.where(F.col("code").isin(codes)), codes)
+    asked = provisions.where(F.col("code").isin(codes))
+    permits = asked.where("permit").withColumn("extended", F.lit(False))
+    if retro is not None:
+        rules = retro if isinstance(retro, DataFrame) else retro_rules(provisions.sparkSession, retro, lookback)
+        rules = rules.where(F.col("code").isin(codes))
+        columns = ["patient_id", "consent_id", "code", "start", "end", "permit", "extended"]
+        plain = permits.join(F.broadcast(rules.select("code").distinct()), "code", "left_anti").select(*columns)
+        permits = retro_extended(provisions, rules).select(*columns).unionByName(plain)
+    permits = complete_packages(permits, codes)
     keys = ["patient_id", "code"]
-    regular = intervals.subtract(intervals.merge(permits.where("NOT extended"), keys), own.where(~F.col("permit") & F.col("code").isin(codes)).select(*keys, "start", "end"), keys)
+    regular = intervals.subtract(intervals.merge(permits.where("NOT extended"), keys), asked.where("NOT permit").select(*keys, "start", "end"), keys)
     every = regular.select(*keys, "start", "end").unionByName(permits.where("extended").select(*keys, "start", "end"))
     return intervals.intersect_all(every, ["patient_id"], "code", len(codes))
 
 
 def consented(resources: DataFrame, windows_: DataFrame) -> DataFrame:
     """Resources (patient_id, period_start, period_end) whose whole period lies in a window of their patient."""
-    spans = windows_.select(F.col("patient_id").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return resources.join(spans, F.expr("patient_id = __p AND __s <= period_start AND period_end <= __e"), "left_semi")
+    return intervals.contained(resources, windows_, ["patient_id"], "period_start", "period_end")
 
 
 #: The date element that decides about a record's consent, by type; none means that consent is given with the
@@ -112,13 +127,13 @@ def consented_by_type(resources: DataFrame, windows_: DataFrame, fields: dict[st
     """
     dated, free = ([t for t, f in fields.items() if bool(f) == has] for has in (True, False))
     listed = resources.where(F.col("resource_type").isin(dated))
-    spans = windows_.select(F.col("patient_id").alias("__p"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     if "periods" in resources.columns:
-        inside = F.expr("patient_id = __p AND exists(periods, x -> __s <= x.start AND x.end <= __e)")
+        each = listed.select("patient_id", "resource_type", "id", F.explode("periods").alias("p")).select("patient_id", "resource_type", "id", "p.start", "p.end")
+        inside = listed.join(intervals.contained(each, windows_, ["patient_id"]), ["patient_id", "resource_type", "id"], "left_semi")
     else:
-        inside = F.expr("patient_id = __p AND __s <= period_start AND period_end <= __e")
-    open_ = resources.where(F.col("resource_type").isin(free)).join(windows_.select("patient_id").distinct(), "patient_id", "left_semi").select(*resources.columns)
-    return listed.join(spans, inside, "left_semi").unionByName(open_)
+        inside = consented(listed, windows_)
+    open_ = resources.where(F.col("resource_type").isin(free)).join(windows_.select("patient_id").distinct(), "patient_id", "left_semi")
+    return inside.select(*resources.columns).unionByName(open_.select(*resources.columns))
 
 
 def code_sets(rules: DataFrame, requested: DataFrame) -> DataFrame:
@@ -145,10 +160,9 @@ def job_windows(provisions: DataFrame, rules: DataFrame, asked: DataFrame, as_of
         return empty
     if encounters is not None:
         provisions = shift_to_encounters(provisions, encounters, sets["gate"])
-    named = {r["code"]: r for r in rules.collect()}  # a row a rule
-    retro = {c: own[0] for c in sets["non_gate"] if (own := [k for k in named[c]["retro_codes"] or [] if k in sets["retro"]])}
-    back = [named[c]["lookback"] for c in retro if named[c]["lookback"]]
-    out = windows(requested(provisions, [*sets["gate"], *sets["non_gate"], *sets["retro"]]), sets["non_gate"], retro or None, min(back) if back else datetime.date(1900, 1, 1))
+    own = rules.where(F.col("code").isin(sets["non_gate"])).select("code", "lookback", F.explode("retro_codes").alias("retro_code"))
+    retro = own.where(F.col("retro_code").isin(sets["retro"])).select("code", "retro_code", "lookback")
+    out = windows(requested(provisions, [*sets["gate"], *sets["non_gate"], *sets["retro"]]), sets["non_gate"], retro)
     return out.join(gate_open(provisions, sets["gate"], as_of), "patient_id", "left_semi") if sets["gate"] else out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.references import claims_profile
+from cohortlake.plans.lineage import cut
 
 Code = tuple[str, str]
 
@@ -56,6 +57,24 @@ def first_copy(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+COPY_KEYS = ["patient_id", "resource_type", "id"]
+
+
+def without_copies(resources: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
+    """Resources with one row for each patient, type and id: of several copies the first in the order given.
+
+    Without an order that is the one of least body, or of least hash of all columns where there is no body: the same one in
+    every run, however the copies differ. Only records that have copies move; their keys are counted first.
+    """
+    several = cut(resources.groupBy(*COPY_KEYS).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*COPY_KEYS), "copied-keys")
+    if several.isEmpty():
+        return resources
+    default = [F.col("body")] if "body" in resources.columns else [F.xxhash64(*resources.columns)]
+    same = lambda: [resources[c].eqNullSafe(several[c]) for c in COPY_KEYS]
+    once = resources.join(several, same(), "left_anti")
+    return once.unionByName(first_copy(resources.join(several, same(), "left_semi"), COPY_KEYS, order or default))
+
+
 def must_have(in_scope: Column, attributes: Sequence[tuple[str, Column]]) -> tuple[Column, Column]:
     """(state, first violated attribute): not_applicable, fulfilled or violated, attributes in declaration order."""
     violated = F.lit(None).cast("string")

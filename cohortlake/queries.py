@@ -209,10 +209,24 @@ x AS (SELECT * FROM days WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.consent
 SELECT patient_id, consent_id, period_start, period_end, true AS extended FROM y
 UNION ALL SELECT patient_id, consent_id, s, e, false FROM prov WHERE permit AND code = 'A' AND event_id NOT IN (SELECT event_id FROM hit)""")
 def retro_extension(spark: SparkSession, d: str) -> DataFrame:
-    out = consent.retro_extended(provisions(spark, d), {"A": "RETRO"}, datetime.date(1994, 6, 1))
+    out = consent.retro_extended(provisions(spark, d), consent.retro_rules(spark, {"A": "RETRO"}, datetime.date(1994, 6, 1)))
     return _named(out.select("patient_id", "consent_id", "start", "end", "extended"))
 
 
+@query(f"""WITH {_PROV}, rule AS (SELECT * FROM (VALUES ('A', 'RETRO', DATE '1994-06-01'), ('A', 'GATE', DATE '1994-06-01'), ('B', 'RETRO', DATE '1990-03-01')) v(code, retro, back)),
+hit AS (SELECT DISTINCT a.event_id FROM prov a JOIN rule r ON r.code = a.code JOIN prov b ON a.consent_id = b.consent_id AND b.code = r.retro AND b.permit AND a.s <= b.e AND b.s <= a.e WHERE a.permit),
+moved AS (SELECT event_id, consent_id, patient_id, p.code, least(s, back) s, e FROM prov p JOIN (SELECT DISTINCT code, back FROM rule) USING (code) WHERE event_id IN (SELECT event_id FROM hit)),
+days AS ({_days('moved', 'event_id, consent_id, patient_id, code', 'true')}), gone AS (SELECT DISTINCT consent_id, rule.code, d FROM ({_days('prov', 'consent_id, code', "NOT permit")}) x JOIN rule ON retro = x.code),
+x AS (SELECT * FROM days WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.consent_id = days.consent_id AND gone.code = days.code AND gone.d = days.d)), y AS ({_islands('x', 'event_id, consent_id, patient_id, code')})
+SELECT patient_id, consent_id, code, period_start, period_end, true AS extended FROM y
+UNION ALL SELECT patient_id, consent_id, code, s, e, false FROM prov WHERE permit AND code IN ('A', 'B') AND event_id NOT IN (SELECT event_id FROM hit)""")
+def retro_modifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Codes with several retro codes, and lookbacks of their own."""
+    day = datetime.date
+    rules = spark.createDataFrame([("A", "RETRO", day(1994, 6, 1)), ("A", "GATE", day(1994, 6, 1)), ("B", "RETRO", day(1990, 3, 1))], "code string, retro_code string, lookback date")
+    return _named(consent.retro_extended(provisions(spark, d), rules).select("patient_id", "consent_id", "code", "start", "end", "extended"))
+
+
 @query(f"""WITH {_PROV}, now AS (SELECT * FROM prov WHERE code = 'GATE' AND s <= DATE '1997-06-15' AND e >= DATE '1997-06-15')
 SELECT DISTINCT patient_id FROM now WHERE permit AND patient_id NOT IN (SELECT patient_id FROM now WHERE NOT permit)""")
 def consent_gate(spark: SparkSession, d: str) -> DataFrame:
