@@ -33,18 +33,24 @@ def date_filter(start: Column, end: Column, low: datetime.date | None, high: dat
     return out
 
 
-def group_filter(df: DataFrame, resource_type: str, profile: str | None = None, codes: Sequence[Code] = (), low: datetime.date | None = None, high: datetime.date | None = None) -> DataFrame:
-    """The resources a group asks for: its type, its profile, any of its codes, and its date range. Patients ignore filters."""
-    own = df.where(F.col("resource_type") == resource_type)
+def group_predicate(resource_type: str, profile: str | None = None, codes: Sequence[Code] = (), low: datetime.date | None = None, high: datetime.date | None = None) -> Column:
+    """Whether a resource is one that a group asks for: of its type, profile, any of its codes, and date range. Patients ignore filters."""
+    out = F.col("resource_type") == resource_type
     if resource_type == "Patient":
-        return own.withColumn("profiles", F.array(F.lit(profile))) if profile else own
+        return out
     if profile:
-        own = own.where(claims_profile(F.col("profiles"), F.lit(profile)))
+        out &= claims_profile(F.col("profiles"), F.lit(profile))
     if codes:
-        own = own.where(token_filter(F.col("codes"), codes))
+        out &= token_filter(F.col("codes"), codes)
     if low or high:
-        own = own.where(date_filter(F.col("period_start"), F.col("period_end"), low, high))
-    return own.where("id IS NOT NULL AND trim(id) <> ''")
+        out &= date_filter(F.col("period_start"), F.col("period_end"), low, high)
+    return F.coalesce(out & F.expr("id IS NOT NULL AND trim(id) <> ''"), F.lit(False))
+
+
+def group_filter(df: DataFrame, resource_type: str, profile: str | None = None, codes: Sequence[Code] = (), low: datetime.date | None = None, high: datetime.date | None = None) -> DataFrame:
+    """The resources a group asks for (group_predicate); patients get its profile."""
+    own = df.where(F.col("resource_type") == resource_type).where(group_predicate(resource_type, profile, codes, low, high))
+    return own.withColumn("profiles", F.array(F.lit(profile))) if resource_type == "Patient" and profile else own
 
 
 def in_cohort(df: DataFrame, cohort: DataFrame, key: str = "patient_id") -> DataFrame:

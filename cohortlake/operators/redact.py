@@ -6,12 +6,15 @@ lists and the struct schema of a record type; what runs is one expression a reco
 Copying keeps the selected elements; a step `name:slice` keeps those values of a list that match the slice. Redaction then
 walks the copy with the contexts of all profiles at once: a value of a sliced list that matches no slice is emptied (and
 marked if the element is required), extensions that no profile slices go, references to records that were not extracted are
-replaced by a marker, and what a profile requires but is not there is marked. The marker is the extension MARK.
+replaced by a marker, and what a profile requires but is not there is marked. The marker is an extension of ABSENT_URL.
+
+Which slices a value matches is worked out once and carried beside it; what depends on a slice is compiled once, under that
+condition, so expressions grow with the number of slices and profiles, not with their combinations.
 """
 
 from __future__ import annotations
 
-import itertools
+import functools
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -20,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlake.functions import paths
+
 #: The extensions that say why a value is absent, and the code of what may not be shown.
 ABSENT_URL = "http://hl7.org/fhir/StructureDefinition/data-absent-reason"
 ABSENT_URLS = (ABSENT_URL, "http://terminology.hl7.org/CodeSystem/data-absent-reason")
@@ -27,9 +32,6 @@ MASKED = "masked"
 #: Fixed value: this list may be sliced, but is shown whole.
 UNSLICED = "Patient.identifier"
 
-#: Conditional steps of one list that are compiled at most: each doubles the cases.
-MAX_SLICES = 6
-
 _MARK_TYPE = T.StructType([T.StructField("url", T.StringType()), T.StructField("valueCode", T.StringType())])
 _STUB = T.StructType([T.StructField("extension", T.ArrayType(_MARK_TYPE))])
 
@@ -44,6 +46,7 @@ class Element:
     min: int = 0
     types: tuple[str, ...] = ()
     type_profiles: tuple[str, ...] = ()
+    target_profiles: tuple[str, ...] = ()
     discriminators: tuple[tuple[str, str], ...] | None = None
     pattern: str | None = None
     bound: bool = False
@@ -75,7 +78,7 @@ class Profile:
 def profile_of(url: str, rows: Sequence) -> Profile:
     """A Profile from collected rows of profile_elements of one url."""
     make = lambda r: Element(
-        r["element_id"], r["path"], r["slice_name"], r["min"] or 0, tuple(r["types"] or ()), tuple(r["type_profiles"] or ()),
+        r["element_id"], r["path"], r["slice_name"], r["min"] or 0, tuple(r["types"] or ()), tuple(r["type_profiles"] or ()), tuple(r["target_profiles"] or ()) if "target_profiles" in r else (),
         tuple((d["type"].upper(), d["path"]) for d in r["discriminators"]) if r["discriminators"] is not None else None, r["pattern"], bool(r["bound"]),
     )
     return Profile(url, [make(r) for r in rows])
@@ -120,11 +123,27 @@ def _at(value: Column, kind: T.DataType, steps: Sequence[str], pattern) -> Colum
     return _at(value[found.name], found.dataType, steps[1:], pattern) if found else F.lit(False)
 
 
+def _any(tests: Sequence[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _both(a: Column | None, b: Column | None) -> Column | None:
+    """Both conditions; None is one that always holds."""
+    return b if a is None else a if b is None else a & b
+
+
+def _of_types(value: Column, kind: T.DataType, path: str, types: Sequence[str]) -> Column:
+    """Whether something of one of the types lies at a path below a value."""
+    wanted = [t.lower() for t in types]
+    return _any([v.present() for v in paths.select(path, value, kind) if v.choice is None or v.choice.lower() in wanted])
+
+
 def matches_slice(profile: Profile, sliced: Element, own: Element, value: Column, kind: T.DataType, type_name: str | None = None) -> Column:
     """Whether one value belongs to a slice: all discriminators of the sliced element hold.
 
     VALUE and PATTERN compare with the fixed value or pattern at the discriminator's path, or nearest above it; one that is
-    bound to a value set only counts as matched. TYPE compares the value's type. Other kinds match nothing.
+    bound to a value set only counts as matched. TYPE compares the type of the value (type_name), or of what lies at the path. Other
+    kinds match nothing here; copying knows them (slice_conditions).
     """
     out = F.lit(True)
     for kind_of, path in sliced.discriminators or ():
@@ -144,13 +163,97 @@ def matches_slice(profile: Profile, sliced: Element, own: Element, value: Column
                     break
                 bound |= found is not None and found.bound
             out &= test if test is not None else F.lit(bound)
-        elif kind_of == "TYPE" and type_name is not None and not steps:
-            out &= F.lit(type_name.lower() in [t.lower() for t in own.types])
+        elif kind_of == "TYPE" and not steps:
+            out &= F.lit(type_name is not None and type_name.lower() in [t.lower() for t in own.types])
+        elif kind_of == "TYPE" and "resolve()" not in path and (typed := _child(profile, own, path)) is not None:
+            out &= _of_types(value, kind, path, typed.types)
         else:
             return F.lit(False)
     return out
 
 
+def _child(profile: Profile, own: Element, path: str) -> Element | None:
+    """The element of a profile at a path below another; a choice's is called `name[x]`."""
+    return next((e for e in (profile.by_id.get(f"{own.element_id}.{path}{end}") for end in ("", "[x]")) if e is not None), None)
+
+
+def asks_targets(profile: Profile, element_ids: Sequence[str]) -> bool:
+    """Whether a selected slice is told apart by the profiles of the targets of references."""
+    ids = [".".join(i.split(".")[: n + 1]) for i in element_ids for n, step in enumerate(i.split(".")) if ":" in step]
+    return any(found and any(kind == "PROFILE" for kind, _ in found[0].discriminators or ()) for found in (_slice_of(profile, i) for i in ids))
+
+
+def _pattern_conditions(at: str, pattern) -> list[str]:
+    """A fixed value or pattern as conditions of a path, one for each primitive in it."""
+    if isinstance(pattern, dict):
+        return [c for name, part in pattern.items() for c in _pattern_conditions(f"{at}.{name}", part)]
+    if isinstance(pattern, list):
+        return [c for part in pattern for c in _pattern_conditions(at, part)]
+    text = str(pattern).lower() if isinstance(pattern, bool) else str(pattern)
+    return [f"{at} = {paths.quoted(text)}"]
+
+
+def slice_conditions(profile: Profile, sliced: Element, own: Element, type_name: str | None = None) -> list[str] | None:
+    """The discriminators of a slice as conditions of a path, all of which hold for its values; None if no value can match.
+
+    EXISTS asks for a value at the path, TYPE for one of the slice's types there, PROFILE for a reference whose target claims one
+    of the slice's target profiles. A discriminator of which the profile says nothing below the slice adds no condition.
+    """
+    out = []
+    for kind, path in sliced.discriminators or ():
+        at = "$this" if path in ("$this", "") else path
+        if kind in ("VALUE", "PATTERN"):
+            found = own if at == "$this" else _child(profile, own, path)
+            if path == "url" and own.types[:1] == ("Extension",) and found is None:
+                out += [" or ".join(f"url = {paths.quoted(u)}" for u in own.type_profiles)] if own.type_profiles else []
+            elif found is not None and found.pattern is not None:
+                out += _pattern_conditions(at, json.loads(found.pattern))
+        elif kind == "EXISTS":
+            out.append(f"{at}.exists()")
+        elif kind == "TYPE":
+            typed = own if at == "$this" else _child(profile, own, path)
+            if at == "$this" and type_name is not None:
+                if type_name.lower() not in [t.lower() for t in own.types]:
+                    return None
+            elif typed is not None and typed.types:
+                out.append(" or ".join(f"{at}.ofType({t})" for t in typed.types))
+        elif kind == "PROFILE" and own.target_profiles:
+            target = at if at.endswith("resolve()") else f"{at}.resolve()"
+            out.append(" or ".join(f"{target}.conformsTo({paths.quoted(u)})" for u in own.target_profiles))
+    return [f"({c})" if " or " in c else c for c in out]
+
+
+def _slice_of(profile: Profile, element_id: str) -> tuple[Element, Element] | None:
+    """The sliced element and the slice that an element id `a.b:s` stands for."""
+    base, _, _ = element_id.rpartition(":")
+    plain = ".".join(s.partition(":")[0] for s in base.split("."))
+    sliced = next((profile.by_id[b] for b in (base, plain) if profile.sliced(b)), None)
+    own = next((profile.by_id[i] for i in (element_id, f"{plain}:{element_id.rpartition(':')[2]}") if i in profile.by_id), None)
+    return (sliced, own) if sliced is not None and own is not None else None
+
+
+def path_of(element_id: str, profile: Profile) -> str:
+    """The path of an element id: `A.b:s.value[x]:valueQuantity` gives `A.b.where(...).value.ofType(Quantity)`.
+
+    ValueError where a slice is not in the profile.
+    """
+    out, steps = [], element_id.split(".")
+    for n, step in enumerate(steps):
+        name, slice_name = _split(step)
+        plain = name.removesuffix("[x]")
+        if name.endswith("[x]"):
+            out.append(f"{plain}.ofType({slice_name.removeprefix(plain)})" if slice_name else plain)
+        elif slice_name:
+            found = _slice_of(profile, ".".join(steps[: n + 1]))
+            if found is None:
+                raise ValueError(f"{profile.url} has no slice {'.'.join(steps[: n + 1])}")
+            conditions = slice_conditions(profile, *found)
+            out.append(f"{name}.where({' and '.join(conditions)})" if conditions else name)
+        else:
+            out.append(name)
+    return ".".join(out)
+
+
 # --- copying ---------------------------------------------------------------------------------------------------------
 
 
@@ -203,71 +306,70 @@ def _fields(kind: T.StructType, name: str) -> list[T.StructField]:
     return [f for f in kind.fields if f.name == name]
 
 
-def _resolved(kind: T.StructType, tree: dict) -> dict[str, list[tuple[str, str | None, dict]]]:
-    """For each field the (element name, slice, subtree) that select it; a choice's slice may be one of its fields."""
+#: Subtrees with the condition under which they are taken (None: always) and the element id that they stand below.
+Trees = list[tuple[Column | None, str, dict]]
+
+
+def _resolved(kind: T.StructType, trees: Trees) -> dict[str, list[tuple[Column | None, str, str | None, dict]]]:
+    """For each field the (condition, element id of the name, slice, subtree) that select it; a choice's slice may be one of its fields."""
     out: dict[str, list] = {}
-    for name, entry in tree.items():
-        for slice_name, sub in entry.items():
-            fields = _fields(kind, name)
-            typed = [f for f in fields if f.name == slice_name]
-            for f in typed or fields:
-                out.setdefault(f.name, []).append((name, None if typed else slice_name, sub))
+    for condition, at, tree in trees:
+        for name, entry in tree.items():
+            for slice_name, sub in entry.items():
+                fields = _fields(kind, name)
+                typed = [f for f in fields if f.name == slice_name]
+                for f in typed or fields:
+                    out.setdefault(f.name, []).append((condition, f"{at}.{name}", None if typed else slice_name, sub))
     return out
 
 
-def copied(value: Column, kind: T.DataType, tree: dict, profiles: Sequence[Profile], at: str) -> Column:
+def copied(value: Column, kind: T.DataType, trees: Trees, profiles: Sequence[Profile], conforms: Column | None = None) -> Column:
     """Value with the selected elements only: lists keep their grouping, empty parts are left out."""
-    if not tree:
+    whole = [c for c, _, tree in trees if not tree]
+    if any(c is None for c in whole):
         return value
     if isinstance(kind, T.ArrayType):
-        out = F.filter(F.transform(value, lambda x: copied(x, kind.elementType, tree, profiles, at)), lambda x: x.isNotNull())
+        out = F.filter(F.transform(value, lambda x: copied(x, kind.elementType, trees, profiles, conforms)), lambda x: x.isNotNull())
         return F.when(F.size(out) > 0, out)
     if not isinstance(kind, T.StructType):
-        return value
-    chosen = _resolved(kind, tree)
-    parts = []
-    for f in kind.fields:
-        entries = chosen.get(f.name)
-        parts.append(_copied_field(value[f.name], f, entries, profiles, at) if entries else F.lit(None).cast(f.dataType))
-    whole = F.struct(*(p.cast(f.dataType).alias(f.name) for p, f in zip(parts, kind.fields, strict=True)))
-    some = [p.isNotNull() for p, f in zip(parts, kind.fields, strict=True) if f.name in chosen]
-    held = some[0] if some else F.lit(False)
-    for s in some[1:]:
-        held |= s
-    return F.when(held, whole)
-
-
-def _copied_field(value: Column, f: T.StructField, entries: list[tuple[str, str | None, dict]], profiles: Sequence[Profile], at: str) -> Column:
-    always = [sub for _, s, sub in entries if s is None]
-    under = [(name, s, sub) for name, s, sub in entries if s is not None]
-    here = f"{at}.{entries[0][0]}"
-    if not under or any(not sub for sub in always):
-        return copied(value, f.dataType, _united(always), profiles, here)
-    if len(under) > MAX_SLICES:
-        raise ValueError(f"more than {MAX_SLICES} slices of {here} are selected one by one")
-
-    def one(x: Column, kind: T.DataType) -> Column:
-        tests = []
-        for name, s, _ in under:
-            base = f"{at}.{name}"
-            found = [(p, p.by_id[base], p.by_id[f"{base}:{s}"]) for p in profiles if p.sliced(base) and f"{base}:{s}" in p.by_id]
-            test = F.lit(False)
-            for p, sliced, own in found:
-                test |= matches_slice(p, sliced, own, x, kind)
-            tests.append(test)
-        out = copied(x, kind, _united(always), profiles, here) if always else F.lit(None).cast(kind)
-        for n in range(1, len(under) + 1):  # the more slices hold, the later: later cases come first
-            for which in itertools.combinations(range(len(under)), n):
-                held = tests[which[0]]
-                for i in which[1:]:
-                    held &= tests[i]
-                out = F.when(held, copied(x, kind, _united([*always, *(under[i][2] for i in which)]), profiles, here)).otherwise(out)
+        return value if any(c is None for c, _, _ in trees) else F.when(_any([c for c, _, _ in trees]), value)
+    chosen = _resolved(kind, [t for t in trees if t[2]])
+    parts = {f.name: _copied_field(value[f.name], f, chosen[f.name], profiles, conforms) for f in kind.fields if f.name in chosen}
+    part = F.when(_any([p.isNotNull() for p in parts.values()]), _built(kind, parts)) if parts else F.lit(None).cast(kind)
+    return F.when(_any(whole), value).otherwise(part) if whole else part
+
+
+def _copied_field(value: Column, f: T.StructField, entries: list[tuple[Column | None, str, str | None, dict]], profiles: Sequence[Profile], conforms: Column | None) -> Column:
+    always: Trees = [(c, at, sub) for c, at, s, sub in entries if s is None]
+    under = [e for e in entries if e[2] is not None]
+    if not under or any(c is None and not sub for c, _, sub in always):
+        return copied(value, f.dataType, always, profiles, conforms)
+    listed = isinstance(f.dataType, T.ArrayType)
+    kind = f.dataType.elementType if listed else f.dataType
+
+    def tests(x: Column) -> list[Column]:
+        out = []
+        for _, at, s, _ in under:
+            found = [(p, *own) for p in profiles if (own := _slice_of(p, f"{at}:{s}"))]
+            ways = [slice_conditions(p, sliced, own, _type_name(f.name, at, sliced)) for p, sliced, own in found]
+            out.append(_any([paths.holds(" and ".join(w), x, kind, conforms) if w else F.lit(True) for w in ways if w is not None]))
         return out
 
-    if isinstance(f.dataType, T.ArrayType):
-        out = F.filter(F.transform(value, lambda x: one(x, f.dataType.elementType)), lambda x: x.isNotNull())
-        return F.when(F.size(out) > 0, out)
-    return one(value, f.dataType)
+    def one(x: Column) -> Column:
+        trees = [*always, *((_both(c, x["m"][i]), f"{at}:{s}", sub) for i, (c, at, s, sub) in enumerate(under))]
+        return copied(x["v"], kind, trees, profiles, conforms)
+
+    tagged = F.transform(value if listed else F.array(value), lambda x: F.struct(x.alias("v"), F.array(*tests(x)).alias("m")))
+    out = F.filter(F.transform(tagged, one), lambda x: x.isNotNull())
+    return F.when(F.size(out) > 0, out if listed else out[0])
+
+
+def _type_name(field_name: str, at: str, base: Element) -> str | None:
+    """The type of a value: what its field adds to a choice's name, or the only type that its element has."""
+    name = at.rsplit(".", 1)[-1].partition(":")[0]
+    if name.endswith("[x]"):
+        return field_name[len(name) - 3 :]
+    return base.types[0] if len(base.types) == 1 else None
 
 
 # --- redaction -------------------------------------------------------------------------------------------------------
@@ -309,13 +411,14 @@ def _built(kind: T.StructType, parts: dict[str, Column]) -> Column:
     return F.struct(*(parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
 
 
-Context = list[tuple[Profile, str]]
+#: Profiles with the element that they are at, and the condition under which they are (None: always).
+Context = list[tuple[Profile, str, Column | None]]
 
 
 def _descended(context: Context, name: str) -> Context:
     """Contexts of a child field; a field of a choice stands for the choice where the profile has that."""
     out = []
-    for p, at in context:
+    for p, at, when in context:
         direct = f"{at}.{name}"
         if direct not in p.by_id:
             for n in range(len(name) - 1, 0, -1):
@@ -323,22 +426,36 @@ def _descended(context: Context, name: str) -> Context:
                     typed = f"{at}.{name[:n]}[x]:{name}"
                     direct = typed if typed in p.by_id else f"{at}.{name[:n]}[x]"
                     break
-        out.append((p, direct))
+        out.append((p, direct, when))
     return out
 
 
 def _known(context: Context) -> list[Element]:
-    return [p.by_id[at] for p, at in context if at in p.by_id]
+    return [p.by_id[at] for p, at, _ in context if at in p.by_id]
+
 
+def _holding(whens: Sequence[Column | None]) -> Column | None:
+    """Whether one of several conditions holds; None if there is none."""
+    if not whens:
+        return None
+    return F.lit(True) if any(w is None for w in whens) else _any(whens)
 
-def _needed(context: Context) -> bool:
-    return any(e.min > 0 for e in _known(context))
+
+def _needed(context: Context) -> Column | None:
+    """When an element is required; None if it never is."""
+    return _holding([when for p, at, when in context if at in p.by_id and p.by_id[at].min > 0])
 
 
 def _allowed(ref: Column, refs: Column, context: Context) -> Column:
     """Whether refs (attribute id to list of references) allows ref for an element at or below the attribute."""
-    ids = sorted({at for _, at in context})
-    below = lambda key: F.greatest(*(F.lit(i).startswith(key) & F.substring(F.lit(i), F.length(key) + 1, F.lit(1)).isin("", ".", ":", "[") for i in ids), F.lit(False))
+    ids: dict[str, list] = {}
+    for _, at, when in context:
+        ids.setdefault(at, []).append(when)
+
+    def below(key: Column) -> Column:
+        ends = lambda i: F.lit(i).startswith(key) & F.substring(F.lit(i), F.length(key) + 1, F.lit(1)).isin("", ".", ":", "[")
+        return _any([ends(i) & _holding(whens) for i, whens in sorted(ids.items())])
+
     return F.coalesce(F.exists(F.map_entries(refs), lambda e: below(e["key"]) & F.array_contains(e["value"], ref)), F.lit(False))
 
 
@@ -365,29 +482,30 @@ def _children(value: Column, kind: T.StructType, context: Context, refs: Column,
             parts["extension"] = _extensions(value["extension"], f.dataType, _descended(context, "extension"), refs)
             continue
         below = _descended(context, f.name)
-        own = value[f.name]
-        for _, at in below:
+        own, needed = value[f.name], _needed(below)
+        for _, at, _ in below:
             if "[x]" in at.rsplit(".", 1)[1]:
                 choices.setdefault(at.split("[x]")[0].rsplit(".", 1)[1], []).append(f)
                 break
         inner = _struct(f.dataType)
-        stem_choice = any("[x]" in at.rsplit(".", 1)[1] for _, at in below)
+        stem_choice = any("[x]" in at.rsplit(".", 1)[1] for _, at, _ in below)
         if inner is None:
             parts[f.name] = own
-            if _needed(below) and not stem_choice and not isinstance(f.dataType, T.ArrayType) and f"_{f.name}" in out.fieldNames() and f"_{f.name}" not in kind.fieldNames():
-                parts[f"_{f.name}"] = F.when(own.isNull(), F.struct(F.array(_mark()).alias("extension")))
+            if needed is not None and not stem_choice and not isinstance(f.dataType, T.ArrayType) and f"_{f.name}" in out.fieldNames() and f"_{f.name}" not in kind.fieldNames():
+                parts[f"_{f.name}"] = F.when(own.isNull() & needed, F.struct(F.array(_mark()).alias("extension")))
             continue
         done = _values(own, f.dataType, below, refs, f.name)
         empty = own.isNull() | (F.size(own) <= 0) if isinstance(f.dataType, T.ArrayType) else own.isNull()
         parts[f.name] = F.when(~empty, done)
-        if _needed(below) and not stem_choice:
-            parts[f.name] = F.when(empty, _stub(f.dataType, below, refs)).otherwise(done)
+        if needed is not None and not stem_choice:
+            parts[f.name] = F.when(empty, F.when(needed, _stub(f.dataType, below, refs))).otherwise(done)
     for fields in choices.values():  # one of a required choice: the first type the profile names, or the first field
         below = _descended(context, fields[0].name)
-        bare = [(p, at.split(":")[0] if "[x]:" in at else at) for p, at in below]
-        if not _needed(bare):
+        bare = [(p, at.split(":")[0] if "[x]:" in at else at, when) for p, at, when in below]
+        needed = _needed(bare)
+        if needed is None:
             continue
-        none = value[fields[0].name].isNull()
+        none = needed & value[fields[0].name].isNull()
         for f in fields[1:]:
             none &= value[f.name].isNull()
         wanted = [t.lower() for e in _known(bare) for t in e.types]
@@ -407,79 +525,74 @@ def _children(value: Column, kind: T.StructType, context: Context, refs: Column,
     return _built(out, parts)
 
 
-def _any_matches(value: Column, kind: T.DataType, profile: Profile, sliced: Element, own: Element) -> Column:
-    return F.exists(value, lambda x: matches_slice(profile, sliced, own, x, kind))
-
-
 def _values(value: Column, kind: T.DataType, context: Context, refs: Column, name: str) -> Column:
-    """A struct, or a list of them, redacted value by value; slices that are missing beside matched ones are marked."""
-    sliced = [(p, at) for p, at in context if p.sliced(at)]
-    if UNSLICED in [at for _, at in context]:
-        sliced = []
-    if not isinstance(kind, T.ArrayType):
-        return _one(value, kind, context, refs, sliced, name)
-    out = F.transform(value, lambda x: _one(x, kind.elementType, context, refs, sliced, name))
-    if not sliced or not isinstance(kind.elementType, T.StructType):
+    """A struct, or a list of them, redacted value by value; slices that are missing beside matched ones are marked.
+
+    Beside each value stands which slices it matches (`hit`), and for each sliced context the last of them (`own`, -1 for none).
+    """
+    sliced = [] if UNSLICED in [at for _, at, _ in context] else [c for c in context if c[0].sliced(c[1])]
+    listed = isinstance(kind, T.ArrayType)
+    one_kind = kind.elementType if listed else kind
+    if not isinstance(one_kind, T.StructType):
+        return F.transform(value, lambda x: _values(x, one_kind, context, refs, name)) if listed and isinstance(one_kind, T.ArrayType) else value
+    if not sliced:
+        return F.transform(value, lambda x: _children(x, one_kind, context, refs)) if listed else _children(value, one_kind, context, refs)
+    slices = [(p, p.by_id[at], s, i, j) for i, (p, at, _) in enumerate(sliced) for j, s in enumerate(p.slices(at))]
+    spans = [[n for n, x in enumerate(slices) if x[3] == i] for i in range(len(sliced))]
+    hits = lambda x: [matches_slice(p, base, s, x, one_kind, _type_name(name, base.element_id, base)) for p, base, s, _, _ in slices] or [F.lit(False)]
+
+    def last(hit: Column, span: list[int]) -> Column:
+        out = F.lit(-1)
+        for n in span:
+            out = F.when(hit[n], slices[n][4]).otherwise(out)
         return out
-    tests = [(p, s, p.by_id[at]) for p, at in sliced for s in p.slices(at)]
-    some = F.lit(False)
-    hit = {}
-    for p, s, base in tests:
-        hit[p.url, s.element_id] = _any_matches(value, kind.elementType, p, base, s)
-        some |= hit[p.url, s.element_id]
-    for p, s, _ in tests:
+
+    tagged = F.transform(value if listed else F.array(value), lambda x: F.struct(x.alias("v"), F.array(*hits(x)).alias("hit")))
+    tagged = F.transform(tagged, lambda x: F.struct(x["v"].alias("v"), x["hit"].alias("hit"), F.array(*(last(x["hit"], span) for span in spans)).alias("own")))
+    out = F.transform(tagged, lambda x: _one(x, one_kind, context, refs, sliced))
+    if not listed:
+        return out[0]
+    matched = lambda n: F.exists(tagged, lambda x: x["hit"][n])
+    some = _any([matched(n) for n in range(len(slices))])
+    for n, (_, _, s, i, _) in enumerate(slices):
         if s.min > 0:
-            stub = _stub(kind.elementType, [(q, s.element_id) for q, _ in context], refs)
-            out = F.when(some & ~hit[p.url, s.element_id], F.concat(out, F.array(stub))).otherwise(out)
+            stub = _stub(one_kind, [(q, s.element_id, when) for q, _, when in context], refs)
+            missing = _both(sliced[i][2], some & ~matched(n))
+            out = F.when(missing, F.concat(out, F.array(stub))).otherwise(out)
     return out
 
 
-def _one(value: Column, kind: T.DataType, context: Context, refs: Column, sliced: Context, name: str) -> Column:
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _one(x, kind.elementType, context, refs, sliced, name))
-    if not isinstance(kind, T.StructType):
-        return value
-    if not sliced:
-        return _children(value, kind, context, refs)
-    out_kind = marked_type(kind)
-    emptied = _built(out_kind, {"extension": _marks(next(f.dataType for f in out_kind.fields if f.name == "extension"))} if _needed(context) and "extension" in out_kind.fieldNames() else {})
-    unsliced = [(p, at) for p, at in context if not p.sliced(at)]
-    # for each profile the slice that matches (the last one does), or none; all profiles side by side
-    ways = [[*((p, s.element_id, matches_slice(p, p.by_id[at], s, value, kind, None)) for s in reversed(p.slices(at))), (p, None, None)] for p, at in sliced]
-    if len(list(itertools.product(*ways))) > 1 << MAX_SLICES:
-        raise ValueError(f"too many slices of {context[0][1]} in {len(sliced)} profiles")
-    out = F.when(F.lit(True), emptied)
-    for combination in reversed(list(itertools.product(*ways))):
-        held = [test for _, _, test in combination if test is not None]
-        if not held:
-            continue
-        test = held[0]
-        for t in held[1:]:
-            test &= t
-        out = F.when(test, _children(value, kind, [*((p, at) for p, at, _ in combination if at), *unsliced], refs)).otherwise(out)
-    return out
+def _one(tagged: Column, kind: T.StructType, context: Context, refs: Column, sliced: Context) -> Column:
+    """One value: under the contexts of its slices, or emptied if it has none in any profile that slices it."""
+    out_kind, needed = marked_type(kind), _needed(context)
+    marks = F.when(needed, _marks(next(f.dataType for f in out_kind.fields if f.name == "extension"))) if needed is not None and "extension" in out_kind.fieldNames() else None
+    emptied = _built(out_kind, {"extension": marks} if marks is not None else {})
+    mine = [(p, s.element_id, _both(when, tagged["own"][i] == j)) for i, (p, at, when) in enumerate(sliced) for j, s in enumerate(p.slices(at))]
+    unsliced = [c for c in context if not c[0].sliced(c[1])]
+    none = _holding([when for _, _, when in sliced]) & ~_any([w for _, _, w in mine])
+    return F.when(none, emptied).otherwise(_children(tagged["v"], kind, [*mine, *unsliced], refs))
 
 
-def _extensions(value: Column, kind: T.DataType, context: Context, refs: Column) -> Column:
+def _extensions(value: Column, kind: T.DataType, context: Context, refs: Column, nested: bool = False) -> Column:
     """Extensions that some profile slices, or that say why data are absent; nested ones of a kept one survive where the
     profiles say nothing of them; those left without value and extension go.
     """
     own = _struct(kind)
-    kept = [u for p, at in context for s in p.slices(at) for u in _urls(p, s)]
-    known = any(at in p.by_id for p, at in context)
+    slices = [(p, s, when) for p, at, when in context for s in p.slices(at)]
     out_kind = marked_type(T.StructType([T.StructField("extension", kind)])).fields[0].dataType
-    shown = F.filter(value, lambda e: e["url"].isin([*kept, *ABSENT_URLS])) if known or "." not in context[0][1].split(".extension", 1)[-1] else value
+    named = lambda e, p, s, when: F.coalesce(_both(when, e["url"].isin(_urls(p, s))), F.lit(False))
+    kept = F.filter(value, lambda e: _any([F.coalesce(e["url"].isin(list(ABSENT_URLS)), F.lit(False)), *(named(e, *x) for x in slices)]))
+    known = _holding([when for p, at, when in context if at in p.by_id]) if nested else F.lit(True)
+    shown = value if known is None else F.when(known, kept).otherwise(value)
 
     def one(e: Column) -> Column:
         parts = {f.name: e[f.name] for f in own.fields}
         inner = next((f for f in own.fields if f.name == "extension"), None)
         if inner is not None:
-            slices = {(p.url, s.element_id): F.coalesce(e["url"].isin(_urls(p, s)), F.lit(False)) for p, at in context for s in p.slices(at)}
-            done = _extensions(e["extension"], inner.dataType, [(p, f"{at}.extension") for p, at in context], refs)
-            for p, at in context:
-                for s in p.slices(at):
-                    done = F.when(slices[p.url, s.element_id], _extensions(e["extension"], inner.dataType, [(q, f"{s.element_id}.extension") for q, _ in context], refs)).otherwise(done)
-            parts["extension"] = done
+            hit = [named(e, *x) for x in slices]
+            under = [(q, f"{s.element_id}.extension", h) for (_, s, _), h in zip(slices, hit, strict=True) for q, _, _ in context]
+            beside = [(p, f"{at}.extension", _both(when, ~_any(hit)) if hit else when) for p, at, when in context]
+            parts["extension"] = _extensions(e["extension"], inner.dataType, [*under, *beside], refs, True)
         for f in own.fields:
             if f.name not in ("url", "extension") and _struct(f.dataType) is not None:
                 parts[f.name] = _values(e[f.name], f.dataType, _descended(context, f.name), refs, f.name)
@@ -500,7 +613,7 @@ def _urls(profile: Profile, own: Element) -> list[str]:
 
 def redacted(value: Column, kind: T.StructType, profiles: Sequence[Profile], resource_type: str, refs: Column) -> Column:
     """A record (of marked_type(kind)) as the profiles allow it; refs maps attribute ids to the references they may show."""
-    return _children(value, kind, [(p, resource_type) for p in profiles], refs)
+    return _children(value, kind, [(p, resource_type, None) for p in profiles], refs)
 
 
 # --- whole records ---------------------------------------------------------------------------------------------------
@@ -519,13 +632,15 @@ def copy_and_redact(records: DataFrame, resource_type: str, kind: T.StructType,
     """body (JSON) and `complete` of each record of one type.
 
     records: body (a struct of type kind), groups (sorted array of the valid groups of the record, from `selections`), refs (map from
-    attribute id to its allowed references) and other columns, which are kept. One expression is compiled for each set of
+    attribute id to its allowed references), conforms where slices depend on it (map from references to the profiles of their targets, see
+    resolve.conformance) and other columns, which are kept. One expression is compiled for each set of
     groups that occurs. complete is false where a record does not claim all profiles of its groups (patients always do):
     such records are to be rejected. meta.profile keeps the claimed profiles of the groups only.
     """
     known = {s.group_id: s for s in selections}
     sets = [tuple(r["groups"]) for r in records.select("groups").distinct().collect()]  # sets of groups, not of records
     body, complete = F.lit(None).cast("string"), F.lit(False)
+    conforms = F.col("conforms") if "conforms" in records.columns else None
     refs = F.coalesce(F.col("refs"), F.create_map().cast("map<string,array<string>>"))
     has_profiles = "meta" in kind.fieldNames() and "profile" in kind["meta"].dataType.fieldNames()
     for groups in sets:
@@ -535,7 +650,7 @@ def copy_and_redact(records: DataFrame, resource_type: str, kind: T.StructType,
         profiles = list({s.profile.url: s.profile for s in own}.values())
         urls = [p.url for p in profiles]
         tree = _united([copy_tree(s.element_ids) for s in own])
-        cut = copied(F.col("body"), kind, tree, profiles, resource_type)
+        cut = copied(F.col("body"), kind, [(None, resource_type, tree)], profiles, conforms)
         done = redacted(cut, kind, profiles, resource_type, refs)
         claimed = F.lit(True)
         if has_profiles:
@@ -548,4 +663,4 @@ def copy_and_redact(records: DataFrame, resource_type: str, kind: T.StructType,
         this = F.col("groups") == F.array(*map(F.lit, groups))
         body = F.when(this, F.to_json(done)).otherwise(body)
         complete = F.when(this, claimed).otherwise(complete)
-    return records.withColumns({"body": body, "complete": complete}).drop("refs")
+    return records.withColumns({"body": body, "complete": complete}).drop("refs", "conforms")

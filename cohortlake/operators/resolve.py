@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.functions.references import nested_references, parse_reference, strip_version
 from cohortlake.plans.lineage import cut
 
 #: Depth is the longest chain of references, not the size of the data.
@@ -41,6 +42,20 @@ def required_references(references: DataFrame, valid: DataFrame) -> DataFrame:
     return references.where("must_have").select(*keys).distinct().join(ok, keys, "left_anti").select("src_type", "src_id", "group_id").distinct()
 
 
+def conformance(records: DataFrame, resources: DataFrame) -> DataFrame:
+    """patient_id, id, conforms: for each record (patient_id, id, body) a map from its references to the profiles that their targets claim.
+
+    resources has resource_type, id, patient_id, profiles; a target is core or of the record's own patient. Records without such
+    a reference are left out. Only references and profiles move, and each reference of a record once.
+    """
+    refs = records.select(F.col("patient_id").alias("__p"), F.col("id").alias("__i"), F.explode(F.array_distinct(nested_references(F.col("body")))).alias("__ref"))
+    named = refs.withColumn("__t", parse_reference(F.col("__ref"))).where("__t IS NOT NULL")
+    claims = resources.where(F.size("profiles") > 0).select(F.col("resource_type").alias("__type"), "id", F.col("patient_id").alias("__owner"), F.transform("profiles", strip_version).alias("__profiles"))
+    met = named.join(claims, (F.col("__t.type") == F.col("__type")) & (F.col("__t.id") == F.col("id"))).where("__owner IS NULL OR __owner <=> __p")
+    one = met.groupBy("__p", "__i", "__ref").agg(F.array_distinct(F.flatten(F.collect_list("__profiles"))).alias("__profiles"))
+    return one.groupBy(F.col("__p").alias("patient_id"), F.col("__i").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("__ref", "__profiles"))).alias("conforms"))
+
+
 def closure(seeds: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:
     """(patient_id, type, id, group_id) reached from the seeds over usable references; what is known is not followed again.
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.operators import cascade, consent, load, redact, report, resolve, spec
+from cohortlake.functions import paths
+from cohortlake.operators import cascade, codes, consent, load, redact, report, resolve, spec
 from cohortlake.plans.lineage import cut
 
 
@@ -23,9 +24,10 @@ from cohortlake.plans.lineage import cut
 class Group:
     """What is asked of one kind of resource.
 
-    must_have pairs attributes with the condition that they have a value. required_refs are attributes that need at least one
-    reference of their own; whether its target is there is for `references` (must_have) to say. attributes are the element
-    ids to copy; id, meta.profile and the link to the patient are copied anyway.
+    must_have names attributes that need a value, in their order: element ids of the group's profile, or pairs of an attribute
+    and its path (functions.paths) or a condition on the resource's columns. required_refs are attributes that need at least
+    one reference of their own; whether its target is there is for `references` (must_have) to say. Either makes the group a
+    required one. attributes are the element ids to copy; id, meta.profile and the link to the patient are copied anyway.
     """
 
     group_id: str
@@ -34,7 +36,7 @@ class Group:
     codes: Sequence[tuple[str, str]] = ()
     low: datetime.date | None = None
     high: datetime.date | None = None
-    must_have: Sequence[tuple[str, Column]] = field(default_factory=tuple)
+    must_have: Sequence[str | tuple[str, Column | str]] = field(default_factory=tuple)
     reference_only: bool = False
     required_refs: Sequence[str] = ()
     attributes: Sequence[str] = ()
@@ -61,21 +63,73 @@ KEYS = ["patient_id", "type", "id", "group_id"]
 EVENT = ["reason", "group_id", "attribute_ref", "resource_id", "patient_id"]
 
 
-def _loaded(resources: DataFrame, group: Group) -> DataFrame:
-    """KEYS, valid, the first violated attribute, consented and reference_only of all resources of a group."""
-    found = load.group_filter(resources, group.resource_type, group.profile, group.codes, group.low, group.high)
-    state, first = load.must_have(F.lit(True), group.must_have)
-    return found.select("patient_id", F.col("resource_type").alias("type"), "id", F.lit(group.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"), F.lit(group.reference_only).alias("reference_only"))
+def _present(group: Group, shapes: Mapping[str, T.StructType] | None, profiles: Mapping[str, redact.Profile]) -> list[tuple[str, Column]]:
+    """The group's must-have attributes with the condition that they have a value; paths are compiled over the shape of its type."""
+    out = []
+    for wanted in group.must_have:
+        name, test = wanted if isinstance(wanted, tuple) else (wanted, None)
+        if isinstance(test, Column):
+            out.append((name, test))
+            continue
+        if shapes is None or group.resource_type not in shapes:
+            raise ValueError(f"{name} is a path: {group.resource_type} needs a shape")
+        if test is None:
+            if group.profile not in profiles:
+                raise ValueError(f"{name} is an element id: {group.group_id} needs a known profile")
+            test = redact.path_of(name, profiles[group.profile])
+        kind = shapes[group.resource_type]
+        out.append((name, paths.has_value(test, F.from_json("body", kind), kind)))
+    return out
+
+
+def _loaded(resources: DataFrame, groups: Sequence[Group], shapes: Mapping[str, T.StructType] | None, profiles: Mapping[str, redact.Profile], codes: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:
+    """KEYS, valid, the first violated attribute and reference_only of all resources of all groups: one scan, in which each resource finds its groups."""
+    found = []
+    for g in groups:
+        state, first = load.must_have(F.lit(True), _present(g, shapes, profiles))
+        row = F.struct(F.lit(g.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"), F.lit(g.reference_only).alias("reference_only"))
+        found.append(F.when(load.group_predicate(g.resource_type, g.profile, codes.get(g.group_id, g.codes), g.low, g.high), row))
+    own = resources.where(F.col("resource_type").isin(sorted({g.resource_type for g in groups})))
+    return own.select("patient_id", F.col("resource_type").alias("type"), "id", F.explode(F.array_compact(F.array(*found))).alias("g")).select("patient_id", "type", "id", "g.*")
+
+
+def _widened(groups: Sequence[Group], tree: DataFrame | None) -> dict[str, list[tuple[str, str]]]:
+    """Each group's filter codes with all below them in the tree; what comes back is part of the request."""
+    wanted = sorted({c for g in groups for c in g.codes})
+    if tree is None or not wanted:
+        return {}
+    below: dict[tuple[str, str], list] = {}
+    for r in codes.expand(tree.sparkSession.createDataFrame(wanted, "system string, code string"), tree).collect():
+        below.setdefault((r["system"], r["root"]), []).append((r["system"], r["code"]))
+    return {g.group_id: sorted({x for c in g.codes for x in below.get(tuple(c), [tuple(c)])}) for g in groups}
+
+
+def _without_references(loaded: DataFrame, references: DataFrame, groups: Sequence[Group]) -> DataFrame:
+    """loaded, where resources that lack a reference in one of their group's required_refs are violated by the first such attribute."""
+    needs = [(g.group_id, g.resource_type, n, a) for g in groups for n, a in enumerate(g.required_refs)]
+    if not needs:
+        return loaded
+    wanted = loaded.sparkSession.createDataFrame(needs, "group_id string, type string, ord int, attribute_ref string")
+    have = references.select(F.col("patient_id").alias("__p"), F.col("src_type").alias("__t"), F.col("src_id").alias("__i"), F.col("group_id").alias("__g"), F.col("attribute_ref").alias("__a")).distinct()
+    asked = loaded.select("patient_id", "type", "id", "group_id").join(F.broadcast(wanted), ["group_id", "type"])  # a row a required attribute
+    met = asked.join(have, F.expr("patient_id <=> __p AND type = __t AND id = __i AND group_id = __g AND attribute_ref = __a"), "left_anti")
+    first = met.groupBy(F.col("patient_id").alias("__p"), F.col("type").alias("__t"), F.col("id").alias("__i"), F.col("group_id").alias("__g")).agg(F.min_by("attribute_ref", "ord").alias("__bare"))
+    out = loaded.join(first, F.expr("patient_id <=> __p AND type = __t AND id = __i AND group_id = __g"), "left").drop("__p", "__t", "__i", "__g")
+    return out.withColumns({"valid": F.col("valid") & F.col("__bare").isNull(), "attribute_ref": F.coalesce("attribute_ref", "__bare")}).drop("__bare")
 
 
 def _events(rows: DataFrame, reason: str, resource_id: Column) -> DataFrame:
     return rows.select(F.lit(reason).alias("reason"), "group_id", F.col("attribute_ref").cast("string").alias("attribute_ref"), resource_id.alias("resource_id"), "patient_id")
 
 
-def _required(cohort: DataFrame, groups: Sequence[Group], patient_types: Sequence[str]) -> tuple[list[str], list[str]]:
-    """The direct groups with required attributes: those on the patients' side, and core ones; by type, whatever was loaded."""
+def _required(cohort: DataFrame, references: DataFrame, groups: Sequence[Group], patient_types: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The direct groups with required attributes: those on the patients' side, and core ones; by type, whatever was loaded.
+
+    An attribute is required by the group's own word, or by that of the references out of it.
+    """
     spark = cohort.sparkSession
-    table = spark.createDataFrame([(g.group_id, g.resource_type, g.reference_only) for g in groups if g.must_have], "group_id string, type string, reference_only boolean")
+    told = {r["group_id"] for r in references.where("must_have").select("group_id").distinct().collect()}  # a row a group
+    table = spark.createDataFrame([(g.group_id, g.resource_type, g.reference_only) for g in groups if g.must_have or g.required_refs or g.group_id in told], "group_id string, type string, reference_only boolean")
     roles = {r["group_id"]: r["role"] for r in spec.split_groups(table, spark.createDataFrame([(t,) for t in patient_types], "type string")).collect()}  # a row a group
     patient, core = ([g.group_id for g in groups if roles.get(g.group_id) == role] for role in ("direct_patient", "direct_core"))
     return patient, core
@@ -84,13 +138,15 @@ def _required(cohort: DataFrame, groups: Sequence[Group], patient_types: Sequenc
 def extract(
     cohort: DataFrame, resources: DataFrame, references: DataFrame, groups: Sequence[Group], windows: DataFrame | None = None, patient_types: Sequence[str] = spec.PATIENT_TYPES,
     shapes: Mapping[str, T.StructType] | None = None, profiles: Mapping[str, redact.Profile] | None = None, date_fields: Mapping[str, str] = consent.DATE_FIELDS,
+    code_tree: DataFrame | None = None, copy_order: Sequence[Column] | None = None,
 ) -> Extraction:
     """Runs all steps; references is as in operators.resolve, windows as from operators.consent.
 
     With windows, records need consent by their type (consent.consented_by_type). Everyone needs a fulfilled resource in each
-    required group of a patient-side type. A required core group that no core resource fulfils, at load or after the
+    required group of a patient-side type: at load, and again after the cascade. A required core group that no core resource fulfils, at load or after the
     cascade, fails the extraction (ValueError). shapes are the struct types of bodies by resource type; with them bodies are
-    copied and redacted, and every group needs its profile among `profiles` (by url).
+    copied and redacted, and every group needs its profile among `profiles` (by url). With a code_tree (system, parent, child) a
+    filter's codes stand for all below them. Of several copies of a resource the first by copy_order counts (load.without_copies).
 
     Reasons of exclusion: MUST_HAVE (an attribute has no value, or no usable target), CONSENT, REFERENCE_NOT_FOUND (no target
     under the linked group's filters), RESOURCE_OUTSIDE_BATCH (it is another patient's, or a core record refers to a
@@ -102,10 +158,8 @@ def extract(
         kept = people.join(windows.select("patient_id").distinct(), "patient_id", "left_semi")
         lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CONSENT_FETCH")))
         people = kept
-    loaded = None
-    for g in groups:
-        rows = _loaded(resources, g)
-        loaded = rows if loaded is None else loaded.unionByName(rows)
+    resources = load.without_copies(resources, copy_order)
+    loaded = _without_references(_loaded(resources, groups, shapes, profiles or {}, _widened(groups, code_tree)), references, groups)
     loaded = loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL"))
     identity = F.concat_ws("/", "type", "id")
     excluded = []
@@ -119,7 +173,7 @@ def extract(
     else:
         unconsented = None
     loaded = cut(loaded, "loaded")
-    required, required_core = _required(cohort, groups, patient_types)
+    required, required_core = _required(cohort, references, groups, patient_types)
     if required_core:
         load.require_core(loaded.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = load.survivors(people, loaded.withColumn("fulfilled", F.col("valid")), required)
@@ -159,14 +213,10 @@ def extract(
     excluded.append(_events(met.where(foreign), "RESOURCE_OUTSIDE_BATCH", target))
     excluded.append(_events(met.where(~F.coalesce(foreign, F.lit(False)) & ~F.col("__v")).withColumn("attribute_ref", F.col("__a")), "MUST_HAVE", target).distinct())
 
-    # attributes that need a reference and have none, or none with a usable target
-    needs = [(g.group_id, a) for g in groups for a in g.required_refs]
-    wanted = people.sparkSession.createDataFrame(needs, "group_id string, attribute_ref string")
-    some = asked.select("node", "attribute_ref").distinct()
-    bare = members.drop("attribute_ref").join(F.broadcast(wanted), "group_id").join(some, ["node", "attribute_ref"], "left_anti").select("node", "attribute_ref")
+    # attributes that need a reference whose target is usable; those without any were violated at load
     live = edges.where("child <> ''").select("attribute").distinct()
     unmet = edges.where("must_have").join(live, "attribute", "left_anti").select(F.col("parent").alias("node"), "attribute_ref")
-    broken = cut(bare.union(unmet).distinct(), "unmet")
+    broken = cut(unmet.distinct(), "unmet")
     violated = broken.groupBy("node").agg(F.min("attribute_ref").alias("attribute_ref"))
     excluded.append(_events(members.drop("attribute_ref").join(violated, "node"), "MUST_HAVE", identity))
     nothing = members.sparkSession.createDataFrame([("", True, False)], "node string, reference_only boolean, valid boolean")  # stands for targets that are not there
@@ -222,6 +272,9 @@ def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Se
             mine = mine.withColumn("refs", F.map_concat(F.map_filter(have, lambda k, _: ~k.isin(side)), extra))
         body = resources.where(F.col("resource_type") == kind).select(F.col("patient_id").alias("__p"), "id", F.from_json("body", shapes[kind]).alias("body"))
         records = mine.join(body, "id").where("__p <=> patient_id").drop("__p")
+        if any(redact.asks_targets(t.profile, t.element_ids) for t in taken):
+            told = resolve.conformance(resources.where(F.col("resource_type") == kind).join(mine.select("id").distinct(), "id", "left_semi"), resources)
+            records = records.join(told.select(F.col("patient_id").alias("__p"), F.col("id").alias("__i"), "conforms"), F.expr("id = __i AND patient_id <=> __p"), "left").drop("__p", "__i")
         done = redact.copy_and_redact(records, kind, shapes[kind], taken).select("patient_id", F.col("type").alias("resource_type"), "id", "body", "complete")
         out = done if out is None else out.unionByName(done)
     out = cut(out, "redacted")

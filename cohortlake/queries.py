@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlake.functions import paths
 from cohortlake.functions.references import parse_reference
 from cohortlake.operators import cascade, codes, consent, intervals, load, project, redact, report, resolve, spec
 
@@ -750,6 +751,66 @@ def multi_profile(spark: SparkSession, d: str) -> DataFrame:
     return _redacted(rows, [redact.Selection("g", one, ("Observation.id", "Observation.meta", "Observation.code.coding:prio")), redact.Selection("h", two, ("Observation.status", "Observation.component"))]).select("o_orderkey", "body", "complete")
 
 
+_ELEMENT = "struct<id: string, coding: array<struct<system: string, code: string>>, part: array<struct<valueQuantity: struct<value: bigint>, valueString: string>>, note: array<struct<text: string, author: string>>, member: array<struct<reference: string>>, tag: array<struct<name: string, n: bigint>>>"
+
+
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    """Records of orders with lists that slices of every kind tell apart; every fifth device has the profile that is asked for."""
+    struct = lambda **parts: F.struct(*(v.alias(k) for k, v in parts.items()))
+    none = F.lit(None).cast("string")
+    body = struct(
+        id=F.col("o_orderkey").cast("string"), coding=F.array(struct(system=F.lit("prio"), code=F.col("o_orderpriority")), struct(system=F.lit("clerk"), code=F.col("o_orderstatus"))),
+        part=F.array(struct(valueQuantity=struct(value=F.col("o_custkey")), valueString=none), struct(valueQuantity=F.lit(None).cast("struct<value: bigint>"), valueString=F.col("o_orderstatus"))),
+        note=F.array(struct(text=F.lit("t"), author=F.when(F.col("o_orderpriority") == "1-URGENT", "me")), struct(text=F.lit("u"), author=none)),
+        member=F.array(struct(reference=F.concat(F.lit("Device/"), (F.col("o_custkey") % 5).cast("string"))), struct(reference=F.concat(F.lit("Patient/"), "o_custkey"))),
+        tag=F.array(struct(name=F.col("o_orderstatus"), n=F.lit(1)), struct(name=F.lit("x"), n=F.lit(2))),
+    )
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").cast("string").alias("id"), body.cast(_ELEMENT).alias("body"))
+
+
+def _kinds() -> redact.Profile:
+    e, o = redact.Element, "Observation"
+    return redact.Profile("p/k", [
+        e(o, o), e(f"{o}.coding", f"{o}.coding", discriminators=(("PATTERN", "$this"),)), e(f"{o}.coding:prio", f"{o}.coding", "prio", pattern='{"system":"prio"}'),
+        e(f"{o}.tag", f"{o}.tag", discriminators=(("VALUE", "name"),)), e(f"{o}.tag:f", f"{o}.tag", "f"), e(f"{o}.tag:f.name", f"{o}.tag.name", pattern='"F"'),
+        e(f"{o}.part", f"{o}.part", discriminators=(("TYPE", "value"),)), e(f"{o}.part:number", f"{o}.part", "number"), e(f"{o}.part:number.value[x]", f"{o}.part.value[x]", types=("Quantity",)),
+        e(f"{o}.note", f"{o}.note", discriminators=(("EXISTS", "author"),)), e(f"{o}.note:signed", f"{o}.note", "signed"),
+        e(f"{o}.member", f"{o}.member", discriminators=(("PROFILE", "resolve()"),)), e(f"{o}.member:device", f"{o}.member", "device", types=("Reference",), target_profiles=("p/device",)),
+    ])
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS prio, CAST(o_custkey AS VARCHAR) AS number, o_orderstatus AS word, CASE WHEN o_orderpriority = '1-URGENT' THEN 't' ELSE '' END AS signed,
+o_orderstatus = 'F' AS tagged, CASE WHEN o_custkey % 5 = 0 THEN 'Device/' || (o_custkey % 5) ELSE '' END AS device FROM orders""")
+def path_values(spark: SparkSession, d: str) -> DataFrame:
+    """What paths lead to: conditions, types of a choice, what exists, slices by their element ids, and targets' profiles."""
+    rows = _elements(spark, d)
+    kind = rows.schema["body"].dataType
+    devices = spark.createDataFrame([("Device", "0", None, ["p/device|2"]), ("Device", "1", None, ["p/other"])], "resource_type string, id string, patient_id long, profiles array<string>")
+    told = resolve.conformance(rows.withColumn("body", F.to_json("body")), devices)
+    rows = rows.join(told, ["patient_id", "id"], "left")
+    text = lambda p: F.array_join(paths.values(p, F.col("body"), kind, F.col("conforms")), ",")
+    return rows.select(
+        F.col("id").cast("long").alias("o_orderkey"), text("Observation.coding.where(system = 'prio').code").alias("prio"), text("part.value.ofType(Quantity).value").alias("number"), text("part.where(value.ofType(string)).value.ofType(string)").alias("word"),
+        text("note.where(author.exists()).text").alias("signed"), paths.has_value(redact.path_of("Observation.tag:f.n", _kinds()), F.col("body"), kind).alias("tagged"), text(redact.path_of("Observation.member:device.reference", _kinds())).alias("device"),
+    )
+
+
+@query("""SELECT o_orderkey, '{"id":"' || o_orderkey || '","coding":[{"system":"prio","code":"' || o_orderpriority || '"}],"part":[{"valueQuantity":{"value":' || o_custkey || '}}]'
+|| CASE WHEN o_orderpriority = '1-URGENT' THEN ',"note":[{"text":"t","author":"me"}]' ELSE '' END || CASE WHEN o_custkey % 5 = 0 THEN ',"member":[{"reference":"Device/0"}]' ELSE '' END || CASE WHEN o_orderstatus = 'F' THEN ',"tag":[{"name":"F","n":1}]' ELSE '' END || '}' AS copied,
+'{"id":"' || o_orderkey || '","coding":[{"system":"prio","code":"' || o_orderpriority || '"},{}],"part":[{"valueQuantity":{"value":' || o_custkey || '}},{}],"tag":[' || CASE WHEN o_orderstatus = 'F' THEN '{"name":"F","n":1}' ELSE '{}' END || ',{}]}' AS redacted FROM orders""")
+def slice_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Slices of all kinds in copying; in redaction those by value, pattern and type, where other values are emptied."""
+    rows = _elements(spark, d)
+    kind = rows.schema["body"].dataType
+    devices = spark.createDataFrame([("Device", "0", None, ["p/device|2"]), ("Device", "1", None, ["p/other"])], "resource_type string, id string, patient_id long, profiles array<string>")
+    rows = rows.join(resolve.conformance(rows.withColumn("body", F.to_json("body")), devices), ["patient_id", "id"], "left")
+    tree = redact.copy_tree([f"Observation.{x}" for x in ("id", "coding:prio", "tag:f", "part:number", "note:signed", "member:device")])
+    copied = redact.copied(F.col("body"), kind, [(None, "Observation", tree)], [_kinds()], F.col("conforms"))
+    plain = rows.withColumns({"copied": F.to_json(copied), "groups": F.array(F.lit("g")), "refs": F.lit(None).cast("map<string,array<string>>")})
+    out = redact.copy_and_redact(plain, "Observation", kind, [redact.Selection("g", _kinds(), ("Observation.id", "Observation.coding", "Observation.part", "Observation.tag"))])
+    return out.select(F.col("id").cast("long").alias("o_orderkey"), "copied", F.col("body").alias("redacted"))
+
+
 # --- whole extractions -------------------------------------------------------------------------------------------------
 
 _PLAN = """enc AS (SELECT o_orderkey, o_custkey, o_orderpriority = '1-URGENT' must, o_totalprice > 100000 ok FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'),
@@ -798,3 +859,42 @@ def extract_exclusions(spark: SparkSession, d: str) -> DataFrame:
     resources = out.resource_exclusions.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     people = report.patient_exclusions(out.patient_exclusions, report.PATIENT_STAGES[1:]).select(F.concat(F.lit("patients at "), "stage").alias("reason"), F.col("patients").alias("n"))
     return resources.unionByName(people)
+
+
+_NEED = """enc AS (SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'),
+hit AS (SELECT o_orderkey, o_custkey, bool_or(p_type = 'PROMO') ok FROM enc JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+@query(f"""WITH {_NEED} SELECT c_custkey AS patient_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM hit WHERE ok) THEN 'kept' WHEN c_custkey IN (SELECT o_custkey FROM hit) THEN 'CASCADING_DELETE' ELSE 'DIRECT_LOAD' END AS outcome,
+(SELECT count(*) FROM hit h WHERE h.o_custkey = c_custkey AND ok) AS encounters FROM customer WHERE c_mktsegment = 'BUILDING'""")
+def extract_required_references(spark: SparkSession, d: str) -> DataFrame:
+    """A group whose only must-have is a reference: people need an order with a part of one kind, and leave where they have none."""
+    from cohortlake.plans import extract
+
+    columns = ["resource_type", "id", "patient_id", "profiles", "codes", "period_start", "period_end"]
+    coding = F.array(F.struct(F.lit("type").alias("system"), F.col("p_type").alias("code")))
+    drugs = table(spark, d, "part").select(F.lit("Medication").alias("resource_type"), F.col("p_partkey").cast("string").alias("id"), F.lit(None).cast("long").alias("patient_id"), F.array(F.lit("m")).alias("profiles"), coding.alias("codes"), F.lit(None).cast("date").alias("period_start"), F.lit(None).cast("date").alias("period_end"))
+    links = table(spark, d, "lineitem").join(table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").selectExpr(
+        "o_custkey AS patient_id", "'Encounter' AS src_type", "CAST(l_orderkey AS STRING) AS src_id", "'enc' AS group_id", "'Encounter.medication' AS attribute_ref", "true AS must_have", "'med' AS linked_group", "'Medication' AS dst_type", "CAST(l_partkey AS STRING) AS dst_id"
+    )
+    groups = [extract.Group("enc", "Encounter", "p/F", required_refs=["Encounter.medication"]), extract.Group("med", "Medication", "m", [("type", "PROMO")], reference_only=True)]
+    cohort = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("patient_id"))
+    out = extract.extract(cohort, encounters(spark, d).select(*columns).unionByName(drugs), links, groups)
+    visits = out.groups.where("group_id = 'enc'").groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters"))
+    kept = out.people.join(visits, "patient_id", "left").select("patient_id", F.lit("kept").alias("outcome"), F.coalesce("encounters", F.lit(0)).alias("encounters"))
+    return kept.unionByName(out.patient_exclusions.select("patient_id", F.col("stage").alias("outcome"), F.lit(0).cast("long").alias("encounters")))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice - 100000 ELSE o_totalprice END p FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F')
+SELECT o_custkey AS patient_id, count(*) AS encounters FROM f WHERE p > 100000 GROUP BY 1""")
+def extract_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """A store that holds every third order twice, with another price: one copy counts, the cheaper one by the order given."""
+    from cohortlake.plans import extract
+
+    visits = encounters(spark, d).withColumnRenamed("o_totalprice", "price")
+    copies = visits.where("CAST(id AS BIGINT) % 3 = 0").withColumn("price", F.col("price") - 100000)
+    cohort = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("patient_id"))
+    refs = spark.createDataFrame([], "patient_id long, src_type string, src_id string, group_id string, attribute_ref string, must_have boolean, linked_group string, dst_type string, dst_id string")
+    groups = [extract.Group("enc", "Encounter", "p/F", must_have=[("Encounter.price", F.col("price") > 100000)])]
+    out = extract.extract(cohort, copies.unionByName(visits).unionByName(copies), refs, groups, copy_order=[F.col("price")])
+    return out.groups.groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters"))

@@ -48,7 +48,7 @@ Quantity Reference String Uri Url""".split()
 
 
 def profile_elements(spark: SparkSession, path: str) -> DataFrame:
-    """profile_url (without version), resource_type, element_id, path, slice_name, min, max, types, type_profiles,
+    """profile_url (without version), resource_type, element_id, path, slice_name, min, max, types, type_profiles, target_profiles,
     discriminators (array of type, path; NULL where nothing is sliced), pattern (fixed value or pattern as JSON text) and bound (to
     a value set) of every element of a folder of profiles.
     """
@@ -60,6 +60,7 @@ def profile_elements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         "profile_url", "resource_type", F.col("e.id").alias("element_id"), F.col("e.path").alias("path"), F.col("e.sliceName").alias("slice_name"), F.col("e.min").alias("min"), F.col("e.max").alias("max"),
         F.col("e.type.code").alias("types"), F.flatten(F.transform("e.type", lambda t: F.coalesce(t["profile"], F.array().cast("array<string>")))).alias("type_profiles"),
+        F.flatten(F.transform("e.type", lambda t: F.coalesce(t["targetProfile"], F.array().cast("array<string>")))).alias("target_profiles"),
         F.when(F.col("e.slicing").isNotNull(), F.coalesce("e.slicing.discriminator", F.array().cast("array<struct<type: string, path: string>>"))).alias("discriminators"),
         pattern.alias("pattern"), F.col("e.binding").isNotNull().alias("bound"),
     )

@@ -74,7 +74,8 @@ def linked(spark, refs, **more):
 def test_required_reference_to_another_patients_record(spark):
     refs = [(1, "Condition", "c1", "cond", "Condition.encounter", True, "enc", "Encounter", "e2"), (2, "Condition", "c2", "cond", "Condition.encounter", True, "enc", "Encounter", "e2")]
     out = linked(spark, refs)
-    assert {(r["type"], r["id"]) for r in out.groups.collect()} == {("Patient", "1"), ("Patient", "2"), ("Condition", "c2"), ("Encounter", "e2")}
+    assert {(r["type"], r["id"]) for r in out.groups.collect()} == {("Patient", "2"), ("Condition", "c2"), ("Encounter", "e2")}
+    assert {(r["patient_id"], r["stage"]) for r in out.patient_exclusions.collect()} == {(1, "CASCADING_DELETE")}  # the condition was required
     assert events(out) == {("RESOURCE_OUTSIDE_BATCH", "enc", "Condition.encounter", "Encounter/e2", 1), ("MUST_HAVE", "cond", "Condition.encounter", "Condition/c1", 1)}
     assert {(r["id"], r["child"]) for r in out.links.collect()} == {("c2", "Encounter/e2")}
 
@@ -82,14 +83,15 @@ def test_required_reference_to_another_patients_record(spark):
 def test_core_record_must_not_refer_to_a_patients(spark):
     refs = [(1, "Condition", "c1", "cond", "Condition.drug", True, "med", "Medication", "m1"), (None, "Medication", "m1", "med", "Medication.encounter", True, "enc", "Encounter", "e1")]
     out = linked(spark, refs)
-    assert {r["id"] for r in out.groups.collect()} == {"1", "2", "c2"}
+    assert {r["id"] for r in out.groups.collect()} == {"2", "c2"}
     assert events(out) == {("RESOURCE_OUTSIDE_BATCH", "enc", "Medication.encounter", "Encounter/e1", None), ("MUST_HAVE", "med", "Medication.encounter", "Medication/m1", None), ("CASCADING_DELETE", "cond", None, "Condition/c1", 1)}
 
 
 def test_missing_target_and_attribute_without_any_reference(spark):
     refs = [(1, "Condition", "c1", "cond", "Condition.encounter", False, "enc", "Encounter", "nowhere")]
     out = linked(spark, refs, required_refs=["Condition.encounter"])
-    assert {r["id"] for r in out.groups.collect()} == {"1", "2", "c1"}
+    assert {r["id"] for r in out.groups.collect()} == {"1", "c1"}
+    assert {(r["patient_id"], r["stage"]) for r in out.patient_exclusions.collect()} == {(2, "DIRECT_LOAD")}
     assert events(out) == {("REFERENCE_NOT_FOUND", "enc", "Condition.encounter", "Encounter/nowhere", 1), ("MUST_HAVE", "cond", "Condition.encounter", "Condition/c2", 2)}
 
 
@@ -129,3 +131,45 @@ def test_bodies_are_cut_and_redacted(spark):
     }
     with pytest.raises(ValueError, match="Encounter"):
         plan.extract(resources.where("resource_type = 'Patient'").select("patient_id"), resources, refs, groups, shapes={k: v for k, v in shapes.items() if k != "Encounter"}, profiles=profiles)
+
+
+def test_required_core_reference(spark):
+    """A core group that is required by its reference only: without a target the extraction fails."""
+    row = lambda t, i, p: (t, i, p, ["u"], [("s", "k")], DAY, DAY, f"{t}/{i}")
+    resources = spark.createDataFrame([row("Patient", "1", 1), row("Medication", "m1", None), row("Substance", "s1", None)], SCHEMA)
+    groups = [plan.Group("pat", "Patient"), plan.Group("med", "Medication"), plan.Group("sub", "Substance", reference_only=True)]
+    refs = lambda target: spark.createDataFrame([(None, "Medication", "m1", "med", "Medication.ingredient", True, "sub", "Substance", target)], REF)
+    cohort = resources.where("resource_type = 'Patient'").select("patient_id")
+    assert {r["id"] for r in plan.extract(cohort, resources, refs("s1"), groups).groups.collect()} == {"1", "m1", "s1"}
+    with pytest.raises(ValueError, match="med"):
+        plan.extract(cohort, resources, refs("none"), groups)
+
+
+def test_copies_and_descendants(spark):
+    """Of copies one counts, the same one always; a filter's code stands for those below it."""
+    rows = [("Patient", "1", 1, ["u"], [], DAY, DAY, "p"), ("Condition", "c1", 1, ["u"], [("s", "leaf")], DAY, DAY, "b"), ("Condition", "c1", 1, ["u"], [("s", "other")], DAY, DAY, "a"), ("Condition", "c2", 1, ["u"], [("s", "leaf")], DAY, DAY, "x"), ("Condition", "c2", 1, ["u"], [("s", "leaf")], DAY, DAY, "x"), ("Condition", "c1", 2, ["u"], [("s", "leaf")], DAY, DAY, "z")]
+    resources = spark.createDataFrame(rows, SCHEMA)
+    groups = [plan.Group("pat", "Patient"), plan.Group("cond", "Condition", codes=[("s", "top")])]
+    tree = spark.createDataFrame([("s", "top", "mid"), ("s", "mid", "leaf"), ("t", "top", "other")], "system string, parent string, child string")
+    cohort = resources.where("resource_type = 'Patient'").select("patient_id")
+    ids = lambda **more: sorted(r["id"] for r in plan.extract(cohort, resources, spark.createDataFrame([], REF), groups, **more).groups.collect())
+    assert ids() == ["1"] and ids(code_tree=tree) == ["1", "c2"]
+    assert ids(code_tree=tree, copy_order=[F.desc("body")]) == ["1", "c1", "c2"]
+
+
+def test_must_have_by_path(spark):
+    body = lambda i, **more: json.dumps({"id": i, "code": {"coding": [{"system": "loinc", "code": "1"}]}, **more})
+    rows = [("Patient", "1", 1, ["v"], [], DAY, DAY, "{}"), ("Patient", "2", 2, ["v"], [], DAY, DAY, "{}"), *(("Observation", i, p, ["u"], [], DAY, DAY, b) for i, p, b in (
+        ("o1", 1, body("o1", valueQuantity={"value": 1.0})), ("o2", 2, body("o2", valueString="x")), ("o3", 1, body("o3", code={"coding": [{"system": "sct", "code": "1"}]}, valueQuantity={"value": 1.0}))))]
+    resources = spark.createDataFrame(rows, SCHEMA)
+    shapes = {"Observation": T._parse_datatype_string("struct<id: string, code: struct<coding: array<struct<system: string, code: string>>>, valueQuantity: struct<value: double>, valueString: string>")}
+    e = redact.Element
+    profile = redact.Profile("u", [e("Observation.code.coding", "Observation.code.coding", discriminators=(("PATTERN", "$this"),)), e("Observation.code.coding:loinc", "Observation.code.coding", "loinc", pattern='{"system": "loinc"}')])
+    must = ["Observation.code.coding:loinc.code", ("Observation.value[x]", "value.ofType(Quantity)")]
+    groups = [plan.Group("pat", "Patient"), plan.Group("obs", "Observation", "u", must_have=must)]
+    cohort = resources.where("resource_type = 'Patient'").select("patient_id")
+    extract = lambda **more: plan.extract(cohort, resources, spark.createDataFrame([], REF), groups, **more)
+    with pytest.raises(ValueError, match="shape"):
+        extract()
+    loaded = plan._loaded(resources, groups, shapes, {"u": profile}, {}).where("type = 'Observation'").collect()
+    assert {(r["id"], r["valid"], r["attribute_ref"]) for r in loaded} == {("o1", True, None), ("o2", False, "Observation.value[x]"), ("o3", False, "Observation.code.coding:loinc.code")}

@@ -138,3 +138,73 @@ def test_patterns(spark, pattern, kept):
     kind = T._parse_datatype_string("struct<coding:array<struct<system:string,code:string>>,text:string>")
     df = spark.createDataFrame([("""{"coding":[{"system":"s","code":"1"},{"system":"t","code":"2"}]}""",)], "v string").withColumn("v", F.from_json("v", kind))
     assert df.select(redact.holds_pattern(F.col("v"), kind, json.loads(pattern))).first()[0] is kept
+
+
+KINDS = Profile("p/kinds", [
+    Element("Observation", "Observation"),
+    Element("Observation.component", "Observation.component", discriminators=(("TYPE", "value"),)),
+    Element("Observation.component:number", "Observation.component", "number"), Element("Observation.component:number.value[x]", "Observation.component.value[x]", types=("Quantity",)),
+    Element("Observation.component:text", "Observation.component", "text"), Element("Observation.component:text.value[x]", "Observation.component.value[x]", types=("string",)),
+    Element("Observation.note", "Observation.note", discriminators=(("EXISTS", "author"),)), Element("Observation.note:signed", "Observation.note", "signed"),
+    Element("Observation.member", "Observation.member", types=("Reference",), discriminators=(("PROFILE", "resolve()"),)), Element("Observation.member:device", "Observation.member", "device", types=("Reference",), target_profiles=("p/device",)),
+    Element("Observation.value[x]", "Observation.value[x]", types=("Quantity", "Period"), discriminators=(("TYPE", "$this"),)), Element("Observation.value[x]:amount", "Observation.value[x]", "amount", types=("Quantity",)),
+])
+KINDS_TYPE = "struct<id: string, component: array<struct<valueQuantity: struct<value: double>, valueString: string, name: string>>, note: array<struct<text: string, author: string>>, member: array<struct<reference: string>>, valueQuantity: struct<value: double>, valuePeriod: struct<start: string>>"
+
+
+def kinds(spark, b, ids, conforms=None, refs=None):
+    kind = T._parse_datatype_string(KINDS_TYPE)
+    rows = spark.createDataFrame([(json.dumps(b), ["g"], refs or {}, conforms or {})], "body string, groups array<string>, refs map<string,array<string>>, conforms map<string,array<string>>")
+    out = redact.copy_and_redact(rows.withColumn("body", F.from_json("body", kind)), "Observation", kind, [Selection("g", KINDS, ids)])
+    assert out.columns == ["body", "groups", "complete"]
+    return json.loads(out.first()["body"])
+
+
+def test_slices_of_all_kinds_in_copying(spark):
+    b = {"id": "o", "component": [{"valueQuantity": {"value": 1.0}, "name": "a"}, {"valueString": "s", "name": "b"}, {"name": "c"}], "note": [{"text": "x", "author": "me"}, {"text": "y"}], "member": [{"reference": "Device/1"}, {"reference": "Patient/2"}, {"reference": "Device/3"}]}
+    assert kinds(spark, b, ("Observation.component:number",))["component"] == [{"valueQuantity": {"value": 1.0}, "name": "a"}]
+    assert kinds(spark, b, ("Observation.component:text.value[x]", "Observation.component:number"))["component"] == [{"valueQuantity": {"value": 1.0}, "name": "a"}, {"valueString": "s"}]
+    assert kinds(spark, b, ("Observation.note:signed.author", "Observation.id"))["id"] == "o"
+    devices = {"Device/1": ["p/x", "p/device"], "Patient/2": ["p/patient"]}
+    refs = {"Observation.member": ["Device/1", "Patient/2", "Device/3"]}
+    # redaction knows neither EXISTS nor PROFILE: values of such slices are emptied there, but only those of the slice were copied
+    assert len(kinds(spark, b, ("Observation.note:signed",))["note"]) == 1
+    assert len(kinds(spark, b, ("Observation.member:device",), devices, refs)["member"]) == 1
+    assert "member" not in kinds(spark, b, ("Observation.member:device",), None, refs)
+
+
+def test_slices_by_type_in_redaction(spark):
+    b = {"component": [{"valueQuantity": {"value": 1.0}, "name": "a"}, {"name": "none"}], "valuePeriod": {"start": "2020"}}
+    out = kinds(spark, b, ("Observation.component", "Observation.value[x]"))
+    assert out["component"] == [{"valueQuantity": {"value": 1.0}, "name": "a"}, {}] and out["valuePeriod"] == {}
+    assert kinds(spark, {"valueQuantity": {"value": 2.0}}, ("Observation.value[x]",))["valueQuantity"] == {"value": 2.0}
+
+
+def slice_profile(name, n, shift):
+    at = "Observation.code.coding"
+    rows = [Element("Observation", "Observation"), Element(at, at, types=("Coding",), discriminators=(("PATTERN", "$this"),))]
+    for k in range(n):
+        rows.append(Element(f"{at}:s{k}", at, f"s{k}", types=("Coding",), pattern=json.dumps({"system": f"s{k + shift}"})))
+        rows.append(Element(f"{at}:s{k}.display", f"{at}.display", min=k % 2, types=("string",)))
+    return Profile(name, rows)
+
+
+def test_many_slices_in_several_profiles(spark):
+    """Three profiles of eight slices each: every value under the contexts of its slices, and a plan that grows in proportion."""
+    ids = ("Observation.id", "Observation.meta", "Observation.code")
+    selections = [Selection(f"g{k}", slice_profile(f"p/{k}", 8, 3 * k), ids) for k in range(3)]
+    codings = [{"system": f"s{k}", "code": str(k)} for k in range(16)]
+    out, _ = run(spark, {"id": "o", "code": {"coding": codings}}, selections)
+    for k, value in enumerate(out["code"]["coding"]):
+        slices = [k - 3 * p for p in range(3) if 0 <= k - 3 * p < 8]
+        expected = {} if not slices else {**codings[k], **({"_display": STUB} if any(s % 2 for s in slices) else {})}
+        assert value == expected, k
+
+    def size(n, profiles):
+        kind = T._parse_datatype_string(KIND)
+        context = [(slice_profile(f"p/{k}", n, k), "Observation", None) for k in range(profiles)]
+        column = redact._children(F.from_json(F.lit("{}"), kind), kind, context, F.create_map().cast("map<string,array<string>>"))
+        return len(spark.range(1).select(column.alias("x"))._jdf.queryExecution().analyzed().toString())
+
+    small, large = size(4, 1), size(8, 3)
+    assert large < 10 * small  # six times the slices
