@@ -6,6 +6,8 @@ shared by all groups that ask for it alike, so it has several parents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,25 +16,27 @@ from cohortlake.plans.lineage import cut
 MAX_ROUNDS = 1000
 
 
-def _step(nodes: DataFrame, edges: DataFrame, dead: DataFrame, fresh: DataFrame, down: bool) -> DataFrame:
-    """Nodes that follow the freshly dead: reference-only children without a live attribute, parents of must-have attributes
-    without a live child. Only attributes that touch a fresh node are looked at again.
-    """
-    ends = [edges.join(fresh, edges[end] == fresh["node"], "left_semi").select("attribute") for end in ("parent", "child")]
-    touched = cut(edges.join(ends[0].union(ends[1]).distinct(), "attribute", "left_semi"), "touched")
-    gone = dead.select("node")
-    held = touched.join(gone, touched["child"] == gone["node"], "left_anti").select("attribute").distinct()
-    required = touched.where("must_have").join(held, "attribute", "left_anti").select(F.col("parent").alias("node"))
-    if not down:
-        return required.distinct().join(dead, "node", "left_anti")
-    over = touched.select("attribute").distinct().join(touched.join(gone, touched["parent"] == gone["node"], "left_anti").select("attribute").distinct(), "attribute", "left_anti")
-    below = touched.join(over, "attribute", "left_semi").select(F.col("child").alias("node")).distinct()
-    hanging = below.join(nodes.where("reference_only").select("node"), "node", "left_semi").join(dead, "node", "left_anti")
-    # whatever else holds them: all their attributes, and whether these have a valid parent
-    reach = edges.join(hanging, edges["child"] == hanging["node"], "left_semi").select("attribute", F.col("child").alias("node")).distinct()
-    around = edges.join(reach.select("attribute").distinct(), "attribute", "left_semi")
-    alive = around.join(gone, around["parent"] == gone["node"], "left_anti").select("attribute").distinct()
-    return hanging.join(reach.join(alive, "attribute", "left_semi").select("node"), "node", "left_anti").union(required).distinct().join(dead, "node", "left_anti")
+#: Rounds after which counters are added up again, so that they are not read from ever more files.
+_COMPACT = 8
+
+
+class _Counters:
+    """How much of its support each key has lost: a row for every loss, added up for the keys that lose something now."""
+
+    def __init__(self, support: DataFrame, key: str, losses: list[str]) -> None:
+        self.support, self.key, self.losses = support, key, losses
+        self.held: list[DataFrame] = []
+
+    def lose(self, rows: DataFrame) -> DataFrame:
+        """Takes what keys lose in this round (a row a key) and gives each with its support, and what is lost with and without this round."""
+        now = cut(rows, "losses")
+        before = reduce(DataFrame.unionByName, self.held) if self.held else now.limit(0)
+        own = before.join(now.select(self.key), self.key, "left_semi").groupBy(self.key).agg(*(F.sum(c).alias(f"had_{c}") for c in self.losses))
+        if len(self.held) == _COMPACT:
+            self.held = [cut(before.groupBy(self.key).agg(*(F.sum(c).alias(c) for c in self.losses)), "losses")]
+        self.held.append(now)
+        known = now.join(own, self.key, "left").join(self.support, self.key)
+        return known.withColumns({f"had_{c}": F.coalesce(f"had_{c}", F.lit(0)) for c in self.losses})
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
@@ -40,11 +44,32 @@ def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
 
     Down: an attribute dies when all its parents are invalid; a reference-only child without any attribute left is
     invalid. Up: a must-have attribute without any child left makes all its parents invalid.
+
+    Attributes know how many parents and children they have, children how many attributes: counted once. A round takes from
+    these counts what the nodes that fell in the last one held, and only what loses something is looked at.
     """
+    above = cut(edges.select("parent", "attribute").distinct(), "attributes-above")
+    below = cut(edges.select("attribute", "child").distinct(), "children-below")
+    counts = above.groupBy("attribute").agg(F.count(F.lit(1)).alias("parents")).join(below.groupBy("attribute").agg(F.count(F.lit(1)).alias("children")), "attribute")
+    required = edges.where("must_have").select("attribute", F.lit(True).alias("must_have")).distinct()
+    attributes = _Counters(cut(counts.join(required, "attribute", "left"), "attribute-support"), "attribute", ["lost_parents", "lost_children"])
+    if down:
+        held = below.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("attributes"))
+        children = _Counters(cut(held.join(nodes.where("reference_only").select("node").distinct(), "node", "left_semi"), "child-support"), "node", ["lost_attributes"])
     first = cut(nodes.where("NOT valid").select("node").distinct(), "invalid")
     dead = fresh = first
     for _ in range(MAX_ROUNDS):
-        fresh = cut(_step(nodes, edges, dead, fresh, down), "invalid")
+        up = below.join(fresh.withColumnRenamed("node", "child"), "child", "left_semi").select("attribute", F.lit(0).alias("p"), F.lit(1).alias("c"))
+        both = up.union(above.join(fresh.withColumnRenamed("node", "parent"), "parent", "left_semi").select("attribute", F.lit(1).alias("p"), F.lit(0).alias("c"))) if down else up
+        met = attributes.lose(both.groupBy("attribute").agg(F.sum("p").alias("lost_parents"), F.sum("c").alias("lost_children")))
+        bare = met.where("must_have AND had_lost_children < children AND had_lost_children + lost_children = children").select("attribute")
+        found = above.join(bare, "attribute", "left_semi").select(F.col("parent").alias("node"))
+        if down:
+            over = met.where("had_lost_parents < parents AND had_lost_parents + lost_parents = parents").select("attribute")
+            loose = below.join(over, "attribute", "left_semi").groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("lost_attributes"))
+            left = children.lose(loose).where("had_lost_attributes < attributes AND had_lost_attributes + lost_attributes = attributes")
+            found = found.union(left.select("node"))
+        fresh = cut(found.distinct().join(dead, "node", "left_anti"), "invalid")
         if fresh.isEmpty():
             return dead.join(first, "node", "left_anti")
         dead = dead.union(fresh)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.plans.lineage import cut
+from cohortlake.plans.lineage import cut, numbered
 
 #: Why a resource was left out, and at which stage a person was.
 RESOURCE_REASONS = ("MUST_HAVE", "CONSENT", "REFERENCE_NOT_FOUND", "RESOURCE_OUTSIDE_BATCH", "CASCADING_DELETE")
 PATIENT_STAGES = ("CONSENT_FETCH", "DIRECT_LOAD", "CASCADING_DELETE")
+#: What group and extraction are identified by, and who makes an extraction.
+PROVENANCE_SYSTEMS = ("urn:cohortlake:attribute-group", "urn:cohortlake:extraction")
+PROVENANCE_AGENT = ("urn:cohortlake:program", "cohortlake")
 
 
 def extraction_info(groups: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -21,10 +25,31 @@ def extraction_info(groups: DataFrame, attributes: DataFrame) -> DataFrame:
     return g.join(refs.groupBy("type", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribute_ref", "children")))).alias("refs")), ["type", "id"], "left")
 
 
-def provenance(groups: DataFrame) -> DataFrame:
-    """For each patient and group the resources present, sorted, and an id made from both."""
-    out = groups.groupBy("patient_id", "group_id").agg(F.array_sort(F.collect_set(F.concat_ws("/", "type", "id"))).alias("targets"))
-    return out.withColumn("provenance_id", F.sha2(F.concat_ws("|", F.col("patient_id").cast("string"), "group_id"), 256))
+#: Targets of one provenance record at most; longer lists take several.
+TARGETS = 1000
+
+
+def provenance(groups: DataFrame, size: int = TARGETS) -> DataFrame:
+    """patient_id, group_id, chunk, targets, provenance_id: for each patient and group the resources present, in order of type and id.
+
+    Lists of more than `size` targets go on in further chunks: core resources (without a patient) are one list for each group,
+    which no task could hold. Ids are made from patient, group and chunk, so they are the same in every run.
+    """
+    rows = numbered(groups.select("patient_id", "group_id", "type", "id").distinct(), ["patient_id", "group_id"], ["type", "id"], "__n")
+    out = rows.groupBy("patient_id", "group_id", F.floor(F.col("__n") / size).alias("chunk")).agg(F.array_sort(F.collect_list(F.concat_ws("/", "type", "id"))).alias("targets"))
+    return out.withColumn("provenance_id", F.sha2(F.concat_ws("|", F.col("patient_id").cast("string"), "group_id", F.when(F.col("chunk") > 0, F.col("chunk").cast("string"))), 256))
+
+
+def provenance_resources(provenance_: DataFrame, extraction_id: str, recorded: datetime.datetime, systems: tuple[str, str] = PROVENANCE_SYSTEMS, agent: tuple[str, str] = PROVENANCE_AGENT) -> DataFrame:
+    """patient_id, resource_type, id, group_id, chunk, body: a record for each list of targets, which names its group, the extraction, and who made it when."""
+    named = lambda system, value: F.struct(F.struct(F.lit(system).alias("system"), value.alias("value")).alias("identifier"))
+    source = lambda what: F.struct(F.lit("source").alias("role"), what.alias("what"))
+    stamp = F.lit(recorded.isoformat())
+    body = F.struct(
+        F.lit("Provenance").alias("resourceType"), F.col("provenance_id").alias("id"), F.transform("targets", lambda t: F.struct(t.alias("reference"))).alias("target"), F.struct(stamp.alias("start")).alias("occurredPeriod"), stamp.alias("recorded"),
+        F.array(F.struct(named(agent[0], F.lit(agent[1])).alias("who"))).alias("agent"), F.array(source(named(systems[0], F.col("group_id"))), source(named(systems[1], F.lit(extraction_id)))).alias("entity"),
+    )
+    return provenance_.select("patient_id", F.lit("Provenance").alias("resource_type"), F.col("provenance_id").alias("id"), "group_id", "chunk", F.to_json(body).alias("body"))
 
 
 def inclusion_counts(groups: DataFrame) -> DataFrame:
@@ -92,6 +117,12 @@ def batch_labels(people: DataFrame, size: int) -> DataFrame:
     return placed.withColumn("__at", at).join(F.broadcast(counts.select("__part", before.alias("__b"))), "__part").select("patient_id", F.expr(f"CAST((__b + __at) div {size} AS INT)").alias("batch"))
 
 
+def labelled(events: DataFrame, batches: DataFrame, core: str = "core") -> DataFrame:
+    """events with `batch`: that of their patient (batches: patient_id, batch), or the name for what belongs to no patient."""
+    own = batches.select("patient_id", F.col("batch").cast("string").alias("batch"))
+    return events.join(own, "patient_id", "left").withColumn("batch", F.coalesce("batch", F.lit(core)))
+
+
 def job_summary(cohort: DataFrame, final: DataFrame, patient_events: DataFrame, resource_events: DataFrame, inclusions: DataFrame, stages: Sequence[str]) -> DataFrame:
     """One row (and one JSON object when written): sizes, people excluded by stage, resources excluded and included by group."""
     as_map = lambda df, key, value: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)), lambda a, b: F.when(a[key] < b[key], -1).otherwise(1))).alias("m"))

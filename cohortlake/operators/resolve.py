@@ -6,6 +6,8 @@ targets: type, id, patient_id (null for core), group_id, valid: what each linked
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,29 @@ def required_references(references: DataFrame, valid: DataFrame) -> DataFrame:
     return references.where("must_have").select(*keys).distinct().join(ok, keys, "left_anti").select("src_type", "src_id", "group_id").distinct()
 
 
+def fetch(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """The resources of store with the keys (type, id), each once, without any filter.
+
+    Only keys move if the store is a table bucketed by type and id (sources.sinks.write_store).
+    """
+    wanted = keys.select(F.col("type").alias("resource_type"), "id").where("resource_type IS NOT NULL AND trim(id) <> ''").distinct()
+    return store.join(wanted, ["resource_type", "id"], "left_semi")
+
+
+def missing_core(links: DataFrame, present: DataFrame, patient_types: Sequence[str]) -> DataFrame:
+    """(type, id): what references (`child`, as Type/id) lead to on the core side and is not among present (type, id), each once.
+
+    Absolute and malformed references are left out.
+    """
+    parsed = links.select(parse_reference(F.col("child")).alias("r")).where("r IS NOT NULL").select("r.type", "r.id")
+    return parsed.where(~F.col("type").isin(list(patient_types))).distinct().join(present.select("type", "id"), ["type", "id"], "left_anti")
+
+
+def completed_core(links: DataFrame, present: DataFrame, store: DataFrame, patient_types: Sequence[str]) -> DataFrame:
+    """The core resources that links of any patient lead to and that are not present yet, fetched once for all patients."""
+    return fetch(missing_core(links, present, patient_types), store).where("patient_id IS NULL")
+
+
 def conformance(records: DataFrame, resources: DataFrame) -> DataFrame:
     """patient_id, id, conforms: for each record (patient_id, id, body) a map from its references to the profiles that their targets claim.
 

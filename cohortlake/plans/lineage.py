@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds `out`: a gapless number from 0 among the rows of a key (nulls are a key), in the order given.
+
+    Rows are dealt by ranges of keys and order, so a key may be spread over many tasks; numbers follow from counts for each task.
+    """
+    by = [*keys, *order]
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    sides = counts.select(*(F.col(k).alias(f"__{n}") for n, k in enumerate(keys)), F.col("__part").alias("__p"), "__first", before.alias("__before"))
+    same = [placed[k].eqNullSafe(sides[f"__{n}"]) for n, k in enumerate(keys)]
+    return placed.join(sides, [*same, placed["__part"] == sides["__p"]]).withColumn(out, F.col("__at") - F.col("__first") + F.col("__before")).select(*df.columns, out)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what this application wrote to the shared folder; frames that read it end with that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

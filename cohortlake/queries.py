@@ -313,6 +313,23 @@ def provenance_targets(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("targets", F.array_join("targets", ",")).select("patient_id", "group_id", "targets", "provenance_id")
 
 
+_STAMP = '"occurredPeriod":{"start":"2020-01-01T00:00:00"},"recorded":"2020-01-01T00:00:00","agent":[{"who":{"identifier":{"system":"urn:cohortlake:program","value":"cohortlake"}}}]'
+
+
+@query(f"""WITH r AS (SELECT o_custkey p, o_orderstatus g, o_orderkey k, (row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY CAST(o_orderkey AS VARCHAR)) - 1) // 3 c FROM orders),
+t AS (SELECT p, g, c, string_agg('{{"reference":"Encounter/' || k || '"}}', ',' ORDER BY 'Encounter/' || k) t, sha256(p || '|' || g || CASE WHEN c > 0 THEN '|' || c ELSE '' END) i FROM r GROUP BY ALL),
+e AS (SELECT p, '0' || CAST(k AS VARCHAR) o, '{{"fullUrl":"Encounter/' || k || '","resource":{{"id":"' || k || '"}},"request":{{"method":"PUT","url":"Encounter/' || k || '"}}}}' j FROM r
+UNION ALL SELECT p, '1' || g || lpad(CAST(c AS VARCHAR), 12, '0'), '{{"fullUrl":"Provenance/' || i || '","resource":{{"resourceType":"Provenance","id":"' || i || '","target":[' || t || '],{_STAMP},"entity":[{{"role":"source","what":{{"identifier":{{"system":"urn:cohortlake:attribute-group","value":"' || g || '"}}}}}},{{"role":"source","what":{{"identifier":{{"system":"urn:cohortlake:extraction","value":"x1"}}}}}}]}},"request":{{"method":"PUT","url":"Provenance/' || i || '"}}}}' FROM t)
+SELECT p AS patient_id, '{{"resourceType":"Bundle","type":"transaction","entry":[' || string_agg(j, ',' ORDER BY o) || ']}}' AS value FROM e GROUP BY 1""")
+def provenance_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """Bundles with a provenance record for each group, whose targets go on in a further record after three."""
+    from cohortlake.sources.sinks import transaction_bundles as bundles
+
+    visits = encounters(spark, d).withColumns({"group_id": F.substring(F.col("profiles")[0], 3, 1), "body": F.concat(F.lit('{"id":"'), "id", F.lit('"}'))})
+    lists = report.provenance(visits.select("patient_id", "group_id", F.col("resource_type").alias("type"), "id"), 3)
+    return bundles(visits, report.provenance_resources(lists, "x1", datetime.datetime(2020, 1, 1)))
+
+
 @query("SELECT o_orderstatus AS group_id, count(DISTINCT o_orderkey) AS resources, count(DISTINCT o_custkey) AS patients FROM orders GROUP BY 1")
 def inclusion_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.inclusion_counts(table(spark, d, "orders").select(F.col("o_orderstatus").alias("group_id"), F.lit("Encounter").alias("type"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id")))
@@ -446,8 +463,10 @@ def ref_same_patient(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT 'Medication' AS type, l_partkey AS id FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)""")
 def core_completion(spark: SparkSession, d: str) -> DataFrame:
     """Core resources that any person refers to, each fetched once."""
-    wanted = table(spark, d, "lineitem").selectExpr("'Medication' AS type", "l_partkey AS id").distinct()
-    return table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id").join(wanted, ["type", "id"], "left_semi")
+    links = table(spark, d, "lineitem").select(F.concat(F.lit("Medication/"), F.col("l_partkey").cast("string")).alias("child"))
+    store = table(spark, d, "part").selectExpr("'Medication' AS resource_type", "CAST(p_partkey AS STRING) AS id", "CAST(NULL AS BIGINT) AS patient_id")
+    none = spark.createDataFrame([], "type string, id string")
+    return resolve.completed_core(links, none, store, spec.PATIENT_TYPES).select(F.col("resource_type").alias("type"), F.col("id").cast("long").alias("id"))
 
 
 @query("""SELECT event_type AS group_id, k AS attribute_ref, count(*) AS n FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS VARCHAR) k FROM events WHERE value > 100) GROUP BY 1, 2""")
@@ -898,3 +917,54 @@ def extract_duplicates(spark: SparkSession, d: str) -> DataFrame:
     groups = [extract.Group("enc", "Encounter", "p/F", must_have=[("Encounter.price", F.col("price") > 100000)])]
     out = extract.extract(cohort, copies.unionByName(visits).unionByName(copies), refs, groups, copy_order=[F.col("price")])
     return out.groups.groupBy("patient_id").agg(F.count(F.lit(1)).alias("encounters"))
+
+
+_CARRIED = f"""{_WINDOWS}, enc AS (SELECT o_orderkey k, o_custkey c, o_orderstatus st, o_orderpriority pr, CAST(o_orderdate AS DATE) s, CAST(o_orderdate AS DATE) + 30 e FROM orders WHERE o_orderstatus IN ('F', 'O')),
+held AS (SELECT * FROM enc WHERE s <= DATE '2001-06-30' AND EXISTS (SELECT 1 FROM win WHERE patient_id = c AND period_start <= s AND e <= period_end)), fin AS (SELECT * FROM held WHERE pr <> '5-LOW'),
+item AS (SELECT DISTINCT k, l_partkey p, p_type = 'PROMO' hit FROM fin JOIN lineitem ON l_orderkey = k JOIN part ON p_partkey = l_partkey),
+items AS (SELECT k, string_agg(CASE WHEN hit THEN '{{"reference":"Medication/' || p || '"}}' ELSE '{{"_reference":{_MARK_SQL}}}' END, ',' ORDER BY p) t FROM item GROUP BY 1)"""
+
+
+@query(f"""WITH {_CARRIED}
+SELECT 'Encounter' AS resource_type, CAST(k AS VARCHAR) AS id, c AS patient_id, '{{"resourceType":"Encounter","id":"' || k || '","meta":{{"profile":["p/E"]}},' || CASE WHEN st = 'F' THEN '"status":"F",' ELSE '"_status":{_MARK_SQL},' END
+|| '"subject":{{"reference":"Patient/' || c || '"}},"priority":"' || pr || '"' || coalesce(',"item":[' || t || ']', '') || '}}' AS body FROM fin LEFT JOIN items USING (k)
+UNION ALL SELECT 'Patient', CAST(c AS VARCHAR), c, '{{"resourceType":"Patient","id":"' || c || '","meta":{{"profile":["q"]}},"gender":"' || (SELECT c_mktsegment FROM customer WHERE c_custkey = c) || '"}}' FROM (SELECT DISTINCT c FROM fin)
+UNION ALL SELECT 'Medication', CAST(p AS VARCHAR), NULL, '{{"resourceType":"Medication","id":"' || p || '","meta":{{"profile":["m"]}},"code":{{"coding":[{{"system":"brand","code":"' || (SELECT p_brand FROM part WHERE p_partkey = p) || '"}}]}}}}' FROM (SELECT DISTINCT p FROM item WHERE hit)""")
+def extract_request(spark: SparkSession, d: str) -> DataFrame:
+    """A request from its rows to redacted bodies: consent windows, filters, a must-have path, slices, references out of bodies."""
+    from cohortlake.plans import request
+
+    orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
+    text, struct = (lambda c: F.col(c).cast("string")), (lambda **p: F.struct(*(v.alias(k) for k, v in p.items())))
+    ref = lambda kind, c: struct(reference=F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")))
+    bought = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda p: struct(reference=F.concat(F.lit("Medication/"), p.cast("string")))).alias("item"))
+    meta = lambda url: struct(profile=F.array(F.lit(url)))
+    visit = struct(resourceType=F.lit("Encounter"), id=text("o_orderkey"), meta=meta("p/E|1"), status=F.when(F.col("o_orderstatus") == "F", "F"), subject=ref("Patient", "o_custkey"), priority=F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")), item=F.col("item"), clerk=F.lit("private"))
+    person = struct(resourceType=F.lit("Patient"), id=text("c_custkey"), meta=meta("z"), gender=F.col("c_mktsegment"), name=F.col("c_name"))
+    code = struct(coding=F.array(struct(system=F.lit("type"), code=F.col("p_type")), struct(system=F.lit("brand"), code=F.col("p_brand"))))
+    drug = struct(resourceType=F.lit("Medication"), id=text("p_partkey"), meta=meta("m"), code=code)
+    none, codings = F.lit(None).cast("date"), "array<struct<system: string, code: string>>"
+    frame = lambda df, kind, i, p, url, codes, s, e, body: df.select(F.lit(kind).alias("resource_type"), text(i).alias("id"), p.cast("long").alias("patient_id"), F.array(F.lit(url)).alias("profiles"), codes.cast(codings).alias("codes"), s.alias("period_start"), e.alias("period_end"), F.to_json(body).alias("body"))
+    day = F.col("o_orderdate").cast("date")
+    resources = (
+        frame(orders.where("o_orderstatus IN ('F', 'O')").join(bought, "o_orderkey", "left"), "Encounter", "o_orderkey", F.col("o_custkey"), "p/E|1", F.array(), day, F.date_add(day, 30), visit)
+        .unionByName(frame(table(spark, d, "customer"), "Patient", "c_custkey", F.col("c_custkey"), "z", F.array(), none, none, person))
+        .unionByName(frame(parts.withColumn("c", code), "Medication", "p_partkey", F.lit(None), "m", F.col("c.coding"), none, none, drug))
+    )
+    shape = lambda t: resources.sparkSession.createDataFrame([], f"b struct<{t}>").schema["b"].dataType
+    head = "resourceType: string, id: string, meta: struct<profile: array<string>>"
+    shapes = {"Encounter": shape(f"{head}, status: string, subject: struct<reference: string>, priority: string, item: array<struct<reference: string>>, clerk: string"), "Patient": shape(f"{head}, gender: string, name: string"), "Medication": shape(f"{head}, code: struct<coding: {codings}>")}
+    element = lambda url, kind, i, least=0, types=(), slice_name=None, how=None, pattern=None: (url, kind, i, ".".join(s.split(":")[0] for s in i.split(".")), slice_name, least, list(types), [], [], how, pattern, False)
+    elements = spark.createDataFrame([
+        element("p/E", "Encounter", "Encounter"), element("p/E", "Encounter", "Encounter.status", 1, ["code"]), element("p/E", "Encounter", "Encounter.priority", 0, ["code"]), element("p/E", "Encounter", "Encounter.subject", 1, ["Reference"]), element("p/E", "Encounter", "Encounter.item", 0, ["Reference"]),
+        element("q", "Patient", "Patient"), element("q", "Patient", "Patient.gender", 0, ["code"]), element("m", "Medication", "Medication"), element("m", "Medication", "Medication.code", 0, ["CodeableConcept"]),
+        element("m", "Medication", "Medication.code.coding", 0, ["Coding"], None, [("pattern", "$this")]), element("m", "Medication", "Medication.code.coding:brand", 0, ["Coding"], "brand", None, '{"system":"brand"}'),
+    ], "profile_url string, resource_type string, element_id string, path string, slice_name string, min int, types array<string>, type_profiles array<string>, target_profiles array<string>, discriminators array<struct<type: string, path: string>>, pattern string, bound boolean")
+    groups = spark.createDataFrame([("pat", "q", "Patient", False), ("enc", "p/E", "Encounter", False), ("med", "m", "Medication", True)], "group_id string, profile_url string, type string, reference_only boolean")
+    attributes = spark.createDataFrame([("pat", 0, "Patient.gender", False, []), ("enc", 0, "Encounter.priority", True, []), ("enc", 1, "Encounter.status", False, []), ("enc", 2, "Encounter.item", False, ["med"]), ("med", 0, "Medication.code.coding:brand", False, [])], "group_id string, ord int, attribute_ref string, must_have boolean, linked_groups array<string>")
+    filters = spark.createDataFrame([("enc", "date", None, None, datetime.date(2001, 6, 30)), ("med", "token", [("type", "PROMO")], None, None)], f"group_id string, kind string, codes {codings}, start date, end date")
+    request.checked(groups, attributes, filters, elements, ["Patient", "Encounter", "Medication"])
+    rules = spark.createDataFrame([("A", False, [], None), ("B", False, [], None)], "code string, gate boolean, retro_codes array<string>, lookback date")
+    asked = request.Consent(provisions(spark, d), rules, rules.select("code"), datetime.date(1997, 6, 15))
+    cohort = table(spark, d, "customer").select(F.col("c_custkey").alias("patient_id"))
+    return request.run(cohort, resources, request.read(groups, attributes, filters, elements), shapes, asked).resources.select("resource_type", "id", "patient_id", "body")

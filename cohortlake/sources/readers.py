@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.functions.references import patient_of
+from cohortlake.functions.references import claims_profile, patient_of
 from cohortlake.functions.temporal import day, element_period
-from cohortlake.operators.consent import DATE_FIELDS
+from cohortlake.operators.consent import DATE_FIELDS, active_consents
 
 
 def ndjson(spark: SparkSession, path: str) -> DataFrame:
@@ -66,6 +66,26 @@ def profile_elements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def provisions(resources: DataFrame) -> DataFrame:
+    """patient_id, consent_id, code, start, end, permit: a row for each code of each provision of active, dated consents.
+
+    resources as from `keyed`. Whatever is not `permit` denies; provisions without a valid period are left out.
+    """
+    kind = "struct<status: string, dateTime: string, provision: struct<provision: array<struct<type: string, period: struct<start: string, end: string>, code: array<struct<coding: array<struct<system: string, code: string>>>>>>>>"
+    rows = resources.where("resource_type = 'Consent'").select("patient_id", F.col("id").alias("consent_id"), F.from_json("body", kind).alias("b"))
+    dated = rows.select("patient_id", "consent_id", F.col("b.status").alias("status"), day(F.col("b.dateTime")).alias("consent_date"), F.col("b.provision.provision").alias("p"))
+    each = active_consents(dated).select("patient_id", "consent_id", F.explode("p").alias("p"))
+    wide = each.select("patient_id", "consent_id", F.explode(F.flatten(F.transform("p.code", lambda c: c["coding"]))).alias("c"), day(F.col("p.period.start")).alias("start"), day(F.col("p.period.end")).alias("end"), (F.coalesce("p.type", F.lit("")) == "permit").alias("permit"))
+    return wide.where("start <= end AND c.code IS NOT NULL").select("patient_id", "consent_id", "c.code", "start", "end", "permit")
+
+
+def visits(resources: DataFrame, profile: str | None = None) -> DataFrame:
+    """patient_id, start, end of encounters (of a profile) with a whole period."""
+    own = resources.where("resource_type = 'Encounter' AND patient_id IS NOT NULL AND period_start IS NOT NULL")
+    own = own.where(claims_profile(F.col("profiles"), F.lit(profile))) if profile else own
+    return own.select("patient_id", F.col("period_start").alias("start"), F.col("period_end").alias("end"))
+
+
 def consent_rules(spark: SparkSession, path: str) -> DataFrame:
     """system, code, gate, required, retro_codes, lookback of a list of consent rules."""
     schema = "system string, code string, validityGate boolean, required array<string>, lookbackDate string, retroModifiers array<struct<system: string, code: string>>"

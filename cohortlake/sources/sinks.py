@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators import consent
 
 
-def transaction_bundles(resources: DataFrame) -> DataFrame:
-    """(patient_id, value): one transaction bundle for each patient that has resources; entries in order of type and id."""
-    entry = F.struct(F.col("resource_type"), F.col("id"), F.concat(F.lit('{"fullUrl":"'), F.concat_ws("/", "resource_type", "id"), F.lit('","resource":'), F.col("body"), F.lit(',"request":{"method":"PUT","url":"'), F.concat_ws("/", "resource_type", "id"), F.lit('"}}')).alias("json"))
-    own = resources.where("patient_id IS NOT NULL").groupBy("patient_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+def _put(order: int, *keys: str) -> Column:
+    """An entry of a transaction, which sorts by these keys."""
+    name = F.concat_ws("/", "resource_type", "id")
+    entry = F.concat(F.lit('{"fullUrl":"'), name, F.lit('","resource":'), F.col("body"), F.lit(',"request":{"method":"PUT","url":"'), name, F.lit('"}}'))
+    return F.struct(F.lit(order).alias("o"), *(F.col(k).cast("string").alias(f"k{n}") for n, k in enumerate(keys)), entry.alias("json"))
+
+
+def transaction_bundles(resources: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
+    """(patient_id, value): one transaction bundle for each patient that has resources; entries in order of type and id, then
+    provenance records (report.provenance_resources) in order of group and chunk.
+    """
+    entries = resources.where("patient_id IS NOT NULL").select("patient_id", _put(0, "resource_type", "id").alias("e"))
+    if provenance is not None:
+        more = provenance.where("patient_id IS NOT NULL").withColumn("__chunk", F.lpad(F.col("chunk").cast("string"), 12, "0"))
+        entries = entries.union(more.select("patient_id", _put(1, "group_id", "__chunk").alias("e")))
+    own = entries.groupBy("patient_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
     return own.select("patient_id", F.concat(F.lit('{"resourceType":"Bundle","type":"transaction","entry":['), F.array_join(F.transform("e", lambda x: x["json"]), ","), F.lit("]}")).alias("value"))
 
 
-def write_patient_bundles(resources: DataFrame, path: str) -> None:
-    transaction_bundles(resources).select("value").write.text(path)
+def write_patient_bundles(resources: DataFrame, path: str, provenance: DataFrame | None = None, batches: DataFrame | None = None, at_once: int | None = None) -> None:
+    """Bundles as NDJSON. With batches (patient_id, batch; see report.batch_labels) in a folder for each batch, `at_once` of them
+    in one job; a batch that was written whole is noted in `_batches` below path, and a later call goes on with the others.
+    """
+    bundles = transaction_bundles(resources, provenance)
+    if batches is None:
+        bundles.select("value").write.text(path)
+        return
+    spark, noted = resources.sparkSession, f"{path}/_batches"
+    labels = [r["batch"] for r in batches.select("batch").distinct().orderBy("batch").collect()]  # a row a batch
+    held = spark._jvm.org.apache.hadoop.fs.Path(noted)
+    done = {r["batch"] for r in spark.read.schema("batch int").parquet(noted).collect()} if held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held) else set()
+    left = [b for b in labels if b not in done]
+    for start in range(0, len(left), at_once or max(1, len(left))):
+        now = left[start : start + (at_once or len(left))]
+        own = batches.where(F.col("batch").isin(now)).select("patient_id", "batch")
+        rows = bundles.join(own, "patient_id").select("batch", "value")
+        rows.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+        spark.createDataFrame([(b,) for b in now], "batch int").coalesce(1).write.mode("append").parquet(noted)
+
+
+def write_store(resources: DataFrame, name: str, buckets: int = 200) -> None:
+    """Resources as a table bucketed by type and id: fetching by these keys (resolve.fetch) then moves keys only."""
+    resources.write.bucketBy(buckets, "resource_type", "id").sortBy("resource_type", "id").mode("overwrite").saveAsTable(name)
 
 
 def audit_bundles(resources: DataFrame) -> DataFrame:
@@ -32,16 +66,17 @@ def write_consent_audit(resources: DataFrame, path: str) -> None:
 
 
 def core_entries(resources: DataFrame) -> DataFrame:
-    """(value): core resources as transaction entries, one a row."""
-    name = F.concat_ws("/", "resource_type", "id")
-    return resources.where("patient_id IS NULL").select(F.concat(F.lit('{"fullUrl":"'), name, F.lit('","resource":'), F.col("body"), F.lit(',"request":{"method":"PUT","url":"'), name, F.lit('"}}')).alias("value"))
+    """(value): core resources (or provenance records) as transaction entries, one a row."""
+    return resources.where("patient_id IS NULL").select(_put(0)["json"].alias("value"))
 
 
-def write_core(resources: DataFrame, path: str, single_bundle: bool = False) -> None:
+def write_core(resources: DataFrame, path: str, single_bundle: bool = False, provenance: DataFrame | None = None) -> None:
     """Core resources, one entry a line, in parallel; or as one bundle on one line, which one task then writes. Nothing is
     written where there is none.
     """
     core = core_entries(resources)
+    if provenance is not None:
+        core = core.union(core_entries(provenance))
     if core.isEmpty():
         return
     if single_bundle:
