@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators import intervals
+from cohortlake.plans.lineage import cut
 
 #: How far back a retro code reaches that does not say.
 EVER = datetime.date(1900, 1, 1)
@@ -62,14 +63,11 @@ def retro_extended(provisions: DataFrame, rules: DataFrame) -> DataFrame:
     pairs = F.broadcast(rules.select(F.col("code").alias("__code"), "retro_code").distinct())
     marks = provisions.join(pairs, provisions["code"] == pairs["retro_code"]).select("consent_id", F.col("__code").alias("code"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("permit").alias("__p"))
     keys = ["consent_id", "code"]
-    same = [*keys, "start", "end"]
-    wanted = named.select(*same).distinct()
-    hit = intervals.overlapping(wanted, marks.where("__p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
-    moved = named.join(hit, same, "left_semi").withColumn("start", F.least("start", "lookback"))
-    cut = intervals.subtract(moved, marks.where("NOT __p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys)
-    kept = named.join(hit, same, "left_anti")
-    columns = ["patient_id", "consent_id", "code", "start", "end", "permit"]
-    return cut.select(*columns, F.lit(True).alias("extended")).unionByName(kept.select(*columns, F.lit(False).alias("extended")))
+    hit = intervals.overlapping(named, marks.where("__p").select(*keys, F.col("__s").alias("start"), F.col("__e").alias("end")), keys).withColumn("extended", F.lit(True))
+    told = named.join(hit, [*keys, "start", "end"], "left").withColumn("extended", F.coalesce("extended", F.lit(False)))
+    moved = told.withColumn("start", F.when(F.col("extended"), F.least("start", "lookback")).otherwise(F.col("start")))
+    denied = marks.where("NOT __p").select(*keys, F.lit(True).alias("extended"), F.col("__s").alias("start"), F.col("__e").alias("end"))  # cuts nothing else
+    return intervals.subtract(moved, denied, [*keys, "extended"]).select("patient_id", "consent_id", "code", "start", "end", "permit", "extended")
 
 
 def gate_open(provisions: DataFrame, gate_codes: list[str], as_of: datetime.date) -> DataFrame:
@@ -93,7 +91,7 @@ def windows(provisions: DataFrame, codes: list[str], retro: DataFrame | Mapping[
         rules = rules.where(F.col("code").isin(codes))
         columns = ["patient_id", "consent_id", "code", "start", "end", "permit", "extended"]
         plain = permits.join(F.broadcast(rules.select("code").distinct()), "code", "left_anti").select(*columns)
-        permits = retro_extended(provisions, rules).select(*columns).unionByName(plain)
+        permits = cut(retro_extended(provisions, rules).select(*columns).unionByName(plain), "permits")
     permits = complete_packages(permits, codes)
     keys = ["patient_id", "code"]
     regular = intervals.subtract(intervals.merge(permits.where("NOT extended"), keys), asked.where("NOT permit").select(*keys, "start", "end"), keys)

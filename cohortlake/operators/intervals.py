@@ -62,13 +62,21 @@ def _blocks_between(start: str, end: str) -> Column:
     return F.concat(*parts)
 
 
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Rows of left, once for each block, with the rows of right (as __s, __e) that they meet in it: a start in the other's interval."""
+    tagged = lambda blocks, tag: F.transform(blocks, lambda b: b * 2 + tag)
+    here = left.where(WHOLE).withColumn("__block", F.explode(F.concat(tagged(_blocks_of_day("start"), 0), tagged(_blocks_between("start", "end"), 1))))
+    other = right.where(WHOLE).withColumnsRenamed({"start": "__s", "end": "__e"})
+    other = other.withColumn("__block", F.explode(F.concat(tagged(_blocks_between("__s", "__e"), 0), tagged(_blocks_of_day("__s"), 1))))
+    # the second tag is for those that start later than the row of left; those that start on its day have met it already
+    later = other.withColumn("__later", F.col("__block") % 2 == 1).withColumnsRenamed({k: f"__r{n}" for n, k in enumerate([*keys, "__block"])})
+    same = [here[k] == later[f"__r{n}"] for n, k in enumerate([*keys, "__block"])]
+    return here.join(later, [*same, ~later["__later"] | (here["start"] < later["__s"])], how).drop("__block", "__later", *(f"__r{n}" for n in range(len(keys) + 1)))
+
+
 def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """All rows of left with all rows of right of the same key that overlap them; right's interval is called __s, __e."""
-    left, right = left.where(WHOLE), right.where(WHOLE).withColumnsRenamed({"start": "__s", "end": "__e"})
-    on = [*keys, "__block"]
-    begins_inside = left.withColumn("__block", F.explode(_blocks_of_day("start"))).join(right.withColumn("__block", F.explode(_blocks_between("__s", "__e"))), on)
-    begins_later = left.withColumn("__block", F.explode(_blocks_between("start", "end"))).join(right.withColumn("__block", F.explode(_blocks_of_day("__s"))), on).where("start < __s")
-    return begins_inside.unionByName(begins_later).drop("__block")
+    return _met(left, right, keys)
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,9 +128,9 @@ def subtract(df: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
     The removed intervals are merged first, so those that meet one interval are sorted and apart; what remains lies between them.
     """
     names = [c for c in df.columns if c not in ("start", "end", *keys)]
-    met = pairs(df.select(*keys, "start", "end").distinct(), merge(minus, keys), keys)
-    cuts = met.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct(F.col("__s").alias("start"), F.col("__e").alias("end")))).alias("cuts"))
-    cut = df.join(cuts, [*keys, "start", "end"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<start: date, end: date>>")))
+    met = _met(df.withColumn("__row", F.monotonically_increasing_id()), merge(minus, keys), keys, "left")
+    own = F.when(F.col("__s").isNotNull(), F.struct(F.col("__s").alias("start"), F.col("__e").alias("end")))
+    cut = met.groupBy(*keys, "__row", *names, "start", "end").agg(F.array_sort(F.collect_list(own)).alias("cuts"))
     starts = F.concat(F.array("start"), F.transform("cuts", lambda c: F.date_add(c["end"], 1)))
     ends = F.concat(F.transform("cuts", lambda c: F.date_sub(c["start"], 1)), F.array("end"))
     pieces = cut.select(*keys, *names, F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("p"))

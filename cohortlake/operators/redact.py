@@ -406,9 +406,16 @@ def _marks(kind: T.DataType) -> Column:
     return F.array(F.struct(*({"url": F.lit(ABSENT_URL), "valueCode": F.lit(MASKED)}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in own.fields)))
 
 
+def _optional(kind: T.DataType) -> T.DataType:
+    """A type that lets everything in it be missing."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_optional(kind.elementType))
+    return T.StructType([T.StructField(f.name, _optional(f.dataType)) for f in kind.fields]) if isinstance(kind, T.StructType) else kind
+
+
 def _built(kind: T.StructType, parts: dict[str, Column]) -> Column:
     """A struct of a type from some of its fields."""
-    return F.struct(*(parts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return F.struct(*(parts.get(f.name, F.lit(None)).cast(_optional(f.dataType)).alias(f.name) for f in kind.fields))
 
 
 #: Profiles with the element that they are at, and the condition under which they are (None: always).

@@ -10,12 +10,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import paths
 from cohortlake.functions.references import parse_reference
-from cohortlake.operators import cascade, codes, consent, intervals, load, project, redact, report, resolve, spec
+from cohortlake.operators import cascade, codes, consent, intervals, load, redact, report, resolve, spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,20 +370,32 @@ def copy_project(spark: SparkSession, d: str) -> DataFrame:
     tags = F.array(F.struct(F.col("o_orderpriority").alias("code"), F.lit("prio").alias("system")), F.struct(F.col("o_orderstatus").alias("code"), F.lit("status").alias("system")))
     subject = F.struct(F.concat(F.lit("Patient/"), "o_custkey").alias("reference"), F.lit("shown").alias("display"))
     whole = table(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), subject.alias("subject"), tags.alias("tags")).alias("body"))
-    return project.copy_attributes(whole, "body", ["id", "subject.reference", "tags.code"]).select("o_orderkey", F.to_json("body").alias("body"))
+    tree = redact.copy_tree(["Order.id", "Order.subject.reference", "Order.tags.code"])
+    return whole.select("o_orderkey", F.to_json(redact.copied(F.col("body"), whole.schema["body"].dataType, [(None, "Order", tree)], [])).alias("body"))
+
+
+def _redacted_by(rows: DataFrame, elements: list[redact.Element], refs: Column | None = None) -> Column:
+    """The body of rows, redacted by one profile of these elements."""
+    none = F.create_map().cast("map<string,array<string>>")
+    return redact.redacted(F.col("body"), rows.schema["body"].dataType, [redact.Profile("p", elements)], "Order", refs if refs is not None else none)
 
 
 @query("""SELECT o_orderkey, CASE WHEN c_acctbal > 0 THEN 'Patient/' || o_custkey ELSE 'masked' END AS ref FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def mask_refs(spark: SparkSession, d: str) -> DataFrame:
-    allowed = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.array(F.concat(F.lit("Patient/"), "c_custkey")).alias("allowed"))
-    rows = table(spark, d, "orders").join(allowed, "o_custkey", "left")
-    return rows.select("o_orderkey", project.masked_reference(F.concat(F.lit("Patient/"), "o_custkey"), F.coalesce("allowed", F.array().cast("array<string>"))).alias("ref"))
+    allowed = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.create_map(F.lit("Order.subject"), F.array(F.concat(F.lit("Patient/"), "c_custkey"))).alias("refs"))
+    body = F.struct(F.struct(F.concat(F.lit("Patient/"), "o_custkey").alias("reference")).alias("subject"))
+    rows = table(spark, d, "orders").join(allowed, "o_custkey", "left").select("o_orderkey", body.alias("body"), F.coalesce("refs", F.create_map().cast("map<string,array<string>>")).alias("refs"))
+    subject = _redacted_by(rows, [redact.Element("Order.subject", "Order.subject", types=("Reference",))], F.col("refs"))["subject"]
+    return rows.select("o_orderkey", F.coalesce(subject["reference"], F.get(subject["_reference"]["extension"], F.lit(0))["valueCode"]).alias("ref"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size >= 10 THEN CAST(p_size AS VARCHAR) WHEN p_type = 'PROMO' THEN 'masked' END AS size FROM part""")
 def required_mask(spark: SparkSession, d: str) -> DataFrame:
-    value, least = F.when(F.col("p_size") >= 10, F.col("p_size")), F.when(F.col("p_type") == "PROMO", 1).otherwise(0)
-    return table(spark, d, "part").select("p_partkey", project.required(value, least).alias("size"))
+    """Parts of one type belong to a profile that requires the size."""
+    rows = table(spark, d, "part").select("p_partkey", "p_type", F.struct(F.when(F.col("p_size") >= 10, F.col("p_size").cast("string")).alias("size")).alias("body"))
+    of = lambda least: _redacted_by(rows, [redact.Element("Order.size", "Order.size", min=least, types=("string",))])
+    done = F.when(F.col("p_type") == "PROMO", of(1)).otherwise(of(0))
+    return rows.withColumn("done", done).select("p_partkey", F.coalesce(F.col("done.size"), F.get(F.col("done._size.extension"), F.lit(0))["valueCode"]).alias("size"))
 
 
 _SPEC = """g AS (SELECT o_custkey spec_id, CAST(o_orderkey AS VARCHAR) group_id, 'p/' || o_orderstatus profile_url, CASE o_orderpriority WHEN '1-URGENT' THEN 'Patient' WHEN '2-HIGH' THEN 'Parameters' ELSE 'Observation' END type FROM orders),
@@ -497,17 +509,24 @@ def body_references(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'u/kept' ELSE '' END || CASE WHEN p_type = 'PROMO' THEN CASE WHEN p_size > 25 THEN ',' ELSE '' END || 'absent' ELSE '' END AS urls FROM part""")
 def extension_policy(spark: SparkSession, d: str) -> DataFrame:
-    url = lambda u: F.struct(F.lit(u).alias("url"))
-    some = F.array_compact(F.array(F.when(F.col("p_size") > 25, url("u/kept")), url("u/dropped"), F.when(F.col("p_type") == "PROMO", url(project.ABSENT_URL))))
-    urls = F.transform(project.kept_extensions(some, ["u/kept"]), lambda e: F.when(e["url"] == project.ABSENT_URL, "absent").otherwise(e["url"]))
-    return table(spark, d, "part").select("p_partkey", F.array_join(urls, ",").alias("urls"))
+    url = lambda u: F.struct(F.lit(u).alias("url"), F.lit("v").alias("valueString"))
+    some = F.array_compact(F.array(F.when(F.col("p_size") > 25, url("u/kept")), url("u/dropped"), F.when(F.col("p_type") == "PROMO", url(redact.ABSENT_URL))))
+    rows = table(spark, d, "part").select("p_partkey", F.struct(some.alias("extension")).alias("body"))
+    e = redact.Element
+    elements = [e("Order.extension", "Order.extension", types=("Extension",), discriminators=(("VALUE", "url"),)), e("Order.extension:kept", "Order.extension", "kept", types=("Extension",), type_profiles=("u/kept",))]
+    urls = F.transform(_redacted_by(rows, elements)["extension"], lambda x: F.when(x["url"] == redact.ABSENT_URL, "absent").otherwise(x["url"]))
+    return rows.select("p_partkey", F.coalesce(F.array_join(urls, ","), F.lit("")).alias("urls"))
 
 
 @query("""SELECT p_partkey, p_size > 10 AND p_type <> 'PROMO' AS complete, CASE WHEN p_size > 10 THEN 'u/size' ELSE '' END || CASE WHEN p_type <> 'PROMO' THEN CASE WHEN p_size > 10 THEN ',' ELSE '' END || 'u/type' ELSE '' END AS profiles FROM part""")
 def profile_claims(spark: SparkSession, d: str) -> DataFrame:
     own = F.array_compact(F.array(F.when(F.col("p_size") > 10, F.lit("u/size|1.0")), F.lit("u/other"), F.when(F.col("p_type") != "PROMO", F.lit("u/type"))))
-    out = project.claimed_profiles(table(spark, d, "part").select("p_partkey", own.alias("profiles")), F.array(F.lit("u/size"), F.lit("u/type")))
-    return out.select("p_partkey", "complete", F.array_join("profiles", ",").alias("profiles"))
+    body = F.struct(F.col("p_partkey").cast("string").alias("id"), F.struct(own.alias("profile")).alias("meta"))
+    rows = table(spark, d, "part").select("p_partkey", body.alias("body"), F.array(F.lit("size"), F.lit("type")).alias("groups"), F.lit(None).cast("map<string,array<string>>").alias("refs"))
+    taken = [redact.Selection(g, redact.Profile(f"u/{g}", [redact.Element("Order", "Order")]), ("Order.id", "Order.meta")) for g in ("size", "type")]
+    out = redact.copy_and_redact(rows, "Order", rows.schema["body"].dataType, taken)
+    shown = F.from_json(F.get_json_object("body", "$.meta.profile"), "array<string>")
+    return out.select("p_partkey", "complete", F.array_join(shown, ",").alias("profiles"))
 
 
 @query("""SELECT o_custkey AS patient_id, '{"resourceType":"Bundle","type":"transaction","entry":[' || string_agg('{"fullUrl":"Encounter/' || o_orderkey || '","resource":{"id":"' || o_orderkey || '"},"request":{"method":"PUT","url":"Encounter/' || o_orderkey || '"}}', ',' ORDER BY CAST(o_orderkey AS VARCHAR)) || ']}' AS value FROM orders GROUP BY 1""")

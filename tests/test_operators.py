@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortlake.functions import references, temporal
-from cohortlake.operators import cascade, codes, consent, intervals, load, project, redact, report, resolve, spec
+from cohortlake.operators import cascade, codes, consent, intervals, load, redact, report, resolve, spec
 from cohortlake.sources import readers, sinks
 
 D0 = dt.date(2020, 1, 1)
@@ -109,9 +109,10 @@ def test_must_have_order_and_core(spark):
 
 
 def test_copy_tree_and_lists(spark):
-    assert project.copy_tree(["a", "a.b", "c.d"]) == {"a": {}, "c": {"d": {}}}
+    assert redact.copy_tree(["R.a", "R.a.b", "R.c.d"]) == {"a": {None: {}}, "c": {None: {"d": {None: {}}}}}
     df = spark.sql("SELECT named_struct('a', 1, 'l', array(named_struct('x', 1, 'y', 2), named_struct('x', null, 'y', 3))) AS b")
-    assert project.copy_attributes(df, "b", ["l.x"]).select(F.to_json("b")).first()[0] == '{"l":[{"x":1}]}'
+    out = redact.copied(F.col("b"), df.schema["b"].dataType, [(None, "R", redact.copy_tree(["R.l.x"]))], [])
+    assert df.select(F.to_json(out)).first()[0] == '{"l":[{"x":1}]}'
 
 
 def test_standard_attributes_and_roles(spark):
