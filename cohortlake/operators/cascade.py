@@ -48,6 +48,7 @@ def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
     Attributes know how many parents and children they have, children how many attributes: counted once. A round takes from
     these counts what the nodes that fell in the last one held, and only what loses something is looked at.
     """
+    edges = cut(edges.select("parent", "attribute", "child", "must_have"), "edges")
     above = cut(edges.select("parent", "attribute").distinct(), "attributes-above")
     below = cut(edges.select("attribute", "child").distinct(), "children-below")
     counts = above.groupBy("attribute").agg(F.count(F.lit(1)).alias("parents")).join(below.groupBy("attribute").agg(F.count(F.lit(1)).alias("children")), "attribute")

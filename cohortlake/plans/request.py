@@ -19,6 +19,7 @@ from cohortlake.functions import paths
 from cohortlake.functions.references import nested_references, parse_reference
 from cohortlake.operators import consent, redact, spec
 from cohortlake.plans import extract as plan
+from cohortlake.plans.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,6 @@ def references(resources: DataFrame, links: Sequence[Link], shapes: Mapping[str,
 
 def run(cohort: DataFrame, resources: DataFrame, request: Request, shapes: Mapping[str, T.StructType], asked: Consent | None = None, code_tree: DataFrame | None = None, patient_types: Sequence[str] = spec.PATIENT_TYPES, copy_order: Sequence[Column] | None = None) -> plan.Extraction:
     """The whole extraction of a request; see plans.extract.extract. With `asked` only what its windows cover is taken."""
-    refs = references(resources, request.links, shapes)
+    refs = cut(references(resources, request.links, shapes), "references")  # bodies are taken apart once
     windows = asked.windows() if asked is not None else None
     return plan.extract(cohort, resources, refs, request.groups, windows, patient_types, shapes, request.profiles, code_tree=code_tree, copy_order=copy_order)

@@ -952,6 +952,7 @@ UNION ALL SELECT 'Medication', CAST(p AS VARCHAR), NULL, '{{"resourceType":"Medi
 def extract_request(spark: SparkSession, d: str) -> DataFrame:
     """A request from its rows to redacted bodies: consent windows, filters, a must-have path, slices, references out of bodies."""
     from cohortlake.plans import request
+    from cohortlake.plans.lineage import cut
 
     orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
     text, struct = (lambda c: F.col(c).cast("string")), (lambda **p: F.struct(*(v.alias(k) for k, v in p.items())))
@@ -970,6 +971,7 @@ def extract_request(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(frame(table(spark, d, "customer"), "Patient", "c_custkey", F.col("c_custkey"), "z", F.array(), none, none, person))
         .unionByName(frame(parts.withColumn("c", code), "Medication", "p_partkey", F.lit(None), "m", F.col("c.coding"), none, none, drug))
     )
+    resources = cut(resources, "store")
     shape = lambda t: resources.sparkSession.createDataFrame([], f"b struct<{t}>").schema["b"].dataType
     head = "resourceType: string, id: string, meta: struct<profile: array<string>>"
     shapes = {"Encounter": shape(f"{head}, status: string, subject: struct<reference: string>, priority: string, item: array<struct<reference: string>>, clerk: string"), "Patient": shape(f"{head}, gender: string, name: string"), "Medication": shape(f"{head}, code: struct<coding: {codings}>")}
