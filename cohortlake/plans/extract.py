@@ -10,8 +10,9 @@ from __future__ import annotations
 import datetime
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +49,8 @@ class Extraction:
 
     groups has KEYS; links the surviving references (KEYS of the source, attribute_ref, child); resources the records with
     redacted bodies, or keys only where no shapes were given; rejected those that do not claim the profiles of their groups.
+    counts were observed while these frames were written, so they cost no further pass: people who are left, `included` resources by
+    group, `excluded` resources by (group, reason), `lost` people by stage.
     """
 
     people: DataFrame
@@ -57,12 +60,22 @@ class Extraction:
     patient_exclusions: DataFrame
     links: DataFrame
     rejected: DataFrame
+    counts: Mapping[str, Any] = field(default_factory=dict)
 
 
 KEYS = ["patient_id", "type", "id", "group_id"]
 EVENT = ["reason", "group_id", "attribute_ref", "resource_id", "patient_id"]
 
 
+def _observed(df: DataFrame, name: str, wanted: Mapping[Any, Column]) -> tuple[DataFrame, dict]:
+    """df, written, and how many of its rows met each condition while they were."""
+    if not wanted:
+        return cut(df, name), {}
+    seen = Observation(name)
+    out = cut(df.observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"n{i}") for i, c in enumerate(wanted.values()))), name)
+    return out, dict(zip(wanted, (seen.get[f"n{i}"] for i in range(len(wanted))), strict=True))
+
+
 def _present(group: Group, shapes: Mapping[str, T.StructType] | None, profiles: Mapping[str, redact.Profile]) -> list[tuple[str, Column]]:
     """The group's must-have attributes with the condition that they have a value; paths are compiled over the shape of its type."""
     out = []
@@ -235,14 +248,19 @@ def extract(
         load.require_core(valid.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = cascade.group_survivors(people, valid, required)
     lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CASCADING_DELETE")))
-    final = cut(valid.join(kept, "patient_id", "left_semi").unionByName(valid.where("patient_id IS NULL")).select(*KEYS, "node"), "extracted")
+    kept, left = _observed(kept, "people", {"people": F.lit(True)})
+    taken = valid.join(kept, "patient_id", "left_semi").unionByName(valid.where("patient_id IS NULL")).select(*KEYS, "node")
+    final, included = _observed(taken, "extracted", {g.group_id: F.col("group_id") == g.group_id for g in groups})
     ok = final.select(F.col("node").alias("child"))
     links = final.withColumnRenamed("node", "parent").join(edges, "parent").join(ok, "child", "left_semi").select(*KEYS, "attribute_ref", target.alias("child")).distinct()
     events = excluded[0]
     for e in excluded[1:]:
         events = events.unionByName(e)
+    events, why = _observed(events, "exclusions", {(g.group_id, r): (F.col("group_id") == g.group_id) & (F.col("reason") == r) for g in groups for r in report.RESOURCE_REASONS})
+    lost, stages = _observed(lost, "lost", {s: F.col("stage") == s for s in report.PATIENT_STAGES})
+    counts = {**left, "included": included, "excluded": why, "lost": stages}
     out, rejected = _bodies(resources, final, links, groups, shapes, profiles or {}, patient_types)
-    return Extraction(kept, final.select(*KEYS), out, events, lost, links, rejected)
+    return Extraction(kept, final.select(*KEYS), out, events, lost, links, rejected, counts)
 
 
 def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Sequence[Group], shapes: Mapping[str, T.StructType] | None, profiles: Mapping[str, redact.Profile], patient_types: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -108,6 +108,11 @@ def test_consent_by_type_and_its_events(spark):
     assert {(r["patient_id"], r["stage"]) for r in out.patient_exclusions.collect()} == {(2, "CONSENT_FETCH")}
     counted = plan.job_summary(out, resources.where("resource_type = 'Patient'").select("patient_id")).first()
     assert counted["Patient-Exclusions"] == {"CONSENT_FETCH": 1, "DIRECT_LOAD": 0, "CASCADING_DELETE": 0} and counted["Resource-Exclusions"]["cond"]["CONSENT"] == 1
+    # what was observed in passing is what a count of the frames finds
+    assert out.counts["lost"] == counted["Patient-Exclusions"] and out.counts["people"] == counted["Num-Final-Patients"]
+    assert {g: n for g, n in out.counts["included"].items() if n} == counted["Resource-Inclusions"]
+    by_reason = {(g, r): n for g, row in counted["Resource-Exclusions"].items() for r, n in row.asDict().items() if r != "mustHave"}
+    assert {k: n for k, n in out.counts["excluded"].items() if n} == {k: n for k, n in by_reason.items() if n}
 
 
 def test_bodies_are_cut_and_redacted(spark):
