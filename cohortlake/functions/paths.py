@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlake.functions import lookup
+
 _TOKEN = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*')|(\d+(?:\.\d+)?)|(\$?[A-Za-z_][\w-]*)|([.()=]))")
 
 
@@ -200,7 +202,7 @@ def _after(found: Sequence[Values], step: Step, conforms: Column | None) -> list
     if step.name == "where":
         return [Values(_kept(v, functools.partial(_holds, step.argument, kind=v.kind, conforms=conforms)), v.kind, v.many, v.choice) for v in found]
     if step.name == "conformsTo":
-        claims = (lambda x: F.array_contains(F.try_element_at(conforms, x.cast("string")), str(step.argument))) if conforms is not None else (lambda x: F.lit(False))
+        claims = (lambda x: F.array_contains(lookup.value_of(conforms, x.cast("string")), str(step.argument))) if conforms is not None else (lambda x: F.lit(False))
         return [Values(_kept(v, claims), v.kind, v.many, v.choice) for v in found]
     raise ValueError(f"{step.name}() does not lead to values")
 
@@ -228,7 +230,7 @@ def holds(condition: str, value: Column, kind: T.DataType, conforms: Column | No
 def select(path: str, record: Column, kind: T.StructType, conforms: Column | None = None) -> list[Values]:
     """What a path leads to in a record of a type: one entry for each type that it can have, none where the type has no such element.
 
-    A path may begin with the record's own type. conforms maps references to the profiles of their targets.
+    A path may begin with the record's own type. conforms maps references, ascending, to the profiles of their targets.
     """
     steps = parse(path)
     if steps[0].name[:1].isupper() and not steps[0].call and steps[0].name not in kind.fieldNames():

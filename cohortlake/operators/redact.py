@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.functions import paths
+from cohortlake.functions import lookup, paths
 
 #: The extensions that say why a value is absent, and the code of what may not be shown.
 ABSENT_URL = "http://hl7.org/fhir/StructureDefinition/data-absent-reason"
@@ -454,7 +454,7 @@ def _needed(context: Context) -> Column | None:
 
 
 def _allowed(ref: Column, refs: Column, context: Context) -> Column:
-    """Whether refs (attribute id to list of references) allows ref for an element at or below the attribute."""
+    """Whether refs (attribute id to ascending list of references) allows ref for an element at or below the attribute."""
     ids: dict[str, list] = {}
     for _, at, when in context:
         ids.setdefault(at, []).append(when)
@@ -463,7 +463,7 @@ def _allowed(ref: Column, refs: Column, context: Context) -> Column:
         ends = lambda i: F.lit(i).startswith(key) & F.substring(F.lit(i), F.length(key) + 1, F.lit(1)).isin("", ".", ":", "[")
         return _any([ends(i) & _holding(whens) for i, whens in sorted(ids.items())])
 
-    return F.coalesce(F.exists(F.map_entries(refs), lambda e: below(e["key"]) & F.array_contains(e["value"], ref)), F.lit(False))
+    return F.coalesce(F.exists(F.map_entries(refs), lambda e: below(e["key"]) & lookup.contains(e["value"], ref)), F.lit(False))
 
 
 def _stub(kind: T.DataType, context: Context, refs: Column) -> Column:
@@ -619,7 +619,7 @@ def _urls(profile: Profile, own: Element) -> list[str]:
 
 
 def redacted(value: Column, kind: T.StructType, profiles: Sequence[Profile], resource_type: str, refs: Column) -> Column:
-    """A record (of marked_type(kind)) as the profiles allow it; refs maps attribute ids to the references they may show."""
+    """A record (of marked_type(kind)) as the profiles allow it; refs maps attribute ids to the references they may show, ascending."""
     return _children(value, kind, [(p, resource_type, None) for p in profiles], refs)
 
 
@@ -639,16 +639,18 @@ def copy_and_redact(records: DataFrame, resource_type: str, kind: T.StructType,
     """body (JSON) and `complete` of each record of one type.
 
     records: body (a struct of type kind), groups (sorted array of the valid groups of the record, from `selections`), refs (map from
-    attribute id to its allowed references), conforms where slices depend on it (map from references to the profiles of their targets, see
-    resolve.conformance) and other columns, which are kept. One expression is compiled for each set of
-    groups that occurs. complete is false where a record does not claim all profiles of its groups (patients always do):
+    attribute id to its allowed references), conforms where slices depend on it (map from references, ascending, to the profiles of their
+    targets, see resolve.conformance) and other columns, which are kept. References are looked up by halving, so a record of very many
+    costs little more than their number. One expression is compiled for each set of groups that occurs. complete is false where a record does not claim all profiles of its groups (patients always do):
     such records are to be rejected. meta.profile keeps the claimed profiles of the groups only.
     """
     known = {s.group_id: s for s in selections}
     sets = [tuple(r["groups"]) for r in records.select("groups").distinct().collect()]  # sets of groups, not of records
     body, complete = F.lit(None).cast("string"), F.lit(False)
     conforms = F.col("conforms") if "conforms" in records.columns else None
-    refs = F.coalesce(F.col("refs"), F.create_map().cast("map<string,array<string>>"))
+    none = F.create_map().cast("map<string,array<string>>")
+    records = records.withColumn("refs", F.transform_values(F.coalesce("refs", none), lambda _, v: F.array_sort(F.array_compact(v))))
+    refs = F.col("refs")
     has_profiles = "meta" in kind.fieldNames() and "profile" in kind["meta"].dataType.fieldNames()
     for groups in sets:
         own = [known[g] for g in groups if g in known]

@@ -68,7 +68,7 @@ def completed_core(links: DataFrame, present: DataFrame, store: DataFrame, patie
 
 
 def conformance(records: DataFrame, resources: DataFrame) -> DataFrame:
-    """patient_id, id, conforms: for each record (patient_id, id, body) a map from its references to the profiles that their targets claim.
+    """patient_id, id, conforms: for each record (patient_id, id, body) a map from its references, ascending, to the profiles that their targets claim.
 
     resources has resource_type, id, patient_id, profiles; a target is core or of the record's own patient. Records without such
     a reference are left out. Only references and profiles move, and each reference of a record once.
@@ -78,7 +78,15 @@ def conformance(records: DataFrame, resources: DataFrame) -> DataFrame:
     claims = resources.where(F.size("profiles") > 0).select(F.col("resource_type").alias("__type"), "id", F.col("patient_id").alias("__owner"), F.transform("profiles", strip_version).alias("__profiles"))
     met = named.join(claims, (F.col("__t.type") == F.col("__type")) & (F.col("__t.id") == F.col("id"))).where("__owner IS NULL OR __owner <=> __p")
     one = met.groupBy("__p", "__i", "__ref").agg(F.array_distinct(F.flatten(F.collect_list("__profiles"))).alias("__profiles"))
-    return one.groupBy(F.col("__p").alias("patient_id"), F.col("__i").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("__ref", "__profiles"))).alias("conforms"))
+    return one.groupBy(F.col("__p").alias("patient_id"), F.col("__i").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__ref", "__profiles")))).alias("conforms"))
+
+
+def allowed_references(links: DataFrame) -> DataFrame:
+    """patient_id, type, id, refs: for each record that links (with attribute_ref and child) lead out of, a map from its attributes to their
+    children, ascending. What is grouped is no larger than the record's own body; links of no patient stay together.
+    """
+    one = links.groupBy("patient_id", "type", "id", "attribute_ref").agg(F.array_sort(F.collect_set("child")).alias("c"))
+    return one.groupBy("patient_id", "type", "id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_ref", "c"))).alias("refs"))
 
 
 def closure(seeds: DataFrame, references: DataFrame, targets: DataFrame) -> DataFrame:

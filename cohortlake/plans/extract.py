@@ -269,8 +269,7 @@ def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Se
     bare = keys.select("patient_id", F.col("type").alias("resource_type"), "id")
     if shapes is None:
         return bare, bare.limit(0)
-    children = links.groupBy("patient_id", "type", "id", "attribute_ref").agg(F.array_sort(F.collect_set("child")).alias("c"))
-    refs = children.groupBy("patient_id", "type", "id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_ref", "c"))).alias("refs"))
+    refs = resolve.allowed_references(links)
     same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("patient_id", "type", "id")]
     keyed = keys.alias("k").join(refs.alias("r"), same, "left").select("k.*", "r.refs")
     out = None

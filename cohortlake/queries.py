@@ -389,6 +389,24 @@ def mask_refs(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.coalesce(subject["reference"], F.get(subject["_reference"]["extension"], F.lit(0))["valueCode"]).alias("ref"))
 
 
+@query("""SELECT l_partkey, string_agg(DISTINCT 'Encounter/' || l_orderkey, ',' ORDER BY 'Encounter/' || l_orderkey) FILTER (o_orderstatus = 'F') AS shown, count(DISTINCT l_orderkey) FILTER (o_orderstatus <> 'F') AS masked
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def wide_references(spark: SparkSession, d: str) -> DataFrame:
+    """Records of parts with a reference to each order that has them; those to finished orders may be shown."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    lines = table(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct().join(orders, "l_orderkey").withColumn("child", F.concat(F.lit("Encounter/"), "l_orderkey"))
+    links = lines.where("o_orderstatus = 'F'").select(F.lit(None).cast("long").alias("patient_id"), F.lit("List").alias("type"), F.col("l_partkey").alias("id"), F.lit("List.entry.item").alias("attribute_ref"), "child")
+    entry = F.transform(F.array_sort(F.collect_list("child")), lambda c: F.struct(F.struct(c.alias("reference")).alias("item")))
+    rows = lines.groupBy("l_partkey").agg(F.struct(entry.alias("entry")).alias("body")).join(resolve.allowed_references(links).select(F.col("id").alias("l_partkey"), "refs"), "l_partkey", "left")
+    profile = redact.Profile("p", [redact.Element("List.entry", "List.entry", types=("BackboneElement",)), redact.Element("List.entry.item", "List.entry.item", types=("Reference",))])
+    refs = F.coalesce("refs", F.create_map().cast("map<string,array<string>>"))
+    items = redact.redacted(F.col("body"), rows.schema["body"].dataType, [profile], "List", refs)["entry"]
+    done = rows.select("l_partkey", F.transform(items, lambda e: e["item"]).alias("items"))
+    shown = F.filter(F.transform("items", lambda i: i["reference"]), lambda r: r.isNotNull())
+    masked = F.size(F.filter("items", lambda i: F.get(i["_reference"]["extension"], F.lit(0))["valueCode"] == redact.MASKED))
+    return done.select("l_partkey", F.when(F.size(shown) > 0, F.array_join(shown, ",")).alias("shown"), masked.cast("long").alias("masked"))
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size >= 10 THEN CAST(p_size AS VARCHAR) WHEN p_type = 'PROMO' THEN 'masked' END AS size FROM part""")
 def required_mask(spark: SparkSession, d: str) -> DataFrame:
     """Parts of one type belong to a profile that requires the size."""
