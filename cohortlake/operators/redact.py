@@ -50,6 +50,7 @@ class Element:
     discriminators: tuple[tuple[str, str], ...] | None = None
     pattern: str | None = None
     bound: bool = False
+    max: str | None = None
 
 
 @dataclass
@@ -79,7 +80,7 @@ def profile_of(url: str, rows: Sequence) -> Profile:
     """A Profile from collected rows of profile_elements of one url."""
     make = lambda r: Element(
         r["element_id"], r["path"], r["slice_name"], r["min"] or 0, tuple(r["types"] or ()), tuple(r["type_profiles"] or ()), tuple(r["target_profiles"] or ()) if "target_profiles" in r else (),
-        tuple((d["type"].upper(), d["path"]) for d in r["discriminators"]) if r["discriminators"] is not None else None, r["pattern"], bool(r["bound"]),
+        tuple((d["type"].upper(), d["path"]) for d in r["discriminators"]) if r["discriminators"] is not None else None, r["pattern"], bool(r["bound"]), r["max"] if "max" in r else None,
     )
     return Profile(url, [make(r) for r in rows])
 

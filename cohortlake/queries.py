@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import paths
 from cohortlake.functions.references import parse_reference
-from cohortlake.operators import cascade, codes, consent, intervals, load, redact, report, resolve, spec
+from cohortlake.operators import bindings, cascade, codes, consent, intervals, load, redact, report, resolve, spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -867,6 +867,36 @@ def slice_kinds(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").cast("long").alias("o_orderkey"), "copied", F.col("body").alias("redacted"))
 
 
+@query("""WITH c AS (SELECT o_orderkey, 1 n, 'N' || c_nationkey code, n_regionkey IN (2, 3) AND n_nationkey <> 7 ok FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT o_orderkey, 2, o_orderstatus, o_orderstatus <> 'P' FROM orders UNION ALL SELECT o_orderkey, 3, o_orderpriority, o_orderpriority = '1-URGENT' FROM orders)
+SELECT o_orderkey, coalesce(string_agg(code, ',' ORDER BY n) FILTER (ok), '') AS kept FROM c GROUP BY 1""")
+def value_set_codings(spark: SparkSession, d: str) -> DataFrame:
+    """Codings outside a value set go: it imports nations below two regions but for one, all status codes but one, and names a priority."""
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    edges = nation.selectExpr("'geo' AS system", "concat('R', n_regionkey) AS parent", "concat('N', n_nationkey) AS child")
+    tops = region.where("r_regionkey IN (2, 3)").selectExpr("'v/geo' AS value_set", "'include' AS part", "'is-a' AS how", "'geo' AS system", "concat('R', r_regionkey) AS code", "CAST(NULL AS STRING) AS imported")
+    fixed = [
+        ("v/geo", "exclude", "code", "geo", "N7", None), ("v/status", "include", "system", "status", None, None), ("v/status", "exclude", "code", "status", "P", None),
+        ("v/all", "include", "import", None, None, "v/geo"), ("v/all", "include", "import", "status", None, "v/status"), ("v/all", "include", "code", "prio", "1-URGENT", None),
+    ]
+    rules = tops.union(spark.createDataFrame(fixed, "value_set string, part string, how string, system string, code string, imported string"))
+    coding = lambda system, c: F.struct(F.lit(system).alias("system"), c.alias("code"))
+    rows = table(spark, d, "orders").join(table(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "concat('N', c_nationkey) AS n"), "o_custkey")
+    rows = rows.select("o_orderkey", F.array(coding("geo", F.col("n")), coding("status", F.col("o_orderstatus")), coding("prio", F.col("o_orderpriority"))).alias("coding"))
+    out = bindings.bound_codings(rows, ["o_orderkey"], "coding", F.lit("v/all"), *bindings.members(rules, edges))
+    return out.select("o_orderkey", F.array_join(F.transform("coding", lambda c: c["code"]), ",").alias("kept"))
+
+
+@query("""SELECT o_custkey, concat_ws(',', CASE WHEN count(*) > 9 THEN 'Person.visit' END, CASE WHEN count(*) FILTER (o_orderstatus = 'F') > 4 THEN 'Person.visit:done' END) AS over FROM orders GROUP BY 1""")
+def over_max(spark: SparkSession, d: str) -> DataFrame:
+    """People with more visits, or more finished ones, than their profile allows."""
+    visit = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.struct(F.array_sort(F.collect_list(visit)).alias("visit")).alias("body"))
+    e = redact.Element
+    profile = redact.Profile("p", [e("Person", "Person", max="*"), e("Person.visit", "Person.visit", discriminators=(("VALUE", "status"),), max="9"), e("Person.visit:done", "Person.visit", "done", max="4"), e("Person.visit:done.status", "Person.visit.status", pattern='"F"')])
+    return rows.select("o_custkey", F.array_join(bindings.over_max(F.col("body"), rows.schema["body"].dataType, profile), ",").alias("over"))
+
+
 # --- whole extractions -------------------------------------------------------------------------------------------------
 
 _PLAN = """enc AS (SELECT o_orderkey, o_custkey, o_orderpriority = '1-URGENT' must, o_totalprice > 100000 ok FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus = 'F'),

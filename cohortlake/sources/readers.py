@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.functions.references import claims_profile, patient_of
@@ -66,6 +66,31 @@ def profile_elements(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def value_sets(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a folder of value sets, as operators.bindings takes them. Codes of an expansion count as included; filters other than
+    is-a and descendants by other properties are not read.
+    """
+    part = "array<struct<system: string, concept: array<struct<code: string>>, filter: array<struct<property: string, op: string, value: string>>, valueSet: array<string>>>"
+    schema = f"resourceType string, url string, compose struct<include: {part}, exclude: {part}>, expansion struct<contains: array<struct<system: string, code: string>>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).where("resourceType = 'ValueSet'").withColumn("value_set", F.substring_index("url", "|", 1))
+    none = F.lit(None).cast("string")
+    rule = lambda how, system, code, imported: F.struct(F.lit(how).alias("how"), system.alias("system"), code.alias("code"), imported.alias("imported"))
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+
+    def rules(p: Column) -> Column:
+        tops = F.filter(p["filter"], lambda f: f["op"] == "is-a")
+        whole = p["system"].isNotNull() & empty(p["concept"]) & empty(p["filter"]) & empty(p["valueSet"])
+        found = [
+            F.transform(p["concept"], lambda c: rule("code", p["system"], c["code"], none)), F.transform(tops, lambda f: rule("is-a", p["system"], f["value"], none)),
+            F.transform(p["valueSet"], lambda v: rule("import", p["system"], none, F.substring_index(v, "|", 1))), F.when(whole, F.array(rule("system", p["system"], none, none))),
+        ]
+        return F.flatten(F.array_compact(F.array(*found)))
+
+    sides = [rows.select("value_set", F.lit(side).alias("part"), F.explode(f"compose.{side}").alias("p")).select("value_set", "part", F.inline(rules(F.col("p")))) for side in ("include", "exclude")]
+    listed = rows.select("value_set", F.lit("include").alias("part"), F.explode("expansion.contains").alias("c")).select("value_set", "part", F.lit("code").alias("how"), "c.system", "c.code", none.alias("imported"))
+    return sides[0].unionByName(sides[1]).unionByName(listed).distinct()
+
+
 def provisions(resources: DataFrame) -> DataFrame:
     """patient_id, consent_id, code, start, end, permit: a row for each code of each provision of active, dated consents.
 
