@@ -6,7 +6,8 @@ What starts at offset 0 corrects the declared type; what lies further in is carv
 bytes has no such structure and yields nothing.
 
 No validator copies the rest of a blob or searches it again at each hit: places of end markers are found once, and what is
-known of a place is kept, so a blob full of magic bytes takes time in proportion to its length.
+known of a place is kept, so a blob full of magic bytes, nested or not, takes time in proportion to its length. One case is left: where
+gzip headers stand inside a long member that fails its check sum, each of them is read on its own.
 
 Defined results: a null blob stays null and has no type, an empty one has no type; a blob without a valid signature keeps
 its declared type; equal blobs give equal results; extra columns are kept, and where they have the names of the new columns
@@ -55,72 +56,133 @@ class Blob:
             self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
         return self.known[mark]
 
-    def places(self, pattern: re.Pattern, start: int) -> Iterator[int]:
-        return (m.start() for m in pattern.finditer(self.data, start))
-
 
 #: What ends entropy-coded data of a picture: a marker that is neither stuffing nor a restart.
-_MARKERS = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+_MARKERS = re.compile(rb"\xff(?=[^\x00\xd0-\xd7])", re.DOTALL)
+
+
+#: Bytes between kept check sums of what lies before, and the polynomial of CRC-32, lowest bit first.
+CRC_STEP, _POLY = 1 << 12, 0xEDB88320
+
+
+def _times(a: int, b: int) -> int:
+    """The product of two polynomials, modulo that of CRC-32; bit 31 stands for x to the power of 0."""
+    out = 0
+    for n in range(31, -1, -1):
+        if a >> n & 1:
+            out ^= b
+        b = b >> 1 ^ (_POLY if b & 1 else 0)
+    return out
+
+
+def _power(n: int) -> int:
+    """x to the power of 8 n."""
+    out, square = 1 << 31, 1 << 23
+    while n:
+        if n & 1:
+            out = _times(out, square)
+        square, n = _times(square, square), n >> 1
+    return out
+
+
+def _crc(b: Blob, start: int, end: int) -> int:
+    """CRC-32 of a stretch: read where it is short, else by those of what lies before its two ends."""
+    if end - start <= 2 * CRC_STEP:
+        return zlib.crc32(b.view[start:end])
+    sums = b.known.setdefault("crc", [0])
+    while len(sums) <= end // CRC_STEP:
+        at = (len(sums) - 1) * CRC_STEP
+        sums.append(zlib.crc32(b.view[at : at + CRC_STEP], sums[-1]))
+    before, upto = (zlib.crc32(b.view[p // CRC_STEP * CRC_STEP : p], sums[p // CRC_STEP]) for p in (start, end))
+    return upto ^ _times(_power(end - start), before)
+
+
+def _walked(b: Blob, name: str, at: int, step: Callable[[int], tuple[int | None, int | None]]) -> int | None:
+    """Where a walk from place to place ends, from `at`; step gives the next place or the end. What is known of a place is kept."""
+    ends, p, passed, end = b.known.setdefault(name, {}), at, [], None
+    while p is not None and p not in ends:
+        passed.append(p)
+        p, end = step(p)
+    end = ends[p] if p is not None else end
+    for q in passed:
+        ends[q] = end
+    return end
 
 
 def _png(b: Blob, at: int) -> int | None:
-    p = at + 8
-    while p + 12 <= len(b):
+    def chunk(p: int) -> tuple[int | None, int | None]:
+        if p + 12 > len(b):
+            return None, None
         n, kind = struct.unpack_from(">I4s", b.view, p)
-        if p + 12 + n > len(b) or struct.unpack_from(">I", b.view, p + 8 + n)[0] != zlib.crc32(b.view[p + 4 : p + 8 + n]):
-            return None
-        if p == at + 8 and kind != b"IHDR":
-            return None
-        p += 12 + n
-        if kind == b"IEND":
-            return p - at
-    return None
+        if p + 12 + n > len(b) or struct.unpack_from(">I", b.view, p + 8 + n)[0] != _crc(b, p + 4, p + 8 + n):
+            return None, None
+        return (None, p + 12 + n) if kind == b"IEND" else (p + 12 + n, None)
+
+    if bytes(b[at + 12 : at + 16]) != b"IHDR":
+        return None
+    end = _walked(b, "png", at + 8, chunk)
+    return end - at if end else None
 
 
 def _jpeg(b: Blob, at: int) -> int | None:
-    p, scans = at + 2, 0
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return None
+    if "markers" not in b.known:
+        b.known["markers"] = [m.start() for m in _MARKERS.finditer(b.data)]
+    marks = b.known["markers"]
+
+    def scan(p: int) -> tuple[int | None, int | None]:
+        """From a place behind the first scan's header."""
+        k = bisect.bisect_left(marks, p)  # entropy-coded data runs to the next marker that is neither stuffing nor a restart
+        p = marks[k] if k < len(marks) else len(b)
+        if p + 2 <= len(b) and b[p + 1] == 0xD9:
+            return None, p + 2
+        return segments(p)
+
+    def segments(p: int) -> tuple[int | None, int | None]:
+        """Over segments to behind the next scan's header, or to the end marker."""
+        found = _walked(b, "jpeg-segments", p, segment)
+        return (found, None) if found and found > 0 else (None, -found if found else None)
+
+    def segment(p: int) -> tuple[int | None, int | None]:
+        """One segment on; ends behind a scan's header, or (as a negative number) behind an end marker."""
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None, None
         mark = b[p + 1]
         if mark == 0xD9:
-            return p + 2 - at if scans else None
+            return None, -(p + 2)
         if mark in (0x00, 0x01, 0xFF) or 0xD0 <= mark <= 0xD8:
-            return None
-        p += 2 + struct.unpack_from(">H", b.view, p + 2)[0]
-        if mark == 0xDA:  # entropy-coded data runs to the next marker that is neither stuffing nor a restart
-            scans += 1
-            p = next((x for x in b.places(_MARKERS, p)), len(b))
-            if p + 2 <= len(b) and b[p + 1] == 0xD9:
-                return p + 2 - at
-    return None
+            return None, None
+        following = p + 2 + struct.unpack_from(">H", b.view, p + 2)[0]
+        return (None, following) if mark == 0xDA else (following, None)
+
+    first, _ = segments(at + 2)  # without a scan there is no picture
+    end = _walked(b, "jpeg", first, scan) if first else None
+    return end - at if end else None
 
 
 def _gif(b: Blob, at: int) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-
-    def blocks(p: int) -> int | None:
-        while p < len(b):
-            n = b[p]
-            p += 1 + n
-            if not n:
-                return p
-        return None
 
-    while p is not None and p < len(b):
+    def block(p: int) -> tuple[int | None, int | None]:
+        if p >= len(b):
+            return None, None
+        return (p + 1 + b[p], None) if b[p] else (None, p + 1)
+
+    def part(p: int) -> tuple[int | None, int | None]:
+        if p >= len(b):
+            return None, None
         if b[p] == 0x3B:
-            return p + 1 - at
+            return None, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 <= len(b):
+            return _walked(b, "gif-blocks", p + 2, block), None
+        if b[p] == 0x2C and p + 10 <= len(b):
             own = b[p + 9]
-            p = blocks(p + 11 + (3 << (own & 7) + 1 if own & 0x80 else 0))
-        else:
-            return None
-    return None
+            return _walked(b, "gif-blocks", p + 11 + (3 << (own & 7) + 1 if own & 0x80 else 0), block), None
+        return None, None
+
+    end = _walked(b, "gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), part)
+    return end - at if end else None
 
 
 def _bmp(b: Blob, at: int) -> int | None:
@@ -134,14 +196,38 @@ def _bmp(b: Blob, at: int) -> int | None:
     return size if start >= 14 + header and start + data <= size <= len(b) - at else None
 
 
+def _chunk_from(b: Blob, at: int, end: int) -> int:
+    """The first place not before `end` of the walk over chunks that starts at `at`, as far as that goes.
+
+    Each place knows the next one, how many follow, and one far ahead, so walks under many headers share their steps.
+    """
+    known, p, passed = b.known.setdefault("riff", {}), at, []
+    while p not in known:
+        passed.append(p)
+        if p + 8 > len(b):
+            known[p] = (0, p, p)
+            passed.pop()
+            break
+        p += 8 + (struct.unpack_from("<I", b.view, p + 4)[0] + 1) // 2 * 2
+    for q in reversed(passed):
+        count, _, far = known[p]
+        far_count, _, farther = known[far]
+        known[q] = (count + 1, p, farther if count - far_count == far_count - known[farther][0] else p)
+        p = q
+    while p < end:
+        count, following, far = known[p]
+        if not count:
+            break
+        p = far if far <= end else following
+    return p
+
+
 def _riff(kind: bytes, first: tuple[bytes, ...]):
     def check(b: Blob, at: int) -> int | None:
         if at + 20 > len(b) or bytes(b[at + 8 : at + 12]) != kind or bytes(b[at + 12 : at + 16]) not in first:
             return None
         end = at + 8 + struct.unpack_from("<I", b.view, at + 4)[0]
-        p = at + 12
-        while p + 8 <= end <= len(b):
-            p += 8 + (struct.unpack_from("<I", b.view, p + 4)[0] + 1) // 2 * 2
+        p = _chunk_from(b, at + 12, end) if end <= len(b) else None
         return end - at if p == end else None
 
     return check

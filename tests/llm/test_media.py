@@ -74,6 +74,31 @@ def test_blobs_full_of_magic_bytes_take_time_by_length(unit):
     assert time.process_time() - began < 20
 
 
+def nested_riff(n):
+    """Sounds inside each other's chunk walk, all of which end where the blob does."""
+    out = bytearray(b"RIFF\0\0\0\0WAVEfmt \0\0\0\0" * n + b"\0" * (8 * n))
+    for at in range(0, 20 * n, 20):
+        struct.pack_into("<I", out, at + 4, len(out) - at - 8)
+    return bytes(out)
+
+
+def test_nested_headers_take_time_by_length():
+    header = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR" + b"\0" * 13 + struct.pack(">I", zlib.crc32(b"IHDR" + b"\0" * 13))
+    blobs = [nested_riff(30_000), (header + struct.pack(">I", 900_000) + b"IDAT") * 20_000, b"GIF89a\x01\0\x01\0\0\0\0\x21\xff" * 100_000, b"\xff\xd8\xff\xe0\0\2\xff\xda\0\2" * 100_000 + b"a" * 300_000]
+    began = time.process_time()
+    found = [len(media.carve(b)) for b in blobs]
+    assert time.process_time() - began < 20
+    assert found == [30_000, 0, 0, 0]
+    assert [n for _, n, _ in media.carve(nested_riff(4))] == [112, 92, 72, 52]
+
+
+def test_check_sums_of_stretches():
+    data = bytes(i * i % 251 for i in range(60_000))
+    blob = media.Blob(data)
+    for start, end in [(0, 0), (0, 10), (5, 50_000), (4096, 20_000), (123, 4096 * 9 + 7), (0, 8192), (1, 8194), (59_999, 60_000), (17, 60_000)]:
+        assert media._crc(blob, start, end) == zlib.crc32(data[start:end])
+
+
 def test_sniffed_column(spark):
     rows = [(1, WHOLE["image/png"], "audio/wav"), (2, b"plain", "text/plain"), (3, b"", "image/gif"), (4, None, "image/gif"), (5, media.wav(b"x" * 10 + png() + b"y"), None), (5, b"plain", None)]
     df = spark.createDataFrame([(*r, "extra", "old") for r in rows], "doc_id int, media binary, declared_type string, embedded string, start string")
