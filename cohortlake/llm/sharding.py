@@ -5,9 +5,13 @@ worth of bytes is cut along the dimension in which its rows spread widest, at th
 each leaf holds one shard's target. The quantile is searched over counts of bytes per bin, so a node may hold a third of
 all rows, or all of them, without any task seeing more than its own share: only bins leave the tasks.
 
+Equal texts are one group: all have the metadata of the member with the lowest id and stand together in every dimension, told
+apart by a hash of their ids only below a hash of the text. A cut that falls into a group moves to its nearer end where that costs a
+shard at most SLACK of its bytes; larger groups (a group of a third of all rows among them) are cut, as shards would not be near equal.
+
 Defined results: null texts have no bytes; null metadata sort lowest; rows that agree in a dimension (a hot source, equal
-texts, repeated ids) are told apart by a hash of id and text, so a hot value can be cut anywhere; an empty table gives an
-empty result; fewer rows than shards leave shards empty; extra columns are ignored.
+texts, repeated ids) are told apart by hashes of text and id, so a hot value can be cut anywhere; rows with equal id and text stay together; an empty
+table gives an empty result; fewer rows than shards leave shards empty; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ ROW_BYTES = 16
 BIN_BITS = 12
 #: The search ends when the bin that holds the median has at most this share of a shard.
 TOLERANCE = 2e-4
+#: A cut leaves a group of equal texts whole where this costs at most this share of a shard.
+SLACK = 5e-3
+#: Low bits of a key that tell the members of a group apart, by their ids.
+MEMBER_BITS = 16
+#: Groups of more rows than this are sent to every task (a row a group, so fewer than one for so many rows); others meet their rows by shuffle.
+HOT_ROWS = 1 << 16
 
 
 def _position(value: Column, low: Column, high: Column) -> Column:
@@ -32,21 +42,25 @@ def _position(value: Column, low: Column, high: Column) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and one 63-bit key a dimension: 31 bits of position, 32 bits that break ties."""
+    """doc_id, size, text_crc32 and one 63-bit key a dimension: 31 bits of position, 16 of the text and 16 of the id that break ties."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    base = common.written(
-        docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.crc32(F.coalesce(F.col("lang"), F.lit("")).cast("binary")).alias("lang_code"), F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")).alias("source_code")),
-        "shard-rows",
-    )
+    code = lambda c: F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary"))
+    own = F.struct("doc_id", code("lang").alias("lang_code"), code("source").alias("source_code"))
+    rows = common.written(docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("digest"), own.alias("own")), "shard-rows")
+    groups = common.written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("first")).where("n > 1"), "shard-groups")
+    hot, others = groups.where(F.col("n") > HOT_ROWS).select("digest", F.col("first").alias("hot")), groups.where(F.col("n") <= HOT_ROWS).select("digest", F.col("first").alias("other"))
+    told = rows.join(F.broadcast(hot), "digest", "left")
+    few = told.where("hot IS NULL").join(others, "digest", "left").withColumn("first", F.coalesce("other", "own")).drop("other", "hot")
+    base = few.unionByName(told.where("hot IS NOT NULL").withColumnRenamed("hot", "first")).select("doc_id", "size", "text_crc32", "digest", F.col("first.doc_id").alias("first_id"), "first.lang_code", "first.source_code")
     logs = base.withColumn("log_size", F.log2(F.col("size").cast("double")))
-    b = logs.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("log_size", "doc_id") for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    b = logs.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ("log_size", "first_id") for n, f in (("lo", F.min), ("hi", F.max)))).first()
     bound = lambda n, c: F.lit(b[f"{n}_{c}"]).cast("double")
-    tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2**32))
+    tie = F.shiftleft(F.pmod("digest", F.lit(2 ** (32 - MEMBER_BITS))), MEMBER_BITS) + F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(2**MEMBER_BITS))
     dims = {
         "k0": _position(F.col("log_size"), bound("lo", "log_size"), bound("hi", "log_size")),
         "k1": _position(F.col("lang_code").cast("double"), F.lit(0.0), F.lit(2.0**32)),
         "k2": _position(F.col("source_code").cast("double"), F.lit(0.0), F.lit(2.0**32)),
-        "k3": _position(F.col("doc_id").cast("double"), bound("lo", "doc_id"), bound("hi", "doc_id")),
+        "k3": _position(F.col("first_id").cast("double"), bound("lo", "first_id"), bound("hi", "first_id")),
     }
     return logs.select("doc_id", "size", "text_crc32", *((F.shiftleft(v, 32) + tie).alias(k) for k, v in dims.items()))
 
@@ -92,7 +106,26 @@ def _medians(spark: SparkSession, rows: DataFrame, todo: dict[int, tuple[str, in
     return cuts
 
 
-def kd_tree_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
+def _between_groups(rows: DataFrame, dims: dict[int, str], cuts: dict[int, int], most: float) -> dict[int, int]:
+    """The cuts, those inside a group moved to its nearer end if at most so many bytes change sides."""
+    inside = {n: c for n, c in cuts.items() if c % (1 << MEMBER_BITS)}
+    if not inside:
+        return cuts
+    sums = []
+    for n, c in inside.items():
+        key, low = F.col(dims[n]), c >> MEMBER_BITS << MEMBER_BITS
+        for side, (a, b) in (("left", (low, c)), ("right", (c, low + (1 << MEMBER_BITS)))):
+            sums.append(F.coalesce(F.sum(F.when((F.col("node") == n) & (key >= F.lit(a)) & (key < F.lit(b)), F.col("size"))), F.lit(0)).alias(f"{side}_{n}"))
+    found = rows.agg(*sums).first()  # two numbers a node
+    out = dict(cuts)
+    for n, c in inside.items():
+        left, right, low = found[f"left_{n}"], found[f"right_{n}"], c >> MEMBER_BITS << MEMBER_BITS
+        if min(left, right) <= most:
+            out[n] = low if left <= right else low + (1 << MEMBER_BITS)
+    return out
+
+
+def kd_tree_shards(docs: DataFrame, shards: int = 40, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law); sizes are near equal."""
     spark = docs.sparkSession
     meta = common.written(metadata(docs), "shard-keys")
@@ -115,7 +148,7 @@ def kd_tree_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
             dim = max(("k0", "k1", "k2", "k3"), key=lambda k: ((r[f"hi_{k}"] >> 32) - (r[f"lo_{k}"] >> 32), r[f"hi_{k}"] - r[f"lo_{k}"]))
             m = open_nodes[r["node"]]
             todo[r["node"]] = (dim, r[f"lo_{dim}"], r[f"hi_{dim}"], r["bytes"] * (m // 2) / m)
-        cuts = _medians(spark, rows, todo, leaf)
+        cuts = _between_groups(rows, {n: t[0] for n, t in todo.items()}, _medians(spark, rows, todo, leaf), slack * leaf)
         following = {}
         for n, m in open_nodes.items():
             if n in cuts:
