@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.plans.lineage import cut
+from cohortlake.plans.lineage import cut, sized
 
 MAX_ROUNDS = 1000
 
@@ -78,17 +78,30 @@ def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
 
 
 def unfounded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node) reference-only and valid, but not reached from any valid direct node: cycles that only hold each other up."""
+    """(node) reference-only and valid, but not reached from any valid direct node: cycles that only hold each other up.
+
+    Edges to what is reached are dropped every few rounds, and nodes reached before that are not asked for again: a round reads what
+    is left, and no set that grows with the rounds is sent to the driver.
+    """
     alive = nodes.where("valid").select("node", "reference_only")
-    steps = edges.join(alive.select(F.col("node").alias("parent")), "parent", "left_semi").join(alive.select(F.col("node").alias("child")), "child", "left_semi").select("parent", "child").distinct()
-    steps = cut(steps, "live-edges")
-    reached = frontier = cut(alive.where("NOT reference_only").select("node").distinct(), "founded")
+    sides = [alive.select(F.col("node").alias(c)).distinct().hint("merge") for c in ("parent", "child")]
+    frontier = cut(alive.where("NOT reference_only").select("node").distinct(), "founded")
+    reached, recent = [frontier], []  # recent: since steps were last thinned out
+    steps = edges.select("parent", "child").distinct().join(sides[0], "parent", "left_semi").join(sides[1], "child", "left_semi")
+    steps = cut(steps.join(frontier.withColumnRenamed("node", "child").hint("merge"), "child", "left_anti"), "live-edges")
     for _ in range(MAX_ROUNDS):
-        found = steps.join(frontier.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct()
-        frontier = cut(found.join(reached, "node", "left_anti"), "founded")
+        found = steps.join(sized(frontier.withColumnRenamed("node", "parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        if recent:
+            found = found.join(reduce(DataFrame.unionByName, recent).hint("merge"), "node", "left_anti")
+        frontier = cut(found, "founded")
         if frontier.isEmpty():
-            return alive.where("reference_only").select("node").distinct().join(reached, "node", "left_anti")
-        reached = reached.union(frontier)
+            known = reduce(DataFrame.unionByName, [*reached, *recent])
+            return alive.where("reference_only").select("node").distinct().join(known.hint("merge"), "node", "left_anti")
+        recent.append(frontier)
+        if len(recent) == _COMPACT:
+            gone = cut(reduce(DataFrame.unionByName, recent), "founded")
+            steps = cut(steps.join(gone.withColumnRenamed("node", "child").hint("merge"), "child", "left_anti"), "live-edges")
+            reached, recent = [*reached, gone], []
     raise RuntimeError(f"reachability did not settle in {MAX_ROUNDS} rounds")
 
 

@@ -32,6 +32,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a round sends to all tasks at most; more are joined by shuffle, whatever their size on disk.
+FEW = 10_000
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Keys that were written, for a join: few are broadcast. Many would look few by their size on disk, which is a fraction of that in memory."""
+    return F.broadcast(keys) if keys.count() <= FEW else keys.hint("merge")
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Adds `out`: a gapless number from 0 among the rows of a key (nulls are a key), in the order given.
 
