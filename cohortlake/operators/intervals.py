@@ -4,7 +4,9 @@ Overlaps are found without comparing all intervals of a key. Time is cut into bl
 union of few such blocks, and a day lies in one of each size, so an equality join on key and block gives every pair (day,
 interval around it) once; two intervals overlap if one starts in the other. Work follows the rows and the pairs that there are,
 and a key with very many rows is dealt out by its blocks. Where only the existence of such an interval matters, rows of a key are
-swept in order of time, by spans of four years that a hot key is dealt out by. Intervals with a missing end, or reversed, overlap nothing.
+swept in order of time, by spans of four years that a hot key is dealt out by. What intervals are compared with as a whole (cut out, met
+at all) is merged and goes with its key as one ascending list, no longer than the calendar, so every row moves once. Intervals with a
+missing end, or reversed, overlap nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.functions import lookup
+
 WHOLE = "start IS NOT NULL AND end IS NOT NULL AND start <= end"
 
 
@@ -62,8 +66,11 @@ def _blocks_between(start: str, end: str) -> Column:
     return F.concat(*parts)
 
 
-def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Rows of left, once for each block, with the rows of right (as __s, __e) that they meet in it: a start in the other's interval."""
+def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of left with all rows of right of the same key that overlap them; right's interval is called __s, __e.
+
+    Rows of left meet, once for each block, rows of right: a start in the other's interval.
+    """
     tagged = lambda blocks, tag: F.transform(blocks, lambda b: b * 2 + tag)
     here = left.where(WHOLE).withColumn("__block", F.explode(F.concat(tagged(_blocks_of_day("start"), 0), tagged(_blocks_between("start", "end"), 1))))
     other = right.where(WHOLE).withColumnsRenamed({"start": "__s", "end": "__e"})
@@ -71,12 +78,7 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     # the second tag is for those that start later than the row of left; those that start on its day have met it already
     later = other.withColumn("__later", F.col("__block") % 2 == 1).withColumnsRenamed({k: f"__r{n}" for n, k in enumerate([*keys, "__block"])})
     same = [here[k] == later[f"__r{n}"] for n, k in enumerate([*keys, "__block"])]
-    return here.join(later, [*same, ~later["__later"] | (here["start"] < later["__s"])], how).drop("__block", "__later", *(f"__r{n}" for n in range(len(keys) + 1)))
-
-
-def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of left with all rows of right of the same key that overlap them; right's interval is called __s, __e."""
-    return _met(left, right, keys)
+    return here.join(later, [*same, ~later["__later"] | (here["start"] < later["__s"])]).drop("__block", "__later", *(f"__r{n}" for n in range(len(keys) + 1)))
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,9 +105,26 @@ def contained(df: DataFrame, spans: DataFrame, keys: list[str], start: str = "st
     return both.withColumn("__reach", reach).where(F.col("__s").isNull() & (F.col(start) <= F.col(end)) & (F.col(end) <= F.col("__reach"))).select(*df.columns)
 
 
+def _with_merged(df: DataFrame, spans: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Whole rows of df with the merged intervals of spans of their key: ascending lists of starts and ends (__s, __e)."""
+    lists = merge(spans, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("c"))
+    return df.where(WHOLE).join(lists.select(*keys, F.col("c.start").alias("__s"), F.col("c.end").alias("__e")).hint("merge"), keys, how)
+
+
+def _met_of_lists() -> Column:
+    """Of the lists of _with_merged the intervals (start, end) that a row meets; those of long lists are found by halving."""
+    every = F.arrays_zip(F.col("__s").alias("start"), F.col("__e").alias("end"))
+    few = F.filter(every, lambda c: (c["end"] >= F.col("start")) & (c["start"] <= F.col("end")))
+    low, high = lookup.place(F.col("__e"), F.col("start")), lookup.place(F.col("__s"), F.date_add("end", 1))
+    part = lambda c: F.slice(F.col(c), low + 1, F.greatest(high - low, F.lit(0)))
+    many = F.arrays_zip(part("__s").alias("start"), part("__e").alias("end"))
+    return F.when(F.size("__s") <= lookup.SHORT, few).otherwise(many)
+
+
 def overlapping(df: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct (keys, start, end) of df that overlap some interval of spans."""
-    return pairs(df.select(*keys, "start", "end").distinct(), merge(spans, keys), keys).select(*keys, "start", "end").distinct()
+    held = _with_merged(df.select(*keys, "start", "end"), spans, keys, "inner")
+    return held.where(F.size(_met_of_lists()) > 0).select(*keys, "start", "end").distinct()
 
 
 def earliest_around(days: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -126,11 +145,11 @@ def subtract(df: DataFrame, minus: DataFrame, keys: list[str]) -> DataFrame:
     """What is left of each interval of df outside the intervals of minus; other columns of df are kept.
 
     The removed intervals are merged first, so those that meet one interval are sorted and apart; what remains lies between them.
+    Neither side moves more than once, and a row stays one until it is cut.
     """
     names = [c for c in df.columns if c not in ("start", "end", *keys)]
-    met = _met(df.withColumn("__row", F.monotonically_increasing_id()), merge(minus, keys), keys, "left")
-    own = F.when(F.col("__s").isNotNull(), F.struct(F.col("__s").alias("start"), F.col("__e").alias("end")))
-    cut = met.groupBy(*keys, "__row", *names, "start", "end").agg(F.array_sort(F.collect_list(own)).alias("cuts"))
+    none = F.array().cast("array<struct<start: date, end: date>>")
+    cut = _with_merged(df, minus, keys, "left").withColumn("cuts", F.coalesce(F.when(F.col("__s").isNotNull(), _met_of_lists()), none))
     starts = F.concat(F.array("start"), F.transform("cuts", lambda c: F.date_add(c["end"], 1)))
     ends = F.concat(F.transform("cuts", lambda c: F.date_sub(c["start"], 1)), F.array("end"))
     pieces = cut.select(*keys, *names, F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("p"))

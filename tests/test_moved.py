@@ -34,3 +34,25 @@ def test_unfounded_sends_no_set_that_grows(spark, written, monkeypatch):
         assert {r[0] for r in cascade.unfounded(nodes, edges).collect()} == {*range(13, n + 5)}
         # only a frontier of few rows may be broadcast, whatever the sizes on disk
         assert all(p.count("BroadcastHashJoin") <= (1 if few else 0) for _, p in written)
+
+
+def test_removed_intervals_move_once(spark):
+    day = lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i)
+    rng = random.Random(5)
+    a = [(k, i, s := rng.randrange(2000), s + rng.randrange(300)) for i in range(120) for k in (1, 2)]
+    b = [(k, s := rng.randrange(2200), s + rng.randrange(9)) for _ in range(90) for k in (1,)] + [(2, 700, 720)]
+    left = spark.createDataFrame([(k, i, day(s), day(e)) for k, i, s, e in a], "k int, i int, start date, end date")
+    right = spark.createDataFrame([(k, day(s), day(e)) for k, s, e in b], "k int, start date, end date")
+    gone = {(k, d) for k, s, e in b for d in range(s, e + 1)}
+    out = intervals.subtract(left, right, ["k"])
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["k"], r["i"]), []).extend(range((r["start"] - day(0)).days, (r["end"] - day(0)).days + 1))
+    want = {(k, i): [d for d in range(s, e + 1) if (k, d) not in gone] for k, i, s, e in a}
+    assert {x: sorted(d) for x, d in got.items()} == {x: d for x, d in want.items() if d}
+    met = {(k, s, e) for k, _, s, e in a if any((k, d) in gone for d in range(s, e + 1))}
+    over = intervals.overlapping(left, right, ["k"])
+    assert {(r["k"], (r["start"] - day(0)).days, (r["end"] - day(0)).days) for r in over.collect()} == met
+    # no row is copied but for what is left of it
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized(out).count("Generate explode") == 1 and "Generate explode" not in optimized(over)
