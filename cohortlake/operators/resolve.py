@@ -10,9 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.functions.references import nested_references, parse_reference, strip_version
-from cohortlake.plans.lineage import cut
+from cohortlake.plans.lineage import cut, sized
 
 #: Depth is the longest chain of references, not the size of the data.
 MAX_ROUNDS = 100
@@ -44,6 +45,23 @@ def required_references(references: DataFrame, valid: DataFrame) -> DataFrame:
     return references.where("must_have").select(*keys).distinct().join(ok, keys, "left_anti").select("src_type", "src_id", "group_id").distinct()
 
 
+def _labels(names: DataFrame, out: str) -> DataFrame:
+    """The distinct rows of names, few as a request's groups and attributes are, with a number each.
+
+    Rows that carry numbers take a fraction of the memory of rows that carry names: these shrink so far in a shuffle that Spark, which
+    deals rows by their size there, puts too many of them in one task.
+    """
+    rows = [tuple(r) for r in names.distinct().collect()]  # a row a group, or an attribute of one
+    return names.sparkSession.createDataFrame([(*r, n) for n, r in enumerate(rows)], T.StructType([*names.schema.fields, T.StructField(out, T.IntegerType())]))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, names: Sequence[str], how: str = "inner", nulls: bool = False) -> DataFrame:
+    """rows with the number of their names (those of labels, in that order) in the place of them; with nulls, a missing name is one of its own."""
+    own = labels.toDF(*(f"__{n}" for n in range(len(names))), labels.columns[-1])
+    same = [rows[c].eqNullSafe(own[f"__{n}"]) if nulls else rows[c] == own[f"__{n}"] for n, c in enumerate(names)]
+    return rows.join(F.broadcast(own), same, how).drop(*names, *(f"__{n}" for n in range(len(names))))
+
+
 def fetch(keys: DataFrame, store: DataFrame) -> DataFrame:
     """The resources of store with the keys (type, id), each once, without any filter.
 
@@ -94,16 +112,21 @@ def closure(seeds: DataFrame, references: DataFrame, targets: DataFrame) -> Data
 
     A core resource is reached once, without a patient, whoever refers to it.
     """
-    steps = usable(references, targets).where("valid").select("patient_id", "src_type", "src_id", F.col("group_id").alias("src_group"), F.col("__owner").alias("dst_patient"), "dst_type", "dst_id", "linked_group")
-    steps = cut(steps.distinct(), "reference-steps")
-    columns = ["patient_id", "type", "id", "group_id"]
-    known = frontier = cut(seeds.select(*columns).distinct(), "resolved")
+    labels = _labels(seeds.select("type", "group_id").union(targets.select("type", "group_id")), "label")
+    refs = references.select("patient_id", "src_type", "src_id", "group_id", "linked_group", "dst_type", "dst_id")
+    refs = _labelled(refs, labels, ["src_type", "group_id"]).withColumnRenamed("label", "src")
+    refs = _labelled(refs, labels, ["dst_type", "linked_group"]).withColumnRenamed("label", "dst")
+    held = _labelled(targets.where("valid").select("type", "group_id", F.col("id").alias("__id"), F.col("patient_id").alias("dst_patient")), labels, ["type", "group_id"])
+    steps = refs.join(held, F.expr("dst = label AND dst_id = __id AND (dst_patient IS NULL OR dst_patient <=> patient_id)"))
+    steps = cut(steps.select("patient_id", "src", "src_id", "dst_patient", "dst", "dst_id").distinct(), "reference-steps")
+    columns = ["patient_id", "label", "id"]
+    known = frontier = cut(_labelled(seeds.select("patient_id", "type", "id", "group_id"), labels, ["type", "group_id"], nulls=True).select(*columns).distinct(), "resolved")
     for _ in range(MAX_ROUNDS):
-        on = steps["patient_id"].eqNullSafe(frontier["patient_id"]) & (steps["src_type"] == frontier["type"]) & (steps["src_id"] == frontier["id"]) & (steps["src_group"] == frontier["group_id"])
-        found = frontier.join(steps, on).select(F.col("dst_patient").alias("patient_id"), F.col("dst_type").alias("type"), F.col("dst_id").alias("id"), F.col("linked_group").alias("group_id")).distinct()
+        near = sized(frontier.toDF(*(f"__{c}" for c in columns)))
+        found = steps.join(near, F.expr("patient_id <=> __patient_id AND src = __label AND src_id = __id")).select(F.col("dst_patient").alias("patient_id"), F.col("dst").alias("label"), F.col("dst_id").alias("id")).distinct()
         same = [found[c].eqNullSafe(known[c]) for c in columns]
-        frontier = cut(found.join(known, same, "left_anti"), "resolved")
+        frontier = cut(found.join(known.hint("merge"), same, "left_anti"), "resolved")
         if frontier.isEmpty():
-            return known
+            return known.join(F.broadcast(labels), "label").select("patient_id", "type", "id", "group_id")
         known = known.union(frontier)
     raise RuntimeError(f"references did not settle in {MAX_ROUNDS} rounds")

@@ -161,10 +161,10 @@ def resolve_closure(spark: SparkSession, d: str) -> DataFrame:
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     seeds = orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("patient_id"), F.lit("Encounter").alias("type"), F.col("o_orderkey").alias("id"), F.lit("enc").alias("group_id"))
     drugs = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").selectExpr("o_custkey AS patient_id", "'Encounter' AS src_type", "l_orderkey AS src_id", "'enc' AS group_id", "'med' AS linked_group", "'Medication' AS dst_type", "l_partkey AS dst_id")
-    makers = lines.selectExpr("CAST(NULL AS BIGINT) AS patient_id", "'Medication' AS src_type", "l_partkey AS src_id", "'med' AS group_id", "'org' AS linked_group", "'Organization' AS dst_type", "l_suppkey AS dst_id").distinct()
+    makers = lines.selectExpr("CAST(NULL AS BIGINT) AS patient_id", "'Medication' AS src_type", "l_partkey AS src_id", "'med' AS group_id", "'org' AS linked_group", "'Organization' AS dst_type", "l_suppkey AS dst_id")
     core = "CAST(NULL AS BIGINT) AS patient_id"
     targets = table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id", core, "'med' AS group_id", "p_type <> 'STANDARD' AS valid").union(table(spark, d, "supplier").selectExpr("'Organization'", "s_suppkey", core, "'org'", "s_acctbal > 0"))
-    return resolve.closure(seeds, drugs.distinct().union(makers), targets)
+    return resolve.closure(seeds, drugs.union(makers), targets)
 
 
 # --- intervals and consent -------------------------------------------------------------------------------------------

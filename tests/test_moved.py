@@ -56,3 +56,15 @@ def test_removed_intervals_move_once(spark):
     # no row is copied but for what is left of it
     optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert optimized(out).count("Generate explode") == 1 and "Generate explode" not in optimized(over)
+
+
+def test_names_do_not_move(spark, written):
+    refs = spark.range(400).selectExpr("id % 7 AS patient_id", "'Encounter' AS src_type", "id % 50 AS src_id", "'enc' AS group_id", "'Encounter.medication' AS attribute_ref", "id % 3 = 0 AS must_have", "'med' AS linked_group", "'Medication' AS dst_type", "id AS dst_id")
+    targets = spark.range(300).selectExpr("'Medication' AS type", "id", "IF(id % 5 = 0, 9L, NULL) AS patient_id", "'med' AS group_id", "id % 4 = 0 AS valid")
+    seeds = spark.range(20).selectExpr("id % 7 AS patient_id", "'Encounter' AS type", "id", "'enc' AS group_id")
+    got = {tuple(r) for r in resolve.closure(seeds, refs, targets).collect()}
+    seen = {(i % 7, i) for i in range(20)}
+    assert got == {(p, "Encounter", i, "enc") for p, i in seen} | {(None, "Medication", i, "med") for i in range(300) if i % 4 == 0 and i % 5 and (i % 7, i % 50) in seen}
+    steps = next(p for name, p in written if name == "reference-steps")
+    keys = " ".join(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", steps))
+    assert keys and not re.search("src_type|dst_type|group", keys)
