@@ -62,6 +62,22 @@ def _labelled(rows: DataFrame, labels: DataFrame, names: Sequence[str], how: str
     return rows.join(F.broadcast(own), same, how).drop(*names, *(f"__{n}" for n in range(len(names))))
 
 
+def unmet(references: DataFrame, targets: DataFrame) -> DataFrame:
+    """required_references of references and the usable ones among them, by numbers in the place of names."""
+    names = ["src_type", "group_id", "attribute_ref"]
+    refs = references.select(*names, "src_id", "patient_id", "must_have", "dst_type", "linked_group", "dst_id")
+    sources = _labels(refs.select(*names), "__from")
+    ends = _labels(targets.select("type", "group_id"), "__to")
+    rows = _labelled(_labelled(refs, sources, names, nulls=True), ends, ["dst_type", "linked_group"], "left")
+    held = _labelled(targets.where("valid").select("type", "group_id", F.col("id").alias("__id"), F.col("patient_id").alias("__owner")), ends, ["type", "group_id"])
+    held = held.select(F.col("__to").alias("__at"), "__id", "__owner", F.lit(True).alias("__ok"))
+    met = rows.join(held, F.expr("__to = __at AND dst_id = __id AND (__owner IS NULL OR __owner <=> patient_id)"), "left")
+    told = met.groupBy("__from", "src_id").agg(F.bool_or("must_have").alias("must_have"), F.bool_or("__ok").alias("__ok")).where("must_have")
+    # as in a join, what has no name is not found
+    lost = told.join(F.broadcast(sources), "__from").where(F.col("__ok").isNull() | F.col("src_id").isNull() | F.expr(" OR ".join(f"{n} IS NULL" for n in names)))
+    return lost.select("src_type", "src_id", "group_id").distinct()
+
+
 def fetch(keys: DataFrame, store: DataFrame) -> DataFrame:
     """The resources of store with the keys (type, id), each once, without any filter.
 

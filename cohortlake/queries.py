@@ -480,7 +480,7 @@ def ref_must_have(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("src_id"), F.col("o_custkey").alias("patient_id"))
     refs = table(spark, d, "lineitem").selectExpr("l_orderkey AS src_id", "'Encounter' AS src_type", "'enc' AS group_id", "'Encounter.medication' AS attribute_ref", "true AS must_have", "'med' AS linked_group", "'Medication' AS dst_type", "l_partkey AS dst_id").join(orders, "src_id")
     targets = table(spark, d, "part").selectExpr("'Medication' AS type", "p_partkey AS id", "CAST(NULL AS BIGINT) AS patient_id", "'med' AS group_id", "p_size > 20 AS valid")
-    return resolve.required_references(refs, resolve.usable(refs, targets)).select("src_id")
+    return resolve.unmet(refs, targets).select("src_id")
 
 
 @query("""SELECT l_orderkey AS src_id, o_orderkey AS dst_id FROM lineitem JOIN orders ON o_orderkey = l_suppkey * 7 WHERE o_custkey = l_partkey % 1500""")

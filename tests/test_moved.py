@@ -68,3 +68,14 @@ def test_names_do_not_move(spark, written):
     steps = next(p for name, p in written if name == "reference-steps")
     keys = " ".join(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", steps))
     assert keys and not re.search("src_type|dst_type|group", keys)
+    lost = resolve.unmet(refs, targets)
+    assert {tuple(r) for r in lost.collect()} == {tuple(r) for r in resolve.required_references(refs, resolve.usable(refs, targets)).collect()} != set()
+
+
+def test_unmet_without_names(spark):
+    ref = "patient_id long, src_type string, src_id long, group_id string, attribute_ref string, must_have boolean, linked_group string, dst_type string, dst_id long"
+    rows = [(1, "E", 1, "e", "a", True, "c", "C", 1), (1, "E", 1, "e", None, True, "c", "C", 1), (1, "E", 2, "e", "a", True, None, "C", 1), (1, "E", None, "e", "a", True, "c", "C", 1), (1, "E", 3, "e", "a", True, "c", "C", 2), (1, "E", 3, "e", "a", False, "c", "C", 1), (1, "E", 4, "e", "a", False, "c", "C", 7)]
+    refs = spark.createDataFrame(rows, ref)
+    targets = spark.createDataFrame([("C", 1, None, "c", True), ("C", 2, 2, "c", True), ("C", 2, None, "c", False)], "type string, id long, patient_id long, group_id string, valid boolean")
+    old = {tuple(r) for r in resolve.required_references(refs, resolve.usable(refs, targets)).collect()}
+    assert {tuple(r) for r in resolve.unmet(refs, targets).collect()} == old == {("E", 1, "e"), ("E", 2, "e"), ("E", None, "e")}
