@@ -49,11 +49,11 @@ def cascade(nodes: DataFrame, edges: DataFrame, down: bool = True) -> DataFrame:
     these counts what the nodes that fell in the last one held, and only what loses something is looked at.
     """
     edges = cut(edges.select("parent", "attribute", "child", "must_have"), "edges")
-    above = cut(edges.select("parent", "attribute").distinct(), "attributes-above")
+    above = cut(edges.groupBy("parent", "attribute").agg(F.bool_or("must_have").alias("must_have")), "attributes-above")
     below = cut(edges.select("attribute", "child").distinct(), "children-below")
-    counts = above.groupBy("attribute").agg(F.count(F.lit(1)).alias("parents")).join(below.groupBy("attribute").agg(F.count(F.lit(1)).alias("children")), "attribute")
-    required = edges.where("must_have").select("attribute", F.lit(True).alias("must_have")).distinct()
-    attributes = _Counters(cut(counts.join(required, "attribute", "left"), "attribute-support"), "attribute", ["lost_parents", "lost_children"])
+    sides = above.select("attribute", F.lit(1).alias("p"), F.lit(0).alias("c"), "must_have").union(below.select("attribute", F.lit(0), F.lit(1), F.lit(False)))
+    support = sides.groupBy("attribute").agg(F.sum("p").alias("parents"), F.sum("c").alias("children"), F.bool_or("must_have").alias("must_have"))
+    attributes = _Counters(cut(support, "attribute-support"), "attribute", ["lost_parents", "lost_children"])
     if down:
         held = below.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("attributes"))
         children = _Counters(cut(held.join(nodes.where("reference_only").select("node").distinct(), "node", "left_semi"), "child-support"), "node", ["lost_attributes"])

@@ -79,3 +79,11 @@ def test_unmet_without_names(spark):
     targets = spark.createDataFrame([("C", 1, None, "c", True), ("C", 2, 2, "c", True), ("C", 2, None, "c", False)], "type string, id long, patient_id long, group_id string, valid boolean")
     old = {tuple(r) for r in resolve.required_references(refs, resolve.usable(refs, targets)).collect()}
     assert {tuple(r) for r in resolve.unmet(refs, targets).collect()} == old == {("E", 1, "e"), ("E", 2, "e"), ("E", None, "e")}
+
+
+def test_support_of_attributes_is_counted_in_one_pass(spark, written):
+    nodes = spark.range(9).selectExpr("id AS node", "id > 4 AS reference_only", "id <> 7 AS valid")
+    edges = spark.createDataFrame([(0, "a", 5, True), (0, "a", 7, False), (1, "b", 7, True), (2, "b", 7, False), (3, "c", 6, None), (1, "d", 6, False)], "parent long, attribute string, child long, must_have boolean")
+    assert {r[0] for r in cascade.cascade(nodes, edges).collect()} == {1, 2}
+    support = next(p for name, p in written if name == "attribute-support")
+    assert "Join" not in support
