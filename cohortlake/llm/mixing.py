@@ -14,9 +14,10 @@ the log-odds along these words, packed in one row. They grow with the corpus; of
 block (of 50,000 words) is sent to tasks. Contexts of two
 and three bytes are sent along if they cover at least 1 / SHARE of the training bytes, so there are at most SHARE of either.
 
-The starting weights are fitted on SAMPLE training documents at most (one passage of SAMPLE_CHARS characters of each, chosen
-by a hash of its id). Their own words are taken out of the counts of words for that, so that the fit sees words as a new text
-does. The sample is a bound on the fit alone: all counts cover all training documents.
+The starting weights are fitted on all training documents, from counts of decisions by their inputs, so texts are not read
+again. Bytes of a word behind its third come from the distinct words with their counts, as if nothing were repeated; those
+before it from the counts of a byte behind three others, which hold the whole word so far, by what repeats said there. Each
+occurrence is taken out of the counts of words that its own inputs come from, so that the fit sees words as a new text does.
 
 Settings of the model: refined weights start anew every SEGMENT bytes; texts over RUN_BYTES are read in runs that do not see
 each other's repeats; contexts of words end after WORD_BYTES bytes.
@@ -53,7 +54,7 @@ MOST_SENT = 1 << 18
 #: Text of a row of chunks, and of a run.
 CHUNK_BYTES, RUN_BYTES = 4 << 20, 1 << 18
 #: Bytes that a task mixes at a time.
-MIX_BYTES = 1 << 18
+MIX_BYTES = 1 << 19
 #: Bytes from one start of the weights to the next.
 SEGMENT = 512
 #: Two- and three-byte contexts rarer than one in SHARE training bytes are silent.
@@ -66,9 +67,9 @@ REPEAT, HELD = 6, (8, 24)
 REPEAT_ODDS = 8
 #: Unit of the stored log-odds, which have six bits; two more say how well they are known.
 UNIT = 0.25
-#: Training documents that the starting weights are fitted on, and characters of each, at most.
-SAMPLE, SAMPLE_CHARS = 128, 4096
-#: What the weights of a gate are drawn to where the sample says little, and how strongly (decisions).
+#: Bytes whose repeats a counting task looks for at a time (one run at least; all are looked for).
+SAMPLE = 1 << 20
+#: What the weights of a gate are drawn to where training documents say little, and how strongly (decisions).
 PRIOR, PRIOR_STRENGTH = (0.1, 0.3, 0.6, 0.8), 20.0
 #: Rate of refinement.
 RATE = 0.02
@@ -78,6 +79,10 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xFF51AFD7ED558CCD)
 _H = np.uint64(32)
 END = b"\n"
+#: Decisions of a byte are mixed in parts that end here (and at the longest code).
+PARTS = (8, 32)
+#: Bytes whose inputs a task widens at a time.
+TOGETHER = 1 << 13
 #: Two-byte contexts have this bit set.
 _TWO = 1 << 24
 
@@ -118,6 +123,12 @@ class Code:
                 self.passes[b, s, n] = 1
         #: For each byte and node: 1 if the byte takes bit 1 there, -1 for bit 0, 0 if it does not come there.
         self.way = (self.passes[1] - self.passes[0]).astype(np.int8).ravel()
+        #: For each decision and byte: its node, and 1 or -1 for the way taken there, 0 behind the last one.
+        self.node_at = np.zeros((int(self.length.max()), 256), np.int64)
+        self.sign_at = np.zeros(self.node_at.shape, np.int8)
+        for s, p in enumerate(paths):
+            for d, (n, b) in enumerate(reversed(p)):
+                self.node_at[d, s], self.sign_at[d, s] = n, 2 * b - 1
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each decision along the bytes: the index of its byte and its index in the code."""
@@ -185,23 +196,58 @@ def _coded(words: list[bytes], last: bool) -> bytes:
     return b" ".join([*words, END if last else b""])
 
 
-def _quads(runs: list[bytes]) -> np.ndarray:
-    """For each byte to predict: the three before it and itself, as one number."""
-    text = np.frombuffer(b"".join([END * 3 + r for r in runs]), np.uint8)
-    sizes = np.array([len(r) + 3 for r in runs])
-    own = np.ones(len(text), bool)
-    starts = np.cumsum(sizes) - sizes
-    own[(starts[:, None] + np.arange(3)).ravel()] = False
-    at = np.flatnonzero(own)
-    out = np.zeros(len(at), np.uint32)
+def repeats(text: np.ndarray, at: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of `text` at `at`: what followed when the REPEAT bytes before it stood in its span before, and the gate's
+    state: 0 without such a place, more the longer it has held.
+    """
+    if not len(at):
+        return text[:0], np.zeros(0, np.int8)
+    last = text.astype(np.uint64)
+    last = last[:-1] << np.uint64(8) | last[1:]
+    last = (last[:-4] << np.uint64(32) | last[2:-2] << np.uint64(16) | last[4:])[at - REPEAT]  # REPEAT is six
+    # places in the low bits: sorting values is faster than sorting places by values
+    low = np.uint64((1 << max(len(at) - 1, 1).bit_length()) - 1)
+    key = np.sort(_mixed(last * _M ^ _mixed((span.astype(np.uint64) + np.uint64(1)) * _N)) & ~low | np.arange(len(at), dtype=np.uint64))
+    order, key = (key & low).astype(np.int64), key & ~low
+    same = np.flatnonzero(key[1:] == key[:-1])
+    one, other = order[same + 1], order[same]
+    if np.any((last[one] != last[other]) | (span[one] != span[other])):  # a key of different bytes
+        order = np.lexsort((last, span))
+        same = np.flatnonzero((last[order[1:]] == last[order[:-1]]) & (span[order[1:]] == span[order[:-1]]))
+        one, other = order[same + 1], order[same]
+    before = np.full(len(at), -1)
+    before[one] = other
+    symbol = text[at]
+    guess, found = symbol[before], before >= 0
+    index = np.arange(len(at))
+    missed = np.maximum.accumulate(np.where(found & (guess == symbol), -1, index))
+    held = np.r_[0, (index - missed)[:-1]]
+    return guess, np.where(found, 1 + (held >= HELD[0]) + (held >= HELD[1]), 0).astype(np.int8)
+
+
+def _told(runs: list[bytes]) -> np.ndarray:
+    """For each byte to predict: the three before it and itself as one number, and above them what a repeat foretells and its
+    state where the word so far has less than three bytes.
+    """
+    sizes = np.array([len(r) for r in runs])
+    text = np.frombuffer(b"".join([END * REPEAT + r for r in runs]), np.uint8)
+    span = np.repeat(np.arange(len(runs)), sizes)
+    at = np.arange(len(span)) + (span + 1) * REPEAT
+    guess, state = repeats(text, at, span)
+    out, early = np.zeros(len(at), np.uint64), np.zeros(len(at), bool)
     for k in (3, 2, 1, 0):
-        out = out << np.uint32(8) | text[at - k]
+        b = text[at - k]
+        out = out << np.uint64(8) | b
+        if k:
+            early |= (b == 32) | (b == 10)
+    told = np.flatnonzero(early & (state > 0))
+    out[told] |= (state[told].astype(np.uint64) << np.uint64(8) | guess[told]) << np.uint64(32)
     return out
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): all words, and how often they stand in training documents; END for ends of texts; a space and four bytes
-    for a byte behind three others.
+    """(word, n): all words, and how often they stand in training documents; END for ends of texts; a space and six
+    bytes for a byte behind three others (_told).
     """
     counts: Counter = Counter()
     seen: list[tuple[np.ndarray, np.ndarray]] = []
@@ -221,9 +267,13 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             counts.update(words)
             counts[END] += last
-            streams.append(_coded(words, last))
-        if streams:
-            seen.append(np.unique(_quads(streams), return_counts=True))
+            if words or last:
+                streams.append(_coded(words, last))
+        while streams:
+            some, size = [streams.pop()], 0
+            while streams and (size := size + len(some[-1])) + len(streams[-1]) <= SAMPLE:
+                some.append(streams.pop())
+            seen.append(np.unique(_told(some), return_counts=True))
         if sum(len(q) for q, _ in seen) > 1 << 22:
             seen = [merged()]
         if len(counts) > HELD_WORDS:
@@ -234,7 +284,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if seen:
         quads, many = merged()
         for a in range(0, len(quads), 1 << 16):
-            yield record([b" " + q.to_bytes(4, "big") for q in quads[a : a + (1 << 16)].tolist()], many[a : a + (1 << 16)])
+            yield record([b" " + q.to_bytes(6, "big") for q in quads[a : a + (1 << 16)].tolist()], many[a : a + (1 << 16)])
 
 
 def sort_key(word: bytes) -> bytes:
@@ -280,28 +330,36 @@ def _positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context.view(np.int64), text.astype(np.int64), of
 
 
-def _edges(own: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(block, context, symbol, n, own) of the contexts of a block's first and last word: those that other blocks may share."""
+def _edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, context, symbol, n) of the contexts of a block's first and last word: those that other blocks may share."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, words, n in zip(batch.column("block").to_pylist(), batch.column("word"), batch.column("n"), strict=True):
-                keys = words.as_py()
-                context, symbol, of = _positions(keys)
-                at = np.flatnonzero(np.isin(context, context[(of == 0) | (of == of[-1])]))
-                at = at[np.lexsort((symbol[at], context[at]))]
-                context, symbol = context[at], symbol[at]
-                starts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])
-                sums = [np.add.reduceat(x[of[at]], starts) for x in (n.values.to_numpy(), np.array([own.get(k, 0) for k in keys]))]
-                yield pa.record_batch([pa.array(np.full(len(starts), block)), pa.array(context[starts]), pa.array(symbol[starts].astype(np.int32)), *map(pa.array, sums)], names=["block", "context", "symbol", "n", "own"])
+    for batch in batches:
+        for block, words, n in zip(batch.column("block").to_pylist(), batch.column("word"), batch.column("n"), strict=True):
+            context, symbol, of = _positions(words.as_py())
+            at = np.flatnonzero(np.isin(context, context[(of == 0) | (of == of[-1])]))
+            at = at[np.lexsort((symbol[at], context[at]))]
+            context, symbol = context[at], symbol[at]
+            starts = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])])
+            sums = np.add.reduceat(n.values.to_numpy()[of[at]], starts)
+            yield pa.record_batch([pa.array(np.full(len(starts), block)), pa.array(context[starts]), pa.array(symbol[starts].astype(np.int32)), pa.array(sums)], names=["block", "context", "symbol", "n"])
 
-    return run
 
+def cells(gate: np.ndarray, two: np.ndarray, three: np.ndarray, word: np.ndarray, repeat: np.ndarray | int) -> np.ndarray:
+    """Gate and inputs of decisions as one number; inputs in units, repeat -1 to 1."""
+    out = gate.astype(np.int32)
+    for x in (two, three, word):
+        out = out << 6 | (x.astype(np.int32) + 32)
+    return out << 2 | (repeat + 1)
 
-def _block_odds(code: Code, own: dict[bytes, int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks with the stored log-odds of the decisions taken along each word; spared, for words of the sample only, are those
-    without the sample's own words.
-    """
+
+def _summed(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(cell, return_inverse=True)
+    return known, np.bincount(at, n, len(known)).astype(np.int64)
+
+
+def _block_odds(model: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks with the stored log-odds of the decisions taken along each word, and their cells behind the third byte of words."""
+    code = model.code
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,37 +367,53 @@ def _block_odds(code: Code, own: dict[bytes, int]) -> Callable[[Iterable[pa.Reco
                 keys, n = words.as_py(), n.values.to_numpy()
                 context, symbol, of = _positions(keys)
                 known, index = np.unique(context, return_inverse=True)
-                pairs, at = np.unique((index << 8) + symbol, return_inverse=True)
-                also, also_symbol, also_n, also_own = (shared.values.field(c).to_numpy(zero_copy_only=False) for c in ("context", "symbol", "n", "own"))
+                pairs, first, at = np.unique((index << 8) + symbol, return_index=True, return_inverse=True)
+                also, also_symbol, also_n = (shared.values.field(c).to_numpy(zero_copy_only=False) for c in ("context", "symbol", "n"))
                 of_pair = np.r_[pairs >> 8, np.searchsorted(known, also)]
                 byte, way = code.decisions(np.r_[pairs & 255, also_symbol])
                 place, to = np.unique((of_pair[byte] << 8) + code.node[way], return_inverse=True)
                 one = code.bit[way] == 1
                 inner = ~np.isin(known, also)[pairs >> 8]  # the others' counts are those of all blocks
-                many = np.r_[np.bincount(at, n[of], len(pairs)) * inner, also_n]
+                here = np.bincount(at, n[of], len(pairs))
+                weight = np.r_[here * inner, also_n][byte]
+                ones, zeros = (np.bincount(to, weight * w, len(place))[to] for w in (one, ~one))
                 # along the words: the decisions of the pair at each position
                 length, ahead = code.length[pairs & 255], np.cumsum(code.length[pairs & 255]) - code.length[pairs & 255]
                 steps = length[at]
                 ends = np.cumsum(steps)
                 along = np.repeat(ahead[at] - ends + steps, steps) + np.arange(ends[-1])
                 cuts = np.r_[0, np.cumsum(np.bincount(of, steps, len(keys)).astype(np.int64))]
+                odds = towards(stored_odds(zeros, ones), one)[along]
+                values = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(odds.tobytes())])
+                # those of this block's words, each without itself
+                start = np.searchsorted(of, of[first])
+                deep = np.flatnonzero((first - start >= 3) & (here > 0))
+                lead = [symbol[first[deep] - k] for k in (3, 2, 1)]
+                those = np.repeat(ahead[deep] - np.cumsum(length[deep]) + length[deep], length[deep]) + np.arange(length[deep].sum())
+                cell, many = model.counted(np.stack(lead), pairs[deep] & 255, here[deep], zeros[those], ones[those])
+                whole, its = pa.array([0, len(keys)], pa.int32()), pa.array([0, len(cell)], pa.int32())
+                lists = [*(pa.ListArray.from_arrays(whole, x) for x in (words.values, pa.array(n), values)), *(pa.ListArray.from_arrays(its, pa.array(x)) for x in (cell, many))]
+                yield pa.record_batch([pa.array([block.as_py()], pa.int64()), *lists], names=["block", "word", "n", "odds", "cell", "many"])
+
+    return run
+
 
-                def odds(many: np.ndarray) -> np.ndarray:
-                    weight = many[byte]  # noqa: B023
-                    ones = np.bincount(to, weight * one, len(place))  # noqa: B023
-                    zeros = np.bincount(to, weight * ~one, len(place))  # noqa: B023
-                    return towards(stored_odds(zeros.clip(0), ones.clip(0))[to], one)[along]  # noqa: B023
-
-                values = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(odds(many).tobytes())])
-                taken = np.array([own.get(k, 0) for k in keys])
-                spared = [None] * len(keys)
-                if taken.any():
-                    without = odds(many - np.r_[np.bincount(at, taken[of], len(pairs)) * inner, also_own])
-                    for k in np.flatnonzero(taken).tolist():
-                        spared[k] = without[cuts[k] : cuts[k + 1]].tobytes()
-                whole = pa.array([0, len(keys)], pa.int32())
-                lists = [pa.ListArray.from_arrays(whole, x) for x in (words.values, pa.array(n), values, pa.array(spared, pa.binary()))]
-                yield pa.record_batch([pa.array([block.as_py()], pa.int64()), *lists], names=["block", "word", "n", "odds", "spared"])
+def _early(model: Model, prefix: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(cell, many) of bytes before the fourth of a word, from their counts (_told); prefix, symbol and n count the bytes behind
+    each word so far.
+    """
+    known = np.unique(prefix)
+    seen = np.zeros((len(known), 256), np.float32)
+    seen[np.searchsorted(known, prefix), symbol] = n
+    sides = [(seen @ p).ravel() for p in model.code.passes]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, n, prefix = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("told", "n", "prefix"))
+            byte, way = model.code.decisions(told & 255)
+            place = (np.searchsorted(known, prefix)[byte] << 8) + model.code.node[way]
+            found = model.counted(np.stack([told >> 24 & 255, told >> 16 & 255, told >> 8 & 255]), told & 255, n, *(x[place] for x in sides), told >> 32 & 255, told >> 40)
+            yield pa.record_batch([pa.array(x) for x in found], names=["cell", "many"])
 
     return run
 
@@ -424,7 +498,7 @@ class Model:
         self.code = code
         self.known = np.unique(context)
         # the last row is that of silent contexts
-        self.rows = np.zeros((len(self.known) + 1, 256), np.int8)
+        rows = np.zeros((len(self.known) + 1, 256), np.int8)
         order = np.argsort(context, kind="stable")
         context, symbol, n = context[order], symbol[order], n[order]
         for a in range(0, len(self.known), 4096):  # in parts, as counts of bytes take four times the room of log-odds
@@ -432,8 +506,8 @@ class Model:
             lo, hi = np.searchsorted(context, part[0]), np.searchsorted(context, part[-1], "right")
             seen = np.zeros((len(part), 256), np.float32)
             seen[np.searchsorted(part, context[lo:hi]), symbol[lo:hi]] = n[lo:hi]
-            self.rows[a : a + len(part)] = stored_odds(seen @ code.passes[0], seen @ code.passes[1])
-        self.flat = self.rows.ravel()
+            rows[a : a + len(part)] = stored_odds(seen @ code.passes[0], seen @ code.passes[1])
+        self.flat = (rows >> 2).ravel()
         self.two = self._row(np.arange(1 << 16) | _TWO)
         # rows of three-byte contexts: a page for each last two bytes that have any, by the byte before
         three = self.known[self.known < _TWO]
@@ -462,9 +536,29 @@ class Model:
             b = min(a + RUN_BYTES, len(symbols))
             yield row, symbols[a:b], along[ends[a - 1] if a else 0 : ends[b - 1]]
 
-    def prepared(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
-        """Inputs of all decisions towards the one taken, bytes in order of their place in their segment: (inputs, gate and
-        segment and span of each byte, first decision of each byte, first byte of each place).
+    def counted(self, lead: np.ndarray, symbol: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np.ndarray, guess: np.ndarray | None = None, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of the decisions along bytes that stand n times behind three others, and how often each occurs. zeros and ones
+        count the ways behind the word so far; one occurrence is taken out of them.
+        """
+        byte, way = self.code.decisions(symbol)
+        node, one = self.code.node[way], self.code.bit[way] == 1
+        sign = np.where(one, 1, -1)
+        odds = stored_odds((zeros - ~one).clip(0), (ones - one).clip(0))
+        root = np.cumsum(self.code.length[symbol]) - self.code.length[symbol]
+        gate = (odds[root].astype(np.int32) & 3) << 2
+        two = lead[1] << 8 | lead[2]
+        row2, row3 = self.two[two], self.three[self.page[two], lead[0]]
+        x2, x3 = (self.flat.take((row[byte].astype(np.int64) << 8) + node) * sign for row in (row2, row3))
+        repeat = np.zeros(len(byte), np.int32)
+        if state is not None:
+            gate = gate + state.astype(np.int32)
+            repeat = np.where(state[byte] > 0, self.code.way.take((guess[byte] << 8) + node) * sign, 0).astype(np.int32)
+        return _summed(cells(gate[byte], x2, x3, (odds >> 2) * sign, repeat), n[byte])
+
+    def prepared(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple:
+        """Bytes in order of their place in their segment, those of longer codes first: (gate and segment of each, first byte of each
+        place, and for each part of the codes: inputs of its decisions towards the one taken, whether there is one, span of
+        each byte, first byte of each place).
         """
         code = self.code
         lead = np.full(REPEAT, 10, np.uint8)
@@ -474,99 +568,110 @@ class Model:
         span = np.repeat(np.arange(len(spans), dtype=np.int32), sizes)
         place = np.arange(len(span)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = np.arange(len(span)) + (span + 1) * REPEAT
+        guess, state = repeats(text, at, span)
         symbol = text[at]
-        two = text[at - 2].astype(np.int64) << 8 | text[at - 1]
+        two = text[at - 2].astype(np.int32) << 8 | text[at - 1]
         row2, row3 = self.two[two], self.three[self.page[two], text[at - 3]]
-        # what followed when the last bytes stood in this span before
-        key = _mixed(span.astype(np.uint64) + np.uint64(1))
-        for k in range(1, REPEAT + 1):
-            key = (key ^ _SYMBOLS[text[at - k]]) * _M
-        # places in the low bits: sorting values is faster than sorting places by values
-        low = np.uint64((1 << max(len(key) - 1, 1).bit_length()) - 1)
-        key = np.sort(key & ~low | np.arange(len(key), dtype=np.uint64))
-        order, key = (key & low).astype(np.int64), key & ~low
-        same = key[1:] == key[:-1]
-        before = np.full(len(key), -1)
-        before[order[1:][same]] = order[:-1][same]
-        guess, found = symbol[before], before >= 0
-        index = np.arange(len(key))
-        missed = np.maximum.accumulate(np.where(found & (guess == symbol), -1, index))
-        held = np.r_[0, (index - missed)[:-1]]
-        repeat = np.where(found, 1 + np.searchsorted(HELD, held, "right"), 0)
-        # bytes in order of place
-        segment = np.cumsum(place % SEGMENT == 0) - 1
-        ahead = np.cumsum(code.length[symbol]) - code.length[symbol]
-        order = np.argsort((place % SEGMENT).astype(np.int16), kind="stable")
-        symbol, ahead, guess, repeat = symbol[order], ahead[order], guess[order], repeat[order]
-        gate = ((along[ahead] & 3) << 2) + repeat
         n = code.length[symbol]
-        of, way = code.decisions(symbol)
-        node, sign = code.node[way], (code.bit[way] * 2 - 1).astype(np.int8)
-        inputs = np.empty((len(of), 4), np.int8)
-        for i, row in ((0, row2), (1, row3)):
-            np.multiply(self.flat.take(np.repeat((row[order] << 8).astype(np.int32), n) + node) >> 2, sign, out=inputs[:, i])
-        inputs[:, 2] = along.take(np.repeat((ahead - code.start[symbol]).astype(np.int32), n) + way) >> 2
-        guessed = np.where(repeat > 0, guess.astype(np.int32) << 8, -1)
-        some = np.flatnonzero(np.repeat(guessed >= 0, n))
-        inputs[:, 3] = 0
-        inputs[some, 3] = REPEAT_ODDS * code.way.take(guessed[of[some]] + node[some]) * sign[some]
-        steps = np.searchsorted((place % SEGMENT)[order], np.arange((place % SEGMENT).max() + 2))
-        return inputs, gate, segment[order], span[order], np.cumsum(np.r_[0, n]), steps
+        ahead = np.cumsum(n) - n
+        step = (place % SEGMENT).astype(np.int16)
+        segment = np.cumsum(step == 0) - 1
+        ends = [*(p for p in PARTS if p < len(code.node_at)), len(code.node_at)]
+        part = np.searchsorted(ends, n).astype(np.int16)
+        order = np.argsort(step * np.int16(len(ends)) + (np.int16(len(ends) - 1) - part), kind="stable")
+        step, places = step[order], np.arange(int(step.max()) + 2)
+        gate = (((along[ahead] & 3) << 2) + state)[order]
+        rows = [row.astype(np.int64)[order] << 8 for row in (row2, row3)]
+        symbol, ahead, part, own_span = symbol[order].astype(np.int64), ahead[order], part[order], span[order]
+        guessed = np.where(state > 0, guess.astype(np.int64) << 8, -1)[order]
+        along = along >> 2
+        parts, start = [], 0
+        for i, end in enumerate(ends):
+            own = np.flatnonzero(part >= i) if i else slice(None)
+            s, a, g, (r2, r3) = symbol[own], ahead[own], guessed[own], (r[own] for r in rows)
+            some = np.flatnonzero(g >= 0)
+            there = np.empty((end - start, len(s)), bool)
+            inputs = np.zeros((4, end - start, len(s)), np.int8)
+            node, sign, to = np.empty(len(s), np.int64), np.empty(len(s), np.int8), np.empty(len(s), np.int64)
+            for d in range(start, end):
+                two, three, word, repeat = inputs[:, d - start]
+                # clipping spares a check and a copy: all places are in their tables, but for word log-odds behind the last decision
+                code.node_at[d].take(s, out=node, mode="clip")
+                code.sign_at[d].take(s, out=sign, mode="clip")
+                np.not_equal(sign, 0, out=there[d - start])
+                for row, out in ((r2, two), (r3, three)):
+                    self.flat.take(np.add(row, node, out=to), out=out, mode="clip")
+                    np.multiply(out, sign, out=out)
+                along.take(np.add(a, d, out=to), out=word, mode="clip")
+                np.multiply(word, there[d - start], out=word)
+                repeat[some] = REPEAT_ODDS * code.way.take(g[some] + node[some]) * sign[some]
+            parts.append((inputs, there, own_span[own], np.searchsorted(step[own], places).tolist()))
+            start = end
+        return gate, segment[order], np.searchsorted(step, places).tolist(), parts
 
     def scores(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
         """log10 probability of each span."""
-        inputs, gate, segment, span, first, steps = self.prepared(spans)
-        n = np.diff(first)
-        moved = np.zeros(((int(segment.max()) + 1) * GATES, 4), np.float32)  # what each segment adds to the weights of a gate
-        own = segment * GATES + gate
+        gate, segment, steps, parts = self.prepared(spans)
         unit = np.float32(UNIT)
-        start = (self.weights * unit)[gate]
-        nats = np.empty(len(inputs), np.float32)
+        weights = np.tile(self.weights.T * unit, int(segment.max()) + 1)  # those of each gate in each segment
+        own = segment * GATES + gate
         rate = np.float32(RATE) * unit * unit  # inputs and weights are in units of the stored log-odds
-        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
-            lo, hi = first[a], first[b]
-            x, which = inputs[lo:hi].astype(np.float32), own[a:b]
-            weights = moved.take(which, 0)
-            m = np.einsum("ij,ij->i", x, np.repeat(start[a:b] + weights, n[a:b], 0))
-            np.clip(m, -30, 30, out=m)
-            nats[lo:hi] = m
-            np.exp(m, out=m)
-            m += 1
-            np.divide(rate, m, out=m)  # how far the decision taken was from certain
-            moved[which] = weights + np.add.reduceat(x * m[:, None], first[a:b] - lo, 0)
-        np.negative(nats, out=nats)
-        np.exp(nats, out=nats)
-        nats += 1
-        np.log(nats, out=nats)
-        nats = np.add.reduceat(nats, first[:-1], dtype=np.float64)
-        return -np.bincount(span, nats, len(spans)) / math.log(10)
-
-    def fit(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        """Sets the starting weights: logistic regression for each gate, by Newton steps."""
-        if not spans:
-            return
-        inputs, gate, _, _, first, _ = self.prepared(spans)
-        gate = np.repeat(gate, np.diff(first))
-        prior = np.array(PRIOR)
-        for g in range(GATES):
-            x, w = inputs[gate == g] * UNIT, prior.copy()
+        nats = [np.empty(x.shape[2], np.float32) for x, *_ in parts]
+        some = max(1, TOGETHER * (len(steps) - 1) // len(own))
+        for first in range(0, len(steps) - 1, some):
+            until = min(first + some, len(steps) - 1)
+            # the inputs of a few places at once, so that they lie close together
+            held = [(x[:, :, t[first] : t[until]].astype(np.float32), np.empty((x.shape[1], t[until] - t[first]), np.float32), t) for x, _, _, t in parts]
+            for i in range(first, until):
+                which = own[steps[i] : steps[i + 1]]
+                w = weights.take(which, 1)
+                moved = w.copy()
+                for inputs, out, t in held:
+                    lo, hi = t[i] - t[first], t[i + 1] - t[first]
+                    if lo == hi:
+                        break
+                    x = inputs[:, :, lo:hi]
+                    m = np.add.reduce(x * w[:, None, : hi - lo], 0)
+                    np.maximum(m, -30, out=m)
+                    np.minimum(m, 30, out=m)
+                    out[:, lo:hi] = m
+                    np.exp(m, out=m)
+                    m += 1
+                    np.divide(rate, m, out=m)  # how far the decision taken was from certain
+                    moved[:, : hi - lo] += np.add.reduce(x * m, 1)
+                weights[:, which] = moved
+            for (_, out, t), (_, there, _, _), found in zip(held, parts, nats, strict=True):
+                np.negative(out, out=out)
+                np.exp(out, out=out)
+                out += 1
+                np.log(out, out=out)
+                out *= there[:, t[first] : t[until]]
+                np.add.reduce(out, 0, out=found[t[first] : t[until]])
+        return -sum(np.bincount(span, n, len(spans)) for (_, _, span, _), n in zip(parts, nats, strict=True)) / math.log(10)
+
+    def fit(self, cell: np.ndarray, n: np.ndarray) -> None:
+        """Sets the starting weights: logistic regression for each gate over counted cells, by Newton steps. Gates without repeats come first; what
+        the others are drawn to are their weights, and for repeats the weight where the word so far is known best.
+        """
+        values = np.stack([(cell >> 14 & 63) - 32, (cell >> 8 & 63) - 32, (cell >> 2 & 63) - 32, ((cell & 3) - 1) * REPEAT_ODDS], 1) * UNIT
+        for g in sorted(range(GATES), key=lambda g: (g & 3 > 0, -g)):
+            prior = np.array(PRIOR)
+            if g & 3:
+                prior[:3] = self.weights[g & ~3, :3]
+                if g >> 2 < 3:
+                    prior[3] = self.weights[12 | g & 3, 3]
+            own = cell >> 20 == g
+            x, many, w = values[own], n[own], prior.copy()
             for _ in range(20):
                 miss = 1 / (1 + np.exp(np.clip(x @ w, -30, 30)))
-                curve = (x * (miss * (1 - miss))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(4)
-                step = np.linalg.solve(curve, x.T @ miss - PRIOR_STRENGTH * (w - prior))
+                curve = (x * (many * miss * (1 - miss))[:, None]).T @ x + PRIOR_STRENGTH * np.eye(4)
+                step = np.linalg.solve(curve, x.T @ (many * miss) - PRIOR_STRENGTH * (w - prior))
                 w += step
                 if np.abs(step).max() < 1e-6:
                     break
             self.weights[g] = w
 
 
-def _sample(docs: DataFrame) -> list[bytes]:
-    """Passages of SAMPLE training documents at most."""
-    least = docs.where(common.held() != 1).where(F.length("text") > 0).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE)
-    start = F.expr(f"1 + pmod(h, greatest(length(text) - {SAMPLE_CHARS}, 1))").cast("int")
-    return [raw_bytes(r["t"]) for r in least.select(F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("t")).collect()]
-
-
 def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame, int, int]:
     """The model, all documents in chunks, the first word of each block, the blocks with their words' counts and log-odds, and how
     many training tokens there are, in all and distinct.
@@ -577,8 +682,12 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame, int,
     is_bytes = F.substring("word", 1, 1) == F.lit(b" ")
     words = everything.where(~is_bytes)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    quads = everything.where(is_bytes).select(F.conv(F.hex(F.substring("word", 2, 4)), 16, 10).cast("long").alias("quad"), "n")
-    quads = quads.select(F.shiftright("quad", 8).alias("three"), (F.shiftright("quad", 8).bitwiseAND(F.lit(0xFFFF)) + F.lit(_TWO)).alias("two"), F.col("quad").bitwiseAND(F.lit(255)).cast("int").alias("symbol"), "n")
+    quads = everything.where(is_bytes).select(F.conv(F.hex(F.substring("word", 2, 6)), 16, 10).cast("long").alias("told"), "n")
+    byte = lambda k: f"(shiftright(told, {8 * k}) & 255)"
+    # the word so far, where it has less than three bytes
+    prefix = F.expr(f"CASE WHEN {byte(1)} IN (32, 10) THEN 0 WHEN {byte(2)} IN (32, 10) THEN 65536 + {byte(1)} WHEN {byte(3)} IN (32, 10) THEN 131072 + {byte(2)} * 256 + {byte(1)} END")
+    early = quads.select("told", "n", prefix.alias("prefix"), F.expr(f"cast({byte(0)} AS int)").alias("symbol")).where("prefix IS NOT NULL")
+    quads = quads.select(F.expr("shiftright(told, 8) & 16777215").alias("three"), (F.expr("shiftright(told, 8) & 65535") + F.lit(_TWO)).alias("two"), F.expr(f"cast({byte(0)} AS int)").alias("symbol"), "n")
     seen = np.zeros(256, np.int64)
     for r in quads.groupBy("symbol").agg(F.sum("n").alias("n")).collect():  # 256 rows at most
         seen[r["symbol"]] = r["n"]
@@ -588,21 +697,21 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame, int,
     kept = both.groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("symbol", "n")).alias("s")).where(F.col("all") * F.lit(SHARE) >= F.lit(int(seen.sum())))
     contexts = kept.select("context", F.explode("s").alias("s")).select("context", "s.symbol", "s.n").toArrow()
     model = Model(code, *(contexts.column(c).to_numpy() for c in ("context", "symbol", "n")))
-    passages = [p.split() for p in _sample(docs)]
-    own = Counter(w for p in passages for w in p)
+    before = early.groupBy("prefix", "symbol").agg(F.sum("n").alias("n")).toArrow()  # three bytes at most, so 2^24 rows at most
+    first_cells = early.select("told", "n", "prefix").mapInArrow(_early(model, *(before.column(c).to_numpy() for c in ("prefix", "symbol", "n"))), "cell int, many long")
     placed = words.withColumn("key", _sort_key()).repartitionByRange("key").sortWithinPartitions("key").drop("key")
     blocks = placed.mapInArrow(_key_blocks(BLOCK_KEYS, BLOCK_BYTES), "first binary, word array<binary>, n array<long>")
     blocks = common.written(blocks.withColumn("block", F.monotonically_increasing_id()), "word-blocks")
-    edges = common.written(blocks.mapInArrow(_edges(own), "block long, context long, symbol int, n long, own long"), "edges")
-    summed = edges.groupBy("context", "symbol").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    edges = common.written(blocks.mapInArrow(_edges, "block long, context long, symbol int, n long"), "edges")
+    summed = edges.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
     # of two words a block: 2 * WORD_BYTES contexts at most
-    shared = edges.select("block", "context").distinct().join(summed, "context").groupBy("block").agg(F.collect_list(F.struct("context", "symbol", "n", "own")).alias("shared"))
+    shared = edges.select("block", "context").distinct().join(summed, "context").groupBy("block").agg(F.collect_list(F.struct("context", "symbol", "n")).alias("shared"))
     with_shared = blocks.join(shared, "block").select("block", "word", "n", "shared").repartition(F.col("block"))
-    odds = common.written(with_shared.mapInArrow(_block_odds(code, own), "block long, word array<binary>, n array<long>, odds array<binary>, spared array<binary>"), "word-odds")
-    each = odds.select(F.explode(F.arrays_zip("word", "spared")).alias("w")).where("w.spared IS NOT NULL")
-    spared = {bytes(r["w"]["word"]): padded(code, bytes(r["w"]["word"]), bytes(r["w"]["spared"])) for r in each.collect()}  # words of the sample
-    model.fit([s for i, p in enumerate(passages) if (ws := [w for w in p if w in spared]) for s in model.spans(i, ws, False, spared)])
-    return model, chunked, blocks.select("block", "first"), odds.drop("spared"), total["n"], total["v"]
+    odds = common.written(with_shared.mapInArrow(_block_odds(model), "block long, word array<binary>, n array<long>, odds array<binary>, cell array<int>, many array<long>"), "word-odds")
+    deep_cells = odds.select(F.explode(F.arrays_zip("cell", "many")).alias("c")).select("c.cell", "c.many")
+    known = first_cells.unionByName(deep_cells).groupBy("cell").agg(F.sum("many").alias("many")).toArrow()  # 63^3 a gate at most, thrice that with repeats
+    model.fit(*(known.column(c).to_numpy() for c in ("cell", "many")))
+    return model, chunked, blocks.select("block", "first"), odds.drop("cell", "many"), total["n"], total["v"]
 
 
 def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -612,6 +721,7 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, counts, odds in _together(model.code, batches):
             logs = {w: math.log10(n + 0.5) - bottom for w, n in counts.items()}
+            unknown = {w for w, n in counts.items() if not n}
             rows, held, size, found = [], [], 0, np.zeros(len(runs))
 
             def mix() -> None:
@@ -621,7 +731,7 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
             for i, (row, doc_id, out, last, text) in enumerate(runs):
                 words = text.split()
                 tokens = [*words, END] if last else words
-                rows.append((row, doc_id, out, len(tokens), sum(1 for w in tokens if counts[w]), len(text), math.fsum([logs[w] for w in tokens])))
+                rows.append((row, doc_id, out, len(tokens), len(tokens) - sum(map(unknown.__contains__, tokens)), len(text), math.fsum(map(logs.__getitem__, tokens))))
                 for span in model.spans(i, words, last, odds):
                     if held and size + len(span[1]) > MIX_BYTES:
                         mix()

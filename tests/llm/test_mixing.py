@@ -214,3 +214,38 @@ def test_contexts_share_no_counts(spark, monkeypatch):
         steps = [plain.odds(plain.word.get(whole[:i], {}), n, b) for i in range(len(whole)) for n, b in plain.path(whole[i])]
         assert ((values >> 2) * mixing.UNIT).tolist() == [o for o, _ in steps]
         assert (values & 3).tolist() == [k for _, k in steps]
+
+
+def test_starting_weights_come_from_all_training_documents(spark):
+    """128 of them fixed the weights before, so most could say what they liked."""
+    texts = [prose(s, 40, 60) for s in range(400)]
+    weights = mixing.learn(table(spark, texts))[0].weights
+    for gone in [i for i in range(400) if FOLD[i] != 1][5::150]:
+        other = mixing.learn(table(spark, [t if i != gone else "q" * 900 + " " + "zx" * 700 for i, t in enumerate(texts)]))[0].weights
+        assert np.abs(weights - other).max() > 1e-6
+
+
+def test_cells_count_each_decision_of_the_training_documents(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(mixing.Model, "fit", lambda self, cell, n: found.append((cell, n)))
+    monkeypatch.setattr(mixing, "BLOCK_KEYS", 7)
+    texts = [*odd_texts(), *[prose(s, 40, 60) for s in range(30)], prose(5, 30, 9) * 12]
+    code = mixing.learn(table(spark, texts))[0].code
+    cell, n = found[0]
+    own = [spelled(t) for f, t in zip(FOLD, texts) if f != 1]
+    positions = [(b, word_so_far(s, i)) for s in own for i, b in enumerate(s)]
+    assert n.sum() == sum(int(code.length[b]) for b, so_far in positions if so_far is not None)
+    assert n[cell >> 20 & 3 > 0].sum() > 0  # repeats
+
+
+def test_repeats_compare_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(97, 100, n).astype(np.uint8) for n in (1, 50, 900, 300)]
+    lead = np.full(mixing.REPEAT, 10, np.uint8)
+    text, span = np.concatenate([x for r in runs for x in (lead, r)]), np.repeat(np.arange(4), [len(r) for r in runs])
+    at = np.arange(len(span)) + (span + 1) * mixing.REPEAT
+    want = mixing.repeats(text, at, span)
+    assert (want[1] > 0).sum() > 300
+    monkeypatch.setattr(mixing, "_mixed", lambda x: x & np.uint64(0x7 << 60))  # nearly all contexts share a key
+    got = mixing.repeats(text, at, span)
+    assert (got[1] == want[1]).all() and (got[0] == want[0])[want[1] > 0].all()
