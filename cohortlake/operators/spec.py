@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the patient-side types of the FHIR R4 patient compartment; sources.readers.compartment reads others.
@@ -34,18 +34,14 @@ def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, ele
     groups: spec_id, group_id, profile_url, type. attributes: spec_id, group_id, attribute_ref, must_have, linked_groups.
     filters: spec_id, group_id, kind. elements: profile_url, element_id, types.
     """
-    known = elements.select("profile_url").distinct()
-    with_profile = attributes.join(groups.select("spec_id", "group_id", "profile_url"), ["spec_id", "group_id"])
-    typed = elements.where(F.size("types") > 0).select("profile_url", F.col("element_id").alias("attribute_ref"), "types")
+    side = F.when(F.col("element_id").rlike(r"^[^.]+[.](patient|subject)$"), F.col("element_id"))
+    per_profile = elements.groupBy("profile_url").agg(F.collect_set(side).alias("sides"))
+    told = groups.join(per_profile, "profile_url", "left")
     linked = attributes.select("spec_id", "group_id", "attribute_ref", F.explode("linked_groups").alias("linked"))
-    standard = standard_attributes(groups, elements, patient_types).select("spec_id", "group_id", "attribute_ref").distinct()
     found = [
-        _rows(groups.join(known, "profile_url", "left_anti"), "unknown_profile"),
+        _rows(told.where("sides IS NULL"), "unknown_profile"),
         _rows(groups.groupBy("spec_id").agg(F.count_if(F.col("type") == "Patient").alias("n")).where("n <> 1"), "one_patient_group", None),
-        _rows(attributes.groupBy("spec_id", "group_id", "attribute_ref").count().where("count > 1"), "duplicate_attribute", attribute="attribute_ref"),
-        _rows(attributes.where("must_have").join(standard, ["spec_id", "group_id", "attribute_ref"], "left_semi"), "standard_must_have", attribute="attribute_ref"),
-        _rows(with_profile.join(known, "profile_url", "left_semi").join(typed, ["profile_url", "attribute_ref"], "left_anti"), "unknown_attribute", attribute="attribute_ref"),
-        _rows(with_profile.join(typed, ["profile_url", "attribute_ref"]).where((F.size("types") == 1) & F.array_contains("types", "Reference") & (F.coalesce(F.size("linked_groups"), F.lit(0)) <= 0)), "reference_without_link", attribute="attribute_ref"),
+        _of_attributes(told, attributes, elements, patient_types),
         _rows(linked.join(groups.select("spec_id", F.col("group_id").alias("linked")), ["spec_id", "linked"], "left_anti"), "undefined_link", attribute="attribute_ref"),
         _rows(filters.where("kind = 'date'").groupBy("spec_id", "group_id").count().where("count > 1"), "two_date_filters"),
         _rows(groups.where(~F.col("type").isin(list(domain_types))), "not_a_domain_resource"),
@@ -56,6 +52,32 @@ def violations(groups: DataFrame, attributes: DataFrame, filters: DataFrame, ele
     return out
 
 
+def _of_attributes(told: DataFrame, attributes: DataFrame, elements: DataFrame, patient_types: Sequence[str]) -> DataFrame:
+    """The rules about single attributes: these move once to their groups. told is groups with `sides`, the elements of a known profile that
+    may be standard attributes.
+    """
+    name = lambda n: F.concat("type", F.lit(f".{n}"))
+    own_side = F.filter("sides", lambda x: F.col("type").isin(list(patient_types)) & x.isin(name("patient"), name("subject")))
+    standard = F.concat(F.array(name("id"), name("meta.profile")), F.coalesce(own_side, F.array().cast("array<string>")))
+    entry = F.struct("profile_url", F.col("sides").isNotNull().alias("known"), standard.alias("standard"))
+    named = told.groupBy("spec_id", "group_id").agg(F.collect_list(entry).alias("own"))  # a group of a spec has one row, but for faults
+    key = ["spec_id", "group_id"]
+    bare = F.coalesce(F.size("linked_groups"), F.lit(0)) <= 0
+    rows = attributes.select(*key, "attribute_ref", "must_have", bare.alias("bare")).join(named, key, "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key, "attribute_ref").orderBy(F.lit(1))))
+    event = lambda rule, url=None: F.struct(F.lit(rule).alias("rule"), (F.lit(None).cast("string") if url is None else url).alias("profile_url"))
+    is_standard = F.col("must_have") & F.exists("own", lambda e: F.array_contains(e["standard"], F.col("attribute_ref")))
+    single = F.array_compact(F.array(F.when(F.col("copy") == 2, event("duplicate_attribute")), F.when(is_standard, event("standard_must_have"))))
+    asked = F.transform(F.filter("own", lambda e: e["known"]), lambda e: event("element", e["profile_url"]))
+    kind = "array<struct<rule: string, profile_url: string>>"
+    each = rows.select(*key, "attribute_ref", "bare", F.explode(F.concat(single.cast(kind), F.coalesce(asked.cast(kind), F.array().cast(kind)))).alias("e")).select(*key, "attribute_ref", "bare", "e.*")
+    typed = elements.where(F.size("types") > 0).groupBy("profile_url", F.col("element_id").alias("attribute_ref")).agg(F.collect_list("types").alias("kinds"))
+    only = F.filter("kinds", lambda t: (F.size(t) == 1) & F.array_contains(t, "Reference") & F.col("bare"))
+    rule = F.when(F.col("rule") != "element", F.array("rule")).when(F.col("kinds").isNull(), F.array(F.lit("unknown_attribute"))).otherwise(F.transform(only, lambda _: F.lit("reference_without_link")))
+    judged = each.join(typed, ["profile_url", "attribute_ref"], "left").select(*key, "attribute_ref", F.explode(rule).alias("rule"))
+    return judged.select("spec_id", F.col("group_id").cast("string").alias("group_id"), F.col("attribute_ref").cast("string").alias("attribute_ref"), "rule")
+
+
 def standard_attributes(groups: DataFrame, elements: DataFrame, patient_types: Sequence[str] = PATIENT_TYPES) -> DataFrame:
     """spec_id, group_id, attribute_ref, linked of what every group gets by itself: id, meta.profile, and for patient-side types
     those of `patient` and `subject` that the group's profile has, linked to the spec's patient group.
