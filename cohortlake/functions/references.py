@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def parse_reference(ref: Column) -> Column:
     """STRUCT<type, id> of a relative reference `Type/id`; NULL for absolute, urn, blank or malformed ones."""
-    kind, ident = F.regexp_extract(ref, r"^([^/]+)/([^/]+)$", 1), F.regexp_extract(ref, r"^([^/]+)/([^/]+)$", 2)
-    bad = ref.contains("://") | ref.startswith("urn:") | (F.trim(kind) == "") | (F.trim(ident) == "")
+    kind, ident = F.substring_index(ref, "/", 1), F.substring_index(ref, "/", -1)
+    apart = F.length(kind) + F.length(ident) + 1 == F.length(ref)  # by one slash, and no other
+    bad = ~apart | ref.startswith("urn:") | (F.trim(kind) == "") | (F.trim(ident) == "")
     return F.when(ref.isNotNull() & ~bad, F.struct(kind.alias("type"), ident.alias("id")))
 
 

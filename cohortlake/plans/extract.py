@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cohortlake.functions import paths
 from cohortlake.operators import cascade, codes, consent, load, redact, report, resolve, spec
-from cohortlake.plans.lineage import cut
+from cohortlake.plans.lineage import cut, sized
 
 
 @dataclass(frozen=True)
@@ -99,11 +99,19 @@ def _loaded(resources: DataFrame, groups: Sequence[Group], shapes: Mapping[str,
     """KEYS, valid, the first violated attribute and reference_only of all resources of all groups: one scan, in which each resource finds its groups."""
     found = []
     for g in groups:
-        state, first = load.must_have(F.lit(True), _present(g, shapes, profiles))
-        row = F.struct(F.lit(g.group_id).alias("group_id"), (state != "violated").alias("valid"), first.alias("attribute_ref"), F.lit(g.reference_only).alias("reference_only"))
+        _, first = load.must_have(F.lit(True), _present(g, shapes, profiles))
+        row = F.struct(F.lit(g.group_id).alias("group_id"), first.alias("attribute_ref"), F.lit(g.reference_only).alias("reference_only"))
         found.append(F.when(load.group_predicate(g.resource_type, g.profile, codes.get(g.group_id, g.codes), g.low, g.high), row))
     own = resources.where(F.col("resource_type").isin(sorted({g.resource_type for g in groups})))
-    return own.select("patient_id", F.col("resource_type").alias("type"), "id", F.explode(F.array_compact(F.array(*found))).alias("g")).select("patient_id", "type", "id", "g.*")
+    # outer: an inner explode would be preceded by filters that work out the whole array again, bodies and all
+    each = own.select("patient_id", F.col("resource_type").alias("type"), "id", F.explode_outer(F.array_compact(F.array(*found))).alias("g"))
+    return each.where("g IS NOT NULL").select("patient_id", "type", "id", "g.group_id", F.col("g.attribute_ref").isNull().alias("valid"), "g.attribute_ref", "g.reference_only")
+
+
+def _of_people(rows: DataFrame, people: DataFrame, core: Column | None = None) -> DataFrame:
+    """rows of people (written), and those of nobody (that meet `core`): apart, as a join would bring all of these to one task."""
+    nobody = F.col("patient_id").isNull()
+    return rows.join(sized(people), "patient_id", "left_semi").unionByName(rows.where(nobody if core is None else core & nobody))
 
 
 def _widened(groups: Sequence[Group], tree: DataFrame | None) -> dict[str, list[tuple[str, str]]]:
@@ -141,7 +149,8 @@ def _required(cohort: DataFrame, references: DataFrame, groups: Sequence[Group],
     An attribute is required by the group's own word, or by that of the references out of it.
     """
     spark = cohort.sparkSession
-    told = {r["group_id"] for r in references.where("must_have").select("group_id").distinct().collect()}  # a row a group
+    open_ = [g.group_id for g in groups if not (g.must_have or g.required_refs or g.reference_only)]  # only these need to be looked up
+    told = {r["group_id"] for r in references.where(F.col("must_have") & F.col("group_id").isin(open_)).select("group_id").distinct().collect()} if open_ else set()  # a row a group
     table = spark.createDataFrame([(g.group_id, g.resource_type, g.reference_only) for g in groups if g.must_have or g.required_refs or g.group_id in told], "group_id string, type string, reference_only boolean")
     roles = {r["group_id"]: r["role"] for r in spec.split_groups(table, spark.createDataFrame([(t,) for t in patient_types], "type string")).collect()}  # a row a group
     patient, core = ([g.group_id for g in groups if roles.get(g.group_id) == role] for role in ("direct_patient", "direct_core"))
@@ -165,19 +174,24 @@ def extract(
     under the linked group's filters), RESOURCE_OUTSIDE_BATCH (it is another patient's, or a core record refers to a
     patient's) and CASCADING_DELETE.
     """
-    people = cohort.select("patient_id").distinct()
+    people = cut(cohort.select("patient_id").distinct(), "cohort")
     lost = people.limit(0).select("patient_id", F.lit("").alias("stage"))
     if windows is not None:
-        kept = people.join(windows.select("patient_id").distinct(), "patient_id", "left_semi")
+        windows = cut(windows, "windows")
+        kept = cut(people.join(windows.select("patient_id").distinct(), "patient_id", "left_semi"), "consenting")
         lost = lost.union(people.join(kept, "patient_id", "left_anti").select("patient_id", F.lit("CONSENT_FETCH")))
         people = kept
+    required, required_core = _required(cohort, references, groups, patient_types)
     resources = load.without_copies(resources, copy_order)
-    loaded = _without_references(_loaded(resources, groups, shapes, profiles or {}, _widened(groups, code_tree)), references, groups)
-    loaded = loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL"))
+    found = cut(_loaded(resources, groups, shapes, profiles or {}, _widened(groups, code_tree)), "found")  # bodies are read once
+    core = [r["group_id"] for r in found.where("patient_id IS NULL").select("group_id").distinct().collect()]  # a row a group
+    references = cut(_of_people(references, people, F.col("group_id").isin(core)), "own-references")
+    loaded = _without_references(_of_people(found, people), references, groups)
     identity = F.concat_ws("/", "type", "id")
     excluded = []
     if windows is not None:
-        side = resources.where("patient_id IS NOT NULL")
+        dated = [c for c in ("periods", "period_start", "period_end") if c in resources.columns]
+        side = resources.select("patient_id", "resource_type", "id", *dated).join(sized(people), "patient_id", "left_semi")
         allowed = consent.consented_by_type(side, windows, dict(date_fields)).select("patient_id", F.col("resource_type").alias("type"), "id").distinct().withColumn("__ok", F.lit(True))
         marked = cut(loaded.join(allowed, ["patient_id", "type", "id"], "left"), "consented")
         excluded.append(_events(marked.where("patient_id IS NOT NULL AND __ok IS NULL AND NOT reference_only").withColumn("attribute_ref", F.lit(None)), "CONSENT", identity))
@@ -186,7 +200,6 @@ def extract(
     else:
         unconsented = None
     loaded = cut(loaded, "loaded")
-    required, required_core = _required(cohort, references, groups, patient_types)
     if required_core:
         load.require_core(loaded.where("patient_id IS NULL").withColumn("fulfilled", F.col("valid")), required_core)
     kept = load.survivors(people, loaded.withColumn("fulfilled", F.col("valid")), required)
@@ -194,7 +207,7 @@ def extract(
     people = cut(kept, "survivors")
     excluded.append(_events(loaded.where("NOT valid AND NOT reference_only"), "MUST_HAVE", identity))
 
-    own = loaded.join(people, "patient_id", "left_semi").unionByName(loaded.where("patient_id IS NULL"))
+    own = cut(_of_people(loaded, people), "own")
     seeds = own.where("valid AND NOT reference_only")
     reached = resolve.closure(seeds, references, own.select("type", "id", "patient_id", "group_id", "valid"))
     node = F.concat_ws("|", F.coalesce(F.col("patient_id").cast("string"), F.lit("")), "type", "id", "group_id")
@@ -271,7 +284,7 @@ def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Se
         return bare, bare.limit(0)
     refs = resolve.allowed_references(links)
     same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("patient_id", "type", "id")]
-    keyed = keys.alias("k").join(refs.alias("r"), same, "left").select("k.*", "r.refs")
+    keyed = cut(keys.alias("k").join(refs.alias("r"), same, "left").select("k.*", "r.refs"), "keyed")
     out = None
     for kind in dict.fromkeys(g.resource_type for g in groups):
         own = [g for g in groups if g.resource_type == kind]
@@ -287,11 +300,13 @@ def _bodies(resources: DataFrame, final: DataFrame, links: DataFrame, groups: Se
             extra = F.create_map(*(x for a in side for x in (F.lit(a), self_ref)))
             have = F.coalesce("refs", F.create_map().cast("map<string,array<string>>"))
             mine = mine.withColumn("refs", F.map_concat(F.map_filter(have, lambda k, _: ~k.isin(side)), extra))
-        body = resources.where(F.col("resource_type") == kind).select(F.col("patient_id").alias("__p"), "id", F.from_json("body", shapes[kind]).alias("body"))
+        body = resources.where(F.col("resource_type") == kind).select(F.col("patient_id").alias("__p"), "id", "body")
         records = mine.join(body, "id").where("__p <=> patient_id").drop("__p")
         if any(redact.asks_targets(t.profile, t.element_ids) for t in taken):
             told = resolve.conformance(resources.where(F.col("resource_type") == kind).join(mine.select("id").distinct(), "id", "left_semi"), resources)
             records = records.join(told.select(F.col("patient_id").alias("__p"), F.col("id").alias("__i"), "conforms"), F.expr("id = __i AND patient_id <=> __p"), "left").drop("__p", "__i")
+        # written as texts: only those that are taken are read as structs, and their sets of groups are found without another join
+        records = cut(records, "taken").withColumn("body", F.from_json("body", shapes[kind]))
         done = redact.copy_and_redact(records, kind, shapes[kind], taken).select("patient_id", F.col("type").alias("resource_type"), "id", "body", "complete")
         out = done if out is None else out.unionByName(done)
     out = cut(out, "redacted")

@@ -1005,7 +1005,7 @@ def extract_request(spark: SparkSession, d: str) -> DataFrame:
     orders, lines, parts = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
     text, struct = (lambda c: F.col(c).cast("string")), (lambda **p: F.struct(*(v.alias(k) for k, v in p.items())))
     ref = lambda kind, c: struct(reference=F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")))
-    bought = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_set("l_partkey")), lambda p: struct(reference=F.concat(F.lit("Medication/"), p.cast("string")))).alias("item"))
+    bought = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.sort_array(F.collect_set("l_partkey")), lambda p: struct(reference=F.concat(F.lit("Medication/"), p.cast("string")))).alias("item"))
     meta = lambda url: struct(profile=F.array(F.lit(url)))
     visit = struct(resourceType=F.lit("Encounter"), id=text("o_orderkey"), meta=meta("p/E|1"), status=F.when(F.col("o_orderstatus") == "F", "F"), subject=ref("Patient", "o_custkey"), priority=F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")), item=F.col("item"), clerk=F.lit("private"))
     person = struct(resourceType=F.lit("Patient"), id=text("c_custkey"), meta=meta("z"), gender=F.col("c_mktsegment"), name=F.col("c_name"))
