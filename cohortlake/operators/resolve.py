@@ -135,14 +135,16 @@ def closure(seeds: DataFrame, references: DataFrame, targets: DataFrame) -> Data
     held = _labelled(targets.where("valid").select("type", "group_id", F.col("id").alias("__id"), F.col("patient_id").alias("dst_patient")), labels, ["type", "group_id"])
     steps = refs.join(held, F.expr("dst = label AND dst_id = __id AND (dst_patient IS NULL OR dst_patient <=> patient_id)"))
     steps = cut(steps.select("patient_id", "src", "src_id", "dst_patient", "dst", "dst_id").distinct(), "reference-steps")
+    leading = [r["src"] for r in steps.select("src").distinct().collect()]  # a row a group; what is of another one is reached, but not followed
     columns = ["patient_id", "label", "id"]
     known = frontier = cut(_labelled(seeds.select("patient_id", "type", "id", "group_id"), labels, ["type", "group_id"], nulls=True).select(*columns).distinct(), "resolved")
     for _ in range(MAX_ROUNDS):
-        near = sized(frontier.toDF(*(f"__{c}" for c in columns)))
+        follow = frontier.where(F.col("label").isin(leading))
+        if follow.isEmpty():
+            return known.join(F.broadcast(labels), "label").select("patient_id", "type", "id", "group_id")
+        near = sized(follow.toDF(*(f"__{c}" for c in columns)))
         found = steps.join(near, F.expr("patient_id <=> __patient_id AND src = __label AND src_id = __id")).select(F.col("dst_patient").alias("patient_id"), F.col("dst").alias("label"), F.col("dst_id").alias("id")).distinct()
         same = [found[c].eqNullSafe(known[c]) for c in columns]
         frontier = cut(found.join(known.hint("merge"), same, "left_anti"), "resolved")
-        if frontier.isEmpty():
-            return known.join(F.broadcast(labels), "label").select("patient_id", "type", "id", "group_id")
         known = known.union(frontier)
     raise RuntimeError(f"references did not settle in {MAX_ROUNDS} rounds")

@@ -47,3 +47,11 @@ def test_windows_and_bodies_are_worked_out_once(spark, written):
     assert {(r["type"], r["id"]) for r in out.groups.collect()} == {("Condition", "c1"), ("Medication", "m1"), ("Medication", "m2")}
     assert [name for name, p in written if "regexp_extract" in p] == ["windows"]
     assert [(name, p.count("get_json_object")) for name, p in written if "get_json_object" in p] == [("found", 1)]
+
+
+def test_what_leads_nowhere_is_not_followed(spark, written):
+    seeds = spark.createDataFrame([(1, "Encounter", "e1", "enc"), (1, "Patient", "1", "pat")], "patient_id int, type string, id string, group_id string")
+    refs = spark.createDataFrame([(1, "Encounter", "e1", "enc", "a", False, "med", "Medication", "m1")], REF)
+    targets = spark.createDataFrame([("Medication", "m1", None, "med", True)], "type string, id string, patient_id int, group_id string, valid boolean")
+    assert {(r["type"], r["id"]) for r in resolve.closure(seeds, refs, targets).collect()} == {("Encounter", "e1"), ("Patient", "1"), ("Medication", "m1")}
+    assert [name for name, _ in written].count("resolved") == 2
