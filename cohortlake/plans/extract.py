@@ -103,7 +103,6 @@ def _loaded(resources: DataFrame, groups: Sequence[Group], shapes: Mapping[str,
         row = F.struct(F.lit(g.group_id).alias("group_id"), first.alias("attribute_ref"), F.lit(g.reference_only).alias("reference_only"))
         found.append(F.when(load.group_predicate(g.resource_type, g.profile, codes.get(g.group_id, g.codes), g.low, g.high), row))
     own = resources.where(F.col("resource_type").isin(sorted({g.resource_type for g in groups})))
-    # outer: an inner explode would be preceded by filters that work out the whole array again, bodies and all
     each = own.select("patient_id", F.col("resource_type").alias("type"), "id", F.explode_outer(F.array_compact(F.array(*found))).alias("g"))
     return each.where("g IS NOT NULL").select("patient_id", "type", "id", "g.group_id", F.col("g.attribute_ref").isNull().alias("valid"), "g.attribute_ref", "g.reference_only")
 

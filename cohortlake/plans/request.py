@@ -111,7 +111,6 @@ def references(resources: DataFrame, links: Sequence[Link], shapes: Mapping[str,
     kind = "struct<group_id: string, attribute_ref: string, must_have: boolean, linked_group: string, linked_type: string, refs: array<string>>"
     rows = resources.where(F.col("resource_type").isin(sorted({x.resource_type for x in links})))
     each = rows.select("patient_id", F.col("resource_type").alias("src_type"), F.col("id").alias("src_id"), F.explode_outer(F.array_compact(F.array(*found)).cast(f"array<{kind}>")).alias("l"))
-    # outer: an inner explode would be preceded by filters that read the bodies again
     named = each.select("patient_id", "src_type", "src_id", "l.*").withColumn("ref", F.explode_outer("refs"))
     parsed = named.withColumn("t", parse_reference(F.col("ref"))).where("t.type = linked_type")
     return parsed.select("patient_id", "src_type", "src_id", "group_id", "attribute_ref", "must_have", "linked_group", F.col("t.type").alias("dst_type"), F.col("t.id").alias("dst_id"))
