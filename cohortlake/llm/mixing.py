@@ -32,8 +32,11 @@ from __future__ import annotations
 import bisect
 import heapq
 import math
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -79,10 +82,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xFF51AFD7ED558CCD)
 _H = np.uint64(32)
 END = b"\n"
-#: Decisions of a byte are mixed in parts that end here (and at the longest code).
-PARTS = (8, 32)
+#: Decisions of a byte are mixed in parts that end here (and at the longest code); none goes on beyond a multiple of eight.
+PARTS = (4, 8, 16, 24, 32, 40, 48)
 #: Bytes whose inputs a task widens at a time.
 TOGETHER = 1 << 13
+#: The four weights of a gate move as one value of this kind.
+_FOUR = np.complex128
 #: Two-byte contexts have this bit set.
 _TWO = 1 << 24
 
@@ -99,6 +104,11 @@ def raw_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def eights(values: np.ndarray) -> np.ndarray:
+    """For each eight columns of bytes and each row: these bytes as one number."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint64).T)
+
+
 class Code:
     """The Huffman code of 256 byte counts: a path of nodes and bits for each byte."""
 
@@ -129,6 +139,9 @@ class Code:
         for s, p in enumerate(paths):
             for d, (n, b) in enumerate(reversed(p)):
                 self.node_at[d, s], self.sign_at[d, s] = n, 2 * b - 1
+        #: Eights of decisions, and for each eight and byte the bits of its decisions there.
+        self.eights = -(-len(self.node_at) // 8)
+        self.kept = eights(-(np.arange(8 * self.eights)[:, None] < self.length).astype(np.int8).T)
 
     def decisions(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each decision along the bytes: the index of its byte and its index in the code."""
@@ -166,29 +179,62 @@ def runs_of(text: str | None) -> Iterator[tuple[bytes, bool]]:
     yield raw[start:] if start else raw, True
 
 
+class Chunk(NamedTuple):
+    """Runs of about CHUNK_BYTES of text: row, doc_id, held_out, last and bytes of each; their distinct words and END in order,
+    and the numbers in `words` of each run's words.
+    """
+
+    runs: list[tuple]
+    words: list[bytes]
+    ids: list[np.ndarray]
+
+    def words_of(self, run: int) -> list[bytes]:
+        return list(map(self.words.__getitem__, self.ids[run].tolist()))
+
+
+#: Columns of a chunk's row.
+_LISTS = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "last": pa.bool_(), "n_bytes": pa.int64(), "n_words": pa.int64()}
+_CHUNK = "row array<long>, doc_id array<long>, held_out array<boolean>, last array<boolean>, n_bytes array<long>, n_words array<long>, words binary, ids binary"
+
+
 def _chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about CHUNK_BYTES of text: lists of row, doc_id, held_out, last and text, an entry a run."""
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "last": pa.bool_(), "text": pa.binary()}
-    rows, size, row = [], 0, TaskContext.get().partitionId() << 33
-    out = lambda: pa.record_batch([pa.array([list(c)], pa.list_(k)) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+    """Rows of about CHUNK_BYTES of text (Chunk), an entry of each list a run. Words are told apart here once for all steps."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    rows, size, row, ids, number = [], 0, TaskContext.get().partitionId() << 33, array("i"), defaultdict(int, {END: 0})
+    number.default_factory = number.__len__
+
+    def out() -> pa.RecordBatch:
+        words = sorted(number, key=sort_key)
+        place = np.empty(len(words), np.int32)
+        place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        lists = [pa.array([list(c)], pa.list_(k)) for c, k in zip(zip(*rows, strict=True), _LISTS.values(), strict=True)]
+        blobs = [pa.array([pack(b)], pa.binary()) for b in (b" ".join(words), place[np.frombuffer(ids, np.int32)].tobytes())]
+        return pa.record_batch([*lists, *blobs], names=[*_LISTS, "words", "ids"])
+
     for batch in common.chunks(batches, limit=CHUNK_BYTES):
         for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
             for run, last in runs_of(text):
                 if rows and size + len(run) > CHUNK_BYTES:
                     yield out()
-                    rows, size = [], 0
-                rows.append((row, doc_id, held, last, run))
+                    rows, size, ids = [], 0, array("i")
+                    number.clear()
+                    number[END] = 0
+                words = run.split()
+                ids.extend(map(number.__getitem__, words))
+                rows.append((row, doc_id, held, last, len(run), len(words)))
                 size += len(run)
             row += 1
     if rows:
         yield out()
 
 
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The runs of each chunk: row, doc_id, held_out, last, text."""
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[Chunk]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for i in range(batch.num_rows):
-            yield list(zip(*(batch.column(c)[i].as_py() for c in ("row", "doc_id", "held_out", "last", "text")), strict=True))
+            *runs, n_words = (batch.column(c)[i].as_py() for c in _LISTS)
+            words, ids = (unpack(batch.column(c)[i].as_py()) for c in ("words", "ids"))
+            yield Chunk(list(zip(*runs, strict=True)), words.split(b" "), np.split(np.frombuffer(ids, np.int32), np.cumsum(n_words)[:-1]))
 
 
 def _coded(words: list[bytes], last: bool) -> bytes:
@@ -219,10 +265,10 @@ def repeats(text: np.ndarray, at: np.ndarray, span: np.ndarray) -> tuple[np.ndar
     before[one] = other
     symbol = text[at]
     guess, found = symbol[before], before >= 0
-    index = np.arange(len(at))
-    missed = np.maximum.accumulate(np.where(found & (guess == symbol), -1, index))
-    held = np.r_[0, (index - missed)[:-1]]
-    return guess, np.where(found, 1 + (held >= HELD[0]) + (held >= HELD[1]), 0).astype(np.int8)
+    index = np.arange(len(at), dtype=np.int32)
+    held = np.zeros(len(at), np.int32)
+    np.subtract(index[:-1], np.maximum.accumulate(np.where(found & (guess == symbol), np.int32(-1), index))[:-1], out=held[1:])
+    return guess, found.view(np.int8) * (1 + (held >= HELD[0]).view(np.int8) + (held >= HELD[1]).view(np.int8))
 
 
 def _told(runs: list[bytes]) -> np.ndarray:
@@ -260,15 +306,18 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for chunk in _chunks(batches):
         streams: list[bytes] = []
-        for _, _, held, last, text in chunk:
-            words = text.split()
+        n = np.zeros(len(chunk.words), np.int64)
+        end = chunk.words.index(END)
+        for i, ((_, _, held, last, _), ids) in enumerate(zip(chunk.runs, chunk.ids, strict=True)):
             if held:
-                counts.update(dict.fromkeys([*words, END] if last else words, 0))
                 continue
-            counts.update(words)
-            counts[END] += last
-            if words or last:
-                streams.append(_coded(words, last))
+            n[end] += last
+            if len(ids) or last:
+                streams.append(_coded(chunk.words_of(i), last))
+        training = [ids for (_, _, held, *_), ids in zip(chunk.runs, chunk.ids, strict=True) if not held]
+        if training:
+            n += np.bincount(np.concatenate(training), minlength=len(n))
+        counts.update(dict(zip(chunk.words, n.tolist(), strict=True)))
         while streams:
             some, size = [streams.pop()], 0
             while streams and (size := size + len(some[-1])) + len(streams[-1]) <= SAMPLE:
@@ -418,22 +467,14 @@ def _early(model: Model, prefix: np.ndarray, symbol: np.ndarray, n: np.ndarray)
     return run
 
 
-def _words_of(runs: list[tuple]) -> list[bytes]:
-    """The distinct words of a chunk's runs, and END, in order."""
-    found = {END}
-    for *_, text in runs:
-        found.update(text.split())
-    return sorted(found, key=sort_key)
-
-
 def _asked(blocks: list[int], firsts: list[bytes]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(block, chunk, words): what each chunk asks of each block, its words in order behind one another."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for chunk, runs in zip(batch.column("chunk").to_pylist(), _chunks([batch]), strict=True):
-                words, rows, start = _words_of(runs), [], 0
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                words, rows, start = unpack(blob).split(b" "), [], 0
                 while start < len(words):
                     which = max(bisect.bisect_right(firsts, sort_key(words[start])) - 1, 0)
                     end = bisect.bisect_left(words, firsts[which + 1], start + 1, key=sort_key) if which + 1 < len(firsts) else len(words)
@@ -468,27 +509,71 @@ def padded(code: Code, word: bytes, odds: bytes) -> bytes:
     return odds + bytes(int(code.length[np.frombuffer(word + b" ", np.uint8)].sum()) - len(odds))
 
 
-def _together(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[tuple], dict[bytes, int], dict[bytes, bytes]]]:
-    """Each chunk's runs, and the counts and log-odds of its words; answers come in the order of their blocks, texts last."""
+class Spelling:
+    """The bytes to predict of words, and the log-odds along them, one word behind another."""
+
+    def __init__(self, words: list[bytes], odds: list[bytes]) -> None:
+        self.parts = []
+        for values, kind in (([w if w == END else w + b" " for w in words], np.uint8), (odds, np.int8)):
+            size = np.fromiter(map(len, values), np.int64, len(values))
+            self.parts.append((np.frombuffer(b"".join(values), kind), np.cumsum(size) - size, size))
+
+    def of(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Bytes and log-odds of words, by their numbers."""
+        out = []
+        for values, start, size in self.parts:
+            n = size.take(ids)
+            ends = np.cumsum(n)
+            at = np.repeat(start.take(ids) - ends + n, n)
+            at += np.arange(len(at))
+            out.append(values.take(at))
+        return out
+
+
+def _together(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, Spelling]]:
+    """Each chunk, and the counts and log-odds of its words; answers come in the order of their blocks, the chunk last."""
     unpack, answers = zstandard.ZstdDecompressor().decompress, []
     for batch in batches:
         for i, (first, answer) in enumerate(zip(batch.column("first").to_pylist(), batch.column("answer").to_pylist(), strict=True)):
             if answer is not None:
                 answers.append((first, answer))
                 continue
-            (runs,) = _chunks([batch.slice(i, 1)])
-            words, counts, odds, at = _words_of(runs), {}, {}, 0
+            (chunk,) = _chunks([batch.slice(i, 1)])
+            counts, odds = [], []
             for _, blob in sorted(answers, key=lambda x: x[0]):
                 raw = unpack(blob)
                 many = int.from_bytes(raw[:4], "little")
-                ends = np.r_[0, np.cumsum(np.frombuffer(raw, np.int32, many, 4 + 8 * many))] + 4 + 12 * many
-                own = words[at : at + many]
-                counts.update(zip(own, np.frombuffer(raw, np.int64, many, 4).tolist(), strict=True))
-                ends = ends.tolist()
-                odds.update((w, padded(code, w, raw[a:b])) for w, a, b in zip(own, ends, ends[1:], strict=False))
-                at += many
+                counts.append(np.frombuffer(raw, np.int64, many, 4))
+                ends = (np.r_[0, np.cumsum(np.frombuffer(raw, np.int32, many, 4 + 8 * many))] + 4 + 12 * many).tolist()
+                odds += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             answers = []
-            yield runs, counts, odds
+            yield chunk, np.concatenate(counts), Spelling(chunk.words, [padded(code, w, o) if len(w) >= WORD_BYTES else o for w, o in zip(chunk.words, odds, strict=True)])
+
+
+class Paths:
+    """Log-odds along the decisions of a byte behind a context, towards those taken, eight in a number; each context and byte is
+    worked out when it is first met.
+    """
+
+    def __init__(self, code: Code, flat: np.ndarray) -> None:
+        self.code, self.flat = code, flat
+        #: By row of `flat` and byte: where its numbers stand, 0 if not met.
+        self.number = np.zeros(len(flat), np.int32)
+        self.odds = np.zeros((code.eights, 1), np.uint64)
+
+    def at(self, pair: np.ndarray) -> np.ndarray:
+        """Where the numbers of each row and byte stand."""
+        found = self.number.take(pair)
+        new = np.unique(pair[found == 0])
+        if len(new):
+            row, symbol = new & ~255, new & 255
+            odds = np.zeros((len(new), 8 * self.code.eights), np.int8)
+            for d, (node, sign) in enumerate(zip(self.code.node_at, self.code.sign_at, strict=True)):
+                odds[:, d] = self.flat.take(row + node.take(symbol)) * sign.take(symbol)
+            self.number[new] = np.arange(len(new)) + self.odds.shape[1]
+            self.odds = np.concatenate([self.odds, eights(odds)], 1)
+            found = self.number.take(pair)
+        return found
 
 
 class Model:
@@ -526,8 +611,11 @@ class Model:
 
     def spans(self, row: int, words: list[bytes], last: bool, odds: dict[bytes, bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row, bytes, word log-odds along them) of a run, in spans of RUN_BYTES at most."""
-        symbols = np.frombuffer(_coded(words, last), np.uint8)
-        along = np.frombuffer(b"".join([*map(odds.__getitem__, words), odds[END] if last else b""]), np.int8)
+        tokens = [*words, END] if last else words
+        return self.cut(row, *Spelling(tokens, [odds[w] for w in tokens]).of(np.arange(len(tokens))))
+
+    def cut(self, row: int, symbols: np.ndarray, along: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """A run's bytes and log-odds in spans."""
         if len(symbols) <= RUN_BYTES:
             yield row, symbols, along
             return
@@ -555,99 +643,115 @@ class Model:
             repeat = np.where(state[byte] > 0, self.code.way.take((guess[byte] << 8) + node) * sign, 0).astype(np.int32)
         return _summed(cells(gate[byte], x2, x3, (odds >> 2) * sign, repeat), n[byte])
 
+    @cached_property
+    def paths(self) -> tuple[Paths, Paths]:
+        """Log-odds behind contexts, and those of repeats by the byte foretold (256: none); a task's own, never sent."""
+        return Paths(self.code, self.flat), Paths(self.code, np.r_[REPEAT_ODDS * self.code.way, np.zeros(256, np.int8)])
+
     def prepared(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple:
         """Bytes in order of their place in their segment, those of longer codes first: (gate and segment of each, first byte of each
-        place, and for each part of the codes: inputs of its decisions towards the one taken, whether there is one, span of
-        each byte, first byte of each place).
+        place, and for each part of the codes: inputs of its decisions towards the one taken, which of them it takes, the bytes
+        that have some, span of each, first byte of each place).
         """
         code = self.code
         lead = np.full(REPEAT, 10, np.uint8)
         text = np.concatenate([x for _, s, _ in spans for x in (lead, s)])
-        along = np.concatenate([o for _, _, o in spans])
+        along = np.concatenate([*(o for _, _, o in spans), np.zeros(8 * code.eights, np.int8)])
         sizes = np.array([len(s) for _, s, _ in spans])
         span = np.repeat(np.arange(len(spans), dtype=np.int32), sizes)
-        place = np.arange(len(span)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(len(span), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
         at = np.arange(len(span)) + (span + 1) * REPEAT
         guess, state = repeats(text, at, span)
         symbol = text[at]
-        two = text[at - 2].astype(np.int32) << 8 | text[at - 1]
-        row2, row3 = self.two[two], self.three[self.page[two], text[at - 3]]
-        n = code.length[symbol]
+        n = code.length.take(symbol)
         ahead = np.cumsum(n) - n
+        gate = ((along.take(ahead) & 3) << 2) + state
+        along >>= 2
+        # the decisions of a byte lie behind one another, so eight are read at once wherever they begin
+        words = np.ndarray(len(along) - 7, np.uint64, along, strides=(1,))
+        two = text[at - 2].astype(np.intp) << 8 | text[at - 1]
+        rows = (self.two.take(two), self.three.ravel().take(self.page.take(two).astype(np.intp) << 8 | text[at - 3]), np.where(state > 0, guess.astype(np.intp), 256))
+        found = [(p, p.at(row.astype(np.intp) << 8 | symbol)) for p, row in zip((*self.paths[:1] * 2, self.paths[1]), rows, strict=True)]
+
+        def inputs(eight: int, own: np.ndarray) -> list[np.ndarray]:
+            two, three, repeat = (p.odds[eight].take(number[own]) for p, number in found)
+            word = words[ahead[own] + 8 * eight]
+            word &= code.kept[eight].take(symbol[own])
+            return [two, three, word, repeat]
+
+        ends = [p for p in PARTS if p < len(code.node_at)] + [len(code.node_at)]
+        part = np.searchsorted(ends, code.length).astype(np.int16).take(symbol)
         step = (place % SEGMENT).astype(np.int16)
-        segment = np.cumsum(step == 0) - 1
-        ends = [*(p for p in PARTS if p < len(code.node_at)), len(code.node_at)]
-        part = np.searchsorted(ends, n).astype(np.int16)
+        segment = np.cumsum(step == 0, dtype=np.int32) - 1
         order = np.argsort(step * np.int16(len(ends)) + (np.int16(len(ends) - 1) - part), kind="stable")
-        step, places = step[order], np.arange(int(step.max()) + 2)
-        gate = (((along[ahead] & 3) << 2) + state)[order]
-        rows = [row.astype(np.int64)[order] << 8 for row in (row2, row3)]
-        symbol, ahead, part, own_span = symbol[order].astype(np.int64), ahead[order], part[order], span[order]
-        guessed = np.where(state > 0, guess.astype(np.int64) << 8, -1)[order]
-        along = along >> 2
+        step, part, span = step[order], part[order], span[order]
+        places = np.arange(int(step[-1]) + 2)
         parts, start = [], 0
         for i, end in enumerate(ends):
-            own = np.flatnonzero(part >= i) if i else slice(None)
-            s, a, g, (r2, r3) = symbol[own], ahead[own], guessed[own], (r[own] for r in rows)
-            some = np.flatnonzero(g >= 0)
-            there = np.empty((end - start, len(s)), bool)
-            inputs = np.zeros((4, end - start, len(s)), np.int8)
-            node, sign, to = np.empty(len(s), np.int64), np.empty(len(s), np.int8), np.empty(len(s), np.int64)
-            for d in range(start, end):
-                two, three, word, repeat = inputs[:, d - start]
-                # clipping spares a check and a copy: all places are in their tables, but for word log-odds behind the last decision
-                code.node_at[d].take(s, out=node, mode="clip")
-                code.sign_at[d].take(s, out=sign, mode="clip")
-                np.not_equal(sign, 0, out=there[d - start])
-                for row, out in ((r2, two), (r3, three)):
-                    self.flat.take(np.add(row, node, out=to), out=out, mode="clip")
-                    np.multiply(out, sign, out=out)
-                along.take(np.add(a, d, out=to), out=word, mode="clip")
-                np.multiply(word, there[d - start], out=word)
-                repeat[some] = REPEAT_ODDS * code.way.take(g[some] + node[some]) * sign[some]
-            parts.append((inputs, there, own_span[own], np.searchsorted(step[own], places).tolist()))
+            own = np.flatnonzero(part >= i)
+            if start % 8 == 0:
+                held, base = inputs(start // 8, order[own]), own
+            takes = None if start % 8 == 0 else own if start < 8 else np.searchsorted(base, own)
+            parts.append((held, slice(start % 8, (end - 1) % 8 + 1), takes, span[own], np.searchsorted(step[own], places).tolist()))
             start = end
-        return gate, segment[order], np.searchsorted(step, places).tolist(), parts
+        return gate[order], segment[order], np.searchsorted(step, places).tolist(), parts
 
     def scores(self, spans: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
         """log10 probability of each span."""
         gate, segment, steps, parts = self.prepared(spans)
         unit = np.float32(UNIT)
-        weights = np.tile(self.weights.T * unit, int(segment.max()) + 1)  # those of each gate in each segment
+        # those of each gate in each segment, with their signs changed: all sums are log-odds against the decision taken
+        weights = np.tile(self.weights * -unit, (int(segment.max()) + 1, 1)).view(_FOUR)[:, 0]
         own = segment * GATES + gate
         rate = np.float32(RATE) * unit * unit  # inputs and weights are in units of the stored log-odds
-        nats = [np.empty(x.shape[2], np.float32) for x, *_ in parts]
+        most, one = np.float32(30), np.float32(1)
+        nats = np.zeros(len(spans))
         some = max(1, TOGETHER * (len(steps) - 1) // len(own))
+        told = [np.empty(len(p[3]), np.float32) for p in parts]
         for first in range(0, len(steps) - 1, some):
             until = min(first + some, len(steps) - 1)
             # the inputs of a few places at once, so that they lie close together
-            held = [(x[:, :, t[first] : t[until]].astype(np.float32), np.empty((x.shape[1], t[until] - t[first]), np.float32), t) for x, _, _, t in parts]
+            held = []
+            for inputs, which, takes, _, t in parts:
+                those = slice(t[first], t[until])
+                x = np.empty((4, which.stop - which.start, t[until] - t[first]), np.float32)
+                for packed, to in zip(inputs, x, strict=True):
+                    packed = packed[those] if takes is None else packed.take(takes[those])
+                    to[:] = packed.view(np.int8).reshape(-1, 8).T[which]
+                held.append((x, np.empty(x.shape[1:], np.float32), t))
             for i in range(first, until):
                 which = own[steps[i] : steps[i + 1]]
-                w = weights.take(which, 1)
+                w = np.ascontiguousarray(weights.take(which).view(np.float32).reshape(-1, 4).T)
                 moved = w.copy()
                 for inputs, out, t in held:
                     lo, hi = t[i] - t[first], t[i + 1] - t[first]
                     if lo == hi:
                         break
-                    x = inputs[:, :, lo:hi]
-                    m = np.add.reduce(x * w[:, None, : hi - lo], 0)
-                    np.maximum(m, -30, out=m)
-                    np.minimum(m, 30, out=m)
-                    out[:, lo:hi] = m
+                    x, one_more = inputs[:, :, lo:hi], out[:, lo:hi]
+                    m = np.einsum("kdn,kn->dn", x, w[:, : hi - lo])
+                    np.minimum(m, most, out=m)
                     np.exp(m, out=m)
-                    m += 1
-                    np.divide(rate, m, out=m)  # how far the decision taken was from certain
-                    moved[:, : hi - lo] += np.add.reduce(x * m, 1)
-                weights[:, which] = moved
-            for (_, out, t), (_, there, _, _), found in zip(held, parts, nats, strict=True):
-                np.negative(out, out=out)
-                np.exp(out, out=out)
-                out += 1
+                    np.add(m, one, out=one_more)
+                    np.divide(m, one_more, out=m)  # how far the decision taken was from certain
+                    toward = np.einsum("kdn,dn->kn", x, m)
+                    toward *= rate
+                    moved[:, : hi - lo] -= toward
+                weights[which] = np.ascontiguousarray(moved.T).view(_FOUR)[:, 0]
+            for (_, out, t), found in zip(held, told, strict=True):
+                sums = found[t[first] : t[until]]
+                # two at most fit their product into 32 bits
+                if len(out) > 1:
+                    half = len(out) // 2
+                    np.multiply(out[:half], out[half : 2 * half], out=out[:half])
+                    out = np.concatenate([out[:half], out[2 * half :]]) if len(out) % 2 else out[:half]
                 np.log(out, out=out)
-                out *= there[:, t[first] : t[until]]
-                np.add.reduce(out, 0, out=found[t[first] : t[until]])
-        return -sum(np.bincount(span, n, len(spans)) for (_, _, span, _), n in zip(parts, nats, strict=True)) / math.log(10)
+                np.add.reduce(out, 0, out=sums)
+        # what stands behind a byte's last decision in a part has no inputs, so it is even
+        for (_, which, _, span, _), found in zip(parts, told, strict=True):
+            nats += np.bincount(span, found, len(spans)) - (which.stop - which.start) * math.log(2) * np.bincount(span, minlength=len(spans))
+        nats += math.log(2) * np.array([len(o) for _, _, o in spans])
+        return -nats / math.log(10)
 
     def fit(self, cell: np.ndarray, n: np.ndarray) -> None:
         """Sets the starting weights: logistic regression for each gate over counted cells, by Newton steps. Gates without repeats come first; what
@@ -676,7 +780,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame, DataFrame, int,
     """The model, all documents in chunks, the first word of each block, the blocks with their words' counts and log-odds, and how
     many training tokens there are, in all and distinct.
     """
-    nested = docs.select("doc_id", (common.held() == 1).alias("held_out"), "text").mapInArrow(_chunked, "row array<long>, doc_id array<long>, held_out array<boolean>, last array<boolean>, text array<binary>")
+    nested = docs.select("doc_id", (common.held() == 1).alias("held_out"), "text").mapInArrow(_chunked, _CHUNK)
     chunked = common.written(nested.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     everything = common.written(chunked.drop("chunk").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     is_bytes = F.substring("word", 1, 1) == F.lit(b" ")
@@ -719,20 +823,22 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
     bottom = math.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs, counts, odds in _together(model.code, batches):
-            logs = {w: math.log10(n + 0.5) - bottom for w, n in counts.items()}
-            unknown = {w for w, n in counts.items() if not n}
-            rows, held, size, found = [], [], 0, np.zeros(len(runs))
+        for chunk, counts, spelling in _together(model.code, batches):
+            end, tokens = chunk.words.index(END), np.array([len(ids) for ids in chunk.ids])
+            of = np.repeat(np.arange(len(tokens)), tokens)
+            lasts = np.array([last for _, _, _, last, _ in chunk.runs])
+            ids = np.concatenate(chunk.ids)
+            logs, known = np.log10(counts + 0.5) - bottom, counts > 0
+            base = np.bincount(of, logs[ids], len(tokens)) + lasts * logs[end]
+            n_known = np.bincount(of, known[ids], len(tokens)).astype(np.int64) + lasts * known[end]
+            held, size, found = [], 0, np.zeros(len(tokens))
 
             def mix() -> None:
                 for (i, *_), s in zip(held, model.scores(held), strict=True):  # noqa: B023
                     found[i] += s  # noqa: B023
 
-            for i, (row, doc_id, out, last, text) in enumerate(runs):
-                words = text.split()
-                tokens = [*words, END] if last else words
-                rows.append((row, doc_id, out, len(tokens), len(tokens) - sum(map(unknown.__contains__, tokens)), len(text), math.fsum(map(logs.__getitem__, tokens))))
-                for span in model.spans(i, words, last, odds):
+            for i, (_, _, _, last, _) in enumerate(chunk.runs):
+                for span in model.cut(i, *spelling.of(np.r_[chunk.ids[i], end] if last else chunk.ids[i])):
                     if held and size + len(span[1]) > MIX_BYTES:
                         mix()
                         held, size = [], 0
@@ -741,9 +847,9 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
                         size += len(span[1])
             if held:
                 mix()
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            row, doc_id, out, _, n_bytes = (pa.array(c, k) for c, k in zip(zip(*chunk.runs, strict=True), list(_LISTS.values())[:5], strict=True))
             names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "n_bytes", "base_score", "score"]
-            yield pa.record_batch([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(found)], names=names)
+            yield pa.record_batch([row, doc_id, out, pa.array(tokens + lasts), pa.array(n_known), n_bytes, pa.array(base), pa.array(found)], names=names)
 
     return run
 
@@ -752,7 +858,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row."""
     model, chunked, firsts, odds, total, distinct = learn(docs)
     order = firsts.orderBy("first").collect()  # a row for BLOCK_KEYS words
-    asks = chunked.mapInArrow(_asked([r["block"] for r in order], [bytes(r["first"]) for r in order]), "block long, chunk long, words binary")
+    asks = chunked.select("chunk", "words").mapInArrow(_asked([r["block"] for r in order], [bytes(r["first"]) for r in order]), "block long, chunk long, words binary")
     asked = asks.unionByName(odds.withColumn("chunk", F.lit(-1).cast("long")), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "chunk")
     answers = asked.mapInArrow(_answered, "chunk long, block long, answer binary").join(F.broadcast(firsts) if len(order) <= MOST_SENT else firsts, "block").drop("block")
     together = answers.withColumn("late", F.lit(0)).unionByName(chunked.withColumn("late", F.lit(1)), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "late")
