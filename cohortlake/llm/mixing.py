@@ -179,6 +179,27 @@ def runs_of(text: str | None) -> Iterator[tuple[bytes, bool]]:
     yield raw[start:] if start else raw, True
 
 
+class Uneven:
+    """Values of uneven length behind one another, read by their numbers."""
+
+    def __init__(self, values: list[bytes], kind: type) -> None:
+        self.values = np.frombuffer(b"".join(values), kind)
+        self.size = np.fromiter(map(len, values), np.int64, len(values))
+        self.start = np.cumsum(self.size) - self.size
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        n = self.size.take(ids)
+        ends = np.cumsum(n)
+        at = np.repeat(self.start.take(ids) - ends + n, n)
+        at += np.arange(len(at))
+        return self.values.take(at)
+
+
+def spelled(words: list[bytes]) -> Uneven:
+    """The bytes to predict of words."""
+    return Uneven([w if w == END else w + b" " for w in words], np.uint8)
+
+
 class Chunk(NamedTuple):
     """Runs of about CHUNK_BYTES of text: row, doc_id, held_out, last and bytes of each; their distinct words and END in order,
     and the numbers in `words` of each run's words.
@@ -188,8 +209,9 @@ class Chunk(NamedTuple):
     words: list[bytes]
     ids: list[np.ndarray]
 
-    def words_of(self, run: int) -> list[bytes]:
-        return list(map(self.words.__getitem__, self.ids[run].tolist()))
+    def tokens(self, run: int, end: int) -> np.ndarray:
+        """The numbers of a run's words, and that of END where the text ends."""
+        return np.r_[self.ids[run], np.int32(end)] if self.runs[run][3] else self.ids[run]
 
 
 #: Columns of a chunk's row.
@@ -204,7 +226,7 @@ def _chunked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number.default_factory = number.__len__
 
     def out() -> pa.RecordBatch:
-        words = sorted(number, key=sort_key)
+        words = sorted(number, key=sort_key if max(map(len, number)) >= WORD_BYTES else None)
         place = np.empty(len(words), np.int32)
         place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
         lists = [pa.array([list(c)], pa.list_(k)) for c, k in zip(zip(*rows, strict=True), _LISTS.values(), strict=True)]
@@ -271,12 +293,13 @@ def repeats(text: np.ndarray, at: np.ndarray, span: np.ndarray) -> tuple[np.ndar
     return guess, found.view(np.int8) * (1 + (held >= HELD[0]).view(np.int8) + (held >= HELD[1]).view(np.int8))
 
 
-def _told(runs: list[bytes]) -> np.ndarray:
+def _told(runs: list[np.ndarray]) -> np.ndarray:
     """For each byte to predict: the three before it and itself as one number, and above them what a repeat foretells and its
     state where the word so far has less than three bytes.
     """
     sizes = np.array([len(r) for r in runs])
-    text = np.frombuffer(b"".join([END * REPEAT + r for r in runs]), np.uint8)
+    lead = np.full(REPEAT, 10, np.uint8)
+    text = np.concatenate([x for r in runs for x in (lead, r)])
     span = np.repeat(np.arange(len(runs)), sizes)
     at = np.arange(len(span)) + (span + 1) * REPEAT
     guess, state = repeats(text, at, span)
@@ -305,15 +328,15 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return known, np.bincount(at, many).astype(np.int64)
 
     for chunk in _chunks(batches):
-        streams: list[bytes] = []
+        streams: list[np.ndarray] = []
         n = np.zeros(len(chunk.words), np.int64)
-        end = chunk.words.index(END)
+        end, text = chunk.words.index(END), spelled(chunk.words)
         for i, ((_, _, held, last, _), ids) in enumerate(zip(chunk.runs, chunk.ids, strict=True)):
             if held:
                 continue
             n[end] += last
             if len(ids) or last:
-                streams.append(_coded(chunk.words_of(i), last))
+                streams.append(text.of(chunk.tokens(i, end)))
         training = [ids for (_, _, held, *_), ids in zip(chunk.runs, chunk.ids, strict=True) if not held]
         if training:
             n += np.bincount(np.concatenate(training), minlength=len(n))
@@ -509,28 +532,7 @@ def padded(code: Code, word: bytes, odds: bytes) -> bytes:
     return odds + bytes(int(code.length[np.frombuffer(word + b" ", np.uint8)].sum()) - len(odds))
 
 
-class Spelling:
-    """The bytes to predict of words, and the log-odds along them, one word behind another."""
-
-    def __init__(self, words: list[bytes], odds: list[bytes]) -> None:
-        self.parts = []
-        for values, kind in (([w if w == END else w + b" " for w in words], np.uint8), (odds, np.int8)):
-            size = np.fromiter(map(len, values), np.int64, len(values))
-            self.parts.append((np.frombuffer(b"".join(values), kind), np.cumsum(size) - size, size))
-
-    def of(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Bytes and log-odds of words, by their numbers."""
-        out = []
-        for values, start, size in self.parts:
-            n = size.take(ids)
-            ends = np.cumsum(n)
-            at = np.repeat(start.take(ids) - ends + n, n)
-            at += np.arange(len(at))
-            out.append(values.take(at))
-        return out
-
-
-def _together(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, Spelling]]:
+def _together(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, Uneven]]:
     """Each chunk, and the counts and log-odds of its words; answers come in the order of their blocks, the chunk last."""
     unpack, answers = zstandard.ZstdDecompressor().decompress, []
     for batch in batches:
@@ -547,7 +549,7 @@ def _together(code: Code, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[C
                 ends = (np.r_[0, np.cumsum(np.frombuffer(raw, np.int32, many, 4 + 8 * many))] + 4 + 12 * many).tolist()
                 odds += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
             answers = []
-            yield chunk, np.concatenate(counts), Spelling(chunk.words, [padded(code, w, o) if len(w) >= WORD_BYTES else o for w, o in zip(chunk.words, odds, strict=True)])
+            yield chunk, np.concatenate(counts), Uneven([padded(code, w, o) if len(w) >= WORD_BYTES else o for w, o in zip(chunk.words, odds, strict=True)], np.int8)
 
 
 class Paths:
@@ -612,7 +614,8 @@ class Model:
     def spans(self, row: int, words: list[bytes], last: bool, odds: dict[bytes, bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(row, bytes, word log-odds along them) of a run, in spans of RUN_BYTES at most."""
         tokens = [*words, END] if last else words
-        return self.cut(row, *Spelling(tokens, [odds[w] for w in tokens]).of(np.arange(len(tokens))))
+        at = np.arange(len(tokens))
+        return self.cut(row, spelled(tokens).of(at), Uneven([odds[w] for w in tokens], np.int8).of(at))
 
     def cut(self, row: int, symbols: np.ndarray, along: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """A run's bytes and log-odds in spans."""
@@ -823,8 +826,8 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
     bottom = math.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, counts, spelling in _together(model.code, batches):
-            end, tokens = chunk.words.index(END), np.array([len(ids) for ids in chunk.ids])
+        for chunk, counts, odds in _together(model.code, batches):
+            end, text, tokens = chunk.words.index(END), spelled(chunk.words), np.array([len(ids) for ids in chunk.ids])
             of = np.repeat(np.arange(len(tokens)), tokens)
             lasts = np.array([last for _, _, _, last, _ in chunk.runs])
             ids = np.concatenate(chunk.ids)
@@ -837,8 +840,9 @@ def _scored(model: Model, total: int, distinct: int) -> Callable[[Iterable[pa.Re
                 for (i, *_), s in zip(held, model.scores(held), strict=True):  # noqa: B023
                     found[i] += s  # noqa: B023
 
-            for i, (_, _, _, last, _) in enumerate(chunk.runs):
-                for span in model.cut(i, *spelling.of(np.r_[chunk.ids[i], end] if last else chunk.ids[i])):
+            for i in range(len(chunk.runs)):
+                own = chunk.tokens(i, end)
+                for span in model.cut(i, text.of(own), odds.of(own)):
                     if held and size + len(span[1]) > MIX_BYTES:
                         mix()
                         held, size = [], 0

@@ -249,3 +249,39 @@ def test_repeats_compare_bytes(monkeypatch):
     monkeypatch.setattr(mixing, "_mixed", lambda x: x & np.uint64(0x7 << 60))  # nearly all contexts share a key
     got = mixing.repeats(text, at, span)
     assert (got[1] == want[1]).all() and (got[0] == want[0])[want[1] > 0].all()
+
+
+def test_few_inputs_stand_behind_a_last_decision(learnt):
+    """All bytes had inputs for eight decisions before, and take some four."""
+    texts, model, odds = learnt
+    spans = [s for i, t in enumerate(texts) for s in model.spans(i, mixing.raw_bytes(t).split(), True, odds)]
+    parts = model.prepared(spans)[3]
+    assert sum((which.stop - which.start) * len(span) for _, which, _, span, _ in parts) < 1.5 * sum(len(a) for *_, a in spans)
+
+
+def test_each_context_and_byte_is_worked_out_once(learnt):
+    _, model, _ = learnt
+    paths = mixing.Paths(model.code, model.flat)
+    rng = np.random.default_rng(2)
+    for _ in range(3):
+        row, symbol = rng.integers(0, len(model.known) + 1, 3000), rng.integers(0, 256, 3000)
+        at = paths.at(row << 8 | symbol)
+        found = paths.odds[:, at]
+        for d, (node, sign) in enumerate(zip(model.code.node_at, model.code.sign_at)):
+            got = np.ascontiguousarray(found[d // 8]).view(np.int8).reshape(-1, 8)[:, d % 8]
+            assert (got == model.flat[(row << 8) + node[symbol]] * sign[symbol]).all()
+    assert paths.odds.shape[1] == 1 + (paths.number > 0).sum()
+
+
+def test_chunks_hold_words_once_by_number(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_BYTES", 300)
+    texts = [*odd_texts(), prose(3, 400, 60), "z" * 80 + " " + "z" * 90 + " b"]
+    chunked = table(spark, texts).selectExpr("doc_id", "false held_out", "text").mapInArrow(mixing._chunked, mixing._CHUNK)
+    chunks = list(mixing._chunks(chunked.toArrow().to_batches()))
+    found = Counter()
+    for c in chunks:
+        assert c.words == sorted({*c.words, mixing.END}, key=mixing.sort_key)
+        text, end = mixing.spelled(c.words), c.words.index(mixing.END)
+        for i, (row, *_) in enumerate(c.runs):
+            found[row] = (found[row] or b"") + text.of(c.tokens(i, end)).tobytes()
+    assert sorted(found.values()) == sorted(spelled(t) for t in texts)
